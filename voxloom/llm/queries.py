@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, language_id, packing, quality_rules, secret_scan, sentencepiece_codec
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
+        "op5_secret_scan": secret_scan.op5_secret_scan,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_language_id": language_id.op8_language_id,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
