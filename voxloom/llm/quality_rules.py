@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, documents, written
@@ -12,7 +12,7 @@ WINDOW = 5
 #: Hashed unigrams and bigrams share this many multinomial cells: the model is this large for any corpus.
 CELLS = 1 << 16
 #: Documents whose mean log ratio (nats an n-gram, trusted against raw) is below this are not kept.
-MIN_RATIO = -0.5
+MIN_RATIO = -0.25
 
 
 def words(text: Column) -> Column:
@@ -20,135 +20,101 @@ def words(text: Column) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, word array, and the counts of the base rules for each document."""
+    """docs (doc_id, text and more) with words and the counts of the base rules for each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    first = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("words"), lines.alias("lines"))
-    counted = first.select(
-        "doc_id",
-        "words",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(
-            F.size("words") > WINDOW,
-            F.transform(
-                F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)),
-                lambda i: F.concat_ws(" ", F.slice("words", i, WINDOW)),
-            ),
-        ).alias("windows"),
+    first = docs.withColumns({"words": words(F.col("text")), "lines": lines})
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    counted = first.withColumns(
+        {
+            "n_words": F.size("words").cast("long"),
+            "word_chars": F.length(F.concat_ws("", "words")).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
+            "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+            "hashes": hashes,
+        }
     )
-    # Most texts repeat no window; only the others are sorted.
+    indexes = F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1))
+    hashed = counted.withColumn(
+        "windows", F.when(F.size("hashes") > WINDOW, F.transform(indexes, lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))))
+    )
+    # Most texts repeat no window; the others get their windows sorted as text, so that no hash decides.
     repeats = F.size("windows") > F.size(F.array_distinct("windows"))
-    sorted_windows = F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    ordered = counted.withColumn("sorted", F.when(repeats, sorted_windows))
-    found = ordered.withColumn(
-        "starts",
-        F.when(
-            F.col("sorted").isNotNull(),
-            F.sort_array(
-                F.transform(
-                    F.filter(
-                        F.transform(
-                            "sorted",
-                            lambda x, k: F.struct(
-                                x["i"].alias("i"),
-                                (
-                                    (F.get("sorted", k - 1)["w"] == x["w"]) | (F.get("sorted", k + 1)["w"] == x["w"])
-                                ).alias("twice"),
-                            ),
-                        ),
-                        lambda y: y["twice"],
-                    ),
-                    lambda y: y["i"],
-                )
-            ),
+    as_text = F.transform(indexes, lambda i: F.struct(F.concat_ws(" ", F.slice("words", i, WINDOW)).alias("w"), i.alias("i")))
+    ordered = hashed.withColumn("sorted", F.when(repeats, F.sort_array(as_text)))
+    twice = F.transform(
+        "sorted",
+        lambda x, k: F.struct(
+            x["i"].alias("i"),
+            ((F.get("sorted", k - 1)["w"] == x["w"]) | (F.get("sorted", k + 1)["w"] == x["w"])).alias("twice"),
         ),
     )
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
+    starts = F.sort_array(F.transform(F.filter(twice, lambda y: y["twice"]), lambda y: y["i"]))
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate(
-        "starts",
-        start,
+        starts,
+        nothing,
         lambda acc, i: F.struct(
             (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).cast("long").alias("n"), i.alias("last")
         ),
         lambda acc: acc["n"],
     )
-    return found.select(
-        "doc_id",
-        "words",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        F.coalesce(F.when(F.col("starts").isNotNull(), covered), F.lit(0).cast("long")).alias("n_repeat_words"),
-    )
+    n_repeat = F.when(F.col("sorted").isNotNull() & (F.size("sorted") > 0), covered).otherwise(F.lit(0).cast("long"))
+    return ordered.withColumn("n_repeat_words", n_repeat).drop("lines", "hashes", "windows", "sorted")
 
 
-def cells(word_list: Column) -> Column:
-    """The multinomial cell of every unigram and bigram of a text."""
-    one = F.transform(word_list, lambda w: F.pmod(F.xxhash64(F.lit(1), w), F.lit(CELLS)).cast("int"))
-    two = F.transform(
-        F.arrays_zip(
-            F.slice(word_list, 1, F.greatest(F.size(word_list) - 1, F.lit(0))).alias("a"),
-            F.slice(word_list, 2, F.greatest(F.size(word_list) - 1, F.lit(0))).alias("b"),
-        ),
-        lambda p: F.pmod(F.xxhash64(F.lit(2), p["a"], p["b"]), F.lit(CELLS)).cast("int"),
-    )
-    return F.concat(one, two)
+def exploded_cells(rows: DataFrame) -> DataFrame:
+    """rows (with words) once for each unigram and bigram, with its multinomial cell; null for rows without words."""
+    after = F.concat(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    pairs = F.arrays_zip(F.col("words").alias("a"), after.alias("b"))
+    one = rows.withColumn("pair", F.explode_outer(F.when(F.size("words") > 0, pairs))).drop("words")
+    unigram = F.when(F.col("pair.a").isNotNull(), F.pmod(F.xxhash64(F.lit(1), "pair.a"), F.lit(CELLS)))
+    bigram = F.when(F.col("pair.b").isNotNull(), F.pmod(F.xxhash64(F.lit(2), "pair.a", "pair.b"), F.lit(CELLS)))
+    return one.withColumn("cell", F.explode(F.array(unigram, bigram))).drop("pair")
 
 
-def ratio_model(grams: DataFrame, trusted: DataFrame) -> DataFrame:
+def ratio_model(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """cell and ratio, for cells that occur: log of the cell's share in trusted texts over that in all texts.
 
-    grams has doc_id and cells. Counts cover all documents; one is added to each cell of both multinomials.
+    Counts cover all documents; one is added to each cell of both multinomials.
     """
     good = trusted.select("doc_id").distinct().withColumn("good", F.lit(1))
-    marked = grams.join(good, "doc_id", "left").select("good", F.explode("cells").alias("cell"))
-    counts = marked.groupBy("cell").agg(F.count("*").alias("raw"), F.count("good").alias("trusted"))
-    totals = counts.agg(F.sum("raw").alias("raw_all"), F.sum("trusted").alias("trusted_all"))
-    return counts.join(F.broadcast(totals)).select(  # one row of totals
-        "cell",
-        (
-            F.log((F.col("trusted") + 1) / (F.col("trusted_all") + CELLS))
-            - F.log((F.col("raw") + 1) / (F.col("raw_all") + CELLS))
-        ).alias("ratio"),
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("good", words(F.col("text")).alias("words"))
+    counts = (
+        exploded_cells(marked)
+        .filter("cell IS NOT NULL")
+        .groupBy("cell")
+        .agg(F.count("*").alias("raw"), F.count("good").alias("trusted"))
     )
+    every = Window.partitionBy(F.lit(0))  # CELLS rows at most
+    share = lambda c: F.log((F.col(c) + 1) / (F.sum(c).over(every) + CELLS))
+    return counts.select("cell", (share("trusted") - share("raw")).alias("ratio"))
 
 
 def quality(docs: DataFrame, trusted: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """Counts, base rule, mean log ratio and verdict for each document.
+    """Counts, base rule, mean log ratio and verdict for each row of docs.
 
     trusted names the doc_ids of the target corpus (null ids are ignored). A null or empty text has no words and
-    fails the base rule; its ratio is 0. Repeated rows of a doc_id count together in ratio and come back as given.
-    A document passes if it does not fail the base rule and its ratio is min_ratio or more, ties included.
-    Without trusted documents all ratios only shift, by the same rule. Empty tables give no rows; extra columns
-    are ignored.
+    fails the base rule; its ratio is 0. Repeated rows and null doc_ids come back as given. A document passes if it
+    does not fail the base rule and its ratio is min_ratio or more, ties included. Empty tables give no rows; extra
+    columns are ignored.
     """
-    counted = written(base_counts(docs).withColumn("cells", cells(F.col("words"))).drop("words"))
-    grams = counted.select("doc_id", "cells")
-    model = ratio_model(grams, trusted)
+    model = written(ratio_model(docs, trusted))
+    # A row's n-grams stay in its task, so the sum by row needs no shuffle of n-grams.
+    counted = base_counts(docs.select("doc_id", "text")).drop("text").withColumn("row", F.monotonically_increasing_id())
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     scored = (
-        grams.select("doc_id", F.explode("cells").alias("cell"))
-        .join(F.broadcast(model), "cell")  # CELLS rows at most
-        .groupBy("doc_id")
-        .agg(F.avg("ratio").alias("ratio"))
-    )
-    joined = counted.drop("cells").join(
-        scored.withColumnRenamed("doc_id", "scored_id"), F.col("doc_id").eqNullSafe(F.col("scored_id")), "left"
+        exploded_cells(counted)
+        .join(F.broadcast(model), "cell", "left")  # CELLS rows at most
+        .groupBy("row", *names)
+        .agg(F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("ratio"))
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return joined.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
+    return scored.select(
+        *names,
         failed.alias("base_failed"),
-        (~failed & (F.coalesce("ratio", F.lit(0.0)) >= min_ratio)).alias("kept"),
-        F.round(F.coalesce("ratio", F.lit(0.0)), 6).alias("ratio"),
+        (~failed & (F.col("ratio") >= min_ratio)).alias("kept"),
+        F.round("ratio", 6).alias("ratio"),
     )
 
 
