@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, quality_rules, secret_scan, sentencepiece_codec
+from . import exact_dedup, language_id, lm_scoring, packing, pii, quality_rules, secret_scan, sentencepiece_codec
 
 
 def queries():
@@ -10,8 +10,10 @@ def queries():
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
         "op5_secret_scan": secret_scan.op5_secret_scan,
+        "op6_lm_scoring": lm_scoring.op6_lm_scoring,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_language_id": language_id.op8_language_id,
+        "op9_pii": pii.op9_pii,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
