@@ -21,7 +21,7 @@ from .common import documents
 DIMENSIONS = 1 << 15
 ORDERS = (1, 2, 3)
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: The sample: the labelled training documents with the smallest hashes of doc_id, so many at most.
+#: The sample: the labelled training documents with the so many smallest hashes of doc_id (and equal ones).
 SAMPLE = 4000
 UNKNOWN = "und"
 ROWS = 64
@@ -85,7 +85,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def sample_features(docs: DataFrame, size: int) -> list[tuple]:
     """(lang, features, counts) of the sampled rows; a row is bounded by DIMENSIONS, however long its text."""
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(size)
+    rank = F.xxhash64("doc_id")
+    last = docs.select(rank.alias("rank")).orderBy("rank").limit(size).agg(F.max("rank")).first()[0]
+    chosen = docs.filter(rank <= F.lit(last)) if last is not None else docs.limit(0)
 
     def run(batches):
         for batch in batches:
