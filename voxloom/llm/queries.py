@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, lm_scoring, packing, pii, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup
+from . import exact_dedup, jaccard_join, language_id, lm_scoring, packing, pii, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_lm_scoring": lm_scoring.op6_lm_scoring,
