@@ -2,22 +2,64 @@
 
 from __future__ import annotations
 
-from voxloom.llm.common import documents
-from voxloom.llm.exact_dedup import exact_duplicates
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from voxloom.llm.common import documents, written
+from voxloom.llm.exact_dedup import exact_duplicates, normalised
+from voxloom.llm.jaccard_join import jaccard_components
+from voxloom.llm.language_id import fit, held_out, recognised
+from voxloom.llm.packing import pack_documents
+from voxloom.llm.secret_scan import mask_secrets
+
+#: A document is rejected when it has no letter or no language reaches this calibrated probability.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def recognise_language(spark, docs, sf_dir):
+    """Keeps documents in one of the languages that the labelled documents have; the others go."""
+    return recognised(docs, fit(docs.filter(~held_out())), MIN_LANGUAGE_SCORE)
 
 
 def drop_exact_copies(spark, docs, sf_dir):
-    """Of equal texts the one with the smallest doc_id stays."""
-    kept = exact_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of equal texts the row with the smallest doc_id stays; of repeated rows of it, one."""
+    kept = exact_duplicates(docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    a, b = docs.withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256)).alias("a"), kept.alias("b")
+    same = (F.col("a.text_sha256") == F.col("b.text_sha256")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    return a.join(b, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(docs.columns)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """Of each component of linked documents the one with the smallest doc_id stays."""
+    gone = jaccard_components(docs).filter("NOT doc_id <=> component_id").select("key").distinct()
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    return keyed.join(gone, "key", "left_anti").select(docs.columns)
+
+
+def hide_secrets(spark, docs, sf_dir):
+    """Every document stays, its secrets replaced by the names of their kinds."""
+    return mask_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def pack(spark, docs, sf_dir):
+    """The pieces of all documents with their places in sequences of 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+STAGES = [
+    ("language_id", recognise_language),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("secret_scan", hide_secrets),
+    ("best_fit_packing", pack),
+]
+#: The trained language model, merges and packing have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The rows of the last stage over the documents of sf_dir."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

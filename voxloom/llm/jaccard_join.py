@@ -230,7 +230,9 @@ def not_ruled_out(pairs: DataFrame, tried: DataFrame, sizes: DataFrame) -> DataF
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per row of docs: n_shingles, component_id and set_name (equal for equal sets).
+    """Per row of docs: n_shingles, component_id, set_name (equal for equal sets) and key.
+
+    key is xxhash64(doc_id, text).
 
     Two documents link when their shingle sets have a Jaccard similarity of PERCENT or more, ties included; a
     component has the smallest doc_id that links reach. Null texts and texts without a word have an empty set and
@@ -278,8 +280,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.col("name").alias("set_name"),
+        "key",
     )
 
 
 def op3_jaccard_join(spark, sf_dir):
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).drop("key")

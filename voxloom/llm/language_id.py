@@ -154,6 +154,21 @@ def fit(
     return model
 
 
+def judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Predicted language and score of each text."""
+    lettered = np.array([bool(model.languages) and t is not None and any(map(str.isalpha, t)) for t in texts])
+    if not lettered.any():
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    row, feature, count = features([t or "" for t in texts])
+    value = weighed(row, feature, count, model.idf, len(texts))
+    each = range(len(model.languages))
+    z = np.stack([np.bincount(row, value * model.weights[feature, j], minlength=len(texts)) for j in each], axis=1)
+    p = softmax((z + model.bias) / model.temperature)
+    best = p.argmax(axis=1)
+    score = np.where(lettered, np.round(p[np.arange(len(texts)), best], 6), 0.0)
+    return [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, lettered)], score
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the calibrated probability of the predicted language) from the text alone.
 
@@ -161,32 +176,35 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     independent: repeated rows and null doc_ids come back as given, an empty table gives no rows, extra columns
     are ignored. Of equal probabilities the first language by name wins.
     """
-    model_sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = model_sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = part.column("text").to_pylist()
-                lettered = np.array([bool(m.languages) and t is not None and any(map(str.isalpha, t)) for t in texts])
-                row, feature, count = features([t or "" for t in texts])
-                value = weighed(row, feature, count, m.idf, len(texts))
-                z = np.stack([np.bincount(row, value * m.weights[feature, j], minlength=len(texts)) for j in range(len(m.languages))], axis=1) if m.languages else np.zeros((len(texts), 1))
-                p = softmax((z + m.bias) / m.temperature) if m.languages else z
-                best = p.argmax(axis=1)
+                languages, score = judged(sent.value, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").cast(pa.int64()),
-                        pa.array([m.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], pa.string()),
-                        pa.array(np.where(lettered, np.round(p[np.arange(len(texts)), best], 6), 0.0)),
-                    ],
+                    [part.column("doc_id").cast(pa.int64()), pa.array(languages, pa.string()), pa.array(score)],
                     names=["doc_id", "lang_pred", "score"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
+    """The rows of docs, as they are, whose language is recognised with min_score or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                languages, score = judged(sent.value, part.column("text").to_pylist())
+                yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(languages, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
