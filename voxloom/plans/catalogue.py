@@ -2,36 +2,599 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voxloom.operators import lines
+from voxloom.config import EngineConfig
+from voxloom.functions import text as names
+from voxloom.functions.vectors import is_valid
+from voxloom.operators import attach, intervals, labels, lines, registry, silence, textfilter, timeline, voices
+from voxloom.plans import inputs
+from voxloom.plans.inputs import LEVELS, PLACED, TURNS, table
+from voxloom.plans.inputs import merged as merged_sql
+from voxloom.sources import wav
 
+HOUR, DAY = 3600, 86400
+QUERIES, SQL = {}, {}
 
-def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL if SQL can express it."""
 
-def merge_lines(spark, sf_dir):
-    named = _table(spark, sf_dir, "conversations").withColumn(
-        "name", F.when(F.col("role") == "assistant", "B").otherwise("A")
-    )
-    return lines.merge_lines(named, "conv_id", ["turn"], "name", "text")
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(SQL)
 
 
-MERGE_LINES = """
+# Lines and labels
+
+
+@query("""
 WITH s AS (SELECT conv_id, turn, trim(text) AS text, CASE WHEN role = 'assistant' THEN 'B' ELSE 'A' END AS name
            FROM conversations WHERE trim(text) <> ''),
 f AS (SELECT *, CASE WHEN lag(name) OVER (PARTITION BY conv_id ORDER BY turn) = name THEN 0 ELSE 1 END AS is_new FROM s),
 g AS (SELECT *, sum(is_new) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_idx FROM f)
 SELECT conv_id, CAST(line_idx AS BIGINT) AS line_idx, name, count(*) AS n_segments,
        string_agg(text, ' ' ORDER BY turn) AS text
-FROM g GROUP BY conv_id, line_idx, name
-"""
+FROM g GROUP BY conv_id, line_idx, name""")
+def merge_lines(spark, sf_dir):
+    named = table(spark, sf_dir, "conversations").withColumn("name", F.when(F.col("role") == "assistant", "B").otherwise("A"))
+    return lines.merge_lines(named, "conv_id", ["turn"], "name", "text")
 
 
-def queries():
-    return {"merge_lines": merge_lines}
+def _ordered(spark, sf_dir):
+    seg = inputs.segments(spark, sf_dir).select("rec_id", "seg_idx", F.concat("label", (F.col("seg_idx") % 3).cast("string")).alias("label"))
+    extra = seg.select("rec_id").distinct().select("rec_id", F.lit("only_speech").alias("label"), F.lit(99).alias("ord"))
+    speech = seg.groupBy("rec_id", "label").agg(F.max("seg_idx").cast("int").alias("ord")).unionByName(extra)
+    return labels.order_labels(seg, speech)
 
 
-def oracle_sql():
-    return {"merge_lines": MERGE_LINES}
+ORDERED = """seg AS (SELECT conv_id AS rec_id, turn AS seg_idx, role || (turn % 3) AS label FROM conversations),
+speech AS (SELECT rec_id, label, max(seg_idx) AS ord FROM seg GROUP BY 1, 2
+           UNION ALL SELECT DISTINCT rec_id, 'only_speech', 99 FROM seg),
+ordered AS (SELECT s.rec_id, s.label, row_number() OVER (PARTITION BY s.rec_id ORDER BY f.first NULLS LAST, s.ord, s.label) - 1 AS label_idx
+            FROM speech s LEFT JOIN (SELECT rec_id, label, min(seg_idx) AS first FROM seg GROUP BY 1, 2) f USING (rec_id, label))"""
+
+
+@query(f"WITH {ORDERED} SELECT rec_id, label, CAST(label_idx AS BIGINT) AS label_idx FROM ordered")
+def order_labels(spark, sf_dir):
+    return _ordered(spark, sf_dir).withColumn("label_idx", F.col("label_idx").cast("long"))
+
+
+@query(f"""
+WITH {ORDERED},
+l AS (SELECT *, CASE WHEN label_idx = 1 AND rec_id % 2 = 0 THEN 'Alex' END AS name,
+             CASE WHEN label_idx = 2 AND rec_id % 3 = 0 THEN 'Speaker B' END AS anon FROM ordered),
+opt AS (SELECT rec_id, i, 'Speaker ' || chr(CAST(65 + i AS INTEGER)) AS letter FROM (SELECT DISTINCT rec_id FROM l), range(20) t(i)),
+free AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY i) AS k FROM opt o
+         WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.rec_id = o.rec_id AND (l.name = o.letter OR l.anon = o.letter))),
+want AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY label_idx) AS k FROM l WHERE name IS NULL AND anon IS NULL)
+SELECT l.rec_id, l.label, CAST(l.label_idx AS BIGINT) AS label_idx, coalesce(l.name, l.anon, f.letter) AS display
+FROM l LEFT JOIN want w ON l.rec_id = w.rec_id AND l.label = w.label LEFT JOIN free f ON f.rec_id = w.rec_id AND f.k = w.k""")
+def assign_displays(spark, sf_dir):
+    known = _ordered(spark, sf_dir).withColumns(
+        {
+            "name": F.when((F.col("label_idx") == 1) & (F.col("rec_id") % 2 == 0), "Alex"),
+            "anon": F.when((F.col("label_idx") == 2) & (F.col("rec_id") % 3 == 0), "Speaker B"),
+        }
+    )
+    return labels.assign_displays(known).withColumn("label_idx", F.col("label_idx").cast("long"))
+
+
+@query("""
+WITH l AS (SELECT conv_id, role AS name, turn AS line_idx FROM conversations),
+f AS (SELECT conv_id, name, min(line_idx) AS first, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT conv_id, CAST(sum(n) AS BIGINT) AS line_count, string_agg(name, ',' ORDER BY first, name) AS speakers FROM f GROUP BY 1""")
+def results_catalogue(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("name"), F.col("turn").alias("line_idx"))
+    return labels.results_catalogue(rows, "conv_id")
+
+
+@query("""SELECT conv_id, string_agg(role || ' : ' || text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY 1""")
+def render_text(spark, sf_dir):
+    from voxloom.sources.results import as_text
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("name"), F.col("turn").alias("line_idx"), "text")
+    return as_text(rows, "conv_id")
+
+
+# Turns and intervals
+
+
+@query(f"WITH {TURNS} SELECT rec_id, speaker, CAST(sum(e - s) AS BIGINT) AS speech_sec FROM turns GROUP BY 1, 2")
+def speech_sec(spark, sf_dir):
+    return inputs.turns(spark, sf_dir).groupBy("rec_id", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("speech_sec"))
+
+
+@query(f"""
+WITH {TURNS}
+SELECT a.rec_id, least(a.speaker, b.speaker) AS a, greatest(a.speaker, b.speaker) AS b,
+       CAST(sum(least(a.e, b.e) - b.s) AS BIGINT) AS seconds
+FROM turns a JOIN turns b ON a.rec_id = b.rec_id AND a.turn_idx < b.turn_idx AND a.e > b.s AND a.speaker <> b.speaker
+GROUP BY 1, 2, 3 HAVING sum(least(a.e, b.e) - b.s) >= 1800""")
+def overlap_pairs(spark, sf_dir):
+    return intervals.overlap_pairs(inputs.turns(spark, sf_dir), ["rec_id"], "speaker", 1800, HOUR)
+
+
+def _regions(spark, sf_dir):
+    return intervals.merge_regions(inputs.turns(spark, sf_dir), ["rec_id"], "start", "end", HOUR)
+
+
+REGIONS = f"{TURNS}, {merged_sql('turns', '3600')}, {PLACED}"
+
+
+@query(f'WITH {REGIONS} SELECT rec_id, s AS "start", e AS "end" FROM regions')
+def merge_regions(spark, sf_dir):
+    return _regions(spark, sf_dir)
+
+
+@query(f"""WITH {REGIONS} SELECT rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY s, e) - 1 AS BIGINT) AS region_idx,
+  s AS "start", e AS "end", CAST(off AS BIGINT) AS "offset", e - s AS length FROM placed""")
+def timeline_offsets(spark, sf_dir):
+    return timeline.offsets(_regions(spark, sf_dir)).withColumn("region_idx", F.col("region_idx").cast("long"))
+
+
+@query(f"""
+WITH {REGIONS}, k AS (SELECT rec_id, sum(e - s) AS kept, count(*) AS regions, 2592000 AS total FROM regions GROUP BY 1)
+SELECT rec_id, kept < total AS enabled, CAST(total AS DOUBLE) AS original, CAST(kept AS DOUBLE) AS kept,
+       CAST(total - kept AS DOUBLE) AS removed, regions FROM k""")
+def timeline_stats(spark, sf_dir):
+    totals = inputs.turns(spark, sf_dir).select("rec_id").distinct().withColumn("total", F.lit(30 * DAY).cast("long"))
+    return timeline.stats(_regions(spark, sf_dir), totals)
+
+
+@query(f"""
+WITH {REGIONS}, p AS (SELECT user_id AS rec_id, event_id AS point_id, event_id * 7919 % 200000 - 100 AS pos FROM events)
+SELECT p.rec_id, point_id, pos, CAST(max_by(least(s + greatest(pos, 0) - off, e), off) AS BIGINT) AS original
+FROM p JOIN placed ON p.rec_id = placed.rec_id AND off <= greatest(pos, 0) GROUP BY 1, 2, 3""")
+def to_original(spark, sf_dir):
+    points = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("rec_id"), F.col("event_id").alias("point_id"), (F.col("event_id") * 7919 % 200000 - 100).alias("pos")
+    )
+    return timeline.to_original(points, timeline.offsets(_regions(spark, sf_dir)))
+
+
+@query(f"""
+WITH {REGIONS}, p AS (SELECT user_id AS rec_id, event_id AS span_id, event_id * 7919 % 200000 AS lo, event_id * 7919 % 200000 + 20000 AS hi FROM events),
+k AS (SELECT rec_id, sum(e - s) AS kept FROM regions GROUP BY 1),
+c AS (SELECT rec_id, span_id, least(lo, kept) AS lo, least(hi, kept) AS hi FROM p JOIN k USING (rec_id))
+SELECT c.rec_id, span_id, CAST(s - off + greatest(lo, off) AS BIGINT) AS "start", CAST(s - off + least(hi, off + e - s) AS BIGINT) AS "end"
+FROM c JOIN placed r ON c.rec_id = r.rec_id AND off < hi AND off + e - s > lo WHERE lo < hi
+UNION ALL
+SELECT c.rec_id, span_id, CAST(max_by(least(s + lo - off, e), off) AS BIGINT), CAST(max_by(least(s + lo - off, e), off) AS BIGINT)
+FROM c JOIN placed r ON c.rec_id = r.rec_id AND off <= lo WHERE lo >= hi GROUP BY 1, 2""")
+def split_spans(spark, sf_dir):
+    lo = F.col("event_id") * 7919 % 200000
+    spans = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("rec_id"), F.col("event_id").alias("span_id"), lo.alias("lo"), (lo + 20000).alias("hi")
+    )
+    return timeline.split(spans, timeline.offsets(_regions(spark, sf_dir)), 4 * HOUR)
+
+
+@query(f"""
+WITH RECURSIVE {REGIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY s, e) AS i FROM regions),
+f AS (SELECT rec_id, i, s, e, 0 AS chunk_idx, s AS first FROM n WHERE i = 1
+      UNION ALL
+      SELECT n.rec_id, n.i, n.s, n.e, CASE WHEN n.e - f.first > 432000 THEN f.chunk_idx + 1 ELSE f.chunk_idx END,
+             CASE WHEN n.e - f.first > 432000 THEN n.s ELSE f.first END
+      FROM f JOIN n ON n.rec_id = f.rec_id AND n.i = f.i + 1)
+SELECT rec_id, chunk_idx, s AS "start", e AS "end" FROM f""")
+def chunks(spark, sf_dir):
+    return timeline.chunks(_regions(spark, sf_dir), 5 * DAY)
+
+
+def _words(spark, sf_dir):
+    t = inputs.turns(spark, sf_dir)
+    start = F.col("start") + F.pmod(F.col("event_id") * 977, F.lit(40000)) - 20000
+    return t.select("rec_id", F.col("event_id").alias("word_id"), start.alias("start"), (start + 61).alias("end"))
+
+
+WORDS = "words AS (SELECT rec_id, event_id AS word_id, s + event_id * 977 % 40000 - 20000 AS ws, s + event_id * 977 % 40000 - 20000 + 61 AS we FROM ev)"
+
+
+@query(f"""
+WITH {TURNS}, {WORDS}
+SELECT w.rec_id, word_id, arg_max(speaker, (least(we, e) - greatest(ws, s)) * 1000000 - turn_idx) AS speaker,
+       max(least(we, e) - greatest(ws, s)) AS overlap
+FROM words w JOIN turns t ON w.rec_id = t.rec_id AND ws < e AND s < we GROUP BY 1, 2""")
+def best_overlap(spark, sf_dir):
+    return attach.best_overlap(_words(spark, sf_dir), inputs.turns(spark, sf_dir), HOUR)
+
+
+@query(f"""
+WITH {TURNS}, {WORDS}, x AS (
+  SELECT w.rec_id, word_id, ws AS "start", we AS "end", speaker, turn_idx, least(we, e) - greatest(ws, s) AS ov,
+         greatest(s - (ws + we) / 2.0, (ws + we) / 2.0 - e, 0) AS d
+  FROM words w JOIN turns t ON w.rec_id = t.rec_id)
+SELECT rec_id, word_id, "start", "end",
+       CASE WHEN max(ov) > 0 THEN arg_max(speaker, ov * 1000000 - turn_idx) ELSE arg_min(speaker, d * 1000000 + turn_idx) END AS speaker
+FROM x GROUP BY 1, 2, 3, 4""")
+def attach_speakers(spark, sf_dir):
+    return attach.attach(_words(spark, sf_dir), inputs.turns(spark, sf_dir), HOUR)
+
+
+# Silence
+
+
+@query(f"""
+WITH {LEVELS}, p AS (SELECT rec_id, quantile_cont(db, 0.1) AS floor, quantile_cont(db, 0.95) AS speech FROM levels GROUP BY 1)
+SELECT rec_id, round(floor, 3) AS floor, round(speech, 3) AS speech, round(speech - floor, 3) AS span, speech - floor < 25 AS flat,
+       round(least(floor + greatest(6, (speech - floor) * 0.3), speech - 6), 3) AS thr FROM p""")
+def silence_thresholds(spark, sf_dir):
+    found = silence.thresholds(inputs.hourly_levels(spark, sf_dir), 25.0, 0.3)
+    return found.select("rec_id", *[F.round(c, 3).alias(c) for c in ("floor", "speech", "span")], "flat", F.round("thr", 3).alias("thr"))
+
+
+PLAN = f"""{LEVELS}, q AS (SELECT rec_id, quantile_cont(db, 0.1) AS fl, quantile_cont(db, 0.95) AS sp FROM levels GROUP BY 1),
+thr AS (SELECT rec_id, least(fl + greatest(6, (sp - fl) * 0.3), sp - 6) AS thr FROM q WHERE sp - fl >= 25),
+loud AS (SELECT l.rec_id, frame_idx, frame_idx - row_number() OVER (PARTITION BY l.rec_id ORDER BY frame_idx) AS g FROM levels l JOIN thr USING (rec_id) WHERE db > thr),
+runs AS (SELECT rec_id, min(frame_idx) AS s0, max(frame_idx) + 1 AS e0 FROM loud GROUP BY rec_id, g)"""
+
+
+@query(f'WITH {PLAN} SELECT rec_id, s0 AS "start", e0 AS "end" FROM runs')
+def silence_runs(spark, sf_dir):
+    levels = inputs.hourly_levels(spark, sf_dir)
+    cut = silence.thresholds(levels, 25.0, 0.3).filter("NOT flat").select("rec_id", "thr")
+    loud = levels.join(cut, "rec_id").filter("db > thr").select("rec_id", "frame_idx")
+    return intervals.runs(loud, ["rec_id"], "frame_idx")
+
+
+@query(f"""
+WITH {PLAN}, r1 AS (SELECT rec_id, s0 * 3600 AS s, e0 * 3600 AS e FROM runs), {merged_sql('r1', '43200')},
+pad AS (SELECT rec_id, greatest(s - 7200, 0) AS s, e + 7200 AS e FROM regions), {merged_sql('pad', '1').replace('m1', 'n1').replace('m2', 'n2').replace('regions', 'joined')},
+k AS (SELECT rec_id, sum(e - s) AS kept FROM joined GROUP BY 1 HAVING sum(e - s) >= 3600)
+SELECT j.rec_id, s AS "start", e AS "end" FROM joined j JOIN k USING (rec_id)""")
+def silence_plan(spark, sf_dir):
+    """One frame an hour, a "second" of 3600 samples: gaps under half a day close, two hours of padding."""
+    cfg = EngineConfig(trim_min_dynamic_db=25.0, trim_min_silence_sec=12.0, trim_pad_sec=2.0, trim_min_speech_sec=0.5)
+    levels = inputs.hourly_levels(spark, sf_dir)
+    totals = levels.select("rec_id").distinct().withColumn("total", F.lit(10**10).cast("long"))
+    return silence.plan(levels, totals, HOUR, HOUR, cfg)
+
+
+@query()
+def wave_levels(spark, sf_dir):
+    """Each user's values as a wave file, read back and measured frame by frame behind an 80 Hz high-pass."""
+    w = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(w, lambda x: x["value"]).alias("values"))
+
+    def make(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            made = [wav.encode(np.repeat(np.sin(np.asarray(v)) / 2, 40)) for v in b.column("values").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("user_id"), pa.array(made, pa.binary())], names=["user_id", "content"])
+
+    files = users.mapInArrow(make, "user_id long, content binary")
+    return wav.levels(files, "user_id", 320, 80.0).withColumn("db", F.round("db", 4))
+
+
+# Voices
+
+
+DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
+TOP2 = f"""v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings WHERE vec_id % 10 <> 0),
+c AS (SELECT a.vec_id, b.label AS speaker_id, {DOT} AS score FROM embeddings a, v b WHERE a.vec_id % 10 = 0 AND b.n <= 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, speaker_id ORDER BY score DESC) AS k FROM c),
+top AS (SELECT vec_id, speaker_id, avg(score) AS score FROM r WHERE k <= 2 GROUP BY 1, 2)"""
+
+
+def _top2(spark, sf_dir):
+    """Every tenth vector speaks, the others are the registry, ten for each speaker."""
+    v = inputs.voices(spark, sf_dir)
+    prints = registry.retain(v.filter("vec_id % 10 <> 0").withColumnRenamed("vec_id", "id"), 10)
+    return voices.top2_scores(v.filter("vec_id % 10 = 0"), prints, ["vec_id"], "speaker_id")
+
+
+@query(f"WITH {TOP2} SELECT vec_id, speaker_id, round(score, 6) AS score FROM top")
+def top2_scores(spark, sf_dir):
+    return _top2(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+WITH {TOP2}, o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC) AS k FROM top),
+d AS (SELECT a.vec_id, a.speaker_id, a.score, b.score AS runner_up FROM o a JOIN o b ON a.vec_id = b.vec_id AND a.k = 1 AND b.k = 2)
+SELECT vec_id, speaker_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up,
+       CASE WHEN score < 0 THEN 'too_short' WHEN score < 0.25 THEN 'below_threshold' WHEN runner_up > 0 AND score - runner_up < 0.02 THEN 'too_close' ELSE '' END AS reason FROM d""")
+def match_decisions(spark, sf_dir):
+    w = Window.partitionBy("vec_id").orderBy(F.desc("score"))
+    ranked = _top2(spark, sf_dir).withColumn("k", F.row_number().over(w)).withColumn("runner_up", F.lead("score").over(w))
+    told = voices.decisions(ranked.filter("k = 1").withColumn("label", F.lit("")), "vec_id", "label", "speaker_id", 0.25, 0.02)
+    return told.select("vec_id", "speaker_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "reason")
+
+
+@query()
+def hungarian_match(spark, sf_dir):
+    """Recordings of up to three labels, matched one to one."""
+    scores = _top2(spark, sf_dir).select(
+        F.floor(F.col("vec_id") / 30).alias("rec_id"), F.col("vec_id").alias("label"), F.col("speaker_id").alias("profile"),
+        F.when(F.col("vec_id") % 70 == 0, 1.0).otherwise(9.0).alias("speech_sec"), "score",
+    )
+    return voices.match(scores, EngineConfig(match_threshold=0.25, match_margin=0.02)).withColumn("score", F.round("score", 6)).withColumn("runner_up", F.round("runner_up", 6))
+
+
+@query("""
+WITH u AS (SELECT label, unnest(range(1, 65)) AS pos, unnest([x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) FOR x IN CAST(embedding AS DOUBLE[])]) AS x FROM embeddings),
+m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
+SELECT m.label AS speaker_id, CAST(pos - 1 AS INTEGER) AS pos, round(x / n, 6) AS x FROM m JOIN n USING (label)""")
+def centroids(spark, sf_dir):
+    found = voices.centroids(inputs.voices(spark, sf_dir), ["speaker_id"])
+    return found.select("speaker_id", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("""SELECT label AS speaker_id, count(*) AS valid FROM embeddings
+WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1""")
+def valid_embeddings(spark, sf_dir):
+    return inputs.voices(spark, sf_dir).filter(is_valid(F.col("embedding"))).groupBy("speaker_id").agg(F.count("*").alias("valid"))
+
+
+def _parts(spark, sf_dir):
+    v = inputs.voices(spark, sf_dir)
+    return v.select(
+        F.floor(F.col("vec_id") / 20).alias("rec_id"), (F.floor(F.col("vec_id") / 5) % 4).cast("int").alias("chunk_idx"),
+        (F.col("vec_id") % 5).cast("int").alias("ord"), F.concat(F.lit("S"), (F.col("vec_id") % 5).cast("string")).alias("label"),
+        F.when(F.col("vec_id") % 11 != 0, F.col("embedding")).alias("embedding"), (F.col("vec_id") % 7 + 1).cast("double").alias("speech_sec"),
+    )
+
+
+@query()
+def stitch(spark, sf_dir):
+    return voices.stitch(_parts(spark, sf_dir), EngineConfig(stitch_threshold=0.2))
+
+
+@query()
+def collapse(spark, sf_dir):
+    v = _parts(spark, sf_dir).withColumn("label", F.concat("label", F.lit("_"), F.col("chunk_idx").cast("string")))
+    apart = v.select("rec_id", F.lit("S0_0").alias("a"), F.lit("S1_0").alias("b")).distinct()
+    return voices.collapse(v, apart, EngineConfig(merge_threshold=0.2))
+
+
+# Text evidence
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT doc_id, line, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS w FROM l),
+m AS (SELECT doc_id, len(w) AS n, w FROM t WHERE len(w) >= 4),
+c AS (SELECT doc_id, n, list_max([len(list_filter(w, lambda y: y = x)) FOR x IN list_distinct(w)]) AS best FROM m WHERE n <= 400)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (best / n >= 0.4) AS repeated, round(max(best / n), 6) AS most FROM c GROUP BY 1""")
+def repetition(spark, sf_dir):
+    """Lines of 4 to 400 words (longer ones are no utterances)."""
+    split = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    some = split.withColumn("n", F.size(textfilter.tokens(F.col("line")))).filter("n BETWEEN 4 AND 400")
+    rated = some.select("doc_id", textfilter.repetition_ratio(F.col("line")).alias("r"))
+    return rated.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("r") >= 0.4).alias("repeated"), F.round(F.max("r"), 6).alias("most"))
+
+
+@query("""
+SELECT conv_id AS rec_id, turn AS seg_idx,
+  round(least((len(list_reduce(list_prepend('', regexp_extract_all(text, '(?i)(the|und|les)', 0)), lambda x, y: x || y))
+             + len(list_reduce(list_prepend('', regexp_extract_all(text, '(?i)th[a-z]+', 0)), lambda x, y: x || y))) / len(text), 1.0), 6) AS cover
+FROM conversations WHERE len(text) > 0""")
+def boilerplate_cover(spark, sf_dir):
+    """With patterns that these conversations hold."""
+    c = inputs.segments(spark, sf_dir).filter("length(text) > 0")
+    return c.select("rec_id", "seg_idx", F.round(textfilter.cover_ratio(F.col("text"), (r"(the|und|les)", r"th[a-z]+")), 6).alias("cover"))
+
+
+@query("""
+SELECT conv_id AS rec_id, turn AS seg_idx, CASE WHEN (conv_id * 7 + turn * 13) % 100 / 100.0 < 0.3 THEN 'low_score'
+  WHEN (turn % 5 + 1) * 12 >= 6 AND len(trim(text)) / ((turn % 5 + 1) * 12.0) < 1.5 THEN 'slow' END AS proof FROM conversations""")
+def evidence(spark, sf_dir):
+    s = inputs.segments(spark, sf_dir)
+    proof = textfilter.evidence(F.col("score"), F.col("end") - F.col("start"), F.length(F.trim("text")), 0.3)
+    return s.select("rec_id", "seg_idx", proof.alias("proof"))
+
+
+@query()
+def verdicts(spark, sf_dir):
+    """All rules on conversation turns: the SQL engine at hand has no back-references for the glued rule."""
+    rated = textfilter.inspect(inputs.segments(spark, sf_dir), patterns=(r"(the|und|les)", r"th[a-z]+"), max_repeat=0.25)
+    return rated.select("rec_id", "seg_idx", "verdict", "reason", F.round("repeat", 6).alias("repeat"), F.round("cover", 6).alias("cover"))
+
+
+@query("""
+WITH v AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 'keep' WHEN turn % 3 = 1 THEN 'drop' ELSE 'suspect' END AS verdict FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, verdict ORDER BY turn) AS k FROM v WHERE verdict <> 'keep')
+SELECT conv_id, verdict, count(*) AS n, string_agg('"' || substring(text, 1, 24) || '"', ', ' ORDER BY turn) FILTER (k <= 3)
+  || CASE WHEN count(*) > 3 THEN ' and ' || (count(*) - 3) || ' more' ELSE '' END AS sample FROM r GROUP BY 1, 2""")
+def warning_summary(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    verdict = F.when(F.col("turn") % 3 == 0, "keep").when(F.col("turn") % 3 == 1, "drop").otherwise("suspect")
+    return textfilter.warning_summary(c.withColumn("verdict", verdict), "conv_id", "turn")
+
+
+@query("""
+WITH s AS (SELECT source, lang, sum(n_chars % 100 / 100.0) AS votes, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY votes DESC, first) AS k, sum(n) OVER (PARTITION BY source) AS all_n, count(*) OVER (PARTITION BY source) AS languages FROM s)
+SELECT source AS rec_id, lang, round(CAST(votes AS DOUBLE) / all_n, 3) AS confidence, languages, (round(CAST(votes AS DOUBLE) / all_n, 3) < 0.9 OR languages > 1) AS warn FROM r WHERE k = 1""")
+def language_vote(spark, sf_dir):
+    prob = (F.col("n_chars") % 100 / 100).cast("decimal(18,2)")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("rec_id"), F.col("doc_id").alias("idx"), "lang", prob.alias("prob"))
+    return labels.detection_warning(labels.language_vote(d).withColumn("confidence", F.col("confidence").cast("double")))
+
+
+# Names and times
+
+
+@query("""
+SELECT conv_id, turn, printf('%02d:%02d:%02d', (turn * 3599 + conv_id) // 3600, (turn * 3599 + conv_id) % 3600 // 60, (turn * 3599 + conv_id) % 60) AS clock FROM conversations""")
+def timestamps(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", names.timestamp(F.col("turn") * 3599 + F.col("conv_id") + 0.5).alias("clock"))
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, trim(substring(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(substring(text, 1, 130), '[\\/:*?"<>|\x00-\x1F]', '_', 'g')), '^\.+|\.+$', '', 'g'), '\s+', ' ', 'g'), ' +', ' ', 'g'), 1, 100)) AS name FROM documents)
+SELECT doc_id, CASE WHEN name = '' OR upper(name) IN ('CON', 'PRN', 'AUX', 'NUL') THEN '2024-01-01' ELSE name END AS name FROM c""")
+def safe_names(spark, sf_dir):
+    """Names from the openings of documents, which hold line ends, quotes and dots."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", names.safe_name(F.substring("text", 1, 130), F.lit("2024-01-01")).alias("name"))
+
+
+@query("""
+SELECT event_id, 'Speaker ' || CASE WHEN event_id < 26 THEN '' ELSE chr(CAST(65 + ((event_id - 26) % 676) // 26 AS INTEGER)) END
+  || chr(CAST(65 + CASE WHEN event_id < 26 THEN event_id ELSE (event_id - 26) % 26 END AS INTEGER)) AS label FROM events WHERE event_id < 702""")
+def anonymous_labels(spark, sf_dir):
+    """The letters of the indexes that have two at most."""
+    return table(spark, sf_dir, "events").filter("event_id < 702").select("event_id", names.anonymous_label(F.col("event_id")).alias("label"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority ELSE o_orderpriority || '-' || (o_orderkey % 5 + CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) END AS name FROM orders),
+w AS (SELECT DISTINCT o_orderpriority AS name FROM orders UNION SELECT DISTINCT o_orderstatus FROM orders),
+o AS (SELECT name, k, CASE WHEN k = 1 THEN name ELSE name || '-' || k END AS option FROM w, range(1, 12) r(k))
+SELECT o.name, min_by(option, k) AS free FROM o WHERE option NOT IN (SELECT name FROM t) GROUP BY 1""")
+def free_names(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 5
+    shift = F.when(F.col("o_orderpriority").startswith("1"), 1).otherwise(0)
+    taken = o.select(F.when(k == 0, F.col("o_orderpriority")).otherwise(F.concat("o_orderpriority", F.lit("-"), (k + shift).cast("string"))).alias("name"))
+    wanted = o.select(F.col("o_orderpriority").alias("name")).union(o.select("o_orderstatus"))
+    return registry.free_names(wanted, taken)
+
+
+@query("""
+SELECT event_id, CASE WHEN contains(m, 'out of memory') THEN 'memory' WHEN contains(m, 'cudnn') THEN 'cuda' WHEN contains(m, '1314') THEN 'symlink'
+  WHEN contains(m, '401') OR contains(m, '403') OR contains(m, 'gated') THEN 'access' ELSE 'other' END AS kind
+FROM (SELECT event_id, lower(CASE event_type WHEN 'click' THEN 'CUDA Out Of Memory' WHEN 'view' THEN 'cuDNN missing' ELSE event_type END || ' ' || event_id) AS m FROM events)""")
+def error_kinds(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    said = F.when(F.col("event_type") == "click", "CUDA Out Of Memory").when(F.col("event_type") == "view", "cuDNN missing").otherwise(F.col("event_type"))
+    return e.select("event_id", names.error_kind(F.concat(said, F.lit(" "), F.col("event_id").cast("string"))).alias("kind"))
+
+
+@query("""
+SELECT r_name, string_agg(n_name, ', ' ORDER BY n_name) || '.' || CASE WHEN r_regionkey % 2 = 0 THEN ' ' || r_name ELSE '' END AS prompt
+FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name, r_regionkey""")
+def initial_prompts(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    r = table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
+    return r.select("r_name", names.initial_prompt(F.col("names"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).otherwise("  ")).alias("prompt"))
+
+
+# Registry
+
+
+def _speakers(spark, sf_dir):
+    v = inputs.voices(spark, sf_dir)
+    made = v.select("speaker_id").distinct().filter("speaker_id <> 3")
+    return made.select(F.col("speaker_id").cast("long").alias("id"), F.concat(F.lit("Person "), F.col("speaker_id").cast("string")).alias("name"), F.lit("2024-01-01").alias("created_at"), F.lit("2024-01-01").alias("updated_at"))
+
+
+def _prints(spark, sf_dir):
+    v = inputs.voices(spark, sf_dir)
+    return v.select(
+        F.col("vec_id").alias("id"), F.col("speaker_id").cast("long").alias("speaker_id"), "embedding", F.when(F.col("vec_id") % 4 == 0, 32).otherwise(64).alias("dim"),
+        F.concat(F.lit("result:"), (F.col("vec_id") % 40).cast("string")).alias("source"), (F.col("vec_id") % 9 + 1).cast("double").alias("speech_sec"),
+    )
+
+
+PRINTS = """prints AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS speaker_id, CASE WHEN vec_id % 4 = 0 THEN 32 ELSE 64 END AS dim,
+  'result:' || (vec_id % 40) AS source, CAST(vec_id % 9 + 1 AS DOUBLE) AS speech_sec FROM embeddings),
+speakers AS (SELECT DISTINCT CAST(label AS BIGINT) AS id, 'Person ' || label AS name FROM embeddings WHERE label <> 3)"""
+
+
+@query(f"""WITH {PRINTS} SELECT s.id, s.name, count(p.id) AS voiceprints, coalesce(sum(p.speech_sec), 0) AS speech_sec
+FROM speakers s LEFT JOIN prints p ON p.speaker_id = s.id GROUP BY 1, 2""")
+def list_speakers(spark, sf_dir):
+    return registry.list_speakers(_speakers(spark, sf_dir), _prints(spark, sf_dir))
+
+
+@query(f"WITH {PRINTS} SELECT id, speaker_id FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY id DESC) AS n FROM prints) WHERE n <= 10")
+def retention(spark, sf_dir):
+    return registry.retain(_prints(spark, sf_dir), 10).select("id", "speaker_id")
+
+
+@query(f"""WITH {PRINTS}, d AS (SELECT speaker_id, max_by(dim, id) AS dim FROM prints GROUP BY 1)
+SELECT p.speaker_id, s.name, p.id AS voiceprint_id, p.dim FROM prints p JOIN d USING (speaker_id, dim) JOIN speakers s ON s.id = p.speaker_id""")
+def load_profiles(spark, sf_dir):
+    return registry.profiles(_speakers(spark, sf_dir), _prints(spark, sf_dir)).drop("embedding")
+
+
+@query(f"""WITH {PRINTS}, w AS (SELECT DISTINCT trim('person ' || (n_nationkey % 14)) AS name FROM nation),
+f AS (SELECT name FROM w WHERE name NOT IN (SELECT lower(name) FROM speakers)), t AS (SELECT max(id) AS top FROM speakers)
+SELECT id, name FROM speakers UNION ALL SELECT top + row_number() OVER (ORDER BY name), name FROM f, t""")
+def upsert_speakers(spark, sf_dir):
+    wanted = table(spark, sf_dir, "nation").select(F.concat(F.lit(" person "), (F.col("n_nationkey") % 14).cast("string")).alias("name"))
+    return registry.upsert_speakers(_speakers(spark, sf_dir), wanted, F.lit("2024-01-02")).select("id", "name")
+
+
+@query(f"""WITH {PRINTS}, n AS (SELECT id + 100000 AS id, 5 AS speaker_id, source FROM prints WHERE id < 12),
+u AS (SELECT id, speaker_id, source FROM prints WHERE source NOT IN (SELECT source FROM n) UNION ALL SELECT * FROM n)
+SELECT id, speaker_id, source FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY id DESC) AS k FROM u) WHERE k <= 10""")
+def enroll(spark, sf_dir):
+    p = _prints(spark, sf_dir)
+    new = p.filter("id < 12").withColumns({"id": F.col("id") + 100000, "speaker_id": F.lit(5).cast("long")})
+    return registry.enroll(p, new, 10).select("id", "speaker_id", "source")
+
+
+@query(f"WITH {PRINTS} SELECT id, speaker_id FROM prints WHERE speaker_id NOT IN (SELECT id FROM speakers WHERE id % 4 = 0)")
+def delete_speakers(spark, sf_dir):
+    s = _speakers(spark, sf_dir)
+    return registry.delete_speakers(s, _prints(spark, sf_dir), s.filter("id % 4 = 0").select("id"))[1].select("id", "speaker_id")
+
+
+@query(f"""WITH {PRINTS}, w AS (SELECT id, 'PERSON ' || ((id + 1) % 10) AS name FROM speakers WHERE id % 2 = 0)
+SELECT DISTINCT w.id, w.name FROM w JOIN speakers s ON lower(s.name) = lower(w.name) AND s.id <> w.id""")
+def rename_clashes(spark, sf_dir):
+    s = _speakers(spark, sf_dir)
+    wishes = s.filter("id % 2 = 0").select("id", F.concat(F.lit("PERSON "), ((F.col("id") + 1) % 10).cast("string")).alias("name"))
+    return registry.rename_clash(s, wishes)
+
+
+@query(f"""WITH {PRINTS}, r AS (SELECT conv_id AS rec_id, role AS label, conv_id % 12 AS speaker_id, 'Person ' || (conv_id % 5) AS display FROM conversations GROUP BY 1, 2)
+SELECT rec_id, label, speaker_id, coalesce(s.name, display) AS display, s.name IS NOT NULL AND s.name <> display AS changed FROM r LEFT JOIN speakers s ON s.id = r.speaker_id""")
+def propagate_names(spark, sf_dir):
+    r = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("rec_id"), F.col("role").alias("label"), (F.col("conv_id") % 12).alias("speaker_id"), F.concat(F.lit("Person "), (F.col("conv_id") % 5).cast("string")).alias("display")
+    )
+    return registry.propagate_names(r.distinct(), _speakers(spark, sf_dir))
+
+
+def _job_log(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("queued", "running", "done", "error")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), status.alias("status"), F.col("event_type").alias("name"), F.lit(None).cast("string").alias("error"))
+
+
+JOBS = "jobs AS (SELECT user_id AS id, max_by(CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'error' END, event_id) AS status, max_by(event_type, event_id) AS name FROM events GROUP BY 1)"
+
+
+@query(f"WITH {JOBS} SELECT id, status, name FROM jobs")
+def latest_jobs(spark, sf_dir):
+    return registry.latest_jobs(_job_log(spark, sf_dir)).select("id", "status", "name")
+
+
+@query(f"WITH {JOBS} SELECT id, CASE WHEN status IN ('queued', 'running') THEN 'error' ELSE status END AS status, CASE WHEN status IN ('queued', 'running') THEN 'stopped' END AS error FROM jobs")
+def reset_stale(spark, sf_dir):
+    return registry.reset_stale(registry.latest_jobs(_job_log(spark, sf_dir)), "stopped").select("id", "status", "error")
+
+
+@query(f"WITH {JOBS} SELECT DISTINCT event_type AS name FROM events WHERE event_type IN (SELECT name FROM jobs WHERE status IN ('queued', 'running') AND id % 3 = 0)")
+def names_taken(spark, sf_dir):
+    jobs = registry.latest_jobs(_job_log(spark, sf_dir)).filter("id % 3 = 0")
+    return registry.name_taken(table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct(), jobs)
+
+
+@query("""
+WITH s AS (SELECT n_name AS key, 'old' AS value FROM nation), c AS (SELECT r_name AS key, 'new' AS value FROM region UNION ALL SELECT n_name, n_name FROM nation WHERE n_nationkey % 3 = 0)
+SELECT coalesce(s.key, c.key) AS key, coalesce(c.value, s.value) AS value FROM s FULL JOIN c ON s.key = c.key""")
+def upsert_settings(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    changes = table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), F.lit("new").alias("value"))
+    changes = changes.union(n.filter("n_nationkey % 3 = 0").select("n_name", "n_name"))
+    return registry.upsert_settings(n.select(F.col("n_name").alias("key"), F.lit("old").alias("value")), changes)
