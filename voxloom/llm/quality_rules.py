@@ -78,7 +78,8 @@ def ratio_model(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     Counts cover all documents; one is added to each cell of both multinomials.
     """
-    good = trusted.select("doc_id").distinct().withColumn("good", F.lit(1))
+    # The trusted ids grow with the corpus: they meet the texts in a shuffle at every size, never by broadcast.
+    good = trusted.select("doc_id").distinct().withColumn("good", F.lit(1)).hint("merge")
     marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("good", words(F.col("text")).alias("words"))
     counts = (
         exploded_cells(marked)
