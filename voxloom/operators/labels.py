@@ -52,7 +52,8 @@ def window_starts(totals: DataFrame, window: int, most: int, rec: str = "rec_id"
     span = F.col("total") - window
     n = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(span / window) + 1)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.when(F.col("total") <= window, 0).otherwise(n - 1)))
-    ratio = F.lit(0.05) + F.when(n > 1, F.lit(0.9) * F.col("idx") / (n - 1)).otherwise(0.0)
+    step = F.when(n > 1, F.lit(0.95 - 0.05) / (n - 1)).otherwise(0.0)
+    ratio = F.when((n > 1) & (F.col("idx") == n - 1), F.lit(0.95)).otherwise(F.lit(0.05) + F.col("idx") * step)
     return totals.select(rec, "total", spread.alias("idx")).select(rec, "idx", F.when(F.col("total") <= window, F.lit(0)).otherwise(F.floor(span * ratio)).alias("start"))
 
 
