@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,18 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which ids may be in the filter."""
     slot = np.mod(ids, FILTER_BITS)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most so many rows and about so many bytes of text, one row at least.
+
+    Arrays that are worked out for a part then have a bounded size, however long the texts of a batch are.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(total, total[at] + size, side="right")) - 1
+        to = min(max(to, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to

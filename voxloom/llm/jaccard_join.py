@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_filter, passes, written
+from .common import documents, id_filter, passes, slices, written
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -56,8 +56,7 @@ def described(docs: DataFrame) -> DataFrame:
             return token[first], np.add.reduceat(seen, first)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 text, hashed = shingle_sets(part.column("text").to_pylist())
                 size, start = lengths(text, part.num_rows)
                 name = set_names(hashed, size, start)
@@ -95,8 +94,7 @@ def postings(docs: DataFrame, hot: np.ndarray, nodes: np.ndarray) -> DataFrame:
         often, keep = sent.value
         for batch in batches:
             batch = batch.filter(pa.array(passes(keep, batch.column("key").to_numpy())))
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 text, hashed = shingle_sets(part.column("text").to_pylist())
                 size, start = lengths(text, part.num_rows)
                 name = set_names(hashed, size, start)
@@ -157,8 +155,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(passes(sent.value, batch.column("key").to_numpy())))
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 text, hashed = shingle_sets(part.column("text").to_pylist())
                 size, start = lengths(text, part.num_rows)
                 name = set_names(hashed, size, start)

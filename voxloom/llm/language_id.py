@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 
 #: Hashed features of n-grams of 1 to 3 characters; the model is this large for any corpus.
 DIMENSIONS = 1 << 15
@@ -66,8 +66,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches):
         seen, rows = np.zeros(DIMENSIONS, dtype=np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                texts = [t or "" for t in batch.column("text").slice(at, ROWS).to_pylist()]
+            for part in slices(batch, ROWS):
+                texts = [t or "" for t in part.column("text").to_pylist()]
                 seen += np.bincount(features(texts)[1], minlength=DIMENSIONS)
                 rows += len(texts)
         at = np.append(np.flatnonzero(seen), -1)
@@ -91,8 +91,7 @@ def sample_features(docs: DataFrame, size: int) -> list[tuple]:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 row, feature, count = features([t or "" for t in part.column("text").to_pylist()])
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
                 pairs = list(zip(cuts, cuts[1:]))
@@ -180,8 +179,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 languages, score = judged(sent.value, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(languages, pa.string()), pa.array(score)],
@@ -197,8 +195,7 @@ def recognised(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 languages, score = judged(sent.value, part.column("text").to_pylist())
                 yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(languages, score)], pa.bool_()))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import documents, written
+from .common import documents, slices, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -80,8 +80,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches):
         encoder = word_encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 rows = []
                 packed = encoder.encode([t or "" for t in part.column("text").to_pylist()])
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), packed):

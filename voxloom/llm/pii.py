@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import documents, slices
 
 ROWS = 256
 ROUNDS = 8
@@ -195,8 +195,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     def run(batches):
         names = pseudonyms(key)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 found = [replaced(t or "", names) for t in part.column("text").to_pylist()]
                 kinds = [[k for k, _, _ in spans] for _, spans in found]
                 valid = part.column("text").is_valid().to_pylist()

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 
 # The base patterns.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -97,8 +97,7 @@ def scan(docs: DataFrame, vocabulary: str, mask: bool = False) -> DataFrame:
     def run(batches):
         enc = encoding(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 rows = []
                 for text in part.column("text").to_pylist():
                     base = base_spans(text or "")
@@ -124,8 +123,7 @@ def mask_secrets(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         enc = encoding(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 texts = []
                 for text in part.column("text").to_pylist():
                     base = base_spans(text or "")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import documents, slices
 
 MARK = "▁"
 #: Stretches that a worker remembers before it starts afresh (some 120 MB).
@@ -200,8 +200,7 @@ def encode_decode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFr
         codec = agenda(model)
         ends = [np.array([i], dtype="<u4").tobytes() for i in (codec.begin, codec.end)]
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 packed = [ends[0] + x + ends[1] for x in codec.encode([t or "" for t in part.column("text").to_pylist()])]
                 ids = [np.frombuffer(x, dtype="<u4").tolist() for x in packed]
                 decoded = [codec.library.decode(x) for x in ids]

@@ -3,7 +3,7 @@
 Any SPAN-byte string holds an anchor: the place of the smallest K-byte hash among its K-byte strings. Equal strings
 have equal anchors, so only anchors whose K bytes occur twice can lie in a repeated string. Anchors whose whole
 neighbourhood (all SPAN-byte strings around them) occurs twice are settled by that; of the others the neighbourhoods
-go, by anchor, to shards that hold suffix arrays. There each new batch gets a suffix array, is scanned together with
+go, by anchor, to shards that hold suffix arrays. There each new batch gets a suffix array, is merge-scanned against
 the existing levels for strings of SPAN common bytes, and levels of like size merge.
 """
 
@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_filter, passes, written
+from .common import documents, id_filter, passes, slices, written
 
 SPAN, K = 200, 32
 LEFT = SPAN - K  # bytes before an anchor that a string around it can start
 ROWS = 256
 #: Bytes of neighbourhoods that get a suffix array of their own, and bytes a shard is meant for.
-BATCH_BYTES, SHARD_BYTES = 6 << 20, 24 << 20
+BATCH_BYTES, SHARD_BYTES = 1 << 20, 8 << 20
 #: Anchors with more open neighbourhoods than this are compared by windows over all tasks, not in one shard.
 SHARED_BY = 50_000
 BASE = 0x9E3779B97F4A7C15
@@ -95,8 +95,7 @@ def found_anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, ROWS):
                 texts = utf8(part.column("text").to_pylist())
                 keys, n = part.column("key").to_numpy(), part.num_rows
                 head = [part.column("key"), part.column("doc_id").cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
@@ -122,89 +121,80 @@ def in_filter(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
 
 
 class Level:
-    """Neighbourhoods in one buffer with the array of their string starts in suffix order."""
+    """A suffix array: the string starts of some neighbourhoods, sorted by the names of their SPAN-byte strings.
 
-    def __init__(self, texts: list[np.ndarray], items: np.ndarray, lefts: np.ndarray):
-        self.flat = texts
-        self.items = items  # the item of each text
-        self.lefts = lefts  # where in each text its anchor is
-        self.size = sum(map(len, texts))
+    The order is that of 64-bit names, not of letters: equal strings stand together either way. keys are the sorted
+    names, items and places the neighbourhood and the start of each.
+    """
+
+    def __init__(self, keys: np.ndarray, items: np.ndarray, places: np.ndarray):
+        self.keys, self.items, self.places = keys, items, places
+
+    @classmethod
+    def of(cls, texts: list[bytes], items: np.ndarray, lefts: np.ndarray) -> Level:
+        """The suffix array of a batch.
+
+        Neighbourhoods of one text overlap, so a string's name holds how far its anchor is from its start: the same
+        string of a text never meets itself through two anchors, and any two equal strings still meet.
+        """
+        sizes = np.array([len(t) for t in texts])
+        flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        n = len(flat)
+        power, inverse = powers(n + 1)
+        total = np.concatenate([np.zeros(1, dtype=U), np.cumsum((flat.astype(U) + U(1)) * power[:n], dtype=U)])
+        number = np.maximum(sizes - SPAN + 1, 0)
+        owner = np.repeat(np.arange(len(texts)), number)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+        at = np.repeat(np.cumsum(sizes) - sizes, number) + place
+        name = mix((total[at + SPAN] - total[at]) * inverse[at])
+        keys = mix(name ^ (lefts[owner] - place).astype(U) * U(BASE))
+        order = np.argsort(keys, kind="stable")
+        return cls(keys[order], items[owner][order], place[order].astype(np.int16))
+
+    def merged(self, other: Level) -> Level:
+        """Both arrays as one, by a merge of sorted runs."""
+        keys = np.concatenate([self.keys, other.keys])
+        order = np.argsort(keys, kind="stable")
+        return Level(keys[order], np.concatenate([self.items, other.items])[order], np.concatenate([self.places, other.places])[order])
 
 
 class SuffixLevels:
     """Suffix arrays of sizes that grow geometrically, and the repeated strings found so far.
 
-    first[i] and last[i]: the smallest and the largest start of a repeated SPAN-byte string in item i.
+    first[i] and last[i]: the smallest and the largest start of a repeated SPAN-byte string in item i; -1: none.
     """
 
     def __init__(self):
         self.levels: list[Level] = []
-        self.first: dict[int, int] = {}
-        self.last: dict[int, int] = {}
-
-    def add(self, texts: list[np.ndarray], items: np.ndarray, lefts: np.ndarray) -> None:
-        """Sort a batch, scan it with every level, and merge it with the levels that are no larger."""
-        carry = Level(texts, items, lefts)
-        self.scan(carry)
-        for level in sorted(self.levels, key=lambda x: x.size):
-            both = Level(
-                carry.flat + level.flat,
-                np.concatenate([carry.items, level.items]),
-                np.concatenate([carry.lefts, level.lefts]),
-            )
-            self.scan(both)
-            if level.size <= carry.size:
+        self.first = np.zeros(0, dtype=np.int64)
+        self.last = np.zeros(0, dtype=np.int64)
+
+    def add(self, texts: list[bytes], lefts: np.ndarray) -> None:
+        """Sort a batch, scan it against every level, and merge it with the levels that are no larger."""
+        known = len(self.first)
+        self.first = np.append(self.first, np.full(len(texts), SPAN * 8))
+        self.last = np.append(self.last, np.full(len(texts), -1))
+        carry = Level.of(texts, np.arange(known, known + len(texts)), lefts)
+        same = np.append(carry.keys[1:] == carry.keys[:-1], False)
+        self.note(carry, same | np.append(False, same[:-1]))
+        for level in self.levels:
+            self.scan(carry, level)
+        for level in sorted(self.levels, key=lambda x: len(x.keys)):
+            if len(level.keys) <= len(carry.keys):
                 self.levels.remove(level)
-                carry = both
+                carry = carry.merged(level)
         self.levels.append(carry)
 
-    def scan(self, level: Level) -> None:
-        """Sort the strings of a level by their first SPAN bytes and note neighbours that agree in all of them.
+    def scan(self, a: Level, b: Level) -> None:
+        """Walk two sorted arrays together and note the strings that both hold."""
+        for one, two in ((a, b), (b, a)):
+            if len(one.keys) and len(two.keys):
+                at = np.minimum(np.searchsorted(two.keys, one.keys), len(two.keys) - 1)
+                self.note(one, two.keys[at] == one.keys)
 
-        Neighbourhoods of one text overlap, so equal strings count only with their anchors at the same place in
-        them: the same string of a text then never meets itself, and any two equal strings still meet.
-        """
-        sizes = np.array([len(t) for t in level.flat])
-        flat = np.concatenate(level.flat)
-        rank = suffix_ranks(flat)
-        offset = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        start = np.flatnonzero(offset[: len(rank)] + SPAN <= np.repeat(sizes, sizes)[: len(rank)])
-        place = np.repeat(level.lefts, sizes)[start] - offset[start]
-        named = rank[start] << U(16) | place.astype(U)
-        by = np.argsort(named, kind="stable")
-        order, sorted_rank = start[by], named[by]
-        same = np.append(sorted_rank[1:] == sorted_rank[:-1], False)
-        repeated = order[same | np.append(False, same[:-1])]
-        if not len(repeated):
-            return
-        text = np.repeat(np.arange(len(sizes)), sizes)[repeated]
-        place = offset[repeated]
-        by = np.lexsort((place, text))
-        text, place = text[by], place[by]
-        edge = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-        for i, low, high in zip(level.items[text[edge]].tolist(), place[edge].tolist(), place[np.append(edge[1:], len(text)) - 1].tolist()):
-            self.first[i] = min(low, self.first.get(i, low))
-            self.last[i] = max(high, self.last.get(i, high))
-
-
-def suffix_ranks(flat: np.ndarray) -> np.ndarray:
-    """Lexicographic ranks of all places by their first SPAN bytes, by prefix doubling from 8 bytes."""
-
-    def dense(x: np.ndarray) -> np.ndarray:
-        return np.unique(x, return_inverse=True)[1].astype(U)
-
-    n = len(flat)
-    if n < SPAN:
-        return np.zeros(0, dtype=U)
-    rank = np.zeros(n - 7, dtype=U)
-    for i in range(8):
-        rank = rank << U(8) | flat[i : n - 7 + i]
-    rank, width = dense(rank), 8
-    while width < SPAN:
-        step = min(width, SPAN - width)
-        rank = dense(rank[: len(rank) - step] << U(32) | rank[step:])
-        width += step
-    return rank
+    def note(self, level: Level, hit: np.ndarray) -> None:
+        np.minimum.at(self.first, level.items[hit], level.places[hit])
+        np.maximum.at(self.last, level.items[hit], level.places[hit])
 
 
 def resolve(open_items: DataFrame, shards: int) -> DataFrame:
@@ -212,24 +202,25 @@ def resolve(open_items: DataFrame, shards: int) -> DataFrame:
     names = ["key", "pos", "low", "high"]
 
     def run(batches):
-        index, items, texts, total, count = SuffixLevels(), [], [], 0, 0
+        index, items, texts, total = SuffixLevels(), [], [], 0
 
         def flush():
             nonlocal texts, total
             if texts:
-                index.add(texts, np.arange(count - len(texts), count), np.array([min(i[1], LEFT) for i in items[count - len(texts) : count]]))
+                index.add(texts, np.array([min(pos, LEFT) for _, pos, _ in items[len(items) - len(texts) :]]))
             texts, total = [], 0
 
         for batch in batches:
             for key, pos, wanted, around in zip(*(batch.column(c).to_pylist() for c in ("key", "pos", "open", "bytes"))):
                 items.append((key, pos, wanted))
-                texts.append(np.frombuffer(around, dtype=np.uint8))
-                total, count = total + len(around), count + 1
+                texts.append(around)
+                total += len(around)
                 if total >= BATCH_BYTES:
                     flush()
         flush()
-        rows = [(*items[i][:2], low, index.last[i] + SPAN) for i, low in index.first.items() if items[i][2]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=names)
+        rows = [(*items[i][:2], index.first[i], index.last[i] + SPAN) for i in np.flatnonzero(index.last >= 0) if items[i][2]]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=names)
 
     return open_items.repartition(shards, "gram").select("key", "pos", "open", "bytes").mapInArrow(run, "key long, pos int, low int, high int")
 
@@ -252,7 +243,7 @@ def neighbourhoods(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = in_filter(docs.select("key", "text"), "key", id_filter(listed, "key")).dropDuplicates(["key"])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ROWS)):
             rows = []
             for key, text, places in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places"))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -279,7 +270,7 @@ def cut_out(docs: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
     names = ["key", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * keep_text
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ROWS)):
             rows = []
             for key, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "spans"))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -318,13 +309,12 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     settled = near.join(told.filter("n > 1").select("gram", "around"), ["gram", "around"], "left_semi")
     wanted = told.filter("open > 0 AND kinds > 1").select("one.key", "one.pos", "gram", (F.col("n") == 1).alias("open"), "kinds")
     crowded = wanted.filter(F.col("kinds") > SHARED_BY).select("gram").distinct()
-    items = written(neighbourhoods(docs, wanted.drop("kinds")))
+    asked = wanted.drop("kinds")
     many = crowded.limit(1).count() > 0
-    bytes_in, = items.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()
-    some = items.join(crowded, "gram", "left_anti") if many else items
-    solved = resolve(some, int(bytes_in // SHARD_BYTES) + 1)
+    some = asked.join(crowded, "gram", "left_anti") if many else asked
+    solved = resolve(neighbourhoods(docs, some), some.count() * (LEFT + SPAN) // SHARD_BYTES + 1)
     if many:
-        solved = solved.unionByName(resolve_by_windows(items.join(crowded, "gram", "left_semi")))
+        solved = solved.unionByName(resolve_by_windows(neighbourhoods(docs, asked.join(crowded, "gram", "left_semi"))))
     start = F.greatest(F.lit(0), F.col("pos") - LEFT)
     spans = settled.select("key", start.alias("low"), (F.col("pos") + SPAN).alias("high")).unionByName(
         solved.select("key", (start + F.col("low")).alias("low"), (start + F.col("high")).alias("high"))
