@@ -107,11 +107,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     where, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
     opened = 0
     for i, s in enumerate(lengths.tolist()):
-        # Taking a bin from gap g and giving one to gap g - s changes the sum by 2 * (count[g - s] - count[g] + 1).
-        left = count[: capacity - s + 1].copy()
-        left[0] = -1  # full bins are not open: there the change is 1 - 2 * count[g], as if 2 * (-1 - count[g] + 1.5)
-        change = 2 * (left - count[s:] + 1)
-        change[0] -= 1 - 2 * 1 + 2
+        # Taking a bin from gap g and giving one to gap g - s changes the sum by 2 * (count[g - s] - count[g] + 1),
+        # or by 1 - 2 * count[g] where that fills it, as full bins are not open.
+        change = 2 * (count[: capacity - s + 1] - count[s:] + 1)
+        change[0] = 1 - 2 * count[s]
         change[count[s:] == 0] = 1 << 40
         new = 2 * count[capacity - s] + 1 if s < capacity else 0
         best = int(change.argmin())
