@@ -353,3 +353,13 @@ def test_quality_ratio_against_loops(spark):
     ratio = lambda g: np.log((good[g] + 1) / (sum(good.values()) + n)) - np.log((raw[g] + 1) / (sum(raw.values()) + n))
     for i, x in grams.items():
         assert got[i] == pytest.approx(np.mean([ratio(g) for g in x]), abs=1e-5)
+
+
+def test_names_of_two_chunks_are_no_identifiers(docs, rows, monkeypatch):
+    """With names that collide all the time the digests decide."""
+    want = sorted((tuple(r) for r in exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size").collect()), key=repr)
+    real = exact_dedup.recipes
+    clash = lambda d: real(d).withColumn("recipe", F.transform("recipe", lambda c: F.struct(F.lit(7).cast("long").alias("name"), c["digest"].alias("digest"))))
+    monkeypatch.setattr(exact_dedup, "recipes", clash)
+    got = sorted((tuple(r) for r in exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size").collect()), key=repr)
+    assert got == want

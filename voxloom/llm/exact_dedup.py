@@ -51,19 +51,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     prepared = written(recipes(docs))
     named = prepared.select(F.explode("recipe").alias("c")).select("c.name", "c.digest").distinct()
     unsafe = named.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
-    doubtful = (
-        prepared.select("text_sha256", F.explode("recipe.name").alias("name"))
-        .join(unsafe, "name", "left_semi")
-        .select("text_sha256")
-        .distinct()
-        .withColumn("doubtful", F.lit(True))
-    )
-    listed = prepared.join(doubtful, "text_sha256", "left").select(
-        "doc_id",
-        "text_sha256",
-        F.col("recipe.name").alias("names"),
-        F.when(F.col("doubtful"), F.col("recipe.digest")).alias("digests"),
-    )
+    listed = prepared.select("doc_id", "text_sha256", F.col("recipe.name").alias("names"), F.col("recipe.digest").alias("digests"))
+    if unsafe.limit(1).count():
+        users = listed.select("text_sha256", F.explode("names").alias("name")).join(unsafe, "name", "left_semi")
+        doubtful = users.select("text_sha256").distinct().withColumn("doubtful", F.lit(True))
+        listed = listed.join(doubtful, "text_sha256", "left").withColumn("digests", F.when(F.col("doubtful"), F.col("digests")))
+    else:
+        listed = listed.withColumn("digests", F.lit(None).cast("array<binary>"))
     listed = listed.withColumn("recipe_key", F.xxhash64("names", "digests"))
     groups = listed.groupBy("recipe_key", "names", "digests").agg(
         F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")
