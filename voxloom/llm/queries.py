@@ -21,4 +21,8 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op2_suffix_dedup": suffix_dedup.OP2_SQL,
+        "op3_jaccard_join": jaccard_join.OP3_SQL,
+    }

@@ -334,3 +334,18 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
 def op2_suffix_dedup(spark, sf_dir):
     return remove_repeats(documents(spark, sf_dir))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(x[i + 1 : i + 200]) AS k FROM (SELECT doc_id, x, unnest(range(0, octet_length(x) - 199)) AS i FROM d)),
+dup AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+f AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM w SEMI JOIN dup USING (k)),
+g AS (SELECT doc_id, i, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY doc_id, run),
+c AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM r),
+k AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans, string_agg(hex(x[before + 1 : lo]), '' ORDER BY lo) AS kept, max(hi) AS last FROM c JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, octet_length(x) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(CASE WHEN removed IS NULL THEN x ELSE unhex(kept || hex(x[last + 1 :])) END) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
