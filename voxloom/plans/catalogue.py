@@ -598,3 +598,75 @@ def upsert_settings(spark, sf_dir):
     changes = table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), F.lit("new").alias("value"))
     changes = changes.union(n.filter("n_nationkey % 3 = 0").select("n_name", "n_name"))
     return registry.upsert_settings(n.select(F.col("n_name").alias("key"), F.lit("old").alias("value")), changes)
+
+
+# Smaller operators
+
+
+@query(f"""
+WITH {REGIONS}, p AS (SELECT user_id AS rec_id, event_id AS turn_idx, event_type AS speaker, event_id * 7919 % 200000 AS lo, event_id * 7919 % 200000 + event_id % 3 * 9000 AS hi FROM events),
+k AS (SELECT rec_id, sum(e - s) AS kept FROM regions GROUP BY 1),
+c AS (SELECT rec_id, turn_idx, speaker, least(lo, kept) AS lo, least(hi, kept) AS hi FROM p JOIN k USING (rec_id))
+SELECT c.rec_id, turn_idx, CAST(s - off + greatest(lo, off) AS BIGINT) AS "start", CAST(s - off + least(hi, off + e - s) AS BIGINT) AS "end", speaker
+FROM c JOIN placed r ON c.rec_id = r.rec_id AND off < hi AND off + e - s > lo WHERE lo < hi""")
+def restore_turns(spark, sf_dir):
+    lo = F.col("event_id") * 7919 % 200000
+    turns = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("rec_id"), F.col("event_id").alias("turn_idx"), lo.alias("start"), (lo + F.col("event_id") % 3 * 9000).alias("end"), F.col("event_type").alias("speaker")
+    )
+    return timeline.restore_turns(turns, timeline.offsets(_regions(spark, sf_dir)), 4 * HOUR)
+
+
+@query(f"""
+WITH v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings WHERE vec_id % 10 <> 0),
+kept AS (SELECT vec_id, label, embedding FROM v WHERE n <= 10),
+single AS (SELECT a.vec_id, b.label, max({DOT}) AS best FROM embeddings a, kept b WHERE a.vec_id % 10 = 0 GROUP BY 1, 2),
+u AS (SELECT label, unnest(range(1, 65)) AS pos, unnest([x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) FOR x IN CAST(embedding AS DOUBLE[])]) AS x FROM kept),
+m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY 1, 2), mid AS (SELECT label, list(x ORDER BY pos) AS embedding FROM m GROUP BY 1),
+whole AS (SELECT a.vec_id, b.label, {DOT} AS score FROM embeddings a, mid b WHERE a.vec_id % 10 = 0)
+SELECT s.vec_id, s.label AS speaker_id, round(greatest(best, score), 6) AS similarity FROM single s JOIN whole w ON s.vec_id = w.vec_id AND s.label = w.label""")
+def similarities(spark, sf_dir):
+    v = inputs.voices(spark, sf_dir)
+    kept = registry.retain(v.filter("vec_id % 10 <> 0").withColumnRenamed("vec_id", "id"), 10)
+    found = voices.similarities(v.filter("vec_id % 10 = 0"), kept, ["vec_id"], "speaker_id")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""
+WITH p AS (SELECT vec_id // 20 AS rec_id, vec_id % 20 AS label, vec_id % 7 AS speech, vec_id FROM embeddings WHERE vec_id % 11 <> 0)
+SELECT rec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY speech DESC, label) AS n FROM p) WHERE n = 1""")
+def single_speaker(spark, sf_dir):
+    v = inputs.voices(spark, sf_dir)
+    rows = v.select(F.floor(F.col("vec_id") / 20).alias("rec_id"), (F.col("vec_id") % 20).alias("label"), (F.col("vec_id") % 7).alias("speech_sec"), F.when(F.col("vec_id") % 11 != 0, F.col("embedding")).alias("embedding"))
+    return voices.single_speaker(rows)
+
+
+@query("""
+WITH d AS (SELECT doc_id AS rec_id, n_chars AS total FROM documents),
+n AS (SELECT *, CASE WHEN total <= 300 THEN 1 ELSE least(5, greatest(1, (total - 300) // 300 + 1)) END AS n FROM d),
+i AS (SELECT rec_id, total, n, unnest(range(0, n)) AS idx FROM n)
+SELECT rec_id, CAST(idx AS INTEGER) AS idx, CAST(CASE WHEN total <= 300 THEN 0 WHEN n > 1 AND idx = n - 1 THEN floor((total - 300) * CAST(0.95 AS DOUBLE))
+  ELSE floor((total - 300) * (CAST(0.05 AS DOUBLE) + idx * CASE WHEN n > 1 THEN CAST(0.8999999999999999 AS DOUBLE) / (n - 1) ELSE 0 END)) END AS BIGINT) AS "start" FROM i""")
+def window_starts(spark, sf_dir):
+    totals = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), F.col("n_chars").alias("total"))
+    return labels.window_starts(totals, 300, 5).withColumn("start", F.col("start").cast("long"))
+
+
+@query("""SELECT event_id, CASE lower(event_type) WHEN 'click' THEN '' WHEN 'view' THEN 'highpass=f=80,lowpass=f=7500,speechnorm=e=3' ELSE event_type END AS chain FROM events""")
+def filter_chains(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    wish = F.when(F.col("event_type") == "click", "OFF").when(F.col("event_type") == "view", " Voice ").otherwise(F.col("event_type"))
+    return e.select("event_id", names.filter_chain(wish).alias("chain"))
+
+
+@query(f"WITH {JOBS} SELECT id, status FROM jobs ORDER BY id DESC LIMIT 30")
+def recent_jobs(spark, sf_dir):
+    """The list that shows the 30 latest jobs."""
+    return registry.latest_jobs(_job_log(spark, sf_dir)).select("id", "status").orderBy(F.desc("id")).limit(30)
+
+
+@query("""SELECT page_id, lower(regexp_extract(url || CASE page_id % 3 WHEN 0 THEN '.MP3' WHEN 1 THEN '.wav' ELSE '.exe' END, '\\.([^./]+)$', 1)) IN ('mp3', 'wav') AND page_id % 2 = 0 AS allowed FROM pages""")
+def uploads_allowed(spark, sf_dir):
+    suffix = F.element_at(F.array(F.lit(".MP3"), F.lit(".wav"), F.lit(".exe")), (F.col("page_id") % 3 + 1).cast("int"))
+    size = F.when(F.col("page_id") % 2 == 0, 10).otherwise(0)
+    return table(spark, sf_dir, "pages").select("page_id", names.allowed_upload(F.concat("url", suffix), size).alias("allowed"))
