@@ -249,7 +249,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     posted = written(postings(docs, hot, id_filter(nodes, "key")))
     signatures = posted.filter("token IS NULL").select("name", "n", "bits").dropDuplicates(["name"])
     entries = posted.filter("token IS NOT NULL").select("token", "name", "n", "pos")
-    shared = entries.groupBy("token").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x <> y").select("token")
+    shared = written(entries.groupBy("token").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x <> y").select("token"))
     bits = entries.sparkSession.sparkContext.broadcast(id_filter(shared, "token"))
 
     def may_share(batches):
