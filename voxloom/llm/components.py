@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-links and repeated links change nothing; nodes without a link are not listed.
     """
-    now = written(edges.select("a", "b").filter("a <> b").distinct())
+    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

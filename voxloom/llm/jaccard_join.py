@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, id_filter, passes, slices, written
@@ -23,7 +23,7 @@ PERCENT = 75
 #: Shingles with at least 1 / HOT of all are ordered by frequency, after the others: at most HOT of them.
 HOT = 1 << 20
 ROWS = 256
-CENTRE_ROUNDS = 2
+CENTRE_ROUNDS = 3
 
 
 def lengths(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,14 +81,14 @@ def bit_places(hashed: np.ndarray, size: int) -> np.ndarray:
     """A bitmap with the parity of the elements at each place; its length is the power of two from size up, 64 at least."""
     width = max(64, 1 << int(size - 1).bit_length())
     odd = np.bincount((hashed & U(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8))
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def postings(docs: DataFrame, hot: np.ndarray, nodes: np.ndarray) -> DataFrame:
     """Rows (token, name, n, pos) of the prefixes, and (name, n, bits) for each node's signature."""
     sent = docs.sparkSession.sparkContext.broadcast((hot, nodes))
     names = ["token", "name", "n", "pos", "bits"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
 
     def run(batches):
         often, keep = sent.value
@@ -101,8 +101,8 @@ def postings(docs: DataFrame, hot: np.ndarray, nodes: np.ndarray) -> DataFrame:
                 some = np.flatnonzero(size)
                 if not len(some):
                     continue
-                bits = [bit_places(hashed[start[i] : start[i] + size[i]], int(size[i])).tobytes() for i in some]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(name[some]), pa.array(size[some].astype(np.int32)), pa.nulls(len(some), pa.int32()), pa.array(bits, pa.binary())], names=names)
+                bits = [bit_places(hashed[start[i] : start[i] + size[i]], int(size[i]))for i in some]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(name[some]), pa.array(size[some].astype(np.int32)), pa.nulls(len(some), pa.int32()), pa.array(bits, types[4])], names=names)
                 # The global order: others by hash, then the frequent ones by rising frequency (as they are in `often`).
                 rank = np.zeros(len(hashed), dtype=np.int64)
                 if len(often):
@@ -113,14 +113,9 @@ def postings(docs: DataFrame, hot: np.ndarray, nodes: np.ndarray) -> DataFrame:
                 prefix = size - -(-PERCENT * size // 100) + 1
                 inside = pos < prefix[text]
                 owner = text[inside]
-                yield pa.RecordBatch.from_arrays([pa.array(hashed[order][inside].astype(np.int64)), pa.array(name[owner]), pa.array(size[owner].astype(np.int32)), pa.array(pos[inside].astype(np.int32)), pa.nulls(len(owner), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[order][inside].astype(np.int64)), pa.array(name[owner]), pa.array(size[owner].astype(np.int32)), pa.array(pos[inside].astype(np.int32)), pa.nulls(len(owner), types[4])], names=names)
 
-    return docs.mapInArrow(run, pa_schema(names, types))
-
-
-def pa_schema(names, types) -> str:
-    sql = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
-    return ", ".join(f"{n} {sql[t]}" for n, t in zip(names, types))
+    return docs.mapInArrow(run, "token long, name long, n int, pos int, bits array<long>")
 
 
 def size_fits(a: str, b: str):
@@ -128,24 +123,30 @@ def size_fits(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def bits_fit(n_a: str, n_b: str, bits_a: str, bits_b: str) -> Column:
+    """Whether bitmaps leave open that two sets link: |A xor B| is at least the number of bits that differ.
+
+    Sets that can link differ by one doubling in bitmap length at most; the longer one then folds onto the shorter.
+    """
+
+    def folded(x):
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def differ(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, k: acc + k)
+
+    x, y = F.col(bits_a), F.col(bits_b)
+    apart = F.when(F.size(x) == F.size(y), differ(x, y)).when(F.size(x) > F.size(y), differ(folded(x), y)).otherwise(differ(x, folded(y)))
+    most = F.floor((F.col(n_a) + F.col(n_b) - apart) / 2)
+    return (100 + PERCENT) * most >= PERCENT * (F.col(n_a) + F.col(n_b))
+
+
 def survivors(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their bitmaps do not rule out: |A xor B| is at least the bits that differ."""
+    """The pairs (a, b) that their bitmaps do not rule out."""
     one = signatures.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = signatures.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for n_a, n_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))):
-                p, q = (np.unpackbits(np.frombuffer(z, dtype=np.uint8)) for z in (x, y))
-                width = min(len(p), len(q))
-                p, q = (np.bitwise_xor.reduce(z.reshape(-1, width), axis=0) for z in (p, q))
-                most = (n_a + n_b - int((p != q).sum())) // 2
-                keep.append(100 * most >= PERCENT * (n_a + n_b - most))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").filter(bits_fit("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -165,9 +166,9 @@ def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "name long, tokens array<long>").join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"])
 
 
-def compare(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, shared, linked) for the pairs that bitmaps leave, from whole sets."""
-    left = written(survivors(pairs, signatures))
+def compare(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, shared, linked) for pairs, from whole sets."""
+    left = written(pairs)
     names = left.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     sets = written(node_sets(docs, nodes.join(names, "name", "left_semi")))
     one = sets.select(F.col("name").alias("a"), F.col("tokens").alias("of_a"))
@@ -183,27 +184,35 @@ def with_components(lists: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def centre_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """In each list and block of sizes: one node of each component against the list's centre."""
+    """For each component one pair with the centre of a list and block of sizes that it is in."""
     pick = F.xxhash64("name", F.lit(turn))
     one = lists.groupBy("token", "block", "component").agg(F.min(F.struct(pick.alias("pick"), "name", "n")).alias("x"), F.count("*").alias("many"))
     centre = one.groupBy("token", "block").agg(F.max(F.struct("many", "x.pick", "x.name", "x.n", "component")).alias("c"))
     met = one.join(centre, ["token", "block"]).filter((F.col("component") != F.col("c.component")) & size_fits("x.n", "c.n"))
-    return met.select(F.least("x.name", "c.name").alias("a"), F.greatest("x.name", "c.name").alias("b")).distinct()
+    votes = met.groupBy("component", F.least("x.name", "c.name").alias("a"), F.greatest("x.name", "c.name").alias("b")).count()
+    # A component asks one centre a round, the one it meets in most lists: what is left is for the last round.
+    best = votes.groupBy("component").agg(F.max(F.struct("count", "a", "b")).alias("v"))
+    return best.select("v.a", "v.b").distinct()
 
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of a list that are in different components, unless block, size or position rules them out."""
+def cross_pairs(lists: DataFrame, signatures: DataFrame) -> DataFrame:
+    """All pairs of a list that are in different components, unless block, size, position or bitmaps rule them out."""
     mixed = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    some = lists.join(mixed, "token", "left_semi")
-    # Blocks hold sizes within a factor of 4/3, so a node meets its own block and the next one.
-    a = some.select("token", F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("block").alias("block_a"), F.col("component").alias("comp_a"))
-    b = some.select("token", "block", F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("comp_b"))
+    some = lists.join(mixed, "token", "left_semi").join(signatures.select("name", "bits"), "name")
+    columns = ["name", "n", "pos", "block", "component", "bits"]
+    a = some.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = some.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
     need = PERCENT * (F.col("n_a") + F.col("n_b"))
     most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    met = a.join(b, ["token", "block"]).filter(
-        (F.col("comp_a") != F.col("comp_b")) & ((F.col("block_a") < F.col("block")) | (F.col("a") < F.col("b"))) & size_fits("n_a", "n_b") & ((100 + PERCENT) * most >= need)
+    met = a.join(b, "token").filter(
+        (F.col("name_a") < F.col("name_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & (F.abs(F.col("block_a") - F.col("block_b")) <= 1)  # blocks hold sizes within a factor of 4/3
+        & size_fits("n_a", "n_b")
+        & ((100 + PERCENT) * most >= need)
+        & bits_fit("n_a", "n_b", "bits_a", "bits_b")
     )
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
 
 
 def not_ruled_out(pairs: DataFrame, tried: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -264,11 +273,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         pairs = centre_pairs(with_components(lists, found), turn)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        answers = compare(docs, pairs, signatures, nodes)
+        answers = compare(docs, survivors(pairs, signatures), nodes)
         tried = answers if tried is None else tried.unionByName(answers)
         found = written(components(tried.filter("linked")))
-    rest = not_ruled_out(cross_pairs(with_components(lists, found)), tried, signatures.select("name", "n"))
-    tried = tried.unionByName(compare(docs, rest, signatures, nodes))
+    rest = not_ruled_out(cross_pairs(with_components(lists, found), signatures), tried, signatures.select("name", "n"))
+    tried = tried.unionByName(compare(docs, rest, nodes))
     found = components(tried.filter("linked")).withColumnRenamed("node", "name")
     placed = rows.join(found, "name", "left").withColumn("component", F.coalesce("component", "name"))
     least = placed.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least_id"))
