@@ -286,17 +286,17 @@ def wave_levels(spark, sf_dir):
 
 
 DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
-TOP2 = f"""v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings WHERE vec_id % 10 <> 0),
-c AS (SELECT a.vec_id, b.label AS speaker_id, {DOT} AS score FROM embeddings a, v b WHERE a.vec_id % 10 = 0 AND b.n <= 10),
+TOP2 = f"""v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings),
+c AS (SELECT a.vec_id, b.label AS speaker_id, {DOT} AS score FROM embeddings a, v b WHERE b.n <= 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, speaker_id ORDER BY score DESC) AS k FROM c),
 top AS (SELECT vec_id, speaker_id, avg(score) AS score FROM r WHERE k <= 2 GROUP BY 1, 2)"""
 
 
 def _top2(spark, sf_dir):
-    """Every tenth vector speaks, the others are the registry, ten for each speaker."""
+    """Every vector against the registry, the ten newest of each speaker."""
     v = inputs.voices(spark, sf_dir)
-    prints = registry.retain(v.filter("vec_id % 10 <> 0").withColumnRenamed("vec_id", "id"), 10)
-    return voices.top2_scores(v.filter("vec_id % 10 = 0"), prints, ["vec_id"], "speaker_id")
+    prints = registry.retain(v.withColumnRenamed("vec_id", "id"), 10)
+    return voices.top2_scores(v, prints, ["vec_id"], "speaker_id")
 
 
 @query(f"WITH {TOP2} SELECT vec_id, speaker_id, round(score, 6) AS score FROM top")
@@ -320,8 +320,8 @@ def match_decisions(spark, sf_dir):
 def hungarian_match(spark, sf_dir):
     """Recordings of up to three labels, matched one to one."""
     scores = _top2(spark, sf_dir).select(
-        F.floor(F.col("vec_id") / 30).alias("rec_id"), F.col("vec_id").alias("label"), F.col("speaker_id").alias("profile"),
-        F.when(F.col("vec_id") % 70 == 0, 1.0).otherwise(9.0).alias("speech_sec"), "score",
+        F.floor(F.col("vec_id") / 3).alias("rec_id"), F.col("vec_id").alias("label"), F.col("speaker_id").alias("profile"),
+        F.when(F.col("vec_id") % 7 == 0, 1.0).otherwise(9.0).alias("speech_sec"), "score",
     )
     return voices.match(scores, EngineConfig(match_threshold=0.25, match_margin=0.02)).withColumn("score", F.round("score", 6)).withColumn("runner_up", F.round("runner_up", 6))
 
@@ -366,15 +366,15 @@ def collapse(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-t AS (SELECT doc_id, line, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS w FROM l),
-m AS (SELECT doc_id, len(w) AS n, w FROM t WHERE len(w) >= 4),
-c AS (SELECT doc_id, n, list_max([len(list_filter(w, lambda y: y = x)) FOR x IN list_distinct(w)]) AS best FROM m WHERE n <= 400)
-SELECT doc_id, count(*) AS lines, count(*) FILTER (best / n >= 0.4) AS repeated, round(max(best / n), 6) AS most FROM c GROUP BY 1""")
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, unnest(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS w FROM l),
+c AS (SELECT doc_id, i, w, count(*) AS c FROM w GROUP BY 1, 2, 3),
+r AS (SELECT doc_id, i, sum(c) AS n, max(c) / sum(c) AS r FROM c GROUP BY 1, 2 HAVING sum(c) >= 4)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (r >= 0.4) AS repeated, round(max(r), 6) AS most FROM r GROUP BY 1""")
 def repetition(spark, sf_dir):
-    """Lines of 4 to 400 words (longer ones are no utterances)."""
+    """Lines of four words and more."""
     split = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    some = split.withColumn("n", F.size(textfilter.tokens(F.col("line")))).filter("n BETWEEN 4 AND 400")
+    some = split.filter(F.size(textfilter.tokens(F.col("line"))) >= 4)
     rated = some.select("doc_id", textfilter.repetition_ratio(F.col("line")).alias("r"))
     return rated.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("r") >= 0.4).alias("repeated"), F.round(F.max("r"), 6).alias("most"))
 
@@ -437,20 +437,20 @@ def timestamps(spark, sf_dir):
 
 
 @query(r"""
-WITH c AS (SELECT doc_id, trim(substring(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(substring(text, 1, 130), '[\\/:*?"<>|\x00-\x1F]', '_', 'g')), '^\.+|\.+$', '', 'g'), '\s+', ' ', 'g'), ' +', ' ', 'g'), 1, 100)) AS name FROM documents)
+WITH c AS (SELECT doc_id, trim(substring(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '[\\/:*?"<>|\x00-\x1F]', '_', 'g')), '^\.+|\.+$', '', 'g'), '\s+', ' ', 'g'), ' +', ' ', 'g'), 1, 100)) AS name FROM documents)
 SELECT doc_id, CASE WHEN name = '' OR upper(name) IN ('CON', 'PRN', 'AUX', 'NUL') THEN '2024-01-01' ELSE name END AS name FROM c""")
 def safe_names(spark, sf_dir):
-    """Names from the openings of documents, which hold line ends, quotes and dots."""
+    """Names from documents, which hold line ends, quotes and dots; a name has 100 characters at most."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", names.safe_name(F.substring("text", 1, 130), F.lit("2024-01-01")).alias("name"))
+    return d.select("doc_id", names.safe_name(F.col("text"), F.lit("2024-01-01")).alias("name"))
 
 
 @query("""
-SELECT event_id, 'Speaker ' || CASE WHEN event_id < 26 THEN '' ELSE chr(CAST(65 + ((event_id - 26) % 676) // 26 AS INTEGER)) END
-  || chr(CAST(65 + CASE WHEN event_id < 26 THEN event_id ELSE (event_id - 26) % 26 END AS INTEGER)) AS label FROM events WHERE event_id < 702""")
+SELECT event_id, 'Speaker ' || CASE WHEN i < 26 THEN '' ELSE chr(CAST(65 + (i - 26) // 26 AS INTEGER)) END
+  || chr(CAST(65 + CASE WHEN i < 26 THEN i ELSE (i - 26) % 26 END AS INTEGER)) AS label FROM (SELECT event_id, event_id % 702 AS i FROM events)""")
 def anonymous_labels(spark, sf_dir):
-    """The letters of the indexes that have two at most."""
-    return table(spark, sf_dir, "events").filter("event_id < 702").select("event_id", names.anonymous_label(F.col("event_id")).alias("label"))
+    """Labels of one and two letters."""
+    return table(spark, sf_dir, "events").select("event_id", names.anonymous_label(F.col("event_id") % 702).alias("label"))
 
 
 @query("""
@@ -584,9 +584,9 @@ def reset_stale(spark, sf_dir):
     return registry.reset_stale(registry.latest_jobs(_job_log(spark, sf_dir)), "stopped").select("id", "status", "error")
 
 
-@query(f"WITH {JOBS} SELECT DISTINCT event_type AS name FROM events WHERE event_type IN (SELECT name FROM jobs WHERE status IN ('queued', 'running') AND id % 3 = 0)")
+@query(f"WITH {JOBS} SELECT DISTINCT event_type AS name FROM events WHERE event_type IN (SELECT name FROM jobs WHERE status IN ('queued', 'running'))")
 def names_taken(spark, sf_dir):
-    jobs = registry.latest_jobs(_job_log(spark, sf_dir)).filter("id % 3 = 0")
+    jobs = registry.latest_jobs(_job_log(spark, sf_dir))
     return registry.name_taken(table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct(), jobs)
 
 
@@ -618,17 +618,17 @@ def restore_turns(spark, sf_dir):
 
 
 @query(f"""
-WITH v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings WHERE vec_id % 10 <> 0),
+WITH v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings),
 kept AS (SELECT vec_id, label, embedding FROM v WHERE n <= 10),
-single AS (SELECT a.vec_id, b.label, max({DOT}) AS best FROM embeddings a, kept b WHERE a.vec_id % 10 = 0 GROUP BY 1, 2),
+single AS (SELECT a.vec_id, b.label, max({DOT}) AS best FROM embeddings a, kept b GROUP BY 1, 2),
 u AS (SELECT label, unnest(range(1, 65)) AS pos, unnest([x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) FOR x IN CAST(embedding AS DOUBLE[])]) AS x FROM kept),
 m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY 1, 2), mid AS (SELECT label, list(x ORDER BY pos) AS embedding FROM m GROUP BY 1),
-whole AS (SELECT a.vec_id, b.label, {DOT} AS score FROM embeddings a, mid b WHERE a.vec_id % 10 = 0)
+whole AS (SELECT a.vec_id, b.label, {DOT} AS score FROM embeddings a, mid b)
 SELECT s.vec_id, s.label AS speaker_id, round(greatest(best, score), 6) AS similarity FROM single s JOIN whole w ON s.vec_id = w.vec_id AND s.label = w.label""")
 def similarities(spark, sf_dir):
     v = inputs.voices(spark, sf_dir)
-    kept = registry.retain(v.filter("vec_id % 10 <> 0").withColumnRenamed("vec_id", "id"), 10)
-    found = voices.similarities(v.filter("vec_id % 10 = 0"), kept, ["vec_id"], "speaker_id")
+    kept = registry.retain(v.withColumnRenamed("vec_id", "id"), 10)
+    found = voices.similarities(v, kept, ["vec_id"], "speaker_id")
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
