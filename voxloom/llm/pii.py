@@ -19,14 +19,26 @@ from .common import documents, slices
 ROWS = 256
 ROUNDS = 8
 KINDS = ["email", "ip", "card", "phone", "date"]
-# One pattern for all kinds: at each place the first alternative that matches wins.
-FIND = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<date>(?<![\w.+-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w-]|[./]\d))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d))"
-    r"|(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{2,4}(?:[ .-]\d{2,5}){1,3}(?![\w-])|(?<!\w)\+\d{7,15}(?!\w))"
+# Kinds whose form or check is strict: valid ones go first wherever they start, and phones are sought between them.
+STRICT = {
+    kind: re.compile(pattern)
+    for kind, pattern in {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+        "date": r"(?<![\w.+-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w-]|[./]\d)",
+        "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)",
+        "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
+    }.items()
+}
+FIND = re.compile("|".join(f"(?P<{kind}>{pattern.pattern})" for kind, pattern in STRICT.items()))
+PHONE = re.compile(
+    r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{2,4}(?:[ .-]\d{2,5}){1,3}(?![\w-])|(?<!\w)\+\d{7,15}(?!\w)"
 )
+# Joined by dots or hyphens alone but for a country code or an area in parentheses: spaces around it end the number.
+COMPACT = re.compile(
+    r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]|\d{2,4}[.-])\d{2,4}(?:[.-]\d{2,5}){1,3}(?![\w-])"
+)
+#: Four digits before what may be a whole number: no country code is as long.
+LED = re.compile(r"\d{4} (?=\d)")
 DAY_ONE, DAYS = datetime.date(1900, 1, 1), 73_049  # to 2099-12-31
 #: Most recent pseudonyms that a worker remembers.
 REMEMBERED = 200_000
@@ -167,19 +179,51 @@ def pseudonyms(key: bytes) -> Pseudonyms:
     return Pseudonyms(key)
 
 
+def strict_spans(text: str, names: Pseudonyms) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of valid strict kinds, leftmost first. Where a match fails its check the other
+    kinds are tried at its start, and the search goes on behind its first character."""
+    out, pos = [], 0
+    while first := FIND.search(text, pos):
+        pos = first.start() + 1
+        for kind, pattern in STRICT.items():
+            m = pattern.match(text, first.start())
+            if m and (new := names.get(kind, m[0])) is not None:
+                out.append((m.start(), m.end(), kind, new))
+                pos = m.end()
+                break
+    return out
+
+
+def phone_spans(text: str, names: Pseudonyms, pattern: re.Pattern, taken: list) -> list[tuple[int, int, str, str]]:
+    """Spans of valid phones of a pattern between the taken spans."""
+    out, pos = [], 0
+    for start, end in [(s, e) for s, e, _, _ in taken] + [(len(text), len(text))]:
+        while m := pattern.search(text, pos, start):
+            at = m.start()
+            if (lead := LED.match(m[0])) and (rest := pattern.match(text, at + lead.end(), start)):
+                if names.get("phone", rest[0]) is not None and not STRICT["card"].match(text, at):
+                    m = rest
+            new = names.get("phone", m[0])
+            if new is not None:
+                out.append((m.start(), m.end(), "phone", new))
+                pos = m.end()
+            else:  # the groups of a card that fails its check are no phones either
+                card = STRICT["card"].match(text, at, start)
+                pos = card.end() if card else at + 1
+        pos = end
+    return out
+
+
 def replaced(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
     """text with pseudonyms, and the (kind, start, end) of what was replaced, in code points of the input."""
-    out, spans, at, pos = [], [], 0, 0
-    while m := FIND.search(text, pos):
-        kind = m.lastgroup
-        new = names.get(kind, m[0])
-        if new is None:
-            pos = m.end()
-            continue
-        out += [text[at : m.start()], new]
-        spans.append((kind, m.start(), m.end()))
-        at = pos = m.end()
-    return "".join([*out, text[at:]]), spans
+    found = strict_spans(text, names)
+    for pattern in (COMPACT, PHONE):
+        found = sorted(found + phone_spans(text, names, pattern, found))
+    out, at = [], 0
+    for start, end, _, new in found:
+        out += [text[at:start], new]
+        at = end
+    return "".join([*out, text[at:]]), [(kind, start, end) for start, end, kind, _ in found]
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
