@@ -106,6 +106,50 @@ def test_jaccard_join(docs, rows, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_join_in_groups_of_near_copies(spark, monkeypatch):
+    """Chains of copies of copies, long lists, and lists in blocks: the components of all pairs."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for group in range(6):
+        base = list(rng.choice(words, 60 + 20 * group))
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 6))):
+                copy[int(rng.integers(len(copy)))] = str(rng.choice(words))
+            texts.append(" ".join(copy))
+    near = list(rng.choice(words, 100))
+    for i in range(40):  # each differs a little from the one before
+        near[i * 2] = f"x{i}"
+        texts.append(" ".join(near))
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for long_list, marks in ((32, jaccard_join.MARKS), (2, jaccard_join.MARKS)):
+        monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+        assert got == dict(enumerate(root))
+    assert 20 < len(set(root)) < len(root)
+
+
+def test_jaccard_join_tells_words_apart(spark, monkeypatch):
+    """Words that a polynomial modulo a power of two takes for the same, and sets whose first names are the same."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    texts = [a, a.translate(str.maketrans("ab", "ba")), "one two three four five six", "six five four three two one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in jaccard_join.jaccard_components(df).orderBy("doc_id").collect()] == [0, 1, 2, 3]
+    real = jaccard_join.set_names
+    clash = lambda h, size, start, mark: np.where(size > 0, 7, 0) if mark == jaccard_join.MARKS[0] else real(h, size, start, mark)
+    monkeypatch.setattr(jaccard_join, "set_names", clash)
+    assert jaccard_join.clashing_names(jaccard_join.described(df.withColumn("key", F.col("doc_id"))).filter("token IS NULL")) == [7]
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 6), (6, 5), (5, 4), (4, 3), (3, 2), (2, 1), (20, 21), (21, 20), (30, 30)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

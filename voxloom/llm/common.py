@@ -1,10 +1,10 @@
-"""What the training-data operators share: inputs, lineage cuts, fixed-size id filters."""
+"""What the training-data operators share: inputs, tables that cut lineage, id filters, slices of batches."""
 
 from __future__ import annotations
 
 import uuid
-
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: ASCII white space of all contracts: space and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-FILTER_BITS = 1 << 24
+#: Filters have eight bits an id within these bounds (128 kB to 16 MB), whatever the input.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +25,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local default only where that is unset (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/voxloom-checkpoints"
+    """A new folder below spark.checkpoint.dir; a local default only where that is unset in local mode (tests)."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file:///tmp/voxloom-checkpoints"
     return f"{top.rstrip('/')}/voxloom-{uuid.uuid4().hex}"
 
 
@@ -32,7 +38,16 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and still there if executors go."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing is read from any more: what came of them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PLACES.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -41,32 +56,33 @@ def lower_ascii(text: Column) -> Column:
 
 
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits (2 MB, whatever the input) with a bit for each id's hash.
+    """A bitmap with a bit for each id's hash: about eight bits an id, MOST_BITS at most.
 
     Never misses an id; ids that are not there pass at the rate of set bits, so an exact join follows.
     """
-    slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    n = ids.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n).bit_length()))
+    slot = F.pmod(F.col(column), F.lit(size))
     rows = (
         ids.select(slot.alias("slot"))
         .groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
-        .collect()
+        .toArrow()
     )
-    out = np.zeros(FILTER_BITS // 8 + 4096, dtype=np.uint8)
-    for row in rows:
-        at = (row["bucket"] - 1) * 4096
-        part = np.frombuffer(row["bits"], dtype=np.uint8)
-        out[at : at + len(part)] |= part
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for bucket, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits")):
+        part = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
+        out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] |= part
     return out
 
 
 def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which ids may be in the filter."""
-    slot = np.mod(ids, FILTER_BITS)
+    slot = np.mod(ids, len(bits) * 8)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def slices(batch: pa.RecordBatch, rows: int, size: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int, size: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many rows and about so many bytes of text, one row at least.
 
     Arrays that are worked out for a part then have a bounded size, however long the texts of a batch are.

@@ -1,10 +1,10 @@
 """Exact n-gram Jaccard join of documents, using relations between sets to skip work.
 
 Documents with the same shingle set are one node. Inverted lists hold each node under the rarest shingles of its set
-(prefix filter) in blocks by set size, and whole blocks that sizes or positions rule out are skipped. In a list one
-node's answers serve its near twins: nodes are first compared with a centre of their list, nodes linked through
-centres are one component and need no comparison among themselves, and what a set shares with the centre bounds
-what it can share with the centre's near twins.
+(prefix filter). Answers come first for a central set of each list: sets that link with it are one component and need
+no comparison among themselves, and what two sets share with the same central set bounds what they share with each
+other. The lists of what is left are cut into blocks by size and position, and only blocks meet that sizes and
+positions allow: entries far back in a list never meet each other.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_filter, passes, slices, written
+from .common import documents, forget, id_filter, passes, slices, written
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -23,7 +23,15 @@ PERCENT = 75
 #: Shingles with at least 1 / HOT of all are ordered by frequency, after the others: at most HOT of them.
 HOT = 1 << 20
 ROWS = 256
-CENTRE_ROUNDS = 3
+#: Distinct shingles of a task that are counted at once.
+COUNTED = 1 << 20
+#: Lists of a node that look for its central set: so many of the shortest and so many of the longest.
+ASKED = 2
+#: Longer lists are cut into blocks by size and position.
+LONG_LIST = 32
+#: 64-bit words of the sketch that goes with every list entry.
+SKETCH = 4
+MARKS = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 
 
 def lengths(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,97 +40,176 @@ def lengths(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return size, np.cumsum(size) - size
 
 
-def set_names(hashed: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """64-bit names of whole sets; 0 for the empty set."""
-    total = np.concatenate([np.zeros(1, dtype=U), np.cumsum(mix(hashed ^ U(0x5851F42D4C957F2D)), dtype=U)])
+def set_names(hashed: np.ndarray, size: np.ndarray, start: np.ndarray, mark: int) -> np.ndarray:
+    """64-bit names of whole sets; 0 for the empty set. Another mark gives other names."""
+    total = np.concatenate([np.zeros(1, dtype=U), np.cumsum(mix(hashed ^ U(mark)), dtype=U)])
     return np.where(size > 0, mix((total[start + size] - total[start]) + size.astype(U)) | U(1), U(0)).astype(np.int64)
 
 
+def squeezed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens and the sums of their counts."""
+    token, seen = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(token, kind="stable")
+    token, seen = token[order], seen[order]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    return token[first], np.add.reduceat(seen, first)
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """A row for each document (key, doc_id, n, name), and rows (token, seen) for shingles frequent in a task.
+    """A row for each document (key, doc_id, n, name, second), and rows (token, seen) for shingles frequent in a task.
 
-    A shingle that makes up 1 / HOT of all makes up as much of some task's, so none of these is missed.
+    name and second are two 64-bit names of the set. A shingle that makes up 1 / HOT of all makes up as much of some
+    task's, so none of these is missed.
     """
-    names = ["key", "doc_id", "n", "name", "token", "seen"]
+    names = ["key", "doc_id", "n", "name", "second", "token", "seen"]
 
     def run(batches):
         tokens, total = [], 0
-
-        def squeeze(parts):
-            token, seen = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(token, kind="stable")
-            token, seen = token[order], seen[order]
-            first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            return token[first], np.add.reduceat(seen, first)
-
         for batch in batches:
             for part in slices(batch, ROWS):
                 text, hashed = shingle_sets(part.column("text").to_pylist())
                 size, start = lengths(text, part.num_rows)
-                name = set_names(hashed, size, start)
+                both = [pa.array(set_names(hashed, size, start, m)) for m in MARKS]
                 empty = [pa.nulls(part.num_rows, pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(name), *empty], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), *both, *empty], names=names)
                 total += len(hashed)
                 if len(hashed):
                     tokens.append(np.unique(hashed, return_counts=True))
-                if sum(len(t) for t, _ in tokens) > 1 << 22:
-                    token, seen = squeeze(tokens)
-                    tokens = [(token[seen > max(1, total // HOT // 4)], seen[seen > max(1, total // HOT // 4)])]
+                if sum(len(t) for t, _ in tokens) > COUNTED:
+                    token, seen = squeezed(tokens)
+                    often = seen > max(1, total // HOT // 4)
+                    tokens = [(token[often], seen[often])]
         if tokens:
-            token, seen = squeeze(tokens)
+            token, seen = squeezed(tokens)
             often = seen >= max(2, total // HOT)
-            empty = [pa.nulls(int(often.sum()), pa.int64())] * 4
+            empty = [pa.nulls(int(often.sum()), pa.int64())] * 5
             yield pa.RecordBatch.from_arrays([*empty, pa.array(token[often].astype(np.int64)), pa.array(seen[often].astype(np.int64))], names=names)
 
-    return docs.mapInArrow(run, "key long, doc_id long, n long, name long, token long, seen long")
+    return docs.mapInArrow(run, "key long, doc_id long, n long, name long, second long, token long, seen long")
+
+
+def clashing_names(names: DataFrame) -> list[int]:
+    """The names that stand for more than one set: hardly any, however many sets there are."""
+    ends = names.groupBy("name").agg(F.min("second").alias("a"), F.max("second").alias("b"))
+    return [r[0] for r in ends.filter("a <> b").collect()]
+
+
+def renamed(df: DataFrame, clashes: list[int]) -> DataFrame:
+    """df (name, second, ...) with one name for each set: where names clash, both are hashed to another."""
+    if not clashes:
+        return df.drop("second")
+    return df.withColumn("name", F.when(F.col("name").isin(clashes), F.xxhash64("name", "second")).otherwise(F.col("name"))).drop("second")
 
 
-def bit_places(hashed: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap with the parity of the elements at each place; its length is the power of two from size up, 64 at least."""
-    width = max(64, 1 << int(size - 1).bit_length())
+def parities(hashed: np.ndarray, n: int) -> np.ndarray:
+    """A bitmap with the parity of the elements at each place; its length is the power of two from 2 * n up."""
+    width = max(64 * SKETCH, 1 << int(2 * n - 1).bit_length())
     odd = np.bincount((hashed & U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def postings(docs: DataFrame, hot: np.ndarray, nodes: np.ndarray) -> DataFrame:
-    """Rows (token, name, n, pos) of the prefixes, and (name, n, bits) for each node's signature."""
+def prefix_sets(docs: DataFrame, hot: np.ndarray, nodes: np.ndarray) -> DataFrame:
+    """(name, second, n, tokens, bits, sketch) of rows that pass the filter of nodes: tokens are the set's prefix."""
     sent = docs.sparkSession.sparkContext.broadcast((hot, nodes))
-    names = ["token", "name", "n", "pos", "bits"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    names = ["name", "second", "n", "tokens", "bits", "sketch"]
+    many = pa.list_(pa.int64())
 
     def run(batches):
         often, keep = sent.value
+        seen: set[int] = set()
         for batch in batches:
             batch = batch.filter(pa.array(passes(keep, batch.column("key").to_numpy())))
             for part in slices(batch, ROWS):
                 text, hashed = shingle_sets(part.column("text").to_pylist())
                 size, start = lengths(text, part.num_rows)
-                name = set_names(hashed, size, start)
-                some = np.flatnonzero(size)
-                if not len(some):
-                    continue
-                bits = [bit_places(hashed[start[i] : start[i] + size[i]], int(size[i]))for i in some]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(name[some]), pa.array(size[some].astype(np.int32)), pa.nulls(len(some), pa.int32()), pa.array(bits, types[4])], names=names)
-                # The global order: others by hash, then the frequent ones by rising frequency (as they are in `often`).
+                name, second = (set_names(hashed, size, start, m) for m in MARKS)
+                # A set once a task where that is easily told; what is left of repeats is harmless.
+                fresh = np.zeros(part.num_rows, dtype=bool)
+                for i, pair in enumerate(zip(name.tolist(), second.tolist())):
+                    fresh[i] = size[i] > 0 and pair not in seen
+                    seen.add(pair)
+                if len(seen) > COUNTED:
+                    seen.clear()
+                # The global order: others by hash, then the frequent ones by rising frequency.
                 rank = np.zeros(len(hashed), dtype=np.int64)
                 if len(often):
                     slot = np.minimum(np.searchsorted(often["token"], hashed), len(often) - 1)
                     rank = np.where(often["token"][slot] == hashed, often["rank"][slot], 0)
-                order = np.lexsort((hashed, rank, text))
-                pos = np.arange(len(text)) - start[text]
+                ordered = hashed[np.lexsort((hashed, rank, text))]
                 prefix = size - -(-PERCENT * size // 100) + 1
-                inside = pos < prefix[text]
-                owner = text[inside]
-                yield pa.RecordBatch.from_arrays([pa.array(hashed[order][inside].astype(np.int64)), pa.array(name[owner]), pa.array(size[owner].astype(np.int32)), pa.array(pos[inside].astype(np.int32)), pa.nulls(len(owner), types[4])], names=names)
+                some = np.flatnonzero(fresh)
+                tokens = [ordered[start[i] : start[i] + prefix[i]].astype(np.int64) for i in some]
+                bits = [parities(hashed[start[i] : start[i] + size[i]], int(size[i])) for i in some]
+                sketch = [np.bitwise_xor.reduce(b.reshape(-1, SKETCH), axis=0) for b in bits]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name[some]), pa.array(second[some]), pa.array(size[some].astype(np.int64)), pa.array(tokens, many), pa.array(bits, many), pa.array(sketch, many)],
+                    names=names,
+                )
+
+    return docs.select("key", "text").mapInArrow(run, "name long, second long, n long, tokens array<long>, bits array<long>, sketch array<long>")
+
+
+def entries(sets: DataFrame, listed: np.ndarray, carried: list[str]) -> DataFrame:
+    """(token, pos and the carried columns) for the tokens of each set that pass the filter."""
+    sent = sets.sparkSession.sparkContext.broadcast(listed)
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat = tokens.flatten().to_numpy()
+            long = tokens.value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), long)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(long) - long, long)
+            keep = np.flatnonzero(passes(sent.value, flat))
+            if "places" in batch.schema.names:
+                pos = batch.column("places").flatten().to_numpy()
+            rest = [batch.column(c).take(pa.array(row[keep])) for c in carried]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(pos[keep].astype(np.int64)), *rest], names=["token", "pos", *carried])
+
+    kinds = dict(sets.dtypes)
+    return sets.mapInArrow(run, "token long, pos long" + "".join(f", {c} {kinds[c]}" for c in carried))
+
+
+def memberships(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """A row for each node in a list: name, n, central (mean length of its lists), tokens, places and counts."""
+    met = entries(sets.select("name", "n", "tokens"), id_filter(shared, "token"), ["name", "n"]).join(shared, "token")
+    once = met.groupBy("token", "name").agg(F.min("pos").alias("pos"), F.min("n").alias("n"), F.max("seen").alias("seen"))
+    items = F.sort_array(F.collect_list(F.struct("token", "pos", "seen")))  # as long as the prefix at most
+    rows = once.groupBy("name").agg(F.min("n").alias("n"), F.sum("seen").alias("all"), items.alias("items"))
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    return rows.select(
+        "name", "n", (F.col("all") / prefix).alias("central"), F.col("items.token").alias("tokens"), F.col("items.pos").alias("places"), F.col("items.seen").alias("counts")
+    )
 
-    return docs.mapInArrow(run, "token long, name long, n int, pos int, bits array<long>")
 
+def size_block(n: str) -> Column:
+    """Sets that can link are in the same or in neighbouring blocks."""
+    return F.floor(F.log(n) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
 
-def size_fits(a: str, b: str):
+
+def size_fits(a: str, b: str) -> Column:
     """Whether sets of these sizes can link: 100 * smaller >= PERCENT * larger."""
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def enough(shared: Column, n_a: str, n_b: str) -> Column:
+    """Whether so many shared elements make a link."""
+    return (100 + PERCENT) * shared >= PERCENT * (F.col(n_a) + F.col(n_b))
+
+
+def central_pairs(members: DataFrame) -> DataFrame:
+    """For each node the central set of the lists it asks that it meets most often."""
+    by = lambda sign: F.slice(F.array_sort(F.transform(F.arrays_zip("tokens", "counts"), lambda x: F.struct((sign * x["counts"]).alias("k"), x["tokens"].alias("t")))), 1, ASKED)
+    asked = F.array_distinct(F.concat(F.transform(by(1), lambda x: x["t"]), F.transform(by(-1), lambda x: x["t"])))
+    probes = members.select("name", "n", "central", size_block("n").alias("block"), F.explode(asked).alias("token"))
+    merit = F.col("central").cast("decimal(20,3)") * 1_000_000 + F.pmod("name", F.lit(1_000_000))  # ties by name
+    centre = probes.groupBy("token", "block").agg(F.max_by("name", merit.cast("double")).alias("centre"), F.max_by("n", merit.cast("double")).alias("n_c"), F.max("central").alias("c"), F.count("*").alias("many"))
+    met = probes.join(centre.filter("many > 1"), ["token", "block"]).filter((F.col("name") != F.col("centre")) & size_fits("n", "n_c"))
+    votes = met.groupBy("name", "centre").agg((F.count("*") * 1_000_000 + F.least(F.max("c"), F.lit(999_999.0))).alias("votes"))
+    best = votes.groupBy("name").agg(F.max_by("centre", "votes").alias("centre"))
+    return best.select(F.least("name", "centre").alias("a"), F.greatest("name", "centre").alias("b")).distinct()
+
+
 def bits_fit(n_a: str, n_b: str, bits_a: str, bits_b: str) -> Column:
     """Whether bitmaps leave open that two sets link: |A xor B| is at least the number of bits that differ.
 
@@ -138,18 +225,20 @@ def bits_fit(n_a: str, n_b: str, bits_a: str, bits_b: str) -> Column:
 
     x, y = F.col(bits_a), F.col(bits_b)
     apart = F.when(F.size(x) == F.size(y), differ(x, y)).when(F.size(x) > F.size(y), differ(folded(x), y)).otherwise(differ(x, folded(y)))
-    most = F.floor((F.col(n_a) + F.col(n_b) - apart) / 2)
-    return (100 + PERCENT) * most >= PERCENT * (F.col(n_a) + F.col(n_b))
+    return enough(F.floor((F.col(n_a) + F.col(n_b) - apart) / 2), n_a, n_b)
 
 
-def survivors(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their bitmaps do not rule out."""
-    one = signatures.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    two = signatures.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+def left_open(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that bitmaps of the whole sets do not rule out."""
+    pairs = written(pairs)
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    some = sets.select("name", "n", "bits").join(names, "name", "left_semi").dropDuplicates(["name"])
+    one = some.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = some.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     return pairs.join(one, "a").join(two, "b").filter(bits_fit("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def node_sets(docs: DataFrame, wanted: DataFrame, clashes: list[int]) -> DataFrame:
     """(name, tokens): the whole sets of the wanted nodes (name, key)."""
     sent = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "key"))
 
@@ -159,84 +248,85 @@ def node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in slices(batch, ROWS):
                 text, hashed = shingle_sets(part.column("text").to_pylist())
                 size, start = lengths(text, part.num_rows)
-                name = set_names(hashed, size, start)
+                both = [pa.array(set_names(hashed, size, start, m)) for m in MARKS]
                 tokens = pa.ListArray.from_arrays(pa.array(np.append(start, len(hashed)).astype(np.int32)), pa.array(hashed.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(name), tokens], names=["name", "tokens"])
+                yield pa.RecordBatch.from_arrays([*both, tokens], names=["name", "second", "tokens"])
 
-    return docs.mapInArrow(run, "name long, tokens array<long>").join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"])
+    found = renamed(docs.select("key", "text").mapInArrow(run, "name long, second long, tokens array<long>"), clashes)
+    return found.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"])
 
 
-def compare(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, shared, linked) for pairs, from whole sets."""
-    left = written(pairs)
-    names = left.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    sets = written(node_sets(docs, nodes.join(names, "name", "left_semi")))
+def compare(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, clashes: list[int]) -> DataFrame:
+    """(a, b, n_a, n_b, shared, linked) for pairs, from whole sets."""
+    asked = written(pairs)
+    names = asked.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    wanted = written(nodes.join(names, "name", "left_semi"))
+    sets = written(node_sets(docs, wanted, clashes))
     one = sets.select(F.col("name").alias("a"), F.col("tokens").alias("of_a"))
     two = sets.select(F.col("name").alias("b"), F.col("tokens").alias("of_b"))
-    met = left.join(one, "a").join(two, "b").select("a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
-    return written(met.withColumn("linked", 100 * F.col("shared") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("shared"))))
-
-
-def with_components(lists: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return lists.withColumn("component", F.col("name"))
-    return lists.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-
-
-def centre_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """For each component one pair with the centre of a list and block of sizes that it is in."""
-    pick = F.xxhash64("name", F.lit(turn))
-    one = lists.groupBy("token", "block", "component").agg(F.min(F.struct(pick.alias("pick"), "name", "n")).alias("x"), F.count("*").alias("many"))
-    centre = one.groupBy("token", "block").agg(F.max(F.struct("many", "x.pick", "x.name", "x.n", "component")).alias("c"))
-    met = one.join(centre, ["token", "block"]).filter((F.col("component") != F.col("c.component")) & size_fits("x.n", "c.n"))
-    votes = met.groupBy("component", F.least("x.name", "c.name").alias("a"), F.greatest("x.name", "c.name").alias("b")).count()
-    # A component asks one centre a round, the one it meets in most lists: what is left is for the last round.
-    best = votes.groupBy("component").agg(F.max(F.struct("count", "a", "b")).alias("v"))
-    return best.select("v.a", "v.b").distinct()
-
-
-def cross_pairs(lists: DataFrame, signatures: DataFrame) -> DataFrame:
-    """All pairs of a list that are in different components, unless block, size, position or bitmaps rule them out."""
-    mixed = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    some = lists.join(mixed, "token", "left_semi").join(signatures.select("name", "bits"), "name")
-    columns = ["name", "n", "pos", "block", "component", "bits"]
-    a = some.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = some.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
-    need = PERCENT * (F.col("n_a") + F.col("n_b"))
-    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    met = a.join(b, "token").filter(
-        (F.col("name_a") < F.col("name_b"))
-        & (F.col("component_a") != F.col("component_b"))
-        & (F.abs(F.col("block_a") - F.col("block_b")) <= 1)  # blocks hold sizes within a factor of 4/3
+    met = asked.join(one, "a").join(two, "b")
+    counted = met.select("a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
+    out = written(counted.withColumn("linked", enough(F.col("shared"), "n_a", "n_b")))
+    forget(asked, wanted, sets)
+    return out
+
+
+def cross_pairs(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """All pairs of a list that are in different components, unless block, size, position or sketch rule them out.
+
+    In a list the largest component's nodes meet the others, not each other.
+    """
+    sizes = found.groupBy("component").agg(F.count("*").alias("many"))
+    known = found.join(sizes, "component").select(F.col("node").alias("name"), "component", "many")
+    sketches = sets.select("name", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]).dropDuplicates(["name"])
+    placed = members.join(known, "name", "left").withColumns({"component": F.coalesce("component", "name"), "many": F.coalesce("many", F.lit(1))})
+    placed = written(placed.join(sketches, "name").drop("central", "counts"))
+    rows = placed.select("component", "many", F.explode("tokens").alias("token"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", "many").alias("main"), F.count("*").alias("length"))
+    mixed = written(mixed.filter("low <> high").select("token", "main", "length"))
+    carried = ["name", "n", "component", *[f"s{k}" for k in range(SKETCH)]]
+    some = entries(placed.drop("many"), id_filter(mixed, "token"), carried).join(mixed, "token")
+    far = 7 * F.col("pos") > F.col("n")  # 7 * (pos_a + pos_b) <= n_a + n_b for the first shingle that a pair shares
+    long = F.col("length") > LONG_LIST
+    block = size_block("n")
+    right = some.withColumn("cell", F.when(long, 2 * block + far.cast("int")).otherwise(-1))
+    near_cells = F.flatten(F.transform(F.array(block - 1, block, block + 1), lambda b: F.array(2 * b, 2 * b + 1)))
+    far_cells = F.transform(F.array(block - 1, block, block + 1), lambda b: 2 * b)
+    cells = F.when(~long, F.array(F.lit(-1))).when(far, far_cells).otherwise(near_cells)
+    left = some.filter("component <> main").withColumn("cell", F.explode(cells))
+    a = left.select("token", "cell", *[F.col(c).alias(f"{c}_a") for c in ("pos", *carried)])
+    b = right.select("token", "cell", "main", *[F.col(c).alias(f"{c}_b") for c in ("pos", *carried)])
+    apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(1, SKETCH)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    met = a.join(b, ["token", "cell"]).filter(
+        (F.col("component_a") != F.col("component_b"))
+        & ((F.col("component_b") == F.col("main")) | (F.col("name_a") < F.col("name_b")))
         & size_fits("n_a", "n_b")
-        & ((100 + PERCENT) * most >= need)
-        & bits_fit("n_a", "n_b", "bits_a", "bits_b")
+        & (7 * (F.col("pos_a") + F.col("pos_b")) <= F.col("n_a") + F.col("n_b"))
+        & enough(F.floor((F.col("n_a") + F.col("n_b") - apart) / 2), "n_a", "n_b")
     )
-    return met.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
+    return met.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).distinct()
 
 
-def not_ruled_out(pairs: DataFrame, tried: DataFrame, sizes: DataFrame) -> DataFrame:
+def derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
     """Pairs not compared yet that answers through a common neighbour r leave open.
 
-    If u shares i with r and v shares j with r, they share at most j + |u| - i; so a near twin u of r takes over
-    what r and v were found to share.
+    If u shares i with r and v shares j with r, they share at most min(i, j) + min(|u| - i, |v| - j).
     """
-    fresh = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    both = tried.select(F.col("a").alias("u"), F.col("b").alias("r"), "shared", "linked").unionByName(tried.select(F.col("b").alias("u"), F.col("a").alias("r"), "shared", "linked"))
-    twin = both.filter("linked").groupBy("u").agg(F.max_by(F.struct("r", "shared"), "shared").alias("t"))
-    twin = twin.select("u", F.col("t.r").alias("r"), F.col("t.shared").alias("i"))
-    other = both.filter("NOT linked").select(F.col("u").alias("v"), "r", F.col("shared").alias("j"))
-    n_of = lambda x: sizes.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"))
-    out = fresh
-    for u, v in (("a", "b"), ("b", "a")):
-        known = twin.withColumnRenamed("u", u).join(other.withColumnRenamed("v", v), "r").groupBy(u, v).agg(F.min(F.col("j") - F.col("i")).alias("more"))
-        bound = known.join(n_of(u), u).join(n_of(v), v).filter((100 + PERCENT) * (F.col("more") + F.col(f"n_{u}")) < PERCENT * (F.col("n_a") + F.col("n_b")))
-        out = out.join(bound.select("a", "b"), ["a", "b"], "left_anti")
-    return out
+    fresh = pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    told = answers.select(F.col("a").alias("u"), F.col("b").alias("r"), F.col("shared").alias("i"), F.col("n_a").alias("n")).unionByName(
+        answers.select(F.col("b").alias("u"), F.col("a").alias("r"), F.col("shared").alias("i"), F.col("n_b").alias("n"))
+    )
+    # A hub has many answers: each node tells only of the neighbour that it shares most with.
+    nearest = told.groupBy("u").agg(F.max_by(F.struct("r", "i", "n"), "i").alias("x")).select("u", "x.*")
+    of = lambda x: nearest.select(F.col("u").alias(x), F.col("r").alias(f"r_{x}"), F.col("i").alias(f"i_{x}"), F.col("n").alias(f"n_{x}"))
+    both = fresh.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    most = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    out = F.coalesce((F.col("r_a") == F.col("r_b")) & ~enough(most, "n_a", "n_b"), F.lit(False))
+    return both.filter(~out).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per row of docs: n_shingles, component_id, set_name (equal for equal sets) and key.
+    """Per row of docs: n_shingles, component_id, component (a number, equal for linked sets; null for none) and key.
 
     key is xxhash64(doc_id, text).
 
@@ -247,51 +337,43 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     first = written(described(docs))
-    rows = first.filter("token IS NULL")
+    told = first.filter("token IS NULL").drop("token", "seen")
+    clashes = clashing_names(told)
+    rows = renamed(told, clashes)
     nodes = written(rows.filter("n > 0").groupBy("name").agg(F.min("key").alias("key")))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = first.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= max(8, total // HOT))
-    often = frequent.toPandas().sort_values(["seen", "token"])  # HOT rows at most
-    hot = np.empty(len(often), dtype=[("token", "u8"), ("rank", "i8")])
-    hot["token"], hot["rank"] = often["token"].to_numpy().astype(np.int64).astype(U), np.arange(1, len(often) + 1)
+    often = frequent.toArrow()  # HOT rows at most
+    token, seen = (often.column(c).to_numpy() for c in ("token", "seen"))
+    order = np.lexsort((token, seen))
+    hot = np.empty(len(token), dtype=[("token", "u8"), ("rank", "i8")])
+    hot["token"], hot["rank"] = token[order].astype(U), np.arange(1, len(token) + 1)
     hot = np.sort(hot, order="token")
-    posted = written(postings(docs, hot, id_filter(nodes, "key")))
-    signatures = posted.filter("token IS NULL").select("name", "n", "bits").dropDuplicates(["name"])
-    entries = posted.filter("token IS NOT NULL").select("token", "name", "n", "pos")
-    shared = written(entries.groupBy("token").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x <> y").select("token"))
-    bits = entries.sparkSession.sparkContext.broadcast(id_filter(shared, "token"))
-
-    def may_share(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(passes(bits.value, batch.column("token").to_numpy())))
-
-    block = F.floor(F.log("n") / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
-    near = entries.mapInArrow(may_share, entries.schema).join(shared, "token", "left_semi").dropDuplicates(["token", "name"])
-    lists = written(near.withColumn("block", block))
-    found, tried = None, None
-    for turn in range(CENTRE_ROUNDS):
-        pairs = centre_pairs(with_components(lists, found), turn)
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        answers = compare(docs, survivors(pairs, signatures), nodes)
-        tried = answers if tried is None else tried.unionByName(answers)
-        found = written(components(tried.filter("linked")))
-    rest = not_ruled_out(cross_pairs(with_components(lists, found), signatures), tried, signatures.select("name", "n"))
-    tried = tried.unionByName(compare(docs, rest, nodes))
-    found = components(tried.filter("linked")).withColumnRenamed("node", "name")
-    placed = rows.join(found, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    sets = written(renamed(prefix_sets(docs, hot, id_filter(nodes, "key")), clashes))
+    lists = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("seen"))
+    shared = written(lists.filter("seen > 1"))
+    members = written(memberships(sets, shared))
+    forget(shared)
+    answers = compare(docs, left_open(central_pairs(members), sets), nodes, clashes)
+    found = written(components(answers.filter("linked")))
+    rest = derived(cross_pairs(members, sets, found), answers)
+    more = compare(docs, left_open(rest, sets), nodes, clashes)
+    links = answers.unionByName(more).filter("linked")
+    found = written(components(links).withColumnRenamed("node", "name"))
+    forget(members, sets, answers, more)
+    placed = rows.join(found, "name", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "name")))
     least = placed.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least_id"))
     return placed.join(least, "component", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.col("name").alias("set_name"),
+        "component",
         "key",
     )
 
 
 def op3_jaccard_join(spark, sf_dir):
-    return jaccard_components(documents(spark, sf_dir)).drop("key", "set_name")
+    return jaccard_components(documents(spark, sf_dir)).drop("key", "component")
 
 
 OP3_SQL = r"""
