@@ -82,6 +82,23 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
+def maybe_in(ids: DataFrame, column: str, value: Column) -> Column:
+    """Whether a value may be among the ids, by their filter: only the values go to Python."""
+    sent = ids.sparkSession.sparkContext.broadcast(id_filter(ids, column))
+
+    @F.arrow_udf("boolean")
+    def test(x: pa.Array) -> pa.Array:
+        return pa.array(passes(sent.value, x.to_numpy(zero_copy_only=False)))
+
+    return test(value)
+
+
+def text_slices(texts: pa.Array, rows: int, size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """An array of texts by slices."""
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), rows, size):
+        yield part.column("text").to_pylist()
+
+
 def slices(batch: pa.RecordBatch, rows: int, size: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many rows and about so many bytes of text, one row at least.
 

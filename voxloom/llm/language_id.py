@@ -2,7 +2,7 @@
 
 Document frequencies cover all training documents. The weights are fitted on a bounded, documented sample of
 labelled documents with the follow-the-regularised-leader rule under elastic-net penalties; a temperature fitted
-on the part of the sample left out of the fit calibrates the scores.
+on parts of the sample, each scored by a fit on the others, calibrates the scores.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, slices, text_slices
 
 #: Hashed features of n-grams of 1 to 3 characters; the model is this large for any corpus.
 DIMENSIONS = 1 << 15
 ORDERS = (1, 2, 3)
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: The sample: the labelled training documents with the so many smallest hashes of doc_id (and equal ones).
+#: The sample: the labelled training documents with the so many smallest hashes of doc_id, then of text and language.
 SAMPLE = 4000
+#: Parts of the sample that take turns in being left out, for calibration.
+FOLDS = 5
 UNKNOWN = "und"
 ROWS = 64
 
@@ -84,10 +86,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample_features(docs: DataFrame, size: int) -> list[tuple]:
-    """(lang, features, counts) of the sampled rows; a row is bounded by DIMENSIONS, however long its text."""
-    rank = F.xxhash64("doc_id")
-    last = docs.select(rank.alias("rank")).orderBy("rank").limit(size).agg(F.max("rank")).first()[0]
-    chosen = docs.filter(rank <= F.lit(last)) if last is not None else docs.limit(0)
+    """(lang, features, counts) of the sampled rows, repeated rows once: size rows at most.
+
+    A row is bounded by DIMENSIONS, however long its text.
+    """
+    order = {"rank": F.xxhash64("doc_id"), "tie": F.xxhash64("text", "lang")}
+    ranked = docs.withColumns(order)
+    last = ranked.select("rank", "tie").orderBy("rank", "tie").limit(size).agg(F.max(F.struct("rank", "tie")).alias("x")).first()["x"]
+    if last is None:
+        return []
+    inside = (F.col("rank") < last["rank"]) | ((F.col("rank") == last["rank"]) & (F.col("tie") <= last["tie"]))
+    chosen = ranked.filter(inside).groupBy("rank", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.first("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -124,17 +133,34 @@ def fit(
         return Model([], idf, np.zeros((DIMENSIONS, 0)), np.zeros(0), 1.0)
     y = {lang: i for i, lang in enumerate(languages)}
     data = [(y[lang], f, weighed(np.zeros(len(f), dtype=np.int64), f, n, idf, 1)) for lang, f, n in rows]
-    held = data[::5] if len(data) >= 50 else []
-    learn = [x for i, x in enumerate(data) if i % 5] if held else data
+    settings = dict(k=k, alpha=alpha, beta=beta, l1=l1, l2=l2, passes=passes)
+    w = learnt(data, **settings)
+    model = Model(languages, idf, w[:-1], w[-1], 1.0)
+    folds = min(FOLDS, len(data))
+    if folds > 1:
+        logits, labels = [], []
+        for i in range(folds):
+            part = learnt([x for j, x in enumerate(data) if j % folds != i], **settings)
+            logits += [v @ part[f] + part[-1] for _, f, v in data[i::folds]]
+            labels += [label for label, _, _ in data[i::folds]]
+        logits, labels = np.array(logits), np.array(labels)
+        options = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
+        loss = [-np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in options]
+        model.temperature = float(options[int(np.argmin(loss))])
+    return model
+
+
+def learnt(data: list[tuple], k: int, alpha: float, beta: float, l1: float, l2: float, passes: int) -> np.ndarray:
+    """Weights of the features, the bias last, by passes of the follow-the-regularised-leader rule over the data."""
     z, n2 = np.zeros((DIMENSIONS + 1, k)), np.zeros((DIMENSIONS + 1, k))
 
     def current(at: np.ndarray) -> np.ndarray:
-        """FTRL weights of some features: zero below the L1 bound, shrunk by L2 and the learning rate otherwise."""
+        """Zero below the L1 bound, shrunk by L2 and the learning rate otherwise."""
         zs = z[at]
         return np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(n2[at])) / alpha + l2))
 
     for _ in range(passes):
-        for label, f, v in learn:
+        for label, f, v in data:
             at, x = np.append(f, DIMENSIONS), np.append(v, 1.0)
             w = current(at)
             error = softmax(x @ w) - np.eye(k)[label]
@@ -142,15 +168,7 @@ def fit(
             step = (np.sqrt(n2[at] + g * g) - np.sqrt(n2[at])) / alpha
             z[at] += g - step * w
             n2[at] += g * g
-    w = current(np.arange(DIMENSIONS + 1))
-    model = Model(languages, idf, w[:-1], w[-1], 1.0)
-    if held:
-        logits = np.array([v @ w[f] + w[-1] for _, f, v in held])
-        labels = np.array([label for label, _, _ in held])
-        options = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
-        loss = [-np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in options]
-        model.temperature = float(options[int(np.argmin(loss))])
-    return model
+    return current(np.arange(DIMENSIONS + 1))
 
 
 def judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -193,13 +211,15 @@ def recognised(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
     """The rows of docs, as they are, whose language is recognised with min_score or more."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, ROWS):
-                languages, score = judged(sent.value, part.column("text").to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(languages, score)], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def clear(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in text_slices(texts, ROWS):
+            languages, score = judged(sent.value, part)
+            out += [x != UNKNOWN and s >= min_score for x, s in zip(languages, score)]
+        return pa.array(out, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(clear("text"))
 
 
 def held_out() -> Column:

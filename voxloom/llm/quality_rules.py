@@ -11,8 +11,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Hashed unigrams and bigrams share this many multinomial cells: the model is this large for any corpus.
 CELLS = 1 << 16
-#: Documents whose mean log ratio (nats an n-gram, trusted against raw) is below this are not kept.
-MIN_RATIO = -0.25
+#: The threshold lies where so large a share of the documents labelled bad, but of the trusted ones no more than the
+#: other share, is below it.
+BAD_BELOW, GOOD_BELOW = 0.95, 0.01
+STEP = 0.001
 
 
 def words(text: Column) -> Column:
@@ -76,7 +78,8 @@ def exploded_cells(rows: DataFrame) -> DataFrame:
 def ratio_model(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """cell and ratio, for cells that occur: log of the cell's share in trusted texts over that in all texts.
 
-    Counts cover all documents; one is added to each cell of both multinomials.
+    Counts cover all documents. CELLS n-grams spread as in all texts are added to the trusted ones: a cell of equal
+    shares has ratio 0 whatever the totals, and where nothing is trusted all ratios are 0.
     """
     # The trusted ids grow with the corpus: they meet the texts in a shuffle at every size, never by broadcast.
     good = trusted.select("doc_id").distinct().withColumn("good", F.lit(1)).hint("merge")
@@ -88,38 +91,58 @@ def ratio_model(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("raw"), F.count("good").alias("trusted"))
     )
     every = Window.partitionBy(F.lit(0))  # CELLS rows at most
-    share = lambda c: F.log((F.col(c) + 1) / (F.sum(c).over(every) + CELLS))
-    return counts.select("cell", (share("trusted") - share("raw")).alias("ratio"))
+    raw = F.col("raw") / F.sum("raw").over(every)
+    share = (F.col("trusted") + CELLS * raw) / (F.sum("trusted").over(every) + CELLS)
+    return counts.select("cell", F.log(share / raw).alias("ratio"))
 
 
-def quality(docs: DataFrame, trusted: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
+def quantile(scored: DataFrame, of: DataFrame, share: float) -> float | None:
+    """The ratio (a multiple of STEP) that at least such a share of the rows named by `of` do not exceed.
+
+    Rows that fail the base rule do not count; None where no row is left. A table of counts by STEP comes to the
+    driver: ratios are mean logs of shares, so it has some ten thousand rows at most.
+    """
+    step = F.ceil(F.col("ratio") / STEP).alias("step")
+    named = scored.filter("NOT base_failed").join(of.select("doc_id").distinct(), "doc_id", "left_semi")
+    counts = sorted((r["step"], r["count"]) for r in named.groupBy(step).count().collect())
+    wanted = share * sum(n for _, n in counts)
+    for at, n in counts:
+        wanted -= n
+        if wanted <= 0:
+            return round(at * STEP, 6)
+    return None
+
+
+def quality(docs: DataFrame, trusted: DataFrame, bad: DataFrame, min_ratio: float | None = None) -> DataFrame:
     """Counts, base rule, mean log ratio and verdict for each row of docs.
 
-    trusted names the doc_ids of the target corpus (null ids are ignored). A null or empty text has no words and
-    fails the base rule; its ratio is 0. Repeated rows and null doc_ids come back as given. A document passes if it
-    does not fail the base rule and its ratio is min_ratio or more, ties included. Empty tables give no rows; extra
-    columns are ignored.
+    trusted names the doc_ids of the target corpus, bad those of known bad documents (null ids are ignored). A
+    document passes if it does not fail the base rule and its ratio is min_ratio or more, ties included. Without
+    min_ratio the threshold comes from the ratios of the named documents in the whole table; with no bad or no
+    trusted ones every document that does not fail the base rule passes. A null or empty text has no words and fails
+    the base rule; its ratio is 0. Repeated rows and null doc_ids come back as given. Empty tables give no rows;
+    extra columns are ignored.
     """
     model = written(ratio_model(docs, trusted))
     # A row's n-grams stay in its task, so the sum by row needs no shuffle of n-grams.
     counted = base_counts(docs.select("doc_id", "text")).drop("text").withColumn("row", F.monotonically_increasing_id())
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = (
         exploded_cells(counted)
         .join(F.broadcast(model), "cell", "left")  # CELLS rows at most
         .groupBy("row", *names)
-        .agg(F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("ratio"))
-    )
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return scored.select(
-        *names,
-        failed.alias("base_failed"),
-        (~failed & (F.col("ratio") >= min_ratio)).alias("kept"),
-        F.round("ratio", 6).alias("ratio"),
+        .agg(F.round(F.coalesce(F.avg("ratio"), F.lit(0.0)), 6).alias("ratio"))
+        .select(*names, failed.alias("base_failed"), "ratio")
     )
+    if min_ratio is None:
+        scored = written(scored)
+        ends = quantile(scored, bad, BAD_BELOW), quantile(scored, trusted, GOOD_BELOW)
+        min_ratio = min(ends) if None not in ends else float("-inf")
+    return scored.select(*names, "base_failed", (~F.col("base_failed") & (F.col("ratio") >= min_ratio)).alias("kept"), "ratio")
 
 
 def op10_quality_rules(spark, sf_dir):
-    """Trusted: the documents that labels calls good (quality 1) and not toxic."""
-    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND coalesce(toxic, 0) = 0")
-    return quality(documents(spark, sf_dir), trusted)
+    """Trusted: the documents that labels calls good (quality 1) and not toxic; bad: those of quality 0."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality(documents(spark, sf_dir), labels.filter("quality = 1 AND coalesce(toxic, 0) = 0"), labels.filter("quality = 0"))

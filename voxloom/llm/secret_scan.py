@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, slices, text_slices
 
 # The base patterns.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -22,11 +22,13 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ["assign", "access", "hex", "random"]
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A run of at least RUN_MIN key characters is a candidate when it has a digit and a letter.
-RUN_MIN = 20
+#: Runs of RUN_MIN key characters and more are tested, in the parts that base spans leave of them.
+RUN_MIN = 16
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % RUN_MIN)
-#: Under the vocabulary of byte_bpe_50k prose has 4 characters a token and more, random strings less than 2.
-MAX_CHARS_PER_TOKEN = 2.0
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Fewer characters a token than this are random: prose has 4 and more under the vocabulary of byte_bpe_50k, invented
+#: words of one case 1.6 to 4, random letters and digits 1.3 to 1.8. By digits, and by the length where there are some.
+LIMIT_LONG, LIMIT_SHORT, LIMIT_LETTERS, LONG = 2.0, 1.8, 1.6, 20
 #: Digests (MD5, SHA-1, SHA-2) and UUIDs are names of known things, not secrets.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
@@ -56,20 +58,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_random(run: str, enc: tiktoken.Encoding) -> bool:
+    """Whether a run has few characters a token; known digests, identifiers and plain numbers have no say."""
+    if not LETTER.search(run) or KNOWN.fullmatch(run.strip("+/_=-")):
+        return False
+    limit = LIMIT_LETTERS if not DIGIT.search(run) else LIMIT_SHORT if len(run) < LONG else LIMIT_LONG
+    return len(run) < limit * len(enc.encode_ordinary(run))
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], enc: tiktoken.Encoding) -> list[tuple[int, int, int]]:
-    """Runs outside the base spans with few characters a token, known digests and identifiers left out."""
-    out = []
+    """Random strings among what base spans (in order) leave of the runs."""
+    out, k, reach = [], 0, 0  # base spans before the k-th start before the run; they end at reach at the latest
     for m in RUN.finditer(text):
-        run = m[0]
-        if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)) or KNOWN.fullmatch(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if len(run) < MAX_CHARS_PER_TOKEN * len(enc.encode_ordinary(run)):
-            out.append((m.start(), 3, m.end()))
+        at, end = m.span()
+        while k < len(base) and base[k][0] <= at:
+            reach = max(reach, base[k][2])
+            k += 1
+        at, j = max(at, reach), k
+        while at < end:
+            stop = base[j][0] if j < len(base) and base[j][0] < end else end
+            if stop - at >= RUN_MIN and is_random(text[at:stop], enc):
+                out.append((at, 3, stop))
+            if stop == end:
+                break
+            at, j = max(stop, base[j][2]), j + 1
+            while j < len(base) and base[j][0] <= at:
+                at, j = max(at, base[j][2]), j + 1
     return out
 
 
+def all_spans(text: str | None, enc: tiktoken.Encoding) -> tuple[list, list]:
+    """The base spans, and all spans by start and kind."""
+    base = base_spans(text or "")
+    return base, sorted(base + random_spans(text or "", base, enc))
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -100,8 +123,7 @@ def scan(docs: DataFrame, vocabulary: str, mask: bool = False) -> DataFrame:
             for part in slices(batch, ROWS):
                 rows = []
                 for text in part.column("text").to_pylist():
-                    base = base_spans(text or "")
-                    spans = sorted(base + random_spans(text or "", base, enc))
+                    base, spans = all_spans(text, enc)
                     kinds = [k for _, k, _ in spans]
                     rows.append([*(kinds.count(i) for i in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)] + [text and masked(text, spans)] * mask)
                 columns = list(zip(*rows))
@@ -117,21 +139,16 @@ def scan(docs: DataFrame, vocabulary: str, mask: bool = False) -> DataFrame:
 
 def mask_secrets(docs: DataFrame, vocabulary: str) -> DataFrame:
     """docs with the secrets in text masked and n_chars, if there is one, counted anew; no row is dropped."""
-    names = docs.columns
-    schema = docs.schema
 
-    def run(batches):
-        enc = encoding(vocabulary)
-        for batch in batches:
-            for part in slices(batch, ROWS):
-                texts = []
-                for text in part.column("text").to_pylist():
-                    base = base_spans(text or "")
-                    texts.append(text and masked(text, sorted(base + random_spans(text, base, enc))))
-                yield part.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        enc, out = encoding(vocabulary), []
+        for part in text_slices(texts, ROWS):
+            out += [text and masked(text, all_spans(text, enc)[1]) for text in part]
+        return pa.array(out, pa.string())
 
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = docs.withColumn("text", mask("text"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op5_secret_scan(spark, sf_dir):
