@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,52 +21,95 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one group packs: groups are this large for any corpus, only their number grows.
 GROUP = 50_000
-REMEMBERED = 600_000
+#: Parts of words that a worker remembers; then those go that only one slice of texts had.
+REMEMBERED = 1 << 18
 ROWS = 512
-#: A word of plain letters and marks after them; each part is encoded on its own, as the pre-tokenizer cuts there.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|<>\"()]*)")
-SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+#: The strings of special tokens, which the library looks for before it cuts words.
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: Bytes as the library's normaliser sees them: line ends and tabs are spaces, A-Z are lower-case.
+PLAIN = np.frombuffer(bytes.maketrans(b"\t\n\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz"), dtype=np.uint8)
+LETTERS, MARKS = (np.isin(np.arange(256), np.frombuffer(x, dtype=np.uint8)) for x in (b"abcdefghijklmnopqrstuvwxyz", b".,;:!?*#$%&|<>\"()"))
 
 
 class WordEncoder:
-    """Packed ids (little-endian 32-bit) of whole texts; words are encoded by the library once and remembered.
+    """Ids of whole texts; a batch's words are told apart in Arrow, and each is encoded by the library once.
 
-    The pre-tokenizer drops white space and never joins across it, so a text's ids are its words' ids in order.
-    Texts that hold the string of a special token go to the library whole.
+    The pre-tokenizer drops white space, never joins across it, and cuts between a letter and a mark, so a text's ids
+    are its parts' ids in order. Texts that hold the string of a special token go to the library whole.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.codes: dict[str, int] = {"": 0}
+        self.ids = np.zeros(0, dtype=np.uint32)  # of all known parts, one after the other
+        self.start, self.count = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.slices = np.full(1, 2)  # how many slices had each part
 
-    def by_library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
     def add(self, new: list[str]) -> None:
-        cut = []
-        for w in new:
-            m = PLAIN.fullmatch(w)
-            cut.append((m[1].lower(), m[2]) if m else (w, ""))
-        if unknown := list({p for pair in cut for p in pair} - self.parts.keys()):
-            self.parts.update(zip(unknown, self.by_library(unknown)))
-        parts = self.parts
-        self.words.update((w, parts[a] + parts[b]) for w, (a, b) in zip(new, cut))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.words, self.parts):
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if new := list(set().union(*cut) - self.words.keys()):
+        self.codes.update(zip(new, range(len(self.count), len(self.count) + len(new))))
+        ids, count = self.by_library(new)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, ids])
+        self.slices = np.concatenate([self.slices, np.zeros(len(new), dtype=np.int64)])
+
+    def shrink(self) -> None:
+        keep = np.flatnonzero(self.slices > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = keep[:1]
+        names = list(self.codes)
+        self.codes = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.ids = self.ids[gathered(self.start[keep], self.count[keep])]
+        self.count = self.count[keep]
+        self.start, self.slices = np.cumsum(self.count) - self.count, np.full(len(keep), 1)
+        self.slices[0] = 2
+
+    def parts(self, texts: pa.Array) -> pa.ListArray:
+        """The parts of each text that the library encodes on their own, with empty ones between spaces."""
+        n, data = len(texts), texts.buffers()[2]
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=texts.offset + n + 1)[texts.offset :]
+        flat = PLAIN[np.frombuffer(data or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]]
+        letter = LETTERS[flat]
+        # Latin letters of two bytes, without the signs for times and divided by.
+        letter[1:] |= (flat[:-1] == 0xC3) & (flat[1:] >= 0x80) & (flat[1:] != 0x97) & (flat[1:] != 0xB7)
+        cuts = np.flatnonzero(letter[:-1] & MARKS[flat[1:]]) + 1
+        bounds = bounds - bounds[0]
+        bounds = (bounds + np.searchsorted(cuts, bounds)).astype(np.int32)
+        return pc.split_pattern(pa.StringArray.from_buffers(n, pa.py_buffer(bounds), pa.py_buffer(np.insert(flat, cuts, 32))), " ")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each text's."""
+        if len(self.codes) > REMEMBERED:
+            self.shrink()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        parts = self.parts(texts)
+        told = parts.flatten().dictionary_encode()
+        kinds = told.dictionary.to_pylist()
+        if new := [w for w in kinds if w not in self.codes]:
             self.add(new)
-        out = [b"".join(map(self.words.__getitem__, x)) for x in cut]
-        for i, t in enumerate(texts):
-            if SPECIAL.search(t):
-                out[i] = self.by_library([t])[0]
-        return out
+        code = np.fromiter(map(self.codes.__getitem__, kinds), dtype=np.int64, count=len(kinds))
+        self.slices[code] += 1
+        code = code[told.indices.to_numpy()]
+        count = self.count[code]
+        ids = self.ids[gathered(self.start[code], count)]
+        row = np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy())
+        sizes = np.bincount(row, count, len(texts)).astype(np.int64)
+        special = pc.or_(*[pc.match_substring(texts, x, ignore_case=True) for x in SPECIAL]).to_numpy(zero_copy_only=False)
+        if special.any():
+            each = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in np.flatnonzero(special):
+                each[i] = self.by_library([texts[int(i)].as_py()])[0]
+            ids, sizes = np.concatenate(each), np.array([len(x) for x in each])
+        return ids, sizes
+
+
+def gathered(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run of so many, one run after the other."""
+    return np.arange(count.sum(), dtype=np.int32) + np.repeat((start - (np.cumsum(count) - count)).astype(np.int32), count)
 
 
 @lru_cache(maxsize=2)
@@ -75,21 +119,23 @@ def word_encoder(path: str) -> WordEncoder:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each document's pieces, its end id included."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         encoder = word_encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, ROWS):
-                rows = []
-                packed = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), packed):
-                    ids += end
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[start : start + 4 * capacity]
-                        rows.append((doc_id, k, start // 4, len(piece) // 4, zlib.crc32(piece)))
+                ids, sizes = encoder.encode(part.column("text"))
+                ends = np.cumsum(sizes + 1)  # with the end id of each text
+                packed = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4").tobytes()
+                many = -(-(sizes + 1) // capacity)
+                row = np.repeat(np.arange(len(sizes)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[row] + 1 - start)
+                at = (ends - sizes - 1)[row] + start
+                crc = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                    [part.column("doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
@@ -129,10 +175,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """cut with sequence_id and offset. Pieces are dealt to groups of about `group`, each packed on its own."""
-    cut = written(cut)
+    """cut with sequence_id and offset. Pieces are dealt to groups of about `group`, each packed on its own.
+
+    They are dealt by row, so that rows of one doc_id, or of none, do not fill a group.
+    """
+    cut = written(cut.withColumn("row", F.monotonically_increasing_id()))
     groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = cut.withColumn("dealt", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
