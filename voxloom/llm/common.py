@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from weakref import WeakKeyDictionary
@@ -99,16 +100,26 @@ def text_slices(texts: pa.Array, rows: int, size: int = 1 << 20) -> Iterator[lis
         yield part.column("text").to_pylist()
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers live on from stage to stage beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, rows: int, size: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most so many rows and about so many bytes of text, one row at least.
+    """Parts of a batch with at most so many rows and about so many bytes of text (or elements of a list column), one
+    row at least.
 
     Arrays that are worked out for a part then have a bounded size, however long the texts of a batch are.
     """
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    values = batch.column(column)
+    long = values.value_lengths() if pa.types.is_list(values.type) else pc.binary_length(values)
+    total = np.concatenate([[0], np.cumsum(pc.fill_null(long, 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     at = 0
     while at < batch.num_rows:
         to = int(np.searchsorted(total, total[at] + size, side="right")) - 1
         to = min(max(to, at + 1), at + rows, batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
