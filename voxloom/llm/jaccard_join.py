@@ -14,23 +14,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, forget, id_filter, passes, slices, written
+from .common import documents, forget, id_filter, in_batches, passes, slices, written
 from .components import components
 from .shingles import U, mix, shingle_sets
 
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Shingles with at least 1 / HOT of all are ordered by frequency, after the others: at most HOT of them.
-HOT = 1 << 20
+HOT = 1 << 22
 ROWS = 256
 #: Distinct shingles of a task that are counted at once.
-COUNTED = 1 << 20
+COUNTED = 1 << 19
+#: Entries that are made at once.
+ENTRIES = 1 << 17
 #: Lists of a node that look for its central set: so many of the shortest and so many of the longest.
 ASKED = 2
 #: Longer lists are cut into blocks by size and position.
-LONG_LIST = 32
-#: 64-bit words of the sketch that goes with every list entry.
-SKETCH = 4
+LONG_LIST = 128
+#: 64-bit words of the sketch that goes with every list entry. Sets of up to SMALL elements have parities of their
+#: elements there, which never rule out a link. Larger ones have a bit of the smallest hash in each of 256 parts of
+#: the hash range: linked sets differ in 32 of these bits on average, and in more than DIFFER with a chance of 4e-20.
+SKETCH, SMALL, DIFFER = 4, 256, 88
+#: Entries of the same set before each entry that go with it, so that a pair is made where it first meets.
+BEFORE = 3
 MARKS = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 
 
@@ -108,6 +114,16 @@ def parities(hashed: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def least_bits(text: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
+    """A bit of the smallest hash of each text in each part of the hash range; hashes rise within a text."""
+    parts = 64 * SKETCH
+    cell = text * parts + (hashed >> U(64 - int(parts).bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, dtype=np.int64)
+    bit = np.zeros(n * parts, dtype=np.uint8)
+    bit[cell[first]] = (hashed[first] >> U(20)).astype(np.uint8) & 1
+    return np.packbits(bit.reshape(n, parts), axis=1).view(np.int64)
+
+
 def prefix_sets(docs: DataFrame, hot: np.ndarray, nodes: np.ndarray) -> DataFrame:
     """(name, second, n, tokens, bits, sketch) of rows that pass the filter of nodes: tokens are the set's prefix."""
     sent = docs.sparkSession.sparkContext.broadcast((hot, nodes))
@@ -140,7 +156,8 @@ def prefix_sets(docs: DataFrame, hot: np.ndarray, nodes: np.ndarray) -> DataFram
                 some = np.flatnonzero(fresh)
                 tokens = [ordered[start[i] : start[i] + prefix[i]].astype(np.int64) for i in some]
                 bits = [parities(hashed[start[i] : start[i] + size[i]], int(size[i])) for i in some]
-                sketch = [np.bitwise_xor.reduce(b.reshape(-1, SKETCH), axis=0) for b in bits]
+                least = least_bits(text, hashed, part.num_rows)
+                sketch = [np.bitwise_xor.reduce(b.reshape(-1, SKETCH), axis=0) if size[i] <= SMALL else least[i] for i, b in zip(some, bits)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name[some]), pa.array(second[some]), pa.array(size[some].astype(np.int64)), pa.array(tokens, many), pa.array(bits, many), pa.array(sketch, many)],
                     names=names,
@@ -150,11 +167,15 @@ def prefix_sets(docs: DataFrame, hot: np.ndarray, nodes: np.ndarray) -> DataFram
 
 
 def entries(sets: DataFrame, listed: np.ndarray, carried: list[str]) -> DataFrame:
-    """(token, pos and the carried columns) for the tokens of each set that pass the filter."""
+    """(token, pos and the carried columns) for the tokens of each set that pass the filter.
+
+    Carried columns before0, before1, ... are made here: the tokens of the set's entries before each, or null.
+    """
     sent = sets.sparkSession.sparkContext.broadcast(listed)
+    kinds = dict(sets.dtypes) | {f"before{k}": "bigint" for k in range(BEFORE)}
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1 << 16, ENTRIES, "tokens")):
             tokens = batch.column("tokens")
             flat = tokens.flatten().to_numpy()
             long = tokens.value_lengths().to_numpy()
@@ -163,10 +184,18 @@ def entries(sets: DataFrame, listed: np.ndarray, carried: list[str]) -> DataFram
             keep = np.flatnonzero(passes(sent.value, flat))
             if "places" in batch.schema.names:
                 pos = batch.column("places").flatten().to_numpy()
-            rest = [batch.column(c).take(pa.array(row[keep])) for c in carried]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(pos[keep].astype(np.int64)), *rest], names=["token", "pos", *carried])
+            flat, row, pos = flat[keep], row[keep], pos[keep]
+            columns = [pa.array(flat), pa.array(pos.astype(np.int64))]
+            for c in carried:
+                if c.startswith("before"):
+                    k = int(c[6:]) + 1
+                    earlier = np.concatenate([np.zeros(min(k, len(flat)), dtype=np.int64), flat[:-k]])
+                    other = np.append(np.full(min(k, len(row)), -1), row[:-k]) != row
+                    columns.append(pa.array(earlier, mask=other))
+                else:
+                    columns.append(batch.column(c).take(pa.array(row)))
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "pos", *carried])
 
-    kinds = dict(sets.dtypes)
     return sets.mapInArrow(run, "token long, pos long" + "".join(f", {c} {kinds[c]}" for c in carried))
 
 
@@ -174,7 +203,7 @@ def memberships(sets: DataFrame, shared: DataFrame) -> DataFrame:
     """A row for each node in a list: name, n, central (mean length of its lists), tokens, places and counts."""
     met = entries(sets.select("name", "n", "tokens"), id_filter(shared, "token"), ["name", "n"]).join(shared, "token")
     once = met.groupBy("token", "name").agg(F.min("pos").alias("pos"), F.min("n").alias("n"), F.max("seen").alias("seen"))
-    items = F.sort_array(F.collect_list(F.struct("token", "pos", "seen")))  # as long as the prefix at most
+    items = F.sort_array(F.collect_list(F.struct("pos", "token", "seen")))  # as long as the prefix at most
     rows = once.groupBy("name").agg(F.min("n").alias("n"), F.sum("seen").alias("all"), items.alias("items"))
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     return rows.select(
@@ -284,7 +313,8 @@ def cross_pairs(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFr
     rows = placed.select("component", "many", F.explode("tokens").alias("token"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", "many").alias("main"), F.count("*").alias("length"))
     mixed = written(mixed.filter("low <> high").select("token", "main", "length"))
-    carried = ["name", "n", "component", *[f"s{k}" for k in range(SKETCH)]]
+    earlier = [f"before{k}" for k in range(BEFORE)]
+    carried = ["name", "n", "component", *[f"s{k}" for k in range(SKETCH)], *earlier]
     some = entries(placed.drop("many"), id_filter(mixed, "token"), carried).join(mixed, "token")
     far = 7 * F.col("pos") > F.col("n")  # 7 * (pos_a + pos_b) <= n_a + n_b for the first shingle that a pair shares
     long = F.col("length") > LONG_LIST
@@ -297,12 +327,17 @@ def cross_pairs(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFr
     a = left.select("token", "cell", *[F.col(c).alias(f"{c}_a") for c in ("pos", *carried)])
     b = right.select("token", "cell", "main", *[F.col(c).alias(f"{c}_b") for c in ("pos", *carried)])
     apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(1, SKETCH)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    # A shingle that both have just before says that they have met already.
+    met_before = F.greatest(F.lit(False), *[F.coalesce(F.col(f"{x}_a") == F.col(f"{y}_b"), F.lit(False)) for x in earlier for y in earlier])
     met = a.join(b, ["token", "cell"]).filter(
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("main")) | (F.col("name_a") < F.col("name_b")))
+        & ~met_before
         & size_fits("n_a", "n_b")
         & (7 * (F.col("pos_a") + F.col("pos_b")) <= F.col("n_a") + F.col("n_b"))
-        & enough(F.floor((F.col("n_a") + F.col("n_b") - apart) / 2), "n_a", "n_b")
+        & F.when((F.col("n_a") <= SMALL) & (F.col("n_b") <= SMALL), enough(F.floor((F.col("n_a") + F.col("n_b") - apart) / 2), "n_a", "n_b"))
+        .when((F.col("n_a") > SMALL) & (F.col("n_b") > SMALL), apart <= DIFFER)
+        .otherwise(True)
     )
     return met.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).distinct()
 
@@ -335,7 +370,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     are alone. Repeated rows have equal sets and come back as given; null doc_ids name no component unless all ids
     of it are null. An empty table gives no rows; extra columns are ignored.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    docs = in_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     first = written(described(docs))
     told = first.filter("token IS NULL").drop("token", "seen")
     clashes = clashing_names(told)
@@ -346,7 +381,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     often = frequent.toArrow()  # HOT rows at most
     token, seen = (often.column(c).to_numpy() for c in ("token", "seen"))
     order = np.lexsort((token, seen))
-    hot = np.empty(len(token), dtype=[("token", "u8"), ("rank", "i8")])
+    hot = np.empty(len(token), dtype=[("token", "u8"), ("rank", "i4")])
     hot["token"], hot["rank"] = token[order].astype(U), np.arange(1, len(token) + 1)
     hot = np.sort(hot, order="token")
     sets = written(renamed(prefix_sets(docs, hot, id_filter(nodes, "key")), clashes))
@@ -359,17 +394,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = derived(cross_pairs(members, sets, found), answers)
     more = compare(docs, left_open(rest, sets), nodes, clashes)
     links = answers.unionByName(more).filter("linked")
-    found = written(components(links).withColumnRenamed("node", "name"))
+    # Names get the smallest doc_id of their component before rows come in, so that no join has a hot component.
+    found = components(links).withColumnRenamed("node", "name")
+    ids = rows.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("least_id"))
+    named = written(ids.join(found, "name", "left").withColumn("component", F.coalesce("component", "name")))
     forget(members, sets, answers, more)
-    placed = rows.join(found, "name", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "name")))
-    least = placed.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least_id"))
-    return placed.join(least, "component", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        "component",
-        "key",
-    )
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    labels = written(named.select("name", "component").join(least, "component"))
+    placed = rows.join(labels, "name", "left")
+    component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), "component", "key")
 
 
 def op3_jaccard_join(spark, sf_dir):
