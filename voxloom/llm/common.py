@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 from weakref import WeakKeyDictionary
@@ -18,6 +19,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Filters have eight bits an id within these bounds (128 kB to 16 MB), whatever the input.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -25,6 +27,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def in_batches(docs: DataFrame) -> DataFrame:
+    """docs; from now on Spark hands their rows to Python in Arrow batches of BATCH_BYTES at most.
+
+    Ten thousand long texts in one batch would take much of an executor's memory beside its heap, three times over.
+    """
+    conf = docs.sparkSession.conf
+    bytes_now = re.fullmatch(r"(\d+)b?", conf.get(BATCH_SETTING))
+    if not bytes_now or int(bytes_now[1]) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a local default only where that is unset in local mode (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)

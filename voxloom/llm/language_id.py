@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, text_slices
+from .common import documents, in_batches, slices, text_slices
 
 #: Hashed features of n-grams of 1 to 3 characters; the model is this large for any corpus.
 DIMENSIONS = 1 << 15
@@ -123,7 +123,7 @@ def fit(
     docs: DataFrame, sample: int = SAMPLE, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.05, passes: int = 3
 ) -> Model:
     """Fit on docs (doc_id, text, lang); rows without text or lang teach nothing."""
-    docs = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    docs = in_batches(docs).filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     seen, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + seen)) + 1
     rows = sample_features(docs, sample)
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     names=["doc_id", "lang_pred", "score"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
@@ -219,7 +219,7 @@ def recognised(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
             out += [x != UNKNOWN and s >= min_score for x, s in zip(languages, score)]
         return pa.array(out, pa.bool_())
 
-    return docs.filter(clear("text"))
+    return in_batches(docs).filter(clear("text"))
 
 
 def held_out() -> Column:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, written
+from .common import documents, in_batches, slices, written
 
 DEPTH = 5
 #: Contexts of the tree that `grow` makes in one process.
@@ -406,7 +406,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     null held_out counts as false. With no training row all bytes are equally likely and each token has
     probability 1. An empty table gives no rows; extra columns are ignored.
     """
-    docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    docs = in_batches(docs).select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = training_counts(docs)
     words = counts.filter("word IS NOT NULL").select("word", F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()

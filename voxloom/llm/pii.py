@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, slices
+from .common import documents, in_batches, slices
 
 ROWS = 256
 ROUNDS = 8
@@ -251,7 +251,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
                     names=["doc_id", *counts, "spans", "text"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op9_pii(spark, sf_dir):

@@ -19,7 +19,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import documents, slices
+from .common import documents, in_batches, slices
 
 MARK = "▁"
 #: Stretches that a worker remembers before it starts afresh (some 120 MB).
@@ -212,7 +212,7 @@ def encode_decode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFr
                 ] + ([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else [])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op4_sentencepiece(spark, sf_dir):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_filter, passes, slices, written
+from .common import documents, id_filter, in_batches, passes, slices, written
 
 SPAN, K = 200, 32
 LEFT = SPAN - K  # bytes before an anchor that a string around it can start
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     other's strings, so they lose all of these, each as often as given; null doc_ids come back as null. An empty
     table gives no rows; extra columns are ignored.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    docs = in_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     found = written(found_anchors(docs))
     every = found.filter("gram IS NOT NULL").select("gram", "around", "key", "pos")
     twice = every.groupBy("gram").count().filter("count > 1").select("gram")
