@@ -74,6 +74,47 @@ def test_timeline_maps(spark):
     assert got == [(0, 1, 2), (0, 10, 11), (1, 0, 2), (1, 10, 14), (2, 13, 13)]
 
 
+def test_chunks_keep_fractions_and_spans_without_regions(spark):
+    df = spark.createDataFrame([("r", 0.5, 1.75), ("r", 2.25, 3.5), ("s", 0.25, 9.0)], "rec_id string, start double, end double")
+    got = sorted(tuple(r) for r in timeline.chunks(df, 2.5).collect())
+    assert got == [("r", 0, 0.5, 1.75), ("r", 1, 2.25, 3.5), ("s", 0, 0.25, 9.0)]
+    spans = spark.createDataFrame([("t", 0, 3.0, 4.0)], "rec_id string, span_id long, lo double, hi double")
+    assert [tuple(r) for r in timeline.split(spans, timeline.offsets(df), 2).collect()] == [("t", 0, 3.0, 4.0)]
+
+
+def test_restore_segments(spark):
+    placed = timeline.offsets(spark.createDataFrame([("r", 0.0, 2.0), ("r", 10.0, 14.0)], "rec_id string, start double, end double"))
+    word = "array<struct<word:string,start:double,end:double>>"
+    rows = [("r", 0, 2.3, 4.0, [("one", 2.3, 2.5), ("125", None, None)], "x"), ("r", 1, 0.5, 1.0, None, "y"), ("q", 0, 1.0, 2.0, [], "z")]
+    df = spark.createDataFrame(rows, f"rec_id string, seg_idx long, start double, end double, words {word}, text string")
+    got = {(r.rec_id, r.seg_idx): r for r in timeline.restore_segments(df, placed).collect()}
+    first = got[("r", 0)]
+    assert (first.start, first.end, first.text) == (pytest.approx(10.3), pytest.approx(12.0), "x")
+    assert [(w.word, w.start and round(w.start, 6), w.end and round(w.end, 6)) for w in first.words] == [("one", 10.3, 10.5), ("125", None, None)]
+    assert (got[("r", 1)].start, got[("r", 1)].words, got[("q", 0)].end, got[("q", 0)].words) == (0.5, None, 2.0, [])
+
+
+def test_transcript_lines_have_times(spark):
+    rows = [("r", 0, "S0", 1.0, 2.0, "one"), ("r", 1, "S1", 2.0, 3.0, "two"), ("r", 2, "S2", 3.0, 3.5, "three"), ("r", 3, "S0", 4.0, 9.0, " ")]
+    df = spark.createDataFrame(rows, "rec_id string, seg_idx long, label string, start double, end double, text string")
+    shown = spark.createDataFrame([("r", "S0", "Alex"), ("r", "S1", "Alex")], "rec_id string, label string, display string")
+    got = [(r.label, r.name, r.start, r.end, r.text) for r in lines.transcript(df, shown).orderBy("line_idx").collect()]
+    assert got == [("S0", "Alex", 1.0, 3.0, "one two"), ("S2", "Speaker ?", 3.0, 3.5, "three")]
+
+
+def test_white_space_of_stock_phrases(spark):
+    for space in (" ", "\u00a0", "\u3000"):
+        assert one(spark, textfilter.cover_ratio(F.lit(f"thanks{space}for watching"))) == 1.0
+
+
+def test_wave_levels_in_blocks():
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.1, 400 * 320) + 0.3
+    whole = silence.frame_levels(x, 320, 80.0)
+    block = silence.frame_levels(x[195 * 320 :], 320, 80.0)[5:]  # five frames of warm-up
+    assert np.allclose(whole[200:], block, atol=1e-6)
+
+
 def test_chunks_fold_and_grid(spark):
     spans = [(0, 5), (6, 9), (10, 12), (13, 40), (41, 42)]
     df = spark.createDataFrame([("r", s, e) for s, e in spans], "rec_id string, start long, end long")
@@ -178,6 +219,9 @@ def test_match_stitch_collapse(spark):
     assert got[("r", "a")] == ("q", False, "too_close") and got[("r", "b")] == ("p", True, "")
     assert got[("s", "a")] == ("p", False, "too_short")
     assert got[("t", "x")] == ("p", True, "") and got[("t", "y")] == (None, False, "")
+    odd = [("u", "a", 9.0, "p", -0.2), ("v", "a", 9.0, None, None), ("v", "b", 1.0, None, None), ("w", "x", 9.0, "p", 0.7), ("w", "y", 1.0, "p", 0.9)]
+    got = {(r.rec_id, r.label): (r.profile, r.reason) for r in voices.match(spark.createDataFrame(odd, df.schema)).collect()}
+    assert got == {("u", "a"): ("p", "below_threshold"), ("v", "a"): (None, ""), ("v", "b"): (None, "too_short"), ("w", "x"): ("p", ""), ("w", "y"): (None, "too_short")}
     rng = np.random.default_rng(0)
     who = rng.normal(size=(3, 64))
     near = lambda k: [float(x) for x in who[k] + rng.normal(0, 0.1, 64)]
@@ -185,6 +229,8 @@ def test_match_stitch_collapse(spark):
     df = spark.createDataFrame(parts, "rec_id string, chunk_idx int, ord int, label string, embedding array<double>, speech_sec double")
     got = {(r.chunk_idx, r.label): r.speaker[-1] for r in voices.stitch(df).collect()}
     assert got == {(0, "S0"): "0", (0, "S1"): "1", (1, "S0"): "1", (1, "S1"): "0", (2, "S0"): "2", (2, "S1"): "3"}
+    voiceless = spark.createDataFrame([("r", 0, 0, "S0", None, 3.0), ("r", 0, 1, "S1", near(1), 4.0)], "rec_id string, chunk_idx int, ord int, label string, embedding array<double>, speech_sec double")
+    assert {r.label: r.speaker for r in voices.stitch(voiceless).collect()} == {"S1": "SPEAKER_00", "S0": "SPEAKER_01"}
     v = spark.createDataFrame([("r", "S0", near(0), 5.0), ("r", "S1", near(1), 4.0), ("r", "S2", near(0), 5.0), ("r", "S3", None, 1.0)], "rec_id string, label string, embedding array<double>, speech_sec double")
     none = spark.createDataFrame([], "rec_id string, a string, b string")
     roots = lambda apart, cfg=EngineConfig(): {r.label: r.root for r in voices.collapse(v, apart, cfg).collect()}
@@ -250,8 +296,7 @@ def test_results_and_stages(spark, tmp_path):
     df = spark.createDataFrame([("r1", "2024-01-02", "en", 2.0, line), ("r2", "2024-01-03", "en", 2.0, [])], results.RESULT_SCHEMA)
     path = str(tmp_path / "results")
     results.save(df, path)
-    (tmp_path / "results" / "rec_id=bad").mkdir()
-    (tmp_path / "results" / "rec_id=bad" / "part.txt").write_text("{not json")
+    (tmp_path / "results" / "part-bad.txt").write_text("{not json")
     back = results.load(spark, path)
     assert [(r.rec_id, r.line_count, r.speakers) for r in results.catalogue(back).collect()] == [("r2", 0, []), ("r1", 2, ["Ann", "Bo"])]
     rows = spark.createDataFrame([("r1", 1), ("r2", 2)], "rec_id string, x int")
@@ -261,6 +306,12 @@ def test_results_and_stages(spark, tmp_path):
     results.save_stage(rows, stage, "align", keys)
     changed = spark.createDataFrame([("r1", "k1"), ("r2", "new")], "rec_id string, key_hash string")
     assert [(r.rec_id, r.x) for r in results.load_stage(spark, stage, "align", changed).collect()] == [("r1", 1)]
+    results.save_stage(rows.withColumn("x", F.col("x") + 10), stage, "align", keys)
+    results.clear_stage(stage, "align", rows.filter("rec_id = 'r2'"))
+    assert [(r.rec_id, r.x) for r in results.load_stage(spark, stage, "align", keys).collect()] == [("r1", 11)]
+    results.save(df.filter("rec_id = 'r1'").withColumn("language", F.lit("fr")), path)
+    results.delete(df.filter("rec_id = 'r2'"), path)
+    assert [(r.rec_id, r.language) for r in results.load(spark, path).collect()] == [("r1", "fr")]
 
 
 def test_streaming_lines(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -49,7 +49,7 @@ def cover_ratio(text: Column, patterns=BOILERPLATE) -> Column:
     """Characters that pattern matches cover, each pattern for itself, as a share of the text; 1 at most."""
     matched = F.lit(0)
     for p in patterns:
-        found = F.regexp_extract_all(text, F.lit(f"(?iud){p}"), F.lit(0))
+        found = F.regexp_extract_all(text, F.lit(f"(?iudU){p}"), F.lit(0))
         matched = matched + F.aggregate(found, F.lit(0), lambda acc, x: acc + F.length(x))
     return F.when(F.length(text) > 0, F.least(matched / F.length(text), F.lit(1.0))).otherwise(F.lit(0.0))
 
@@ -60,6 +60,12 @@ def glued(text: Column) -> Column:
     return F.struct(F.regexp_extract(packed, GLUED, 1).alias("unit"), F.length(F.regexp_extract(packed, GLUED, 0)).alias("length"), F.length(packed).alias("packed"))
 
 
+def mean_score(words: Column) -> Column:
+    """The mean alignment score of a segment's words that have one; null if none has."""
+    scores = F.filter(F.transform(words, lambda w: w["score"].cast("double")), lambda x: x.isNotNull())
+    return F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
+
+
 def evidence(score: Column, seconds: Column, chars: Column, min_score: float) -> Column:
     """low_score, slow or null; nothing when min_score is not positive."""
     if min_score <= 0:
@@ -100,8 +106,11 @@ def clean(inspected: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame
 
 def warning_summary(notes: DataFrame, rec: str, order: str) -> DataFrame:
     """Per recording and verdict the count and a sample: the first three texts, 24 characters of each."""
-    first = F.slice(F.sort_array(F.collect_list(F.struct(order, F.substring("text", 1, 24).alias("t")))), 1, 3)
-    grouped = notes.filter("verdict <> 'keep'").groupBy(rec, "verdict").agg(F.count("*").alias("n"), first.alias("first"))
+    some = notes.filter("verdict <> 'keep'")
+    ranked = some.withColumn("_k", F.row_number().over(Window.partitionBy(rec, "verdict").orderBy(order))).filter("_k <= 3")
+    first = F.sort_array(F.collect_list(F.struct("_k", F.substring("text", 1, 24).alias("t"))))
+    counts = some.groupBy(rec, "verdict").agg(F.count("*").alias("n"))
+    grouped = counts.join(ranked.groupBy(rec, "verdict").agg(first.alias("first")), [rec, "verdict"])
     shown = F.array_join(F.transform("first", lambda x: F.concat(F.lit('"'), x["t"], F.lit('"'))), ", ")
     more = F.when(F.col("n") > 3, F.concat(F.lit(" and "), (F.col("n") - 3).cast("string"), F.lit(" more"))).otherwise("")
     return grouped.select(rec, "verdict", "n", F.concat(shown, more).alias("sample"))

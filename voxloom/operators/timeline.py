@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +54,11 @@ def to_original(points: DataFrame, placed: DataFrame, rec: str = "rec_id") -> Da
 def split(spans: DataFrame, placed: DataFrame, width, rec: str = "rec_id") -> DataFrame:
     """The pieces on the original clock of spans (rec, span_id, lo, hi) on the kept clock, one for each region.
 
-    Spans are clamped to the kept time; an empty span gives the one point it maps to.
+    Spans are clamped to the kept time; an empty span gives the one point it maps to. Spans of recordings without
+    regions stay as they are.
     """
     kept = placed.groupBy(rec).agg(F.sum("length").alias("_kept"))
+    whole = spans.join(kept, rec, "left_anti").select(rec, "span_id", F.col("lo").alias("start"), F.col("hi").alias("end"))
     clamped = spans.join(kept, rec).select(
         rec,
         "span_id",
@@ -71,7 +74,29 @@ def split(spans: DataFrame, placed: DataFrame, width, rec: str = "rec_id") -> Da
         rec, "span_id", (shift + F.greatest("l_start", "r_start")).alias("start"), (shift + F.least("l_end", "r_end")).alias("end")
     )
     points = to_original(clamped.filter("l_end <= l_start").select(rec, "span_id", F.col("l_start").alias("pos")), placed, rec)
-    return pieces.unionByName(points.select(rec, "span_id", F.col("original").alias("start"), F.col("original").alias("end")))
+    points = points.select(rec, "span_id", F.col("original").alias("start"), F.col("original").alias("end"))
+    return pieces.unionByName(points).unionByName(whole)
+
+
+def restore_segments(segments: DataFrame, placed: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """Segments (rec, seg_idx, start, end, words) of the kept clock on the original one, their words as well.
+
+    words are structs with start and end; null times stay null, as do null and empty lists of words.
+    """
+    rest = [c for c in segments.columns if c not in ("start", "end", "words")]
+    fields = [f.name for f in segments.schema["words"].dataType.elementType.fields]
+    words = segments.select(*rest, F.posexplode("words").alias("_i", "_w")).select(*rest, "_i", "_w.*")
+    ends = lambda x, name: F.struct(F.lit(name).alias("end"), F.col(x).alias("pos"))
+    spans = segments.select(rec, "seg_idx", F.lit(-1).alias("_i"), "start", "end").unionByName(words.select(rec, "seg_idx", "_i", "start", "end"))
+    points = spans.select(rec, "seg_idx", "_i", F.inline(F.array(ends("start", "start"), ends("end", "end")))).withColumnRenamed("end", "_end")
+    moved = to_original(points.filter("pos IS NOT NULL"), placed, rec)
+    both = moved.groupBy(rec, "seg_idx", "_i").agg(*[F.max(F.when(F.col("_end") == x, F.col("original"))).alias(f"_{x}") for x in ("start", "end")])
+    put = lambda x: F.col(f"_{x}").cast(segments.schema[x].dataType).alias(x)
+    timed = words.drop("start", "end").join(both, [rec, "seg_idx", "_i"], "left").withColumns({"start": put("start"), "end": put("end")})
+    listed = timed.groupBy(rec, "seg_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", F.struct(*fields).alias("w")))), lambda x: x["w"]).alias("_words"))
+    own = both.filter("_i = -1").drop("_i")
+    out = segments.drop("start", "end").join(own, [rec, "seg_idx"], "left").join(listed, [rec, "seg_idx"], "left")
+    return out.select(*rest, put("start"), put("end"), F.coalesce("_words", "words").alias("words")).select(segments.columns)
 
 
 def restore_turns(turns: DataFrame, placed: DataFrame, width, rec: str = "rec_id") -> DataFrame:
@@ -84,21 +109,25 @@ def restore_turns(turns: DataFrame, placed: DataFrame, width, rec: str = "rec_id
 def chunks(regions: DataFrame, limit, rec: str = "rec_id") -> DataFrame:
     """chunk_idx for each region: a chunk begins when it would last more than limit from its first start.
 
-    A region longer than limit stays whole; limit 0 or less puts all in one chunk. The fold runs over one
-    recording's regions inside the JVM; recordings are dealt over tasks.
+    A region longer than limit stays whole; limit 0 or less puts all in one chunk. Recordings are dealt over tasks; in
+    each the regions of a recording stream by in order, and only where the chunk began is carried along.
     """
-    listed = regions.groupBy(rec).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("regions"))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,chunk:int,first:bigint>>)")
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        fresh = (F.size(acc) > 0) & (F.lit(limit) > 0) & (x["end"] - last["first"] > limit)
-        chunk = F.when(F.size(acc) == 0, 0).when(fresh, last["chunk"] + 1).otherwise(last["chunk"])
-        first = F.when((F.size(acc) == 0) | fresh, x["start"]).otherwise(last["first"])
-        return F.concat(acc, F.array(F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), chunk.cast("int").alias("chunk"), first.cast("long").alias("first"))))
-
-    folded = listed.select(rec, F.explode(F.aggregate("regions", empty, lambda acc, x: F.when(F.size(acc) == 0, step(acc, x)).otherwise(step(acc, x)))).alias("x"))
-    return folded.select(rec, F.col("x.chunk").alias("chunk_idx"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    kinds = dict(regions.dtypes)
+
+    def run(batches):
+        key, first, chunk = object(), None, 0
+        for batch in batches:
+            out = []
+            for k, start, end in zip(*(batch.column(c).to_pylist() for c in (rec, "start", "end"))):
+                if k != key:
+                    key, first, chunk = k, start, 0
+                elif limit > 0 and end - first > limit:
+                    first, chunk = start, chunk + 1
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(rec), pa.array(out, pa.int32()), batch.column("start"), batch.column("end")], names=[rec, "chunk_idx", "start", "end"])
+
+    ordered = regions.select(rec, "start", "end").repartition(rec).sortWithinPartitions(rec, "start", "end")
+    return ordered.mapInArrow(run, f"{rec} {kinds[rec]}, chunk_idx int, start {kinds['start']}, end {kinds['end']}")
 
 
 def grid(totals: DataFrame, limit, rec: str = "rec_id") -> DataFrame:

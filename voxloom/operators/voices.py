@@ -43,10 +43,14 @@ def similarities(probes: DataFrame, speakers: DataFrame, probe_keys: list[str],
 
 
 def decisions(scores: DataFrame, rec: str, label: str, profile: str, threshold: float, margin: float) -> DataFrame:
-    """matched and reason for assigned rows (score, runner_up): threshold first, then the margin to the runner-up."""
+    """matched and reason for assigned rows (score, runner_up): threshold first, then the margin to the runner-up.
+
+    A column `short`, where there is one, says whose speech was too short for any match.
+    """
     low = F.col("score") < threshold
     close = (F.col("runner_up") > 0) & (F.col("score") - F.col("runner_up") < margin)
-    reason = F.when(F.col("score") < 0, "too_short").when(low, "below_threshold").when(close, "too_close").otherwise("")
+    short = F.col("short") if "short" in scores.columns else F.lit(False)
+    reason = F.when(short, "too_short").when(low, "below_threshold").when(close, "too_close").otherwise("")
     return scores.select(rec, label, profile, "score", "runner_up", (reason == "").alias("matched"), reason.alias("reason"))
 
 
@@ -54,8 +58,11 @@ def match(scores: DataFrame, cfg: EngineConfig = EngineConfig(), rec: str = "rec
     """One-to-one matches of a recording's labels to profiles from (rec, label, speech_sec, profile, score).
 
     Labels with too little speech score -1 throughout. The assignment has the largest total; threshold and margin
-    come after it, so a rejected pair still holds its profile. Labels left over score 0 without a reason.
+    come after it, so a rejected pair still holds its profile. Labels left over score 0, without a reason unless
+    their speech was too short. A row with a null profile stands for a label that has no profile to go with.
     """
+    every = scores.select(rec, "label", (F.col("speech_sec") < cfg.min_speech_sec).alias("short")).groupBy(rec, "label").agg(F.max("short").alias("short"))
+    scores = scores.filter("profile IS NOT NULL")
     gated = scores.withColumn("score", F.when(F.col("speech_sec") < cfg.min_speech_sec, F.lit(-1.0)).otherwise(F.col("score")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -74,9 +81,11 @@ def match(scores: DataFrame, cfg: EngineConfig = EngineConfig(), rec: str = "rec
     kinds = dict(scores.dtypes)
     schema = f"{rec} {kinds[rec]}, label {kinds['label']}, profile {kinds['profile']}, score double, runner_up double"
     assigned = gated.select(rec, "label", "profile", "score").groupBy(rec).applyInPandas(run, schema)
-    told = decisions(assigned, rec, "label", "profile", cfg.match_threshold, cfg.match_margin)
+    whole = every.join(assigned, [rec, "label"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("score", "runner_up")})
+    told = decisions(whole, rec, "label", "profile", cfg.match_threshold, cfg.match_margin)
     alone = F.col("profile").isNull()
-    return told.withColumn("matched", F.col("matched") & ~alone).withColumn("reason", F.when(alone, "").otherwise(F.col("reason")))
+    reason = F.when(alone & (F.col("reason") != "too_short"), "").otherwise(F.col("reason"))
+    return told.withColumn("matched", F.col("matched") & ~alone).withColumn("reason", reason)
 
 
 def _unit(v) -> np.ndarray:
@@ -89,15 +98,15 @@ def stitch(parts: DataFrame, cfg: EngineConfig = EngineConfig(), rec: str = "rec
     """speaker for each (rec, chunk_idx, label): labels of successive chunks joined by voice.
 
     parts: rec, chunk_idx, ord, label, embedding, speech_sec. Chunk by chunk, labels with a voice are assigned to
-    the speakers so far with the largest total similarity and taken if it reaches the threshold; all others,
-    and every label without a voice, are new speakers, numbered in order.
+    the speakers so far with the largest total similarity and taken if it reaches the threshold; all others are new
+    speakers, numbered by label, those with a voice before those without.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         vectors: list[list[np.ndarray]] = []
         out = []
-        for _, chunk in pdf.sort_values(["chunk_idx", "ord", "label"]).groupby("chunk_idx", sort=True):
-            rows = list(chunk.itertuples())
+        for _, chunk in pdf.sort_values(["chunk_idx", "label"]).groupby("chunk_idx", sort=True):
+            rows = sorted(chunk.itertuples(), key=lambda r: r.embedding is None or not len(r.embedding))
             voiced = [i for i, r in enumerate(rows) if r.embedding is not None and len(r.embedding)]
             known = [s for s, v in enumerate(vectors) if v]
             grid = np.full((len(voiced), len(known)), -1.0)
@@ -134,35 +143,33 @@ def collapse(voices: DataFrame, apart: DataFrame, cfg: EngineConfig = EngineConf
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("label")
-        pairs = pdf["apart"].iloc[0]
-        root = {x: x for x in pdf["label"]}
-        forbidden: dict[str, set] = {x: set() for x in root}
-        for a, b in pairs if pairs is not None else []:
-            for x, y in ((a, b), (b, a)):
-                forbidden.setdefault(x, set()).add(y)
-        voiced = [r for r in pdf.itertuples() if r.embedding is not None and len(r.embedding)]
-        middle = {r.label: _unit(r.embedding) for r in voiced}
-        weight = {r.label: float(r.speech_sec or 0) for r in voiced}
-        while cfg.merge_threshold > 0 and len(middle) > 1:
-            names = sorted(middle)
-            stack = np.array([middle[x] for x in names])
-            alike = stack @ stack.T
-            best = None
-            for i, a in enumerate(names):
-                for j in range(i + 1, len(names)):
-                    if names[j] not in forbidden[a] and alike[i, j] >= cfg.merge_threshold and (best is None or alike[i, j] > best[0]):
-                        best = (alike[i, j], a, names[j])
-            if best is None:
-                break
-            _, keep, gone = best
-            total = weight[keep] + weight[gone]
-            share = (weight[keep] / total, weight[gone] / total) if total > 0 else (0.5, 0.5)
-            middle[keep] = _unit(share[0] * middle[keep] + share[1] * middle.pop(gone))
-            weight[keep] = total
-            forbidden[keep] |= forbidden[gone]
-            for x in forbidden[gone]:
-                forbidden.setdefault(x, set()).add(keep)
-            root = {x: keep if r == gone else r for x, r in root.items()}
+        has_voice = pdf["embedding"].map(lambda v: v is not None and len(v) > 0)
+        root = dict(zip(pdf["label"], pdf["label"]))
+        voiced = pdf[has_voice]
+        names = list(voiced["label"])
+        if cfg.merge_threshold > 0 and len(names) > 1:
+            vectors = np.array([_unit(v) for v in voiced["embedding"]])
+            weights = voiced["speech_sec"].fillna(0).to_numpy(dtype=float)
+            place = {x: i for i, x in enumerate(names)}
+            barred = np.eye(len(names), dtype=bool)
+            for x, y in pdf["apart"].iloc[0] if pdf["apart"].iloc[0] is not None else []:
+                if x in place and y in place:
+                    barred[place[x], place[y]] = barred[place[y], place[x]] = True
+            alike = np.where(barred, -np.inf, vectors @ vectors.T)
+            while True:
+                upper = np.where(np.triu(np.ones_like(barred), 1), alike, -np.inf)
+                i, j = divmod(int(upper.argmax()), len(names))
+                if not upper[i, j] >= cfg.merge_threshold:
+                    break
+                share = weights[[i, j]] / (weights[i] + weights[j]) if weights[i] + weights[j] > 0 else np.full(2, 0.5)
+                vectors[i] = _unit(share @ vectors[[i, j]])
+                weights[i] += weights[j]
+                barred[i] |= barred[j]
+                barred[j] = True
+                barred |= barred.T
+                fresh = np.where(barred[i], -np.inf, vectors @ vectors[i])
+                alike[i], alike[:, i], alike[j], alike[:, j] = fresh, fresh, -np.inf, -np.inf
+                root = {x: names[i] if r == names[j] else r for x, r in root.items()}
         return pd.DataFrame({rec: pdf[rec], "label": pdf["label"], "root": [root[x] for x in pdf["label"]]})
 
     kinds = dict(voices.dtypes)

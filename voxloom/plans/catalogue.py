@@ -54,6 +54,22 @@ def merge_lines(spark, sf_dir):
     return lines.merge_lines(named, "conv_id", ["turn"], "name", "text")
 
 
+@query("""
+WITH s AS (SELECT conv_id AS rec_id, turn AS seg_idx, role || (turn % 3) AS label, trim(text) AS text, turn * 60.0 AS s, turn * 60.0 + (turn % 5 + 1) * 12 AS e
+           FROM conversations WHERE trim(text) <> ''),
+d AS (SELECT *, CASE WHEN label LIKE '%2' THEN 'Speaker ?' WHEN label LIKE 'user%' THEN 'Ann' ELSE 'Bo' END AS name FROM s),
+f AS (SELECT *, CASE WHEN lag(name) OVER w = name THEN 0 ELSE 1 END AS is_new FROM d WINDOW w AS (PARTITION BY rec_id ORDER BY seg_idx)),
+g AS (SELECT *, sum(is_new) OVER (PARTITION BY rec_id ORDER BY seg_idx) - 1 AS line_idx FROM f)
+SELECT rec_id, CAST(line_idx AS BIGINT) AS line_idx, min_by(label, seg_idx) AS label, name, CAST(min_by(s, seg_idx) AS DOUBLE) AS "start",
+       CAST(max_by(e, seg_idx) AS DOUBLE) AS "end", count(*) AS n_segments, string_agg(text, ' ' ORDER BY seg_idx) AS text
+FROM g GROUP BY rec_id, line_idx, name""")
+def transcript(spark, sf_dir):
+    """Lines of segments whose labels have display names, but for every third label."""
+    seg = inputs.segments(spark, sf_dir).withColumn("label", F.concat("label", (F.col("seg_idx") % 3).cast("string")))
+    names_ = seg.filter("label NOT LIKE '%2'").select("rec_id", "label", F.when(F.col("label").startswith("user"), "Ann").otherwise("Bo").alias("display"))
+    return lines.transcript(seg, names_.distinct())
+
+
 def _ordered(spark, sf_dir):
     seg = inputs.segments(spark, sf_dir).select("rec_id", "seg_idx", F.concat("label", (F.col("seg_idx") % 3).cast("string")).alias("label"))
     extra = seg.select("rec_id").distinct().select("rec_id", F.lit("only_speech").alias("label"), F.lit(99).alias("ord"))
@@ -264,11 +280,21 @@ def silence_plan(spark, sf_dir):
     return silence.plan(levels, totals, HOUR, HOUR, cfg)
 
 
+BLOCK, WARM_UP = 2048, 40  # values of 40 samples; a frame has eight of them, and the filter has died out after 37
+
+
 @query()
 def wave_levels(spark, sf_dir):
-    """Each user's values as a wave file, read back and measured frame by frame behind an 80 Hz high-pass."""
-    w = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
-    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(w, lambda x: x["value"]).alias("values"))
+    """Each user's values as wave files of BLOCK values, measured frame by frame behind an 80 Hz high-pass.
+
+    A block begins with the values before it, so that the filter is where it would be in one long file.
+    """
+    at = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("at")
+    numbered = table(spark, sf_dir, "events").select("user_id", "value", at)
+    block = F.floor(F.col("at") / BLOCK)
+    also = F.when(F.col("at") % BLOCK >= BLOCK - WARM_UP, F.array(block, block + 1)).otherwise(F.array(block))
+    listed = F.sort_array(F.collect_list(F.struct("at", "value")))
+    blocks = numbered.withColumn("block", F.explode(also)).groupBy("user_id", "block").agg(F.transform(listed, lambda x: x["value"]).alias("values"))
 
     def make(batches):
         import numpy as np
@@ -276,10 +302,14 @@ def wave_levels(spark, sf_dir):
 
         for b in batches:
             made = [wav.encode(np.repeat(np.sin(np.asarray(v)) / 2, 40)) for v in b.column("values").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("user_id"), pa.array(made, pa.binary())], names=["user_id", "content"])
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(made, pa.binary())], names=["name", "content"])
 
-    files = users.mapInArrow(make, "user_id long, content binary")
-    return wav.levels(files, "user_id", 320, 80.0).withColumn("db", F.round("db", 4))
+    files = blocks.select(F.concat_ws(":", "user_id", "block").alias("name"), "values").mapInArrow(make, "name string, content binary")
+    part = F.split("name", ":")
+    warm = F.when(part[1] == "0", 0).otherwise(WARM_UP // 8)
+    frame = part[1].cast("long") * (BLOCK // 8) + F.col("frame_idx") - warm
+    measured = wav.levels(files, "name", 320, 80.0).filter(F.col("frame_idx") >= warm)
+    return measured.select(part[0].cast("long").alias("user_id"), frame.alias("frame_idx"), F.round("db", 4).alias("db"))
 
 
 # Voices
@@ -308,11 +338,11 @@ def top2_scores(spark, sf_dir):
 WITH {TOP2}, o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC) AS k FROM top),
 d AS (SELECT a.vec_id, a.speaker_id, a.score, b.score AS runner_up FROM o a JOIN o b ON a.vec_id = b.vec_id AND a.k = 1 AND b.k = 2)
 SELECT vec_id, speaker_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up,
-       CASE WHEN score < 0 THEN 'too_short' WHEN score < 0.25 THEN 'below_threshold' WHEN runner_up > 0 AND score - runner_up < 0.02 THEN 'too_close' ELSE '' END AS reason FROM d""")
+       CASE WHEN vec_id % 7 = 0 THEN 'too_short' WHEN score < 0.25 THEN 'below_threshold' WHEN runner_up > 0 AND score - runner_up < 0.02 THEN 'too_close' ELSE '' END AS reason FROM d""")
 def match_decisions(spark, sf_dir):
     w = Window.partitionBy("vec_id").orderBy(F.desc("score"))
     ranked = _top2(spark, sf_dir).withColumn("k", F.row_number().over(w)).withColumn("runner_up", F.lead("score").over(w))
-    told = voices.decisions(ranked.filter("k = 1").withColumn("label", F.lit("")), "vec_id", "label", "speaker_id", 0.25, 0.02)
+    told = voices.decisions(ranked.filter("k = 1").withColumns({"label": F.lit(""), "short": F.col("vec_id") % 7 == 0}), "vec_id", "label", "speaker_id", 0.25, 0.02)
     return told.select("vec_id", "speaker_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "reason")
 
 
@@ -369,13 +399,13 @@ def collapse(spark, sf_dir):
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 w AS (SELECT doc_id, i, unnest(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS w FROM l),
 c AS (SELECT doc_id, i, w, count(*) AS c FROM w GROUP BY 1, 2, 3),
-r AS (SELECT doc_id, i, sum(c) AS n, max(c) / sum(c) AS r FROM c GROUP BY 1, 2 HAVING sum(c) >= 4)
+g AS (SELECT doc_id, i, CASE WHEN sum(c) >= 4 THEN max(c) / sum(c) ELSE 0 END AS r FROM c GROUP BY 1, 2),
+r AS (SELECT l.doc_id, l.i, coalesce(g.r, 0) AS r FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i)
 SELECT doc_id, count(*) AS lines, count(*) FILTER (r >= 0.4) AS repeated, round(max(r), 6) AS most FROM r GROUP BY 1""")
 def repetition(spark, sf_dir):
-    """Lines of four words and more."""
+    """All lines of all documents."""
     split = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    some = split.filter(F.size(textfilter.tokens(F.col("line"))) >= 4)
-    rated = some.select("doc_id", textfilter.repetition_ratio(F.col("line")).alias("r"))
+    rated = split.select("doc_id", textfilter.repetition_ratio(F.col("line")).alias("r"))
     return rated.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("r") >= 0.4).alias("repeated"), F.round(F.max("r"), 6).alias("most"))
 
 
@@ -478,12 +508,13 @@ def error_kinds(spark, sf_dir):
 
 
 @query("""
-SELECT r_name, string_agg(n_name, ', ' ORDER BY n_name) || '.' || CASE WHEN r_regionkey % 2 = 0 THEN ' ' || r_name ELSE '' END AS prompt
-FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name, r_regionkey""")
+SELECT s_nationkey AS rec_id, string_agg(s_name, ', ' ORDER BY s_name) || '.' || CASE WHEN s_nationkey % 2 = 0 THEN ' nation ' || s_nationkey ELSE '' END AS prompt
+FROM supplier GROUP BY 1""")
 def initial_prompts(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
-    r = table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
-    return r.select("r_name", names.initial_prompt(F.col("names"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).otherwise("  ")).alias("prompt"))
+    """The suppliers of a nation as speakers, and a glossary for every second one."""
+    n = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("rec_id")).agg(F.sort_array(F.collect_list("s_name")).alias("names"))
+    glossary = F.when(F.col("rec_id") % 2 == 0, F.concat(F.lit(" nation "), F.col("rec_id").cast("string"))).otherwise("  ")
+    return n.select("rec_id", names.initial_prompt(F.col("names"), glossary).alias("prompt"))
 
 
 # Registry
@@ -533,12 +564,12 @@ def upsert_speakers(spark, sf_dir):
     return registry.upsert_speakers(_speakers(spark, sf_dir), wanted, F.lit("2024-01-02")).select("id", "name")
 
 
-@query(f"""WITH {PRINTS}, n AS (SELECT id + 100000 AS id, 5 AS speaker_id, source FROM prints WHERE id < 12),
+@query(f"""WITH {PRINTS}, n AS (SELECT id + 100000 AS id, 5 AS speaker_id, source FROM prints WHERE source IN ('result:3', 'result:5', 'result:7')),
 u AS (SELECT id, speaker_id, source FROM prints WHERE source NOT IN (SELECT source FROM n) UNION ALL SELECT * FROM n)
 SELECT id, speaker_id, source FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY id DESC) AS k FROM u) WHERE k <= 10""")
 def enroll(spark, sf_dir):
     p = _prints(spark, sf_dir)
-    new = p.filter("id < 12").withColumns({"id": F.col("id") + 100000, "speaker_id": F.lit(5).cast("long")})
+    new = p.filter("source IN ('result:3', 'result:5', 'result:7')").withColumns({"id": F.col("id") + 100000, "speaker_id": F.lit(5).cast("long")})
     return registry.enroll(p, new, 10).select("id", "speaker_id", "source")
 
 
@@ -591,13 +622,14 @@ def names_taken(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT n_name AS key, 'old' AS value FROM nation), c AS (SELECT r_name AS key, 'new' AS value FROM region UNION ALL SELECT n_name, n_name FROM nation WHERE n_nationkey % 3 = 0)
+WITH s AS (SELECT 'user ' || user_id AS key, max_by(event_type, event_id) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY 1),
+c AS (SELECT 'user ' || user_id AS key, max_by(event_type, event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1)
 SELECT coalesce(s.key, c.key) AS key, coalesce(c.value, s.value) AS value FROM s FULL JOIN c ON s.key = c.key""")
 def upsert_settings(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    changes = table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), F.lit("new").alias("value"))
-    changes = changes.union(n.filter("n_nationkey % 3 = 0").select("n_name", "n_name"))
-    return registry.upsert_settings(n.select(F.col("n_name").alias("key"), F.lit("old").alias("value")), changes)
+    """A setting for each user: two thirds of the events made them, the others change them."""
+    e = table(spark, sf_dir, "events").withColumn("key", F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    last = lambda rows: rows.groupBy("key").agg(F.max_by("event_type", "event_id").alias("value"))
+    return registry.upsert_settings(last(e.filter("event_id % 3 <> 0")), last(e.filter("event_id % 3 = 0")))
 
 
 # Smaller operators
@@ -617,6 +649,39 @@ def restore_turns(spark, sf_dir):
     return timeline.restore_turns(turns, timeline.offsets(_regions(spark, sf_dir)), 4 * HOUR)
 
 
+@query(f"""
+WITH {REGIONS}, p AS (SELECT user_id AS rec_id, event_id AS seg_idx, CAST(event_id * 7919 % 200000 AS DOUBLE) AS lo FROM events),
+x AS (SELECT rec_id, seg_idx, i, lo + i * 400 AS lo, CASE WHEN i = 2 THEN NULL ELSE lo + i * 400 + 300 END AS hi FROM p, range(0, 3) t(i)
+      UNION ALL SELECT rec_id, seg_idx, -1, lo, lo + 1200 FROM p),
+m AS (SELECT rec_id, seg_idx, i, max_by(least(s + lo - off, e), off) AS a FROM x JOIN placed USING (rec_id) WHERE off <= lo GROUP BY 1, 2, 3),
+n AS (SELECT rec_id, seg_idx, i, max_by(least(s + hi - off, e), off) AS b FROM x JOIN placed USING (rec_id) WHERE off <= hi GROUP BY 1, 2, 3)
+SELECT rec_id, seg_idx, i AS word_idx, a AS "start", b AS "end" FROM m LEFT JOIN n USING (rec_id, seg_idx, i)""")
+def restore_segments(spark, sf_dir):
+    """Segments of three words, the last without an end; word_idx -1 is the segment itself."""
+    lo = (F.col("event_id") * 7919 % 200000).cast("double")
+    word = lambda i: F.struct(F.lit(f"w{i}").alias("word"), (lo + i * 400).alias("start"), F.when(F.lit(i < 2), lo + i * 400 + 300).alias("end"))
+    segments = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("rec_id"), F.col("event_id").alias("seg_idx"), lo.alias("start"), (lo + 1200).alias("end"), F.array(*[word(i) for i in range(3)]).alias("words")
+    )
+    back = timeline.restore_segments(segments, timeline.offsets(_regions(spark, sf_dir)))
+    own = back.select("rec_id", "seg_idx", F.lit(-1).alias("word_idx"), "start", "end")
+    words = back.select("rec_id", "seg_idx", F.posexplode("words").alias("word_idx", "w")).select("rec_id", "seg_idx", "word_idx", "w.start", "w.end")
+    return own.unionByName(words).withColumn("word_idx", F.col("word_idx").cast("long"))
+
+
+@query("""
+WITH w AS (SELECT conv_id AS rec_id, turn AS seg_idx, unnest(range(0, 4)) AS i FROM conversations),
+s AS (SELECT rec_id, seg_idx, CASE WHEN (seg_idx + i) % 3 <> 0 THEN (rec_id * 7 + seg_idx * 13 + i * 29) % 100 / 100.0 END AS score FROM w WHERE seg_idx % 4 <> 0)
+SELECT rec_id, seg_idx, round(CAST(avg(score) AS DOUBLE), 6) AS score FROM s GROUP BY 1, 2
+UNION ALL SELECT conv_id, turn, NULL FROM conversations WHERE turn % 4 = 0""")
+def mean_scores(spark, sf_dir):
+    """The mean alignment score of a segment's words; some words have none, and in every fourth segment none has."""
+    key = lambda i: (F.col("rec_id") * 7 + F.col("seg_idx") * 13 + i * 29) % 100 / 100.0
+    score = lambda i: F.when(((F.col("seg_idx") + i) % 3 != 0) & (F.col("seg_idx") % 4 != 0), key(i))
+    seg = inputs.segments(spark, sf_dir).withColumn("words", F.array(*[F.struct(score(i).alias("score")) for i in range(4)]))
+    return seg.select("rec_id", "seg_idx", F.round(textfilter.mean_score(F.col("words")), 6).alias("score"))
+
+
 @query(f"""
 WITH v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings),
 kept AS (SELECT vec_id, label, embedding FROM v WHERE n <= 10),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -15,17 +17,29 @@ RESULT_SCHEMA = (
 
 
 def save(results: DataFrame, path: str) -> None:
-    """One JSON document per result; saving again replaces the same rec_ids' partitions only."""
-    body = F.to_json(F.struct(*[c for c in results.columns]))
-    rows = results.select("rec_id", body.alias("value"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rec_id").text(path)
+    """Append one JSON document per result; load takes the one saved last for each rec_id.
+
+    Nothing is overwritten, so a job that fails half-way leaves older results whole.
+    """
+    _append(results.select("rec_id", F.struct(*results.columns).alias("result")), path)
+
+
+def delete(gone: DataFrame, path: str) -> None:
+    """Take away the results of the rec_ids in gone; others stay."""
+    _append(gone.select("rec_id"), path)
+
+
+def _append(rows: DataFrame, path: str) -> None:
+    stamped = F.to_json(F.struct(F.lit(time.time_ns()).alias("saved"), *rows.columns))
+    rows.select(stamped.alias("value")).write.mode("append").text(path)
 
 
 def load(spark: SparkSession, path: str, schema: str = RESULT_SCHEMA) -> DataFrame:
     """The saved results; documents that cannot be read are left out."""
-    raw = spark.read.text(path, wholetext=False)
-    parsed = raw.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    return parsed.filter("r IS NOT NULL AND r.rec_id IS NOT NULL").select("r.*")
+    line = f"saved bigint, rec_id string, result struct<{schema}>"
+    parsed = spark.read.text(path).select(F.from_json("value", line, {"mode": "PERMISSIVE"}).alias("r")).filter("r.rec_id IS NOT NULL")
+    latest = parsed.groupBy("r.rec_id").agg(F.max_by("r.result", "r.saved").alias("result"))
+    return latest.filter("result IS NOT NULL").select("result.*")
 
 
 def catalogue(results: DataFrame) -> DataFrame:
@@ -58,16 +72,25 @@ def key_hash(*parts: Column) -> Column:
 
 
 def save_stage(df: DataFrame, path: str, stage: str, keys: DataFrame) -> None:
-    """Write a stage's rows (rec_id, ...) with the key_hash of their recording; other recordings stay."""
-    rows = df.join(keys.select("rec_id", "key_hash"), "rec_id")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rec_id").parquet(f"{path}/{stage}")
+    """Append a stage's rows (rec_id, ...) with the key_hash of their recording; what is saved last counts."""
+    rows = df.join(keys.select("rec_id", "key_hash"), "rec_id").withColumn("saved", F.lit(time.time_ns()))
+    rows.write.mode("append").parquet(f"{path}/{stage}")
+
+
+def clear_stage(path: str, stage: str, gone: DataFrame) -> None:
+    """From now on the stage has no rows for the rec_ids in gone."""
+    saved = gone.sparkSession.read.parquet(f"{path}/{stage}")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in saved.schema if f.name not in ("rec_id", "saved")]
+    rows = gone.select(F.col("rec_id").cast(saved.schema["rec_id"].dataType), *rest, F.lit(time.time_ns()).alias("saved"))
+    rows.select(saved.columns).write.mode("append").parquet(f"{path}/{stage}")
 
 
 def load_stage(spark: SparkSession, path: str, stage: str, keys: DataFrame) -> DataFrame | None:
-    """The stage's rows of recordings whose key is the same as when they were saved; None if nothing was saved."""
+    """The stage's rows of recordings whose key is the same as when they were saved last; None if nothing was saved."""
     try:
         saved = spark.read.parquet(f"{path}/{stage}")
     except AnalysisException:
         return None
-    kind = dict(keys.dtypes)["rec_id"]
-    return saved.withColumn("rec_id", F.col("rec_id").cast(kind)).join(keys.select("rec_id", "key_hash"), ["rec_id", "key_hash"], "left_semi").drop("key_hash")
+    latest = saved.groupBy("rec_id").agg(F.max("saved").alias("saved"))
+    same = keys.select("rec_id", "key_hash")
+    return saved.join(latest, ["rec_id", "saved"], "left_semi").join(same, ["rec_id", "key_hash"], "left_semi").drop("key_hash", "saved")
