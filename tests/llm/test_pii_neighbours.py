@@ -1,5 +1,7 @@
 """op9 finds each kind whatever number stands before or after it."""
 
+import time
+
 import pytest
 
 from voxloom.llm import pii
@@ -30,3 +32,13 @@ def test_spaced_phone_after_a_year_and_failed_cards():
     assert pii.replaced("2024 555 123 4567", names)[0] == "2024 " + pii.replaced("555 123 4567", names)[0]
     for text in ("4111 1111 1111 1112", "20 4111 1111 1111 1112", "2020-02-30", "256.1.1.1"):
         assert pii.replaced(text, names) == (text, [])
+
+
+def test_long_runs_take_linear_time():
+    """Runs of letters, digits and marks without an address: no part of the search goes back over them."""
+    names = pii.Pseudonyms(b"k")
+    for run in ("x" * 2_000_000, "12" * 500_000, "a." * 500_000, "x" * 70 + "@y.org"):
+        began = time.process_time()
+        assert pii.replaced(run, names) == (run, [])
+        assert time.process_time() - began < 10
+    assert pii.replaced("(a.b@x.org)", names)[1] == [("email", 1, 10)]
