@@ -133,42 +133,45 @@ def fit(
         return Model([], idf, np.zeros((DIMENSIONS, 0)), np.zeros(0), 1.0)
     y = {lang: i for i, lang in enumerate(languages)}
     data = [(y[lang], f, weighed(np.zeros(len(f), dtype=np.int64), f, n, idf, 1)) for lang, f, n in rows]
-    settings = dict(k=k, alpha=alpha, beta=beta, l1=l1, l2=l2, passes=passes)
-    w = learnt(data, **settings)
-    model = Model(languages, idf, w[:-1], w[-1], 1.0)
-    folds = min(FOLDS, len(data))
-    if folds > 1:
-        logits, labels = [], []
-        for i in range(folds):
-            part = learnt([x for j, x in enumerate(data) if j % folds != i], **settings)
-            logits += [v @ part[f] + part[-1] for _, f, v in data[i::folds]]
-            labels += [label for label, _, _ in data[i::folds]]
-        logits, labels = np.array(logits), np.array(labels)
+    folds = min(FOLDS, len(data)) if len(data) > 1 else 0
+    w = learnt(data, k, folds, alpha, beta, l1, l2, passes)
+    model = Model(languages, idf, w[:-1, 0], w[-1, 0], 1.0)
+    if folds:
+        logits = np.array([v @ w[f, 1 + j % folds] + w[-1, 1 + j % folds] for j, (_, f, v) in enumerate(data)])
+        labels = np.array([label for label, _, _ in data])
         options = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
         loss = [-np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in options]
         model.temperature = float(options[int(np.argmin(loss))])
     return model
 
 
-def learnt(data: list[tuple], k: int, alpha: float, beta: float, l1: float, l2: float, passes: int) -> np.ndarray:
-    """Weights of the features, the bias last, by passes of the follow-the-regularised-leader rule over the data."""
-    z, n2 = np.zeros((DIMENSIONS + 1, k)), np.zeros((DIMENSIONS + 1, k))
+def learnt(data: list[tuple], k: int, folds: int, alpha: float, beta: float, l1: float, l2: float, passes: int) -> np.ndarray:
+    """Weights (feature, fit, language), the bias as last feature, by passes of the follow-the-regularised-leader rule.
 
-    def current(at: np.ndarray) -> np.ndarray:
+    The first fit sees all data, fit i + 1 all but every folds-th row from row i on. They share one walk over the
+    data: a row adds nothing to the fit that leaves it out.
+    """
+    fits = 1 + folds
+    z, root = np.zeros((DIMENSIONS + 1, fits * k)), np.zeros((DIMENSIONS + 1, fits * k))
+
+    def shrunk(z: np.ndarray, root: np.ndarray) -> np.ndarray:
         """Zero below the L1 bound, shrunk by L2 and the learning rate otherwise."""
-        zs = z[at]
-        return np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(n2[at])) / alpha + l2))
+        return (np.clip(z, -l1, l1) - z) / (root / alpha + (beta / alpha + l2))
 
+    seen, truth = np.ones((max(folds, 1), fits, 1)), np.eye(k)
+    for i in range(folds):
+        seen[i, i + 1] = 0
     for _ in range(passes):
-        for label, f, v in data:
+        for j, (label, f, v) in enumerate(data):
             at, x = np.append(f, DIMENSIONS), np.append(v, 1.0)
-            w = current(at)
-            error = softmax(x @ w) - np.eye(k)[label]
-            g = x[:, None] * error
-            step = (np.sqrt(n2[at] + g * g) - np.sqrt(n2[at])) / alpha
-            z[at] += g - step * w
-            n2[at] += g * g
-    return current(np.arange(DIMENSIONS + 1))
+            old, was = z[at], root[at]
+            w = shrunk(old, was)
+            error = (softmax((x @ w).reshape(fits, k)) - truth[label]) * seen[j % len(seen)]
+            g = np.outer(x, error)
+            now = np.sqrt(was * was + g * g)
+            z[at] = old + g - (now - was) / alpha * w
+            root[at] = now
+    return shrunk(z, root).reshape(-1, fits, k)
 
 
 def judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
