@@ -51,16 +51,39 @@ def split_segments(words: DataFrame, rec: str = "rec_id") -> DataFrame:
     words: rec, seg_idx, word_idx, word, start, end, speaker, segment_text. Words without times have no speaker and
     vanish where a segment splits; a segment of one speaker keeps its own text.
     """
+    return _parts(words, rec).drop("alone")
+
+
+def _parts(words: DataFrame, rec: str) -> DataFrame:
+    """The runs of split_segments with `alone`: the segment has one speaker."""
     w = Window.partitionBy(rec, "seg_idx").orderBy("word_idx")
     timed = words.filter("start IS NOT NULL AND end IS NOT NULL")
     fresh = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) | (F.row_number().over(w) == 1)
     marked = timed.withColumn("fresh", fresh.cast("int")).withColumn("part_idx", F.sum("fresh").over(w) - 1)
     parts = marked.groupBy(rec, "seg_idx", "part_idx", "speaker").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
+        F.min_by("start", "word_idx").alias("start"),
+        F.max_by("end", "word_idx").alias("end"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("joined"),
         F.first("segment_text").alias("segment_text"),
     )
-    alone = F.max("part_idx").over(Window.partitionBy(rec, "seg_idx")) == 0
-    text = F.when(alone, F.col("segment_text")).otherwise(F.col("joined"))
+    parts = parts.withColumn("alone", F.max("part_idx").over(Window.partitionBy(rec, "seg_idx")) == 0)
+    text = F.when(F.col("alone"), F.col("segment_text")).otherwise(F.col("joined"))
     return parts.withColumn("text", F.trim(text)).filter("text <> ''").drop("joined", "segment_text")
+
+
+def attach_segments(segments: DataFrame, words: DataFrame, turns: DataFrame, width, rec: str = "rec_id") -> DataFrame:
+    """Segments (rec, seg_idx, start, end, text) split where the speakers of their words change.
+
+    words: rec, seg_idx, word_idx, word, start, end. Returns rec, seg_idx, part_idx, speaker, start, end and text. A
+    segment of one speaker keeps its own times and text; one without timed words goes whole to the speaker of its own
+    span; a part of several has the times of its first and last word. Parts without text go.
+    """
+    timed = words.filter("start IS NOT NULL AND end IS NOT NULL").select(rec, "seg_idx", F.col("word_idx").cast("long").alias("word_idx"), "word", "start", "end")
+    bare = segments.join(timed.select(rec, "seg_idx").distinct(), [rec, "seg_idx"], "left_anti")
+    bare = bare.select(rec, "seg_idx", F.lit(-1).cast("long").alias("word_idx"), F.lit("").alias("word"), "start", "end")
+    named = attach(timed.unionByName(bare).withColumn("word_id", F.struct("seg_idx", "word_idx")), turns, width, rec)
+    own = segments.select(rec, "seg_idx", F.col("text").alias("segment_text"))
+    parts = _parts(named.join(own, [rec, "seg_idx"]), rec)
+    spans = segments.select(rec, "seg_idx", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    time = lambda x: F.when(F.col("alone"), F.col(f"_{x}")).otherwise(F.col(x)).alias(x)
+    return parts.join(spans, [rec, "seg_idx"]).select(rec, "seg_idx", F.col("part_idx").cast("long").alias("part_idx"), "speaker", time("start"), time("end"), "text")

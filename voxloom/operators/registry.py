@@ -108,3 +108,13 @@ def propagate_names(results: DataFrame, speakers: DataFrame) -> DataFrame:
     joined = results.join(named, "speaker_id", "left")
     changed = F.col("_name").isNotNull() & (F.col("_name") != F.col("display"))
     return joined.select("rec_id", "label", "speaker_id", F.coalesce("_name", "display").alias("display"), changed.alias("changed"))
+
+
+def voiceprints_by_age(voiceprints: DataFrame) -> DataFrame:
+    """Voiceprints with n, their place among those of their speaker, the newest first."""
+    return voiceprints.withColumn("n", F.row_number().over(Window.partitionBy("speaker_id").orderBy(F.desc("id"))).cast("long"))
+
+
+def speaker_names(speakers: DataFrame) -> DataFrame:
+    """The names alone, as a prompt takes them."""
+    return speakers.select("name")

@@ -34,18 +34,49 @@ def plan(levels: DataFrame, totals: DataFrame, frame: int, rate: int, cfg: Engin
     before merging; merged runs are padded, clamped and joined where they touch. A recording stays whole if it
     lasts under a second, has too little range, keeps under a second, or keeps 98 % and more.
     """
+    joined = _regions(_spoken(levels, totals, frame, rate, cfg, rec), rate, cfg, rec)
+    kept = joined.groupBy(rec).agg(F.sum(F.col("end") - F.col("start")).alias("kept"), F.first("total").alias("whole"))
+    used = kept.filter((F.col("kept") >= rate) & (F.col("kept") < 0.98 * F.col("whole"))).select(rec)
+    return joined.join(used, rec, "left_semi").select(rec, "start", "end")
+
+
+def _spoken(levels: DataFrame, totals: DataFrame, frame: int, rate: int, cfg: EngineConfig, rec: str) -> DataFrame:
+    """Runs above the threshold in samples, with the recording's total."""
     cut = thresholds(levels, cfg.trim_min_dynamic_db, cfg.trim_sensitivity, rec).filter("NOT flat").select(rec, "thr")
     loud = levels.join(cut, rec).filter("db > thr").select(rec, "frame_idx")
-    spoken = runs(loud, [rec], "frame_idx").join(totals, rec).filter(F.col("total") >= rate)
-    sampled = spoken.select(rec, "total", (F.col("start") * frame).alias("start"), F.least(F.col("end") * frame, "total").alias("end"))
-    long_enough = sampled.filter(F.col("end") - F.col("start") >= cfg.trim_min_speech_sec * rate)
+    found = runs(loud, [rec], "frame_idx").join(totals, rec).filter(F.col("total") >= rate)
+    return found.select(rec, "total", (F.col("start") * frame).alias("start"), F.least(F.col("end") * frame, "total").alias("end"))
+
+
+def _regions(spoken: DataFrame, rate: int, cfg: EngineConfig, rec: str) -> DataFrame:
+    """Runs that last, merged over short gaps, padded and joined."""
+    long_enough = spoken.filter(F.col("end") - F.col("start") >= cfg.trim_min_speech_sec * rate)
     merged = merge_regions(long_enough, [rec, "total"], "start", "end", cfg.trim_min_silence_sec * rate)
     pad = max(round(cfg.trim_pad_sec * rate), round(cfg.trim_pad_floor_sec * rate))
     padded = merged.select(rec, "total", F.greatest(F.col("start") - pad, F.lit(0)).alias("start"), F.least(F.col("end") + pad, "total").alias("end"))
-    joined = merge_regions(padded, [rec, "total"], "start", "end", 1)
-    kept = joined.groupBy(rec).agg(F.sum(F.col("end") - F.col("start")).alias("kept"), F.first("total").alias("whole"))
-    used = kept.filter((F.col("kept") >= rate) & (F.col("kept") < 0.98 * F.col("whole"))).select(rec)
-    return joined.join(used, rec, "left_semi").select(rec, "start", "end")
+    return merge_regions(padded, [rec, "total"], "start", "end", 1)
+
+
+def notes(levels: DataFrame, totals: DataFrame, frame: int, rate: int, cfg: EngineConfig, rec: str = "rec_id") -> DataFrame:
+    """(rec, note): why a recording of totals stayed whole.
+
+    narrow_range, no_speech, too_short (every run) or under_a_second (what would be kept); null where silence was cut,
+    where there is too little of it, and for recordings under a second.
+    """
+    flat = thresholds(levels, cfg.trim_min_dynamic_db, cfg.trim_sensitivity, rec).select(rec, "flat")
+    spoken = _spoken(levels, totals, frame, rate, cfg, rec)
+    length = F.col("end") - F.col("start")
+    longest = spoken.groupBy(rec).agg(F.max(length).alias("longest"))
+    kept = _regions(spoken, rate, cfg, rec).groupBy(rec).agg(F.sum(length).alias("kept"))
+    why = (
+        F.when(F.col("total") < rate, None)
+        .when(F.col("flat"), "narrow_range")
+        .when(F.col("longest").isNull(), "no_speech")
+        .when(F.col("longest") < cfg.trim_min_speech_sec * rate, "too_short")
+        .when(F.col("kept") < rate, "under_a_second")
+    )
+    whole = totals.join(flat, rec, "left").join(longest, rec, "left").join(kept, rec, "left")
+    return whole.select(rec, why.alias("note"))
 
 
 def highpass(x: np.ndarray, hz: float, rate: int, block: int = 1 << 16) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..config import EngineConfig
 from ..functions.text import timestamp
 
 RESULT_SCHEMA = (
@@ -71,6 +72,17 @@ def key_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
 
 
+def audio_key(file: Column, size: Column, modified: Column) -> list[Column]:
+    """The parts of a key that say which sound it is: name, size and whole seconds of its last change, not its content."""
+    return [file, size.cast("long"), F.floor(modified).cast("long")]
+
+
+def trim_key(cfg: EngineConfig) -> list[Column]:
+    """The settings on which a silence plan depends, as parts of a key."""
+    used = (cfg.trim_min_silence_sec, cfg.trim_pad_sec, cfg.trim_sensitivity, cfg.trim_min_speech_sec, cfg.trim_min_dynamic_db, cfg.trim_highpass_hz)
+    return [F.lit(str(float(x))) for x in used]
+
+
 def save_stage(df: DataFrame, path: str, stage: str, keys: DataFrame) -> None:
     """Append a stage's rows (rec_id, ...) with the key_hash of their recording; what is saved last counts."""
     rows = df.join(keys.select("rec_id", "key_hash"), "rec_id").withColumn("saved", F.lit(time.time_ns()))
