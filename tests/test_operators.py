@@ -329,3 +329,33 @@ def test_streaming_lines(spark, tmp_path):
 def test_config_from_env():
     cfg = EngineConfig.from_env({"MATCH_THRESHOLD": "0.7", "DROP_SUSPECT": "Yes", "MAX_VOICEPRINTS": "many"})
     assert (cfg.match_threshold, cfg.drop_suspect, cfg.max_voiceprints) == (0.7, True, 10)
+
+
+def test_best_scores_over_blocks(spark, monkeypatch):
+    """Blocks of four rows, some without a partner; null, zero and short vectors score -1."""
+    from voxloom.operators import voices
+
+    monkeypatch.setattr(voices, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    probes = [(i, rng.normal(size=3).tolist()) for i in range(11)] + [(11, None), (12, [0.0] * 3), (13, [1.0])]
+    profiles = [(f"p{i % 5}" if i % 5 else None, rng.normal(size=3).tolist()) for i in range(14)]
+    left = spark.createDataFrame(probes, "id long, embedding array<double>")
+    right = spark.createDataFrame(profiles, "name string, embedding array<double>")
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) if a and len(a) == 3 and any(a) else -1.0
+    want = {(i, n): np.mean(sorted(cos(v, w) for m, w in profiles if m == n)[-2:]) for i, v in probes for n, _ in profiles}
+    got = {(r.id, r.name): r.score for r in voices.top2_scores(left, right, ["id"], "name").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert voices.top2_scores(left.limit(0), right, ["id"], "name").count() == 0 == voices.top2_scores(left, right.limit(0), ["id"], "name").count()
+
+
+def test_segments_keep_their_times_unless_they_split(spark):
+    from voxloom.operators import attach
+
+    turns = spark.createDataFrame([("r", 0, "A", 0.0, 10.0), ("r", 1, "B", 10.0, 20.0)], "rec_id string, turn_idx long, speaker string, start double, end double")
+    segments = spark.createDataFrame([("r", 0, 0.5, 9.0, "One."), ("r", 1, 8.0, 13.0, "Two three."), ("r", 2, 15.0, 18.0, "Bare."), ("r", 3, 1.0, 2.0, " ")], "rec_id string, seg_idx long, start double, end double, text string")
+    words = spark.createDataFrame(
+        [("r", 0, 0, "One.", 1.0, 2.0), ("r", 1, 0, "Two", 8.5, 9.5), ("r", 1, 1, "three.", 11.0, 12.0), ("r", 2, 0, "Bare.", None, None)],
+        "rec_id string, seg_idx long, word_idx long, word string, start double, end double",
+    )
+    got = attach.attach_segments(segments, words, turns, 60.0).orderBy("seg_idx", "part_idx").drop("rec_id").collect()
+    assert [tuple(r) for r in got] == [(0, 0, "A", 0.5, 9.0, "One."), (1, 0, "A", 8.5, 9.5, "Two"), (1, 1, "B", 11.0, 12.0, "three."), (2, 0, "B", 15.0, 18.0, "Bare.")]

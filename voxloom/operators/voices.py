@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import EngineConfig
 from ..functions.assign import assign
-from ..functions.vectors import cosine, normalise
+from ..functions.vectors import normalise
 
 
 def centroids(vectors: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,25 +23,62 @@ def centroids(vectors: DataFrame, keys: list[str]) -> DataFrame:
     return listed.withColumn("centroid", normalise(F.col("centroid")))
 
 
-def pair_scores(probes: DataFrame, profiles: DataFrame, probe_keys: list[str], profile_key: str) -> DataFrame:
-    """Cosine of every probe with every profile vector; profiles are the registry, kept small by retention."""
-    left = probes.select(*probe_keys, F.col("embedding").alias("_a"))
-    right = profiles.select(profile_key, F.col("embedding").alias("_b"))
-    return left.join(right, how="cross").select(*probe_keys, profile_key, cosine(F.col("_a"), F.col("_b")).alias("score"))
+#: Vectors of one side that are scored against as many of the other at once.
+BLOCK = 1024
+
+
+def _cosines(a: list, b: list) -> np.ndarray:
+    """Cosines of all of a with all of b; -1 where the lengths differ or a vector is null or zero."""
+    grid = np.full((len(a), len(b)), -1.0)
+    long_a, long_b = (np.array([0 if v is None else len(v) for v in side]) for side in (a, b))
+    for n in set(long_a[long_a > 0]) & set(long_b[long_b > 0]):
+        i, j = np.flatnonzero(long_a == n), np.flatnonzero(long_b == n)
+        x, y = (np.array([side[k] for k in at], dtype=float) for side, at in ((a, i), (b, j)))
+        norms = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+        grid[np.ix_(i, j)] = np.where(norms > 0, x @ y.T / np.where(norms > 0, norms, 1.0), -1.0)
+    return grid
+
+
+def best_scores(probes: DataFrame, profiles: DataFrame, probe_keys: list[str], profile_key: str, most: int) -> DataFrame:
+    """score for each probe and profile: the mean of the (at most `most`) best cosines with the profile's vectors.
+
+    Both sides are dealt into blocks whose number follows from their sizes, a profile's vectors into one block, and
+    each block of probes meets each block of profiles in a task of its own as a matrix product. Probe keys name one row
+    each; a profile has a bounded number of vectors (retain).
+    """
+    blocks, shards = (max(1, -(-side.count() // BLOCK)) for side in (probes, profiles))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = probes.select(*probe_keys, F.col("embedding").alias("_a"), dealt(blocks, *probe_keys, "embedding").alias("_block"), every(shards).alias("_shard"))
+    right = profiles.select(F.col(profile_key).alias("_profile"), F.col("embedding").alias("_b"), every(blocks).alias("_block"), dealt(shards, profile_key).alias("_shard"))
+
+    def run(l: pa.Table, r: pa.Table) -> pa.Table:
+        names = [*probe_keys, profile_key, "score"]
+        if not l.num_rows or not r.num_rows:  # a block of one side that no other meets
+            return pa.table({c: pa.array([], pa.null()) for c in names}).cast(empty)
+        grid = _cosines(l["_a"].to_pylist(), r["_b"].to_pylist())
+        named = r["_profile"].combine_chunks().dictionary_encode(null_encoding="encode")
+        code, n = named.indices.to_numpy(), len(named.dictionary)
+        score = [np.sort(grid[:, code == c], axis=1)[:, -most:].mean(axis=1) for c in range(n)]
+        row, profile = np.tile(np.arange(l.num_rows), n), np.repeat(np.arange(n), l.num_rows)
+        return pa.table([l[k].take(row) for k in probe_keys] + [named.dictionary.take(profile), np.concatenate(score)], names=names)
+
+    kinds = dict(probes.dtypes) | {profile_key: dict(profiles.dtypes)[profile_key]}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*probe_keys, profile_key)) + ", score double"
+    empty = to_arrow_schema(StructType.fromDDL(schema))
+    return left.groupBy("_block", "_shard").cogroup(right.groupBy("_block", "_shard")).applyInArrow(run, schema)
 
 
 def top2_scores(probes: DataFrame, profiles: DataFrame, probe_keys: list[str], profile_key: str) -> DataFrame:
     """The mean of the two best cosines of each probe with each profile (one if it has one vector)."""
-    best = F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2)  # at most the retained vectors
-    grouped = pair_scores(probes, profiles, probe_keys, profile_key).groupBy(*probe_keys, profile_key).agg(best.alias("b"))
-    return grouped.select(*probe_keys, profile_key, (F.aggregate("b", F.lit(0.0), lambda a, x: a + x) / F.size("b")).alias("score"))
+    return best_scores(probes, profiles, probe_keys, profile_key, 2)
 
 
 def similarities(probes: DataFrame, speakers: DataFrame, probe_keys: list[str], speaker_key: str) -> DataFrame:
     """The larger of the best cosine with a speaker's vectors and the cosine with their centroid."""
-    single = pair_scores(probes, speakers, probe_keys, speaker_key).groupBy(*probe_keys, speaker_key).agg(F.max("score").alias("best"))
+    single = best_scores(probes, speakers, probe_keys, speaker_key, 1).withColumnRenamed("score", "best")
     middle = centroids(speakers, [speaker_key]).withColumnRenamed("centroid", "embedding")
-    whole = pair_scores(probes, middle, probe_keys, speaker_key).withColumnRenamed("score", "to_centroid")
+    whole = best_scores(probes, middle, probe_keys, speaker_key, 1).withColumnRenamed("score", "to_centroid")
     return single.join(whole, [*probe_keys, speaker_key]).select(*probe_keys, speaker_key, F.greatest("best", "to_centroid").alias("similarity"))
 
 
