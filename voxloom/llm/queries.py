@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fill_in_middle, jaccard_join, language_id, lm_scoring, packing, pii, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup
+from . import conversation_repair, exact_dedup, fill_in_middle, jaccard_join, language_id, lm_scoring, packing, pii, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_language_id": language_id.op8_language_id,
         "op9_pii": pii.op9_pii,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
 
@@ -26,5 +27,6 @@ def oracle_sql():
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op2_suffix_dedup": suffix_dedup.OP2_SQL,
         "op3_jaccard_join": jaccard_join.OP3_SQL,
+        "op12_conversation_repair": conversation_repair.OP12_SQL,
         "op13_fill_in_middle": fill_in_middle.OP13_SQL,
     }
