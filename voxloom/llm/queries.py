@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, exact_dedup, fill_in_middle, jaccard_join, language_id, lm_scoring, packing, pii, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup
+from . import byte_bpe, conversation_repair, exact_dedup, fill_in_middle, jaccard_join, language_id, lm_scoring, packing, pii, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_language_id": language_id.op8_language_id,
         "op9_pii": pii.op9_pii,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_byte_bpe": byte_bpe.op11_byte_bpe,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
