@@ -37,15 +37,16 @@ def safe_name(name: Column, fallback: Column) -> Column:
 
 
 def anonymous_label(index: Column) -> Column:
-    """Speaker A to Z, then AA to ZZ, then AAA to ZZZ."""
-    letter = lambda x: F.char(F.lit(65) + x % 26)
-    two, three = index - 26, index - 702
-    return F.concat(
-        F.lit("Speaker "),
-        F.when(index < 26, letter(index))
-        .when(index < 702, F.concat(letter(F.floor(two / 26)), letter(two)))
-        .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26)), letter(three))),
-    )
+    """Speaker A to Z, then AA to ZZ, then AAA and so on, for indexes from 0 to 2^53."""
+    start = F.struct(index.cast("long").alias("rest"), F.lit("").alias("letters"))
+
+    def step(acc: Column, _: Column) -> Column:
+        letter = F.char(F.lit(65) + acc["rest"] % 26)
+        longer = F.struct((F.floor(acc["rest"] / F.lit(26)).cast("long") - 1).alias("rest"), F.concat(letter, acc["letters"]).alias("letters"))
+        return F.when(acc["rest"] >= 0, longer).otherwise(acc)
+
+    most = 12  # letters of 2^53
+    return F.concat(F.lit("Speaker "), F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: acc["letters"]))
 
 
 def timestamp(seconds: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .intervals import as_of, interval_join
+from .scans import WIDTH, count, running
 
 
 def best_overlap(words: DataFrame, turns: DataFrame, width, rec: str = "rec_id") -> DataFrame:
@@ -46,7 +48,7 @@ def attach(words: DataFrame, turns: DataFrame, width, rec: str = "rec_id", nobod
 
 
 def split_segments(words: DataFrame, rec: str = "rec_id") -> DataFrame:
-    """Runs of one speaker within a segment: (rec, seg_idx, part_idx, speaker, start, end, text).
+    """Runs of one speaker within a segment: (rec, seg_idx, part_idx, speaker, start, end, text, words).
 
     words: rec, seg_idx, word_idx, word, start, end, speaker, segment_text. Words without times have no speaker and
     vanish where a segment splits; a segment of one speaker keeps its own text.
@@ -55,35 +57,43 @@ def split_segments(words: DataFrame, rec: str = "rec_id") -> DataFrame:
 
 
 def _parts(words: DataFrame, rec: str) -> DataFrame:
-    """The runs of split_segments with `alone`: the segment has one speaker."""
+    """The runs of split_segments with `alone`: the segment has one speaker. A word_idx of -1 stands for no word."""
     w = Window.partitionBy(rec, "seg_idx").orderBy("word_idx")
     timed = words.filter("start IS NOT NULL AND end IS NOT NULL")
     fresh = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) | (F.row_number().over(w) == 1)
     marked = timed.withColumn("fresh", fresh.cast("int")).withColumn("part_idx", F.sum("fresh").over(w) - 1)
+    listed = F.sort_array(F.collect_list(F.struct("word_idx", F.struct("word", "start", "end", "speaker").alias("w"))))
     parts = marked.groupBy(rec, "seg_idx", "part_idx", "speaker").agg(
         F.min_by("start", "word_idx").alias("start"),
         F.max_by("end", "word_idx").alias("end"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("joined"),
+        F.transform(F.filter(listed, lambda x: x["word_idx"] >= 0), lambda x: x["w"]).alias("words"),
         F.first("segment_text").alias("segment_text"),
     )
+    joined = F.array_join(F.transform("words", lambda x: F.coalesce(strip(x["word"]), F.lit(""))), " ")
     parts = parts.withColumn("alone", F.max("part_idx").over(Window.partitionBy(rec, "seg_idx")) == 0)
-    text = F.when(F.col("alone"), F.col("segment_text")).otherwise(F.col("joined"))
-    return parts.withColumn("text", F.trim(text)).filter("text <> ''").drop("joined", "segment_text")
+    text = F.when(F.col("alone"), F.col("segment_text")).otherwise(joined)
+    return parts.withColumn("text", strip(text)).filter("text <> ''").select(rec, "seg_idx", "part_idx", "speaker", "start", "end", "text", "words", "alone")
 
 
 def attach_segments(segments: DataFrame, words: DataFrame, turns: DataFrame, width, rec: str = "rec_id") -> DataFrame:
     """Segments (rec, seg_idx, start, end, text) split where the speakers of their words change.
 
-    words: rec, seg_idx, word_idx, word, start, end. Returns rec, seg_idx, part_idx, speaker, start, end and text. A
-    segment of one speaker keeps its own times and text; one without timed words goes whole to the speaker of its own
-    span; a part of several has the times of its first and last word. Parts without text go.
+    words: rec, seg_idx, word_idx, word, start, end. Returns rec, place, seg_idx, part_idx, speaker, start, end, text
+    and words, which are those with both times, with their speakers. A segment of one speaker keeps its own times and
+    text; one without timed words goes whole to the speaker of its own span; a part of several has the times of its
+    first and last word. Parts without text go. Places number the parts of a recording by start, then by segment and
+    part. A segment without a start begins at 0, one without an end ends where it begins.
     """
+    begun = F.coalesce("start", F.lit(0).cast(segments.schema["start"].dataType))
+    clean = segments.withColumns({"start": begun, "end": F.when(F.col("end") != 0, F.col("end")).otherwise(begun)})
     timed = words.filter("start IS NOT NULL AND end IS NOT NULL").select(rec, "seg_idx", F.col("word_idx").cast("long").alias("word_idx"), "word", "start", "end")
-    bare = segments.join(timed.select(rec, "seg_idx").distinct(), [rec, "seg_idx"], "left_anti")
+    bare = clean.join(timed.select(rec, "seg_idx").distinct(), [rec, "seg_idx"], "left_anti")
     bare = bare.select(rec, "seg_idx", F.lit(-1).cast("long").alias("word_idx"), F.lit("").alias("word"), "start", "end")
     named = attach(timed.unionByName(bare).withColumn("word_id", F.struct("seg_idx", "word_idx")), turns, width, rec)
-    own = segments.select(rec, "seg_idx", F.col("text").alias("segment_text"))
+    own = clean.select(rec, "seg_idx", F.col("text").alias("segment_text"))
     parts = _parts(named.join(own, [rec, "seg_idx"]), rec)
-    spans = segments.select(rec, "seg_idx", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    spans = clean.select(rec, "seg_idx", F.col("start").alias("_start"), F.col("end").alias("_end"))
     time = lambda x: F.when(F.col("alone"), F.col(f"_{x}")).otherwise(F.col(x)).alias(x)
-    return parts.join(spans, [rec, "seg_idx"]).select(rec, "seg_idx", F.col("part_idx").cast("long").alias("part_idx"), "speaker", time("start"), time("end"), "text")
+    told = parts.join(spans, [rec, "seg_idx"]).select(rec, "seg_idx", F.col("part_idx").cast("long").alias("part_idx"), "speaker", time("start"), time("end"), "text", "words")
+    placed = running(told, [rec], ["start", "seg_idx", "part_idx"], WIDTH, {"_n": count()})
+    return placed.select(rec, (F.col("_n") - 1).alias("place"), "seg_idx", "part_idx", "speaker", "start", "end", "text", "words")

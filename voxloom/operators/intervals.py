@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import WIDTH, Running, count, running
 
-def runs(frames: DataFrame, keys: list[str], index: str) -> DataFrame:
+
+def runs(frames: DataFrame, keys: list[str], index: str, width: int = WIDTH) -> DataFrame:
     """Maximal runs of consecutive indexes per key, as half-open [start, end)."""
-    w = Window.partitionBy(*keys).orderBy(index)
-    marked = frames.select(*keys, index, (F.col(index) - F.row_number().over(w)).alias("island"))
-    return marked.groupBy(*keys, "island").agg(F.min(index).alias("start"), (F.max(index) + 1).alias("end")).drop("island")
+    marked = running(frames.select(*keys, index), keys, [index], width, {"_n": count()})
+    islands = marked.withColumn("island", F.col(index) - F.col("_n"))
+    return islands.groupBy(*keys, "island").agg(F.min(index).alias("start"), (F.max(index) + 1).alias("end")).drop("island")
 
 
-def merge_regions(regions: DataFrame, keys: list[str], start: str, end: str, gap) -> DataFrame:
+def merge_regions(regions: DataFrame, keys: list[str], start: str, end: str, gap, width=WIDTH) -> DataFrame:
     """Regions join when one starts less than gap after the furthest end before it."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = reach.isNull() | (F.col(start) - reach >= gap)
-    marked = regions.withColumn("fresh", fresh.cast("long"))
-    grouped = marked.withColumn("region", F.sum("fresh").over(w))
+    order = [start, end]
+    reached = running(regions.select(*keys, start, end), keys, order, width, {"reach": Running("max", F.col(end), inclusive=False)})
+    fresh = F.col("reach").isNull() | (F.col(start) - F.col("reach") >= gap)
+    grouped = running(reached.withColumn("fresh", fresh.cast("long")), keys, order, width, {"region": Running("sum", F.col("fresh"))})
     return grouped.groupBy(*keys, "region").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("region")
 
 
@@ -51,14 +52,12 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width, how
     return met.select(*left.columns, *others).unionByName(alone, allowMissingColumns=True)
 
 
-def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: str) -> DataFrame:
-    """points with the columns of the latest mark at or before each: one sort per key, no pairs are made."""
+def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: str, width=WIDTH) -> DataFrame:
+    """points with the columns of the latest mark at or before each: no pairs are made."""
     carried = [c for c in marks.columns if c not in (*keys, mark)]
-    p = points.withColumn("_at", F.col(at)).withColumn("_mark", F.lit(None).cast(marks.schema[mark].dataType))
-    m = marks.select(*keys, F.col(mark).alias("_at"), F.struct(mark, *carried).alias("_found"))
-    both = p.withColumn("_side", F.lit(1)).drop("_mark").unionByName(m.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    held = both.withColumn("_found", F.last("_found", ignorenulls=True).over(w)).filter("_side = 1")
+    m = marks.select(*keys, F.col(mark).alias("_at"), F.struct(mark, *carried).alias("_mark"))
+    both = points.withColumns({"_at": F.col(at), "_is": F.lit(1)}).unionByName(m.withColumn("_is", F.lit(0)), allowMissingColumns=True)
+    held = running(both, keys, ["_at", "_is"], width, {"_found": Running("last", F.col("_mark"))}).filter("_is = 1")
     return held.select(*points.columns, *[F.col(f"_found.{c}").alias(c) for c in (mark, *carried)])
 
 

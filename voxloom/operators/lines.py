@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scans import WIDTH, Running, running
 
 UNKNOWN = "Speaker ?"
 
@@ -13,27 +14,33 @@ def transcript(segments: DataFrame, displays: DataFrame, rec: str = "rec_id") ->
     """Lines (rec, line_idx, label, name, start, end, n_segments, text) of segments (rec, seg_idx, label, start, end, text).
 
     displays (rec, label, display) names the labels; a label without a display is `Speaker ?`. A line has the label
-    and the start of its first segment and the end of its last one.
+    and the start of its first segment, and the end of the last one that has an end other than 0; without any, 0.
     """
     named = segments.join(displays, [rec, "label"], "left").withColumn("name", F.coalesce("display", F.lit(UNKNOWN)))
-    return merge_lines(named, rec, ["seg_idx"], "name", "text", {"label": "first", "start": "first", "end": "last"})
+    made = merge_lines(named, rec, ["seg_idx"], "name", "text", {"label": "first", "start": "first", "end": "last_set"})
+    return made.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("start", "end")})
 
 
-def merge_lines(segments: DataFrame, rec: str, order: list[str], name: str, text: str, carried: dict[str, str] | None = None) -> DataFrame:
+def merge_lines(segments: DataFrame, rec: str, order: list[str], name: str, text: str, carried: dict[str, str] | None = None, width: int = WIDTH) -> DataFrame:
     """One row for each run of segments with the same display name.
 
     Segments without text are skipped. Names compare after display names are set, so two labels of one
     person join. Returns rec, line_idx (from 0), name, n_segments and text, joined by spaces in order, and the
-    carried columns as the run's first or last segment has them.
+    carried columns as the run's first or last segment has them, or (last_set) the last one that is not null or 0.
     """
-    w = Window.partitionBy(rec).orderBy(*order)
     kept = segments.filter(F.trim(F.col(text)) != "")
-    flagged = kept.withColumn("is_new", (~F.col(name).eqNullSafe(F.lag(name).over(w))) | (F.row_number().over(w) == 1))
-    grouped = flagged.withColumn("line_idx", F.sum(F.col("is_new").cast("long")).over(w) - 1)
+    seen = running(kept, [rec], order, width, {"_before": Running("last", F.struct(name), inclusive=False)})
+    fresh = F.col("_before").isNull() | ~F.col(name).eqNullSafe(F.col(f"_before.{name}"))
+    grouped = running(seen.withColumn("_new", fresh.cast("long")), [rec], order, width, {"_lines": Running("sum", F.col("_new"))})
     parts = F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.trim(F.col(text)).alias("part"))))
     place = F.struct(*order)
-    ends = [(F.min_by if which == "first" else F.max_by)(c, place).alias(c) for c, which in (carried or {}).items()]
-    return grouped.groupBy(rec, "line_idx", name).agg(
+    chosen = {
+        "first": lambda c: F.min_by(c, place),
+        "last": lambda c: F.max_by(c, place),
+        "last_set": lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != 0), place)),
+    }
+    ends = [chosen[which](c).alias(c) for c, which in (carried or {}).items()]
+    return grouped.groupBy(rec, (F.col("_lines") - 1).alias("line_idx"), name).agg(
         *ends,
         F.count("*").alias("n_segments"), F.array_join(F.transform(parts, lambda p: p["part"]), " ").alias("text")
     )

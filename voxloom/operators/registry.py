@@ -110,6 +110,11 @@ def propagate_names(results: DataFrame, speakers: DataFrame) -> DataFrame:
     return joined.select("rec_id", "label", "speaker_id", F.coalesce("_name", "display").alias("display"), changed.alias("changed"))
 
 
+def changed_results(named: DataFrame) -> DataFrame:
+    """(speaker_id, results): how many results the names of propagate_names change, for each speaker with a change."""
+    return named.filter("changed").groupBy("speaker_id").agg(F.count_distinct("rec_id").alias("results"))
+
+
 def voiceprints_by_age(voiceprints: DataFrame) -> DataFrame:
     """Voiceprints with n, their place among those of their speaker, the newest first."""
     return voiceprints.withColumn("n", F.row_number().over(Window.partitionBy("speaker_id").orderBy(F.desc("id"))).cast("long"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from .intervals import merge_regions, runs
+from .scans import prefixes
 
 EPS = 1e-10
 
@@ -79,32 +81,126 @@ def notes(levels: DataFrame, totals: DataFrame, frame: int, rate: int, cfg: Engi
     return whole.select(rec, why.alias("note"))
 
 
-def highpass(x: np.ndarray, hz: float, rate: int, block: int = 1 << 16) -> np.ndarray:
-    """Second-order Butterworth high-pass, started in the steady state of the first sample.
+class Highpass:
+    """A second-order Butterworth high-pass as a linear recurrence with a state of two numbers.
 
-    The impulse response dies out (poles at radius 0.98 for 80 Hz), so it is applied by FFT blocks with a tail
-    carried over; what the state of a constant input would add is subtracted beforehand.
+    The impulse response dies out (poles at radius 0.98 for 80 Hz), so a block's answer from no state is a product of
+    spectra; what a state adds is two fixed sequences. The state after n samples is a matrix times the state before,
+    plus the state that the block leaves from none.
     """
+
+    def __init__(self, hz: float, rate: int):
+        k = math.tan(math.pi * hz / rate)
+        norm = 1 / (1 + math.sqrt(2) * k + k * k)
+        self.b = np.array([norm, -2 * norm, norm])
+        self.a = np.array([2 * (k * k - 1) * norm, (1 - math.sqrt(2) * k + k * k) * norm])
+        self.step = np.array([[-self.a[0], 1.0], [-self.a[1], 0.0]])
+        taps = max(64, int(math.log(1e-16) / math.log(math.sqrt(self.a[1]))))
+        one = self.b[1:] - self.a * self.b[0]  # the state after a single sample
+        self.response, self.after = np.empty(taps), np.empty((taps, 2))
+        self.response[0], row = self.b[0], np.array([1.0, 0.0])
+        for i in range(taps):
+            if i:
+                self.response[i] = self.after[i - 1] @ one
+            self.after[i], row = row, row @ self.step
+
+    def start(self, first: float) -> np.ndarray:
+        """The state in which a constant input gives nothing."""
+        return np.array([-self.b[0], self.b[0]]) * first
+
+    def run(self, x: np.ndarray, state: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+        """The filtered samples from a state, with the tail of each block of the product carried over."""
+        taps = len(self.response)
+        out, size = np.zeros(len(x) + taps - 1), 1 << (block + taps).bit_length()
+        spectrum = np.fft.rfft(self.response, size)
+        for at in range(0, len(x), block):
+            part = x[at : at + block]
+            y = np.fft.irfft(np.fft.rfft(part, size) * spectrum, size)[: len(part) + taps - 1]
+            out[at : at + len(y)] += y
+        out = out[: len(x)]
+        n = min(taps, len(x))
+        out[:n] += self.after[:n] @ state
+        return out
+
+    def left(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The state after samples x that gave y (from no state, if there are fewer than two)."""
+        x, y = (np.concatenate([np.zeros(2), v[-2:]])[-2:] for v in (x, y))
+        pushed = self.b[1:, None] * x - self.a[:, None] * y  # rows: for the next sample and the one after
+        return np.array([pushed[0, 1] + pushed[1, 0], pushed[1, 1]])
+
+    def element(self, x: np.ndarray) -> np.ndarray:
+        """What a block does to a state: the matrix, row by row, and the state it leaves from none."""
+        return np.concatenate([np.linalg.matrix_power(self.step, len(x)).ravel(), self.left(x, self.run(x, np.zeros(2)))])
+
+    @staticmethod
+    def compose(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        later = two[:4].reshape(2, 2)
+        return np.concatenate([(later @ one[:4].reshape(2, 2)).ravel(), later @ one[4:] + two[4:]])
+
+
+def highpass(x: np.ndarray, hz: float, rate: int) -> np.ndarray:
+    """Samples behind a high-pass that starts in the steady state of the first one."""
     if hz <= 0 or not len(x):
         return x
-    k = math.tan(math.pi * hz / rate)
-    norm = 1 / (1 + math.sqrt(2) * k + k * k)
-    a1, a2 = 2 * (k * k - 1) * norm, (1 - math.sqrt(2) * k + k * k) * norm
-    taps = max(64, int(math.log(1e-14) / math.log(math.sqrt(a2))))
-    h, y1, y2 = np.empty(taps), 0.0, 0.0
-    b = (norm, -2 * norm, norm)
-    for i in range(taps):
-        y = (b[i] if i < 3 else 0.0) - a1 * y1 - a2 * y2
-        h[i], y2, y1 = y, y1, y
-    # A constant gives nothing, so the first sample can be taken off throughout.
-    rest = x.astype(float) - float(x[0])
-    out, size = np.zeros(len(rest) + taps - 1), 1 << (block + taps).bit_length()
-    spectrum = np.fft.rfft(h, size)
-    for at in range(0, len(rest), block):
-        part = rest[at : at + block]
-        y = np.fft.irfft(np.fft.rfft(part, size) * spectrum, size)[: len(part) + taps - 1]
-        out[at : at + len(y)] += y
-    return out[: len(rest)]
+    f = Highpass(hz, rate)
+    # A constant gives nothing, so the first sample can be taken off throughout, and no state is left to start with.
+    return f.run(x.astype(float) - float(x[0]), np.zeros(2))
+
+
+def highpass_blocks(blocks: DataFrame, hz: float, rate: int, rec: str = "rec_id", width: int = 4096) -> DataFrame:
+    """blocks (rec, block, samples) of recordings behind the high-pass, as if each recording were one array.
+
+    Blocks are numbered from 0 and not empty. They give what they do to the filter's state; these compose over the
+    blocks of a recording (scans.prefixes); then every block runs from the state before it. There is no warm-up, and no
+    task holds more than a batch of blocks or `width` states. Block 0 begins in the steady state of its first sample.
+    """
+    doubles = F.col("samples").cast("array<double>").alias("samples")
+    if hz <= 0:
+        return blocks.select(rec, "block", doubles)
+    kinds = dict(blocks.dtypes)
+    listed = pa.list_(pa.float64())
+    kind = f"`{rec}` {kinds[rec]}, block {kinds['block']}"
+
+    def samples_of(column: pa.Array) -> list[np.ndarray]:
+        return [x.values.to_numpy(zero_copy_only=False) for x in column]
+
+    def first_pass(batches):
+        f = Highpass(hz, rate)
+        for b in batches:
+            made = []
+            for x, block in zip(samples_of(b.column("samples")), b.column("block").to_pylist()):
+                element = f.element(x)
+                if block == 0:  # the state before it is known, so what it leaves depends on nothing
+                    element = np.concatenate([np.zeros(4), element[:4].reshape(2, 2) @ f.start(x[0]) + element[4:]])
+                made.append(element.tolist())
+            yield pa.RecordBatch.from_arrays([b.column(rec), b.column("block"), pa.array(made, listed)], names=[rec, "block", "element"])
+
+    def second_pass(batches):
+        f = Highpass(hz, rate)
+        for b in batches:
+            xs = samples_of(b.column("samples"))
+            made = [f.run(x, np.array(before[4:]) if before else f.start(x[0])) for x, before in zip(xs, b.column("before").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(rec), b.column("block"), pa.array(made, listed)], names=[rec, "block", "samples"])
+
+    rows = blocks.select(rec, "block", doubles)
+    before = prefixes(rows.mapInArrow(first_pass, f"{kind}, element array<double>"), [rec], "block", width, Highpass.compose)
+    return rows.join(before, [rec, "block"]).select(rec, "block", "samples", "before").mapInArrow(second_pass, f"{kind}, samples array<double>")
+
+
+def block_levels(blocks: DataFrame, size: int, frame: int, rec: str = "rec_id") -> DataFrame:
+    """(rec, frame_idx, db) of blocks (rec, block, samples) of `size` samples, a multiple of frame; the last may be shorter."""
+    if size % frame:
+        raise ValueError(f"a block of {size} samples has no whole number of frames of {frame}")
+    kinds = dict(blocks.dtypes)
+
+    def run(batches):
+        for b in batches:
+            for i, block in enumerate(b.column("block").to_pylist()):
+                db = frame_levels(b.column("samples")[i].values.to_numpy(zero_copy_only=False), frame)
+                keys = pa.array([b.column(rec)[i].as_py()] * len(db), b.schema.field(rec).type)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(block * (size // frame) + np.arange(len(db))), pa.array(db)], names=[rec, "frame_idx", "db"])
+
+    return blocks.select(rec, "block", "samples").mapInArrow(run, f"`{rec}` {kinds[rec]}, frame_idx long, db double")
 
 
 def frame_levels(samples: np.ndarray, frame: int, hz: float = 0.0, rate: int = 16000) -> np.ndarray:

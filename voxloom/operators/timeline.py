@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import as_of, interval_join
+from .scans import WIDTH, Running, count, running
 
 
-def offsets(regions: DataFrame, rec: str = "rec_id") -> DataFrame:
+def offsets(regions: DataFrame, rec: str = "rec_id", width=WIDTH) -> DataFrame:
     """regions (rec, start, end) with region_idx, offset (kept time before the region) and length."""
-    w = Window.partitionBy(rec).orderBy("start", "end")
     length = F.col("end") - F.col("start")
-    return regions.select(
-        rec,
-        (F.row_number().over(w) - 1).alias("region_idx"),
-        "start",
-        "end",
-        (F.sum(length).over(w) - length).alias("offset"),
-        length.alias("length"),
-    )
+    placed = running(regions.select(rec, "start", "end"), [rec], ["start", "end"], width, {"n": count(), "kept": Running("sum", length)})
+    return placed.select(rec, (F.col("n") - 1).alias("region_idx"), "start", "end", (F.col("kept") - length).alias("offset"), length.alias("length"))
+
+
+def span(regions: DataFrame, totals: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """(rec, start, end) from the first to the last of what is kept; recordings without regions span their total."""
+    ends = regions.groupBy(rec).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    whole = totals.select(rec, "total").join(ends, rec, "left")
+    kind = totals.schema["total"].dataType
+    return whole.select(rec, F.coalesce("start", F.lit(0).cast(kind)).alias("start"), F.coalesce("end", "total").alias("end"))
 
 
 def stats(regions: DataFrame, totals: DataFrame, rec: str = "rec_id") -> DataFrame:
@@ -39,14 +41,14 @@ def stats(regions: DataFrame, totals: DataFrame, rec: str = "rec_id") -> DataFra
     )
 
 
-def to_original(points: DataFrame, placed: DataFrame, rec: str = "rec_id") -> DataFrame:
+def to_original(points: DataFrame, placed: DataFrame, rec: str = "rec_id", width=WIDTH) -> DataFrame:
     """points (rec, pos on the kept clock, ...) with `original`.
 
     A place on a cut belongs to the region after it; places before the start or past the end are held at the first
     start and the last end. Recordings without regions keep their clock.
     """
     clean = points.withColumn("_pos", F.greatest(F.col("pos"), F.lit(0)))
-    found = as_of(clean, placed.select(rec, "offset", "start", "end"), [rec], "_pos", "offset")
+    found = as_of(clean, placed.select(rec, "offset", "start", "end"), [rec], "_pos", "offset", width)
     moved = F.least(F.col("start") + F.col("_pos") - F.col("offset"), F.col("end"))
     return found.select(*points.columns, F.coalesce(moved, F.col("pos")).alias("original"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -217,7 +217,13 @@ def collapse(voices: DataFrame, apart: DataFrame, cfg: EngineConfig = EngineConf
 
 
 def single_speaker(labels: DataFrame, rec: str = "rec_id") -> DataFrame:
-    """The label with most speech among those with a voice."""
-    voiced = labels.filter("embedding IS NOT NULL AND size(embedding) > 0")
-    w = Window.partitionBy(rec).orderBy(F.desc("speech_sec"), "label")
-    return voiced.withColumn("n", F.row_number().over(w)).filter("n = 1").select(rec, "label")
+    """(rec, label): the label with most speech, or where it has no voice, the first label that has one.
+
+    Labels (rec, label, speech_sec, embedding) are in their own order; of equal seconds the first label counts. A null
+    speech_sec is no speech. Recordings without any voice have no row.
+    """
+    voice = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    most = F.min(F.when(F.col("speech_sec").isNotNull(), F.struct((-F.col("speech_sec")).alias("less"), "label", voice.alias("voice"))))
+    told = labels.groupBy(rec).agg(most.alias("most"), F.min(F.when(voice, F.col("label"))).alias("first"))
+    chosen = F.when(F.col("most.voice"), F.col("most.label")).otherwise(F.col("first"))
+    return told.filter("first IS NOT NULL").select(rec, chosen.alias("label"))

@@ -55,17 +55,20 @@ def merge_lines(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT conv_id AS rec_id, turn AS seg_idx, role || (turn % 3) AS label, trim(text) AS text, turn * 60.0 AS s, turn * 60.0 + (turn % 5 + 1) * 12 AS e
+WITH s AS (SELECT conv_id AS rec_id, turn AS seg_idx, role || (turn % 3) AS label, trim(text) AS text, CASE WHEN (conv_id + turn) % 5 <> 0 THEN turn * 60.0 END AS s,
+                  CASE (conv_id + turn) % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE turn * 60.0 + (turn % 5 + 1) * 12 END AS e
            FROM conversations WHERE trim(text) <> ''),
 d AS (SELECT *, CASE WHEN label LIKE '%2' THEN 'Speaker ?' WHEN label LIKE 'user%' THEN 'Ann' ELSE 'Bo' END AS name FROM s),
 f AS (SELECT *, CASE WHEN lag(name) OVER w = name THEN 0 ELSE 1 END AS is_new FROM d WINDOW w AS (PARTITION BY rec_id ORDER BY seg_idx)),
 g AS (SELECT *, sum(is_new) OVER (PARTITION BY rec_id ORDER BY seg_idx) - 1 AS line_idx FROM f)
-SELECT rec_id, CAST(line_idx AS BIGINT) AS line_idx, min_by(label, seg_idx) AS label, name, CAST(min_by(s, seg_idx) AS DOUBLE) AS "start",
-       CAST(max_by(e, seg_idx) AS DOUBLE) AS "end", count(*) AS n_segments, string_agg(text, ' ' ORDER BY seg_idx) AS text
+SELECT rec_id, CAST(line_idx AS BIGINT) AS line_idx, min_by(label, seg_idx) AS label, name, coalesce(CAST(list(s ORDER BY seg_idx)[1] AS DOUBLE), 0) AS "start",
+       coalesce(CAST(list_last(list(e ORDER BY seg_idx) FILTER (e <> 0)) AS DOUBLE), 0) AS "end", count(*) AS n_segments, string_agg(text, ' ' ORDER BY seg_idx) AS text
 FROM g GROUP BY rec_id, line_idx, name""")
 def transcript(spark, sf_dir):
-    """Lines of segments whose labels have display names, but for every third label."""
+    """Lines of segments whose labels have display names, but for every third label; some times are null or 0."""
     seg = inputs.segments(spark, sf_dir).withColumn("label", F.concat("label", (F.col("seg_idx") % 3).cast("string")))
+    nth = F.col("rec_id") + F.col("seg_idx")
+    seg = seg.withColumns({"start": F.when(nth % 5 != 0, F.col("start")), "end": F.when(nth % 4 == 0, None).when(nth % 4 == 1, 0.0).otherwise(F.col("end"))})
     names_ = seg.filter("label NOT LIKE '%2'").select("rec_id", "label", F.when(F.col("label").startswith("user"), "Ann").otherwise("Bo").alias("display"))
     return lines.transcript(seg, names_.distinct())
 
@@ -145,7 +148,7 @@ def overlap_pairs(spark, sf_dir):
 
 
 def _regions(spark, sf_dir):
-    return intervals.merge_regions(inputs.turns(spark, sf_dir), ["rec_id"], "start", "end", HOUR)
+    return intervals.merge_regions(inputs.turns(spark, sf_dir), ["rec_id"], "start", "end", HOUR, 10 * DAY)
 
 
 REGIONS = f"{TURNS}, {merged_sql('turns', '3600')}, {PLACED}"
@@ -280,36 +283,23 @@ def silence_plan(spark, sf_dir):
     return silence.plan(levels, totals, HOUR, HOUR, cfg)
 
 
-BLOCK, WARM_UP = 2048, 40  # values of 40 samples; a frame has eight of them, and the filter has died out after 37
+BLOCK = 2048  # values of 40 samples; a frame has eight of them
 
 
 @query()
 def wave_levels(spark, sf_dir):
-    """Each user's values as wave files of BLOCK values, measured frame by frame behind an 80 Hz high-pass.
+    """Each user's values as sound in blocks of BLOCK values, measured frame by frame behind an 80 Hz high-pass.
 
-    A block begins with the values before it, so that the filter is where it would be in one long file.
+    The filter's state goes from block to block: the SQL engine at hand has no recurrence over millions of samples.
     """
     at = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("at")
     numbered = table(spark, sf_dir, "events").select("user_id", "value", at)
-    block = F.floor(F.col("at") / BLOCK)
-    also = F.when(F.col("at") % BLOCK >= BLOCK - WARM_UP, F.array(block, block + 1)).otherwise(F.array(block))
     listed = F.sort_array(F.collect_list(F.struct("at", "value")))
-    blocks = numbered.withColumn("block", F.explode(also)).groupBy("user_id", "block").agg(F.transform(listed, lambda x: x["value"]).alias("values"))
-
-    def make(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            made = [wav.encode(np.repeat(np.sin(np.asarray(v)) / 2, 40)) for v in b.column("values").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(made, pa.binary())], names=["name", "content"])
-
-    files = blocks.select(F.concat_ws(":", "user_id", "block").alias("name"), "values").mapInArrow(make, "name string, content binary")
-    part = F.split("name", ":")
-    warm = F.when(part[1] == "0", 0).otherwise(WARM_UP // 8)
-    frame = part[1].cast("long") * (BLOCK // 8) + F.col("frame_idx") - warm
-    measured = wav.levels(files, "name", 320, 80.0).filter(F.col("frame_idx") >= warm)
-    return measured.select(part[0].cast("long").alias("user_id"), frame.alias("frame_idx"), F.round("db", 4).alias("db"))
+    blocks = numbered.groupBy(F.col("user_id").alias("rec_id"), F.floor(F.col("at") / BLOCK).alias("block")).agg(listed.alias("x"))
+    sound = F.flatten(F.transform("x", lambda x: F.array_repeat(F.sin(x["value"]) / 2, 40)))
+    filtered = silence.highpass_blocks(blocks.select("rec_id", "block", sound.alias("samples")), 80.0, wav.RATE)
+    levels = silence.block_levels(filtered, BLOCK * 40, 320)
+    return levels.select(F.col("rec_id").alias("user_id"), "frame_idx", F.round("db", 4).alias("db"))
 
 
 # Voices
@@ -476,11 +466,13 @@ def safe_names(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, 'Speaker ' || CASE WHEN i < 26 THEN '' ELSE chr(CAST(65 + (i - 26) // 26 AS INTEGER)) END
-  || chr(CAST(65 + CASE WHEN i < 26 THEN i ELSE (i - 26) % 26 END AS INTEGER)) AS label FROM (SELECT event_id, event_id % 702 AS i FROM events)""")
+WITH RECURSIVE d(event_id, n, letters) AS (
+  SELECT event_id, event_id * 37 + 1, '' FROM events
+  UNION ALL SELECT event_id, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || letters FROM d WHERE n > 0)
+SELECT event_id, 'Speaker ' || letters AS label FROM d WHERE n = 0""")
 def anonymous_labels(spark, sf_dir):
-    """Labels of one and two letters."""
-    return table(spark, sf_dir, "events").select("event_id", names.anonymous_label(F.col("event_id") % 702).alias("label"))
+    """Labels of one letter and more."""
+    return table(spark, sf_dir, "events").select("event_id", names.anonymous_label(F.col("event_id") * 37).alias("label"))
 
 
 @query("""
@@ -698,12 +690,16 @@ def similarities(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT vec_id // 20 AS rec_id, vec_id % 20 AS label, vec_id % 7 AS speech, vec_id FROM embeddings WHERE vec_id % 11 <> 0)
-SELECT rec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY speech DESC, label) AS n FROM p) WHERE n = 1""")
+WITH p AS (SELECT vec_id // 20 AS rec_id, vec_id % 20 AS label, vec_id * 31 % 57 AS speech, vec_id % 3 <> 0 AND vec_id // 20 % 9 <> 4 AS voice FROM embeddings),
+most AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY speech DESC, label) = 1),
+voiced AS (SELECT rec_id, min(label) AS label FROM p WHERE voice GROUP BY 1)
+SELECT m.rec_id, CASE WHEN m.voice THEN m.label ELSE v.label END AS label FROM most m JOIN voiced v ON v.rec_id = m.rec_id""")
 def single_speaker(spark, sf_dir):
+    """A third of the labels has no voice, and in some recordings none has."""
     v = inputs.voices(spark, sf_dir)
-    rows = v.select(F.floor(F.col("vec_id") / 20).alias("rec_id"), (F.col("vec_id") % 20).alias("label"), (F.col("vec_id") % 7).alias("speech_sec"), F.when(F.col("vec_id") % 11 != 0, F.col("embedding")).alias("embedding"))
-    return voices.single_speaker(rows)
+    rec = F.floor(F.col("vec_id") / 20)
+    voice = F.when((F.col("vec_id") % 3 != 0) & (rec % 9 != 4), F.col("embedding"))
+    return voices.single_speaker(v.select(rec.alias("rec_id"), (F.col("vec_id") % 20).alias("label"), (F.col("vec_id") * 31 % 57).alias("speech_sec"), voice.alias("embedding")))
 
 
 @query("""

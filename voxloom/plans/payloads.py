@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxloom.config import EngineConfig
-from voxloom.operators import attach, payload, registry, silence
+from voxloom.operators import attach, payload, registry, silence, timeline
 from voxloom.plans import inputs
-from voxloom.plans.catalogue import HOUR, PLAN, PRINTS, WORDS, _prints, _speakers, query
+from voxloom.plans.catalogue import HOUR, PLAN, PRINTS, REGIONS, WORDS, _prints, _regions, _speakers, query
 from voxloom.plans.inputs import TURNS, table
 from voxloom.sources import results
 
@@ -126,10 +126,12 @@ x AS (SELECT w.rec_id, seg_idx, i, ws, we, speaker, turn_idx, least(we, e) - gre
       FROM items w JOIN turns t ON w.rec_id = t.rec_id),
 sp AS (SELECT rec_id, seg_idx, i, ws, we, CASE WHEN max(ov) > 0 THEN arg_max(speaker, ov * 1000000 - turn_idx) ELSE arg_min(speaker, d * 1000000 + turn_idx) END AS speaker FROM x GROUP BY 1, 2, 3, 4, 5),
 f AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY rec_id, seg_idx ORDER BY i) = speaker THEN 0 ELSE 1 END AS fresh FROM sp),
-p AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id, seg_idx ORDER BY i) - 1 AS part_idx, sum(fresh) OVER (PARTITION BY rec_id, seg_idx) AS n FROM f)
-SELECT p.rec_id, seg_idx, CAST(part_idx AS BIGINT) AS part_idx, speaker, CASE WHEN n = 1 THEN w.ws - 7 ELSE min(p.ws) END AS "start", CASE WHEN n = 1 THEN w.ws + 10100 ELSE max(p.we) END AS "end",
-       CASE WHEN n = 1 THEN 'A b c.' ELSE string_agg(chr(CAST(97 + i AS INTEGER)), ' ' ORDER BY i) END AS text
-FROM p JOIN words w ON w.rec_id = p.rec_id AND w.word_id = seg_idx GROUP BY p.rec_id, seg_idx, part_idx, speaker, n, w.ws""")
+p AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id, seg_idx ORDER BY i) - 1 AS part_idx, sum(fresh) OVER (PARTITION BY rec_id, seg_idx) AS n FROM f),
+r AS (SELECT p.rec_id, seg_idx, CAST(part_idx AS BIGINT) AS part_idx, speaker, CASE WHEN n = 1 THEN w.ws - 7 ELSE min(p.ws) END AS "start", CASE WHEN n = 1 THEN w.ws + 10100 ELSE max(p.we) END AS "end",
+       CASE WHEN n = 1 THEN 'A b c.' ELSE string_agg(chr(CAST(97 + i AS INTEGER)), ' ' ORDER BY i) END AS text,
+       coalesce(string_agg(chr(CAST(97 + i AS INTEGER)) || ':' || p.ws || ':' || p.we || ':' || speaker, ' ' ORDER BY i) FILTER (i >= 0), '') AS words
+FROM p JOIN words w ON w.rec_id = p.rec_id AND w.word_id = seg_idx GROUP BY p.rec_id, seg_idx, part_idx, speaker, n, w.ws)
+SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY "start", seg_idx, part_idx) - 1 AS place FROM r""")
 def attach_segments(spark, sf_dir):
     """Segments of three words; every fifth segment's words have no times."""
     t = inputs.turns(spark, sf_dir)
@@ -138,4 +140,24 @@ def attach_segments(spark, sf_dir):
     nth = seg.select("rec_id", "seg_idx", (F.col("start") + 7).alias("at"), F.posexplode(F.array(*map(F.lit, "abc"))).alias("word_idx", "word"))
     begin = F.when(F.col("seg_idx") % 5 != 0, F.col("at") + F.col("word_idx") * 5000)
     words = nth.select("rec_id", "seg_idx", "word_idx", "word", begin.alias("start"), (begin + 61).alias("end"))
-    return attach.attach_segments(seg, words, t, HOUR)
+    shown = F.array_join(F.transform("words", lambda w: F.concat_ws(":", w["word"], w["start"], w["end"], w["speaker"])), " ")
+    return attach.attach_segments(seg, words, t, HOUR).withColumn("words", shown)
+
+
+@query(f"""WITH {PRINTS}, r AS (SELECT conv_id AS rec_id, role AS label, conv_id % 12 AS speaker_id, 'Person ' || (conv_id % 5) AS display FROM conversations GROUP BY 1, 2)
+SELECT speaker_id, count(DISTINCT rec_id) AS results FROM r JOIN speakers s ON s.id = r.speaker_id WHERE s.name <> display GROUP BY 1""")
+def changed_results(spark, sf_dir):
+    """How many results a change of names would write anew."""
+    r = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("rec_id"), F.col("role").alias("label"), (F.col("conv_id") % 12).alias("speaker_id"), F.concat(F.lit("Person "), (F.col("conv_id") % 5).cast("string")).alias("display")
+    )
+    return registry.changed_results(registry.propagate_names(r.distinct(), _speakers(spark, sf_dir)))
+
+
+@query(f"""WITH {REGIONS}, t AS (SELECT DISTINCT user_id AS rec_id, 3000000000 AS total FROM events),
+k AS (SELECT rec_id, min(s) AS s, max(e) AS e FROM regions WHERE rec_id % 3 <> 0 GROUP BY 1)
+SELECT rec_id, coalesce(s, 0) AS "start", coalesce(e, total) AS "end" FROM t LEFT JOIN k USING (rec_id)""")
+def timeline_span(spark, sf_dir):
+    """Every third recording has no regions and spans its total."""
+    totals = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id")).distinct().withColumn("total", F.lit(3_000_000_000))
+    return timeline.span(_regions(spark, sf_dir).filter("rec_id % 3 <> 0"), totals)
