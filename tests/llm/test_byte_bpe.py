@@ -40,6 +40,17 @@ def texts(rows):
     return out
 
 
+def test_every_code_point_alone(spark, library):
+    """Each with a letter, a space and a digit beside it: the usual pattern and the one for new characters."""
+    rows = [(i, f"a{chr(i)} {chr(i)}1") for i in range(0x32000) if not 0xD800 <= i < 0xE000]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = table.select("doc_id", byte_bpe.words(F.col("text"), spark).alias("words")).toPandas()
+    text = dict(rows)
+    for i, words in zip(got.doc_id, got.words):
+        assert "".join(words) == text[i]
+        assert [x for w in words for x in library._core_bpe.encode_single_piece(w.encode())] == library.encode_ordinary(text[i])
+
+
 @pytest.mark.parametrize("size", [byte_bpe.DICTIONARY, 300, 0])
 def test_against_the_library(spark, texts, library, monkeypatch, size):
     monkeypatch.setattr(byte_bpe, "DICTIONARY", size)

@@ -127,13 +127,16 @@ def merge_long(word: bytes, known: dict[bytes, int]) -> list[int]:
 
 
 @lru_cache(maxsize=4)
-def _pattern(spark: SparkSession, pattern: str) -> str:
-    """A pattern for Spark that knows the letters and numbers that tiktoken knows: those newer than the JVM's are added."""
+def _patterns(spark: SparkSession, pattern: str) -> tuple[str, str, str]:
+    """A tiktoken pattern for Spark, the same with the letters and numbers that are newer than the JVM's, and a class
+    that finds texts which need the second: it takes several times as long, as it tries each range of new characters."""
     every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
     single = {bytes([i]): i for i in range(256)}
+    full, known = pattern, r"\p{Cn}"
     for kind in (r"\p{L}", r"\p{N}"):
         found = tiktoken.Encoding("kind", pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
-        newer = spark.range(1).select(F.regexp_replace(F.lit(bytes(found).decode()), kind, "").alias("x")).first().x
+        newer = F.regexp_replace(F.lit(bytes(found).decode()), kind, "")
+        newer, assigned = spark.range(1).select(newer, F.regexp_replace(newer, r"\p{Cn}", "")).first()
         spans: list[list[int]] = []
         for c in map(ord, newer):
             if spans and spans[-1][1] == c - 1:
@@ -141,18 +144,21 @@ def _pattern(spark: SparkSession, pattern: str) -> str:
             else:
                 spans.append([c, c])
         added = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans)
-        inside = False
-        out = ""
-        for part in pattern.replace(kind, f"\0{kind}\0").replace("[", "\0[\0").replace("]", "\0]\0").split("\0"):
+        known += "".join(rf"\x{{{ord(c):X}}}" for c in assigned)
+        inside, out = False, ""
+        for part in full.replace(kind, f"\0{kind}\0").replace("[", "\0[\0").replace("]", "\0]\0").split("\0"):
             inside = part == "[" or (inside and part != "]")
             out += (f"{kind}{added}" if inside else f"[{kind}{added}]") if part == kind else part
-        pattern = out
-    return f"(?U){pattern}"
+        full = out
+    return f"(?U){pattern}", f"(?U){full}", f"[{known}]"
 
 
 def words(text: Column, spark: SparkSession, pattern: str = public_tokenizers.PATTERN) -> Column:
     """The matches of a tiktoken pattern in a text, in order; null has none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_pattern(spark, pattern)), F.lit(0))
+    usual, full, newer = _patterns(spark, pattern)
+    whole = F.coalesce(text, F.lit(""))
+    matches = lambda p: F.regexp_extract_all(whole, F.lit(p), F.lit(0))
+    return F.when(whole.rlike(newer), matches(full)).otherwise(matches(usual))
 
 
 def frequent(docs: DataFrame, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
