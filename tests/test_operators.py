@@ -208,12 +208,12 @@ def test_match_stitch_collapse(spark):
     df = spark.createDataFrame(scores, "rec_id string, label string, speech_sec double, profile string, score double")
     got = {(r.rec_id, r.label): (r.profile, r.matched, r.reason) for r in voices.match(df).collect()}
     # The best total gives q to a although p is closer; the runner-up p then rejects it.
-    assert got[("r", "a")] == ("q", False, "too_close") and got[("r", "b")] == ("p", True, "")
-    assert got[("s", "a")] == ("p", False, "too_short")
+    assert got[("r", "a")] == (None, False, "too_close") and got[("r", "b")] == ("p", True, "")
+    assert got[("s", "a")] == (None, False, "too_short")
     assert got[("t", "x")] == ("p", True, "") and got[("t", "y")] == (None, False, "")
     odd = [("u", "a", 9.0, "p", -0.2), ("v", "a", 9.0, None, None), ("v", "b", 1.0, None, None), ("w", "x", 9.0, "p", 0.7), ("w", "y", 1.0, "p", 0.9)]
     got = {(r.rec_id, r.label): (r.profile, r.reason) for r in voices.match(spark.createDataFrame(odd, df.schema)).collect()}
-    assert got == {("u", "a"): ("p", "below_threshold"), ("v", "a"): (None, ""), ("v", "b"): (None, "too_short"), ("w", "x"): ("p", ""), ("w", "y"): (None, "too_short")}
+    assert got == {("u", "a"): (None, "below_threshold"), ("v", "a"): (None, ""), ("v", "b"): (None, "too_short"), ("w", "x"): ("p", ""), ("w", "y"): (None, "too_short")}
     rng = np.random.default_rng(0)
     who = rng.normal(size=(3, 64))
     near = lambda k: [float(x) for x in who[k] + rng.normal(0, 0.1, 64)]

@@ -61,14 +61,21 @@ def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: s
     return held.select(*points.columns, *[F.col(f"_found.{c}").alias(c) for c in (mark, *carried)])
 
 
-def overlap_pairs(turns: DataFrame, keys: list[str], label: str, least, width) -> DataFrame:
-    """Seconds that two labels speak at once, for unordered pairs with `least` or more."""
-    one = turns.select(*keys, F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col(label).alias("l_label"))
-    two = turns.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col(label).alias("r_label"))
-    met = interval_join(one, two, keys, width).filter(F.col("l_label") < F.col("r_label"))
-    seconds = F.least("l_end", "r_end") - F.greatest("l_start", "r_start")
-    return (
-        met.groupBy(*keys, F.col("l_label").alias("a"), F.col("r_label").alias("b"))
-        .agg(F.sum(seconds).alias("seconds"))
-        .filter(F.col("seconds") >= least)
-    )
+def overlap_pairs(turns: DataFrame, keys: list[str], label: str, least, width=WIDTH) -> DataFrame:
+    """Seconds that two labels speak at once, for unordered pairs with `least` or more.
+
+    No turns meet: how long a label has spoken until a time is a sum over its starts and ends before it, and the
+    seconds that a turn of another label shares with it are the difference between the turn's end and start. Rows are
+    as many as starts and ends, times the labels of a key. Keys are not null.
+    """
+    ends = F.inline(F.array(*[F.struct(F.col(c).alias("at"), F.lit(d).alias("step")) for c, d in (("start", 1), ("end", -1))]))
+    events = turns.select(*keys, F.col(label).alias("b"), ends)
+    labels = turns.select(*keys, F.col(label).alias("a")).distinct()
+    marks = events.select(*keys, F.col("b").alias("a"), "at", "step")
+    probes = events.join(labels, keys).filter("a < b").select(*keys, "a", "b", "at", (-F.col("step")).alias("sign"))
+    both = marks.unionByName(probes, allowMissingColumns=True)
+    count_ = Running("sum", F.coalesce("step", F.lit(0)).cast("long"))
+    moment = Running("sum", F.coalesce(F.col("step") * F.col("at"), F.lit(0)))
+    told = running(both, [*keys, "a"], ["at"], width, {"open": count_, "moment": moment}).filter("b IS NOT NULL")
+    spoken = F.col("sign") * (F.col("at") * F.col("open") - F.col("moment"))
+    return told.groupBy(*keys, "a", "b").agg(F.sum(spoken).alias("seconds")).filter(F.col("seconds") >= least)

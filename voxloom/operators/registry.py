@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import count, running
+
 
 def fold(name: Column) -> Column:
     """For comparing names: ASCII letters in lower case only."""
@@ -32,14 +34,23 @@ def profiles(speakers: DataFrame, voiceprints: DataFrame) -> DataFrame:
     return same.join(named, "speaker_id").select("speaker_id", "name", F.col("id").alias("voiceprint_id"), "dim", "embedding")
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with dense numbers from 1 in the order of the MD5 of a key that no two rows share.
+
+    The first three hexadecimal digits deal rows into 4,096 slots; their counts give each slot its first number.
+    """
+    hashed = rows.withColumn("_md5", F.md5(F.col(key).cast("binary"))).withColumn("_slot", F.conv(F.substring("_md5", 1, 3), 16, 10).cast("long"))
+    return running(hashed, [], ["_slot", "_md5"], 1, {name: count()}).drop("_md5", "_slot")
+
+
 def upsert_speakers(speakers: DataFrame, names: DataFrame, now: Column) -> DataFrame:
     """speakers and a new row, with the next ids, for each name that no speaker has in any case."""
     fresh = names.select(F.trim("name").alias("name")).filter("name <> ''").withColumn("_key", fold(F.col("name")))
     fresh = fresh.groupBy("_key").agg(F.min("name").alias("name"))
     fresh = fresh.join(speakers.select(fold(F.col("name")).alias("_key")).distinct(), "_key", "left_anti")
     top = speakers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy("_key"))).join(F.broadcast(top))  # one row
-    added = numbered.select((F.col("_top") + F.col("_n")).cast("long").alias("id"), "name", now.alias("created_at"), now.alias("updated_at"))
+    placed = numbered(fresh, "_key", "_n").join(F.broadcast(top))  # one row
+    added = placed.select((F.col("_top") + F.col("_n")).cast("long").alias("id"), "name", now.alias("created_at"), now.alias("updated_at"))
     return speakers.unionByName(added, allowMissingColumns=True)
 
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -16,9 +16,42 @@ from .scans import prefixes
 EPS = 1e-10
 
 
+#: Levels of a recording are counted in cells of this width first.
+CELL_DB = 1 / 64
+
+
+def percentiles(values: DataFrame, key: str, value: str, at: list[float], cell: float = CELL_DB) -> DataFrame:
+    """(key, p array<double>): exact percentiles between neighbouring ranks, without all values of a key in one place.
+
+    A histogram of cells gives the cells that hold the two ranks of each percentile. Only their values, equal ones
+    counted up before they move, are ordered, cell by cell. Nulls do not count; a key needs a value that is not null.
+    """
+    counted = values.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    counted = counted.withColumn("cell", F.floor(F.col(value) / F.lit(cell)))
+    cells = counted.groupBy(key, "cell").agg(F.sum("n").alias("n"))
+    by_key = Window.partitionBy(key)
+    summed = cells.select(key, "cell", "n", F.sum("n").over(by_key).alias("all"), F.sum("n").over(by_key.orderBy("cell")).alias("up_to"))
+    place = lambda p: F.lit(p) * (F.col("all") - 1)
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), side(place(p)).cast("long").alias("rank")) for i, p in enumerate(at) for side in (F.floor, F.ceil)])
+    wanted = summed.select(key, "cell", "all", (F.col("up_to") - F.col("n")).alias("before"), "up_to", F.explode(F.array_distinct(ranks)).alias("r"))
+    wanted = wanted.filter((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("up_to")))
+    held = wanted.groupBy(key, "cell", "all", "before").agg(F.collect_set("r").alias("ranks"))  # two ranks a percentile
+    inside = Window.partitionBy(key, "cell").orderBy(value)
+    near = counted.join(held, [key, "cell"]).withColumn("to", F.col("before") + F.sum("n").over(inside))
+    found = near.select(key, "all", value, (F.col("to") - F.col("n")).alias("from"), "to", F.explode("ranks").alias("r"))
+    found = found.filter((F.col("r.rank") >= F.col("from")) & (F.col("r.rank") < F.col("to")))
+    picked = found.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("r", value))).alias("values"), F.first("all").alias("all"))
+    exact = []
+    for i, p in enumerate(at):
+        lo, hi = F.floor(place(p)), F.ceil(place(p))
+        low, high = (F.col("values")[F.struct(F.lit(i).alias("i"), x.cast("long").alias("rank"))] for x in (lo, hi))
+        exact.append(F.when(lo == hi, low).otherwise((hi - place(p)) * low + (place(p) - lo) * high))
+    return picked.select(key, F.array(*exact).alias("p"))
+
+
 def thresholds(levels: DataFrame, min_dynamic_db: float, sensitivity: float, rec: str = "rec_id") -> DataFrame:
     """Per recording floor (p10), speech (p95), span, flat (too little range to cut) and thr."""
-    p = levels.groupBy(rec).agg(F.percentile("db", F.array(F.lit(0.1), F.lit(0.95))).alias("p"))
+    p = percentiles(levels, rec, "db", [0.1, 0.95])
     base = p.select(rec, F.col("p")[0].alias("floor"), F.col("p")[1].alias("speech"))
     span = F.col("speech") - F.col("floor")
     return base.select(
@@ -138,13 +171,13 @@ class Highpass:
         return np.concatenate([(later @ one[:4].reshape(2, 2)).ravel(), later @ one[4:] + two[4:]])
 
 
-def highpass(x: np.ndarray, hz: float, rate: int) -> np.ndarray:
+def highpass(x: np.ndarray, hz: float, rate: int, block: int = 1 << 16) -> np.ndarray:
     """Samples behind a high-pass that starts in the steady state of the first one."""
     if hz <= 0 or not len(x):
         return x
     f = Highpass(hz, rate)
     # A constant gives nothing, so the first sample can be taken off throughout, and no state is left to start with.
-    return f.run(x.astype(float) - float(x[0]), np.zeros(2))
+    return f.run(x.astype(float) - float(x[0]), np.zeros(2), block)
 
 
 def highpass_blocks(blocks: DataFrame, hz: float, rate: int, rec: str = "rec_id", width: int = 4096) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import forget, written
 from .intervals import as_of, interval_join
 from .scans import WIDTH, Running, count, running
 
@@ -108,28 +108,42 @@ def restore_turns(turns: DataFrame, placed: DataFrame, width, rec: str = "rec_id
     return pieces.filter("end > start").join(named, [rec, "span_id"]).select(rec, F.col("span_id").alias("turn_idx"), "start", "end", "speaker")
 
 
-def chunks(regions: DataFrame, limit, rec: str = "rec_id") -> DataFrame:
-    """chunk_idx for each region: a chunk begins when it would last more than limit from its first start.
+def chunks(regions: DataFrame, limit, rec: str = "rec_id", width=WIDTH) -> DataFrame:
+    """(rec, chunk_idx, start, end): a chunk begins when it would last more than limit from its first start.
 
-    A region longer than limit stays whole; limit 0 or less puts all in one chunk. Recordings are dealt over tasks; in
-    each the regions of a recording stream by in order, and only where the chunk began is carried along.
+    A region longer than limit stays whole; limit 0 or less puts all in one chunk. Where the next chunk begins is a
+    function of the region that a chunk begins with: the one after the last that ends in time. Pointer doubling finds
+    the regions that the first one leads to, twice as many a round; so a recording is dealt over tasks throughout.
+    Regions are in order and do not overlap. Runs its rounds at once and writes their tables to the shared folder.
     """
-    kinds = dict(regions.dtypes)
-
-    def run(batches):
-        key, first, chunk = object(), None, 0
-        for batch in batches:
-            out = []
-            for k, start, end in zip(*(batch.column(c).to_pylist() for c in (rec, "start", "end"))):
-                if k != key:
-                    key, first, chunk = k, start, 0
-                elif limit > 0 and end - first > limit:
-                    first, chunk = start, chunk + 1
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([batch.column(rec), pa.array(out, pa.int32()), batch.column("start"), batch.column("end")], names=[rec, "chunk_idx", "start", "end"])
-
-    ordered = regions.select(rec, "start", "end").repartition(rec).sortWithinPartitions(rec, "start", "end")
-    return ordered.mapInArrow(run, f"{rec} {kinds[rec]}, chunk_idx int, start {kinds['start']}, end {kinds['end']}")
+    numbered = running(regions.select(rec, "start", "end"), [rec], ["start", "end"], width, {"_i": count()})
+    if limit <= 0:
+        return numbered.select(rec, F.lit(0).alias("chunk_idx"), "start", "end")
+    numbered = written(numbered)
+    ends = numbered.groupBy(rec, F.col("end").alias("mark")).agg(F.max("_i").alias("_last"))
+    led = as_of(numbered.withColumn("_until", F.col("start") + limit), ends, [rec], "_until", "mark", width)
+    to = F.greatest(F.coalesce("_last", F.lit(0)), F.col("_i")) + 1
+    size = numbered.groupBy(F.col(rec).alias("_s")).agg(F.max("_i").alias("_most"))
+    jumps = led.select(F.col(rec).alias("_r"), F.col("_i").alias("_a"), to.alias("_b"))
+    jumps = written(jumps.join(size, F.col("_r").eqNullSafe(F.col("_s"))).filter("_b <= _most").select("_r", "_a", "_b"))
+    begins = written(size.select(F.col("_s").alias("_r"), F.lit(1).cast("long").alias("_a")))
+    while True:
+        a, b = begins.alias("x"), jumps.alias("y")
+        met = F.col("x._r").eqNullSafe(F.col("y._r")) & (F.col("x._a") == F.col("y._a"))
+        found = written(a.join(b, met).select(F.col("x._r").alias("_r"), F.col("y._b").alias("_a")))
+        if found.isEmpty():
+            break
+        older, begins = begins, written(begins.unionByName(found))
+        one, two = jumps.alias("x"), jumps.alias("y")
+        further = F.col("x._r").eqNullSafe(F.col("y._r")) & (F.col("x._b") == F.col("y._a"))
+        longer = written(one.join(two, further).select(F.col("x._r").alias("_r"), F.col("x._a").alias("_a"), F.col("y._b").alias("_b")))
+        forget(found, older, jumps)
+        jumps = longer
+    first = begins.select("_r", F.col("_a").alias("_first"))
+    told = numbered.join(first, F.col(rec).eqNullSafe(F.col("_r")) & (F.col("_i") == F.col("_first")), "left")
+    fresh = F.col("_first").isNotNull().cast("long")
+    placed = running(told.select(rec, "start", "end", fresh.alias("_new")), [rec], ["start", "end"], width, {"_n": Running("sum", F.col("_new"))})
+    return placed.select(rec, (F.col("_n") - 1).cast("int").alias("chunk_idx"), "start", "end")
 
 
 def grid(totals: DataFrame, limit, rec: str = "rec_id") -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..config import EngineConfig
-from ..functions.assign import assign
+from ..functions.assign import assign, assign_listed
 from ..functions.vectors import normalise
 
 
@@ -39,34 +39,54 @@ def _cosines(a: list, b: list) -> np.ndarray:
     return grid
 
 
-def best_scores(probes: DataFrame, profiles: DataFrame, probe_keys: list[str], profile_key: str, most: int) -> DataFrame:
+def best_scores(probes: DataFrame, profiles: DataFrame, probe_keys: list[str], profile_key: str, most: int, keep: str | None = None) -> DataFrame:
     """score for each probe and profile: the mean of the (at most `most`) best cosines with the profile's vectors.
 
     Both sides are dealt into blocks whose number follows from their sizes, a profile's vectors into one block, and
     each block of probes meets each block of profiles in a task of its own as a matrix product. Probe keys name one row
-    each; a profile has a bounded number of vectors (retain).
+    each; a profile has a bounded number of vectors (retain). keep names a column of probes: only so many of a probe's
+    best profiles leave a task, and of those of all tasks again only so many stay.
     """
     blocks, shards = (max(1, -(-side.count() // BLOCK)) for side in (probes, profiles))
     dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = probes.select(*probe_keys, F.col("embedding").alias("_a"), dealt(blocks, *probe_keys, "embedding").alias("_block"), every(shards).alias("_shard"))
+    limit = F.col(keep).cast("long") if keep else F.lit(1 << 62)
+    left = probes.select(*probe_keys, F.col("embedding").alias("_a"), limit.alias("_keep"), dealt(blocks, *probe_keys, "embedding").alias("_block"), every(shards).alias("_shard"))
     right = profiles.select(F.col(profile_key).alias("_profile"), F.col("embedding").alias("_b"), every(blocks).alias("_block"), dealt(shards, profile_key).alias("_shard"))
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:
-        names = [*probe_keys, profile_key, "score"]
+        names = [*probe_keys, "_keep", profile_key, "score"]
         if not l.num_rows or not r.num_rows:  # a block of one side that no other meets
             return pa.table({c: pa.array([], pa.null()) for c in names}).cast(empty)
         grid = _cosines(l["_a"].to_pylist(), r["_b"].to_pylist())
         named = r["_profile"].combine_chunks().dictionary_encode(null_encoding="encode")
         code, n = named.indices.to_numpy(), len(named.dictionary)
-        score = [np.sort(grid[:, code == c], axis=1)[:, -most:].mean(axis=1) for c in range(n)]
-        row, profile = np.tile(np.arange(l.num_rows), n), np.repeat(np.arange(n), l.num_rows)
-        return pa.table([l[k].take(row) for k in probe_keys] + [named.dictionary.take(profile), np.concatenate(score)], names=names)
-
-    kinds = dict(probes.dtypes) | {profile_key: dict(profiles.dtypes)[profile_key]}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*probe_keys, profile_key)) + ", score double"
+        score = np.stack([np.sort(grid[:, code == c], axis=1)[:, -most:].mean(axis=1) for c in range(n)], axis=1)
+        place = np.empty_like(score, dtype=np.int64)  # of each profile among those of the probe
+        np.put_along_axis(place, np.argsort(-score, axis=1, kind="stable"), np.arange(n)[None, :], axis=1)
+        row, profile = np.nonzero(place < l["_keep"].to_numpy()[:, None])
+        return pa.table([l[k].take(row) for k in (*probe_keys, "_keep")] + [named.dictionary.take(profile), score[row, profile]], names=names)
+
+    kinds = dict(probes.dtypes) | {profile_key: dict(profiles.dtypes)[profile_key], "_keep": "long"}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*probe_keys, "_keep", profile_key)) + ", score double"
     empty = to_arrow_schema(StructType.fromDDL(schema))
-    return left.groupBy("_block", "_shard").cogroup(right.groupBy("_block", "_shard")).applyInArrow(run, schema)
+    found = left.groupBy("_block", "_shard").cogroup(right.groupBy("_block", "_shard")).applyInArrow(run, schema)
+    if keep:
+        w = Window.partitionBy(*probe_keys).orderBy(F.desc("score"), profile_key)
+        found = found.withColumn("_n", F.row_number().over(w)).filter("_n <= _keep")
+    return found.select(*probe_keys, profile_key, "score")
+
+
+def candidates(labels: DataFrame, profiles: DataFrame, profile_key: str = "profile", rec: str = "rec_id") -> DataFrame:
+    """(rec, label, speech_sec, profile, score): each label's best profiles, as many as its recording has labels, two at least.
+
+    labels: rec, label, speech_sec, embedding. A best one-to-one assignment exists among these: where a label is given
+    a profile beyond them, one of its own is free. A label without any profile to go with has one row with nulls.
+    """
+    many = F.greatest(F.count("*").over(Window.partitionBy(rec)), F.lit(2))
+    wanted = labels.withColumn("_many", many)
+    best = best_scores(wanted, profiles, [rec, "label"], profile_key, 2, "_many").withColumnRenamed(profile_key, "profile")
+    return labels.select(rec, "label", "speech_sec").join(best, [rec, "label"], "left")
 
 
 def top2_scores(probes: DataFrame, profiles: DataFrame, probe_keys: list[str], profile_key: str) -> DataFrame:
@@ -97,26 +117,23 @@ def decisions(scores: DataFrame, rec: str, label: str, profile: str, threshold:
 def match(scores: DataFrame, cfg: EngineConfig = EngineConfig(), rec: str = "rec_id") -> DataFrame:
     """One-to-one matches of a recording's labels to profiles from (rec, label, speech_sec, profile, score).
 
-    Labels with too little speech score -1 throughout. The assignment has the largest total; threshold and margin
-    come after it, so a rejected pair still holds its profile. Labels left over score 0, without a reason unless
-    their speech was too short. A row with a null profile stands for a label that has no profile to go with.
+    scores hold all profiles or each label's best ones, as `candidates` gives them. Labels with too little speech score
+    -1 throughout. The assignment has the largest total; threshold and margin come after it, so a rejected pair still
+    holds its profile, but only a matched one is shown. Labels left over score 0, without a reason unless their speech
+    was too short. A row with a null profile stands for a label that has no profile to go with.
     """
     every = scores.select(rec, "label", (F.col("speech_sec") < cfg.min_speech_sec).alias("short")).groupBy(rec, "label").agg(F.max("short").alias("short"))
     scores = scores.filter("profile IS NOT NULL")
     gated = scores.withColumn("score", F.when(F.col("speech_sec") < cfg.min_speech_sec, F.lit(-1.0)).otherwise(F.col("score")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index="label", columns="profile", values="score").sort_index()
-        grid, out = table.to_numpy(), []
-        held = dict(assign(grid))
-        for r, label in enumerate(table.index):
-            if r not in held:
-                out.append((pdf[rec].iloc[0], label, None, 0.0, 0.0))
-                continue
-            c = held[r]
-            others = np.delete(grid[r], c)
-            out.append((pdf[rec].iloc[0], label, table.columns[c], grid[r, c], others.max() if len(others) else 0.0))
-        return pd.DataFrame(out, columns=[rec, "label", "profile", "score", "runner_up"])
+        listed = {label: dict(zip(g["profile"], g["score"])) for label, g in pdf.sort_values(["label", "profile"]).groupby("label", sort=True)}
+        out = []
+        for (label, found), profile in zip(listed.items(), assign_listed(list(listed.values()))):
+            others = [s for p, s in found.items() if p != profile]
+            told = (profile, found[profile], max(others, default=0.0)) if profile is not None else (None, 0.0, 0.0)
+            out.append((pdf[rec].iloc[0], label, *told))
+        return pd.DataFrame(out, columns=[rec, "label", "profile", "score", "runner_up"]).astype({"profile": object})
 
     kinds = dict(scores.dtypes)
     schema = f"{rec} {kinds[rec]}, label {kinds['label']}, profile {kinds['profile']}, score double, runner_up double"
@@ -125,7 +142,8 @@ def match(scores: DataFrame, cfg: EngineConfig = EngineConfig(), rec: str = "rec
     told = decisions(whole, rec, "label", "profile", cfg.match_threshold, cfg.match_margin)
     alone = F.col("profile").isNull()
     reason = F.when(alone & (F.col("reason") != "too_short"), "").otherwise(F.col("reason"))
-    return told.withColumn("matched", F.col("matched") & ~alone).withColumn("reason", reason)
+    told = told.withColumn("matched", F.col("matched") & ~alone).withColumn("reason", reason)
+    return told.withColumn("profile", F.when(F.col("matched"), F.col("profile")))
 
 
 def _unit(v) -> np.ndarray:

@@ -144,7 +144,7 @@ SELECT a.rec_id, least(a.speaker, b.speaker) AS a, greatest(a.speaker, b.speaker
 FROM turns a JOIN turns b ON a.rec_id = b.rec_id AND a.turn_idx < b.turn_idx AND a.e > b.s AND a.speaker <> b.speaker
 GROUP BY 1, 2, 3 HAVING sum(least(a.e, b.e) - b.s) >= 1800""")
 def overlap_pairs(spark, sf_dir):
-    return intervals.overlap_pairs(inputs.turns(spark, sf_dir), ["rec_id"], "speaker", 1800, HOUR)
+    return intervals.overlap_pairs(inputs.turns(spark, sf_dir), ["rec_id"], "speaker", 1800, 10 * DAY)
 
 
 def _regions(spark, sf_dir):
@@ -211,7 +211,7 @@ f AS (SELECT rec_id, i, s, e, 0 AS chunk_idx, s AS first FROM n WHERE i = 1
       FROM f JOIN n ON n.rec_id = f.rec_id AND n.i = f.i + 1)
 SELECT rec_id, chunk_idx, s AS "start", e AS "end" FROM f""")
 def chunks(spark, sf_dir):
-    return timeline.chunks(_regions(spark, sf_dir), 5 * DAY)
+    return timeline.chunks(_regions(spark, sf_dir), 5 * DAY, width=10 * DAY)
 
 
 def _words(spark, sf_dir):
@@ -336,14 +336,28 @@ def match_decisions(spark, sf_dir):
     return told.select("vec_id", "speaker_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "reason")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {TOP2}, g AS (SELECT vec_id // 3 AS rec_id, vec_id AS label, speaker_id AS profile, vec_id % 7 = 0 AS short, CASE WHEN vec_id % 7 = 0 THEN -1 ELSE score END AS score FROM top),
+l AS (SELECT rec_id, label, row_number() OVER (PARTITION BY rec_id ORDER BY label) AS k, count(*) OVER (PARTITION BY rec_id) AS n FROM (SELECT DISTINCT rec_id, label FROM g)),
+tries(rec_id, k, used, total) AS (
+  SELECT DISTINCT rec_id, CAST(0 AS BIGINT), CAST([] AS INTEGER[]), CAST(0 AS DOUBLE) FROM l
+  UNION ALL SELECT t.rec_id, l.k, list_append(t.used, g.profile), t.total + g.score FROM tries t JOIN l ON l.rec_id = t.rec_id AND l.k = t.k + 1
+  JOIN g ON g.rec_id = l.rec_id AND g.label = l.label AND NOT list_contains(t.used, g.profile)),
+best AS (SELECT t.rec_id, arg_max(used, total) AS used FROM tries t JOIN (SELECT DISTINCT rec_id, n FROM l) s ON s.rec_id = t.rec_id AND s.n = t.k GROUP BY 1),
+given AS (SELECT g.*, g.profile = used[l.k] AS mine FROM g JOIN l ON l.label = g.label JOIN best b ON b.rec_id = g.rec_id),
+r AS (SELECT rec_id, label, bool_or(short) AS short, max(profile) FILTER (mine) AS profile, max(score) FILTER (mine) AS score, max(score) FILTER (NOT mine) AS runner_up FROM given GROUP BY 1, 2),
+d AS (SELECT *, CASE WHEN short THEN 'too_short' WHEN score < 0.25 THEN 'below_threshold' WHEN runner_up > 0 AND score - runner_up < 0.02 THEN 'too_close' ELSE '' END AS reason FROM r)
+SELECT rec_id, label, CASE WHEN reason = '' THEN profile END AS profile, round(score, 6) AS score, round(runner_up, 6) AS runner_up, reason = '' AS matched, reason FROM d""")
 def hungarian_match(spark, sf_dir):
-    """Recordings of up to three labels, matched one to one."""
-    scores = _top2(spark, sf_dir).select(
-        F.floor(F.col("vec_id") / 3).alias("rec_id"), F.col("vec_id").alias("label"), F.col("speaker_id").alias("profile"),
-        F.when(F.col("vec_id") % 7 == 0, 1.0).otherwise(9.0).alias("speech_sec"), "score",
+    """Recordings of up to three labels, matched one to one among each label's best profiles."""
+    v = inputs.voices(spark, sf_dir)
+    prints = registry.retain(v.withColumnRenamed("vec_id", "id"), 10).withColumnRenamed("speaker_id", "profile")
+    heard = v.select(
+        F.floor(F.col("vec_id") / 3).alias("rec_id"), F.col("vec_id").alias("label"),
+        F.when(F.col("vec_id") % 7 == 0, 1.0).otherwise(9.0).alias("speech_sec"), "embedding",
     )
-    return voices.match(scores, EngineConfig(match_threshold=0.25, match_margin=0.02)).withColumn("score", F.round("score", 6)).withColumn("runner_up", F.round("runner_up", 6))
+    found = voices.match(voices.candidates(heard, prints), EngineConfig(match_threshold=0.25, match_margin=0.02))
+    return found.withColumn("score", F.round("score", 6)).withColumn("runner_up", F.round("runner_up", 6))
 
 
 @query("""
@@ -548,11 +562,12 @@ def load_profiles(spark, sf_dir):
     return registry.profiles(_speakers(spark, sf_dir), _prints(spark, sf_dir)).drop("embedding")
 
 
-@query(f"""WITH {PRINTS}, w AS (SELECT DISTINCT trim('person ' || (n_nationkey % 14)) AS name FROM nation),
+@query(f"""WITH {PRINTS}, w AS (SELECT DISTINCT trim('person ' || (c_custkey // 2)) AS name FROM customer),
 f AS (SELECT name FROM w WHERE name NOT IN (SELECT lower(name) FROM speakers)), t AS (SELECT max(id) AS top FROM speakers)
-SELECT id, name FROM speakers UNION ALL SELECT top + row_number() OVER (ORDER BY name), name FROM f, t""")
+SELECT id, name FROM speakers UNION ALL SELECT top + row_number() OVER (ORDER BY md5(name)), name FROM f, t""")
 def upsert_speakers(spark, sf_dir):
-    wanted = table(spark, sf_dir, "nation").select(F.concat(F.lit(" person "), (F.col("n_nationkey") % 14).cast("string")).alias("name"))
+    """Customers as names, two of each; a few are speakers already."""
+    wanted = table(spark, sf_dir, "customer").select(F.concat(F.lit(" person "), F.floor(F.col("c_custkey") / 2).cast("string")).alias("name"))
     return registry.upsert_speakers(_speakers(spark, sf_dir), wanted, F.lit("2024-01-02")).select("id", "name")
 
 
