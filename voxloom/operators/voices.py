@@ -152,49 +152,102 @@ def _unit(v) -> np.ndarray:
     return x / n if n else x
 
 
+class Stitcher:
+    """The speakers of a recording so far: their unit vectors, one for each chunk that a voice was heard in, and seconds."""
+
+    def __init__(self, threshold: float, vectors: list[list[np.ndarray]] | None = None, seconds: list[float] | None = None):
+        self.threshold, self.vectors, self.seconds = threshold, vectors or [], seconds or []
+
+    def add(self, labels: list[tuple[str, object, float]]) -> list[tuple[str, str, float | None]]:
+        """(label, speaker, score) for the labels (label, embedding, seconds) of the next chunk.
+
+        Labels with a voice are assigned to the speakers so far with the largest total similarity and taken if it
+        reaches the threshold; all others are new speakers, numbered by label, those with a voice first.
+        """
+        has = lambda e: e is not None and len(e) > 0
+        rows = sorted(labels, key=lambda r: (not has(r[1]), r[0]))
+        probes = [_unit(e) for _, e, _ in rows if has(e)]
+        known = [s for s, v in enumerate(self.vectors) if v]
+        grid = np.full((len(probes), len(known)), -1.0)
+        for b, s in enumerate(known):
+            each = np.array(self.vectors[s])
+            for a, probe in enumerate(probes):
+                grid[a, b] = max((each @ probe).max(), float(_unit(each.mean(axis=0)) @ probe))
+        taken = {a: (known[b], float(grid[a, b])) for a, b in assign(grid) if grid[a, b] >= self.threshold}
+        out = []
+        for i, (label, _, seconds) in enumerate(rows):
+            s, score = taken.get(i, (len(self.vectors), None))
+            if score is None:
+                self.vectors.append([])
+                self.seconds.append(0.0)
+            if i < len(probes):
+                self.vectors[s].append(probes[i])
+            self.seconds[s] += seconds
+            out.append((label, f"SPEAKER_{s:02d}", score))
+        return out
+
+    def voices(self) -> list[tuple[str, list[float] | None, float]]:
+        """(speaker, unit mean of the vectors, seconds) of all speakers."""
+        mean = lambda v: _unit(np.mean(v, axis=0)).tolist() if v else None
+        return [(f"SPEAKER_{s:02d}", mean(v), t) for s, (v, t) in enumerate(zip(self.vectors, self.seconds))]
+
+
+def seconds_of(value) -> float:
+    """Seconds of speech; null and NaN are none."""
+    return 0.0 if value is None or value != value else float(value)
+
+
 def stitch(parts: DataFrame, cfg: EngineConfig = EngineConfig(), rec: str = "rec_id") -> DataFrame:
-    """speaker for each (rec, chunk_idx, label): labels of successive chunks joined by voice.
+    """speaker and score for each (rec, chunk_idx, label): labels of successive chunks joined by voice (Stitcher).
 
-    parts: rec, chunk_idx, ord, label, embedding, speech_sec. Chunk by chunk, labels with a voice are assigned to
-    the speakers so far with the largest total similarity and taken if it reaches the threshold; all others are new
-    speakers, numbered by label, those with a voice before those without.
+    parts: rec, chunk_idx, ord, label, embedding, speech_sec. score is how alike a label is to the speaker it was joined
+    to, and null where it is a new one.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors: list[list[np.ndarray]] = []
-        out = []
-        for _, chunk in pdf.sort_values(["chunk_idx", "label"]).groupby("chunk_idx", sort=True):
-            rows = sorted(chunk.itertuples(), key=lambda r: r.embedding is None or not len(r.embedding))
-            voiced = [i for i, r in enumerate(rows) if r.embedding is not None and len(r.embedding)]
-            known = [s for s, v in enumerate(vectors) if v]
-            grid = np.full((len(voiced), len(known)), -1.0)
-            for a, i in enumerate(voiced):
-                probe = _unit(rows[i].embedding)
-                for b, s in enumerate(known):
-                    each = np.array(vectors[s])
-                    grid[a, b] = max((each @ probe).max(), float(_unit(each.mean(axis=0)) @ probe))
-            taken = {voiced[a]: known[b] for a, b in assign(grid) if grid[a, b] >= cfg.stitch_threshold}
-            for i, r in enumerate(rows):
-                s = taken.get(i)
-                if s is None:
-                    s = len(vectors)
-                    vectors.append([])
-                if i in voiced:
-                    vectors[s].append(_unit(r.embedding))
-                out.append((getattr(r, rec), r.chunk_idx, r.label, f"SPEAKER_{s:02d}"))
-        return pd.DataFrame(out, columns=[rec, "chunk_idx", "label", "speaker"])
+        stitcher, out = Stitcher(cfg.stitch_threshold), []
+        for chunk_idx, chunk in pdf.groupby("chunk_idx", sort=True):
+            labels = [(r.label, r.embedding, seconds_of(r.speech_sec)) for r in chunk.itertuples()]
+            out += [(pdf[rec].iloc[0], chunk_idx, *x) for x in stitcher.add(labels)]
+        return pd.DataFrame(out, columns=[rec, "chunk_idx", "label", "speaker", "score"])
 
     kinds = dict(parts.dtypes)
-    schema = f"{rec} {kinds[rec]}, chunk_idx {kinds['chunk_idx']}, label {kinds['label']}, speaker string"
+    schema = f"{rec} {kinds[rec]}, chunk_idx {kinds['chunk_idx']}, label {kinds['label']}, speaker string, score double"
     return parts.select(rec, "chunk_idx", "ord", "label", "embedding", "speech_sec").groupBy(rec).applyInPandas(run, schema)
 
 
+def merged_voices(parts: DataFrame, mapping: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """(rec, speaker, embedding, speech_sec) of the speakers that chunks were stitched to.
+
+    parts: rec, chunk_idx, label, embedding, speech_sec; mapping: rec, chunk_idx, label, speaker. The embedding is the
+    unit mean of the unit vectors, null for a speaker without a voice; null seconds are none.
+    """
+    named = mapping.select(rec, "chunk_idx", "label", "speaker").join(parts.select(rec, "chunk_idx", "label", "embedding", "speech_sec"), [rec, "chunk_idx", "label"], "left")
+    seconds = named.groupBy(rec, "speaker").agg(F.sum(F.coalesce("speech_sec", F.lit(0.0))).alias("speech_sec"))
+    middle = centroids(named.filter("size(embedding) > 0"), [rec, "speaker"]).withColumnRenamed("centroid", "embedding")
+    return seconds.join(middle, [rec, "speaker"], "left").select(rec, "speaker", "embedding", "speech_sec")
+
+
+def stitch_notes(mapping: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """(rec, chunks, speakers, joined, sample): how a recording was stitched, with its first three joins as text."""
+    joined = F.col("score").isNotNull()
+    note = F.format_string("chunk %d: %s is %s (%.2f)", (F.col("chunk_idx") + 1).cast("int"), "label", "speaker", "score")
+    ranked = mapping.withColumn("_k", F.when(joined, F.row_number().over(Window.partitionBy(rec, joined).orderBy("chunk_idx", "label"))))
+    first = F.sort_array(F.collect_list(F.when(F.col("_k") <= 3, F.struct("_k", note.alias("t")))))
+    told = ranked.groupBy(rec).agg(
+        F.count_distinct("chunk_idx").alias("chunks"), F.count_distinct("speaker").alias("speakers"), F.count_if(joined).alias("joined"), first.alias("first")
+    )
+    more = F.when(F.col("joined") > 3, F.concat(F.lit(" and "), (F.col("joined") - 3).cast("string"), F.lit(" more"))).otherwise("")
+    return told.select(rec, "chunks", "speakers", "joined", F.concat(F.array_join(F.transform("first", lambda x: x["t"]), ", "), more).alias("sample"))
+
+
 def collapse(voices: DataFrame, apart: DataFrame, cfg: EngineConfig = EngineConfig(), rec: str = "rec_id") -> DataFrame:
     """root for each (rec, label): the most alike speakers merge, pair by pair, while alike enough.
 
     voices: rec, label, embedding, speech_sec; apart: rec, a, b that speak at once and never merge, nor what is
     merged into them. Of equal pairs the first by label merges; the smaller label stays, with a centroid weighted
-    by speech. A threshold of 0 or less merges nothing.
+    by speech. A threshold of 0 or less merges nothing. step and score tell when and how alike a label was merged;
+    labels that stay have nulls there, and the embedding and seconds that they have in the end.
     """
     listed = apart.groupBy(rec).agg(F.collect_set(F.array(F.least("a", "b"), F.greatest("a", "b"))).alias("apart"))
     joined = voices.join(listed, rec, "left").select(rec, "label", "embedding", "speech_sec", "apart")
@@ -203,11 +256,12 @@ def collapse(voices: DataFrame, apart: DataFrame, cfg: EngineConfig = EngineConf
         pdf = pdf.sort_values("label")
         has_voice = pdf["embedding"].map(lambda v: v is not None and len(v) > 0)
         root = dict(zip(pdf["label"], pdf["label"]))
+        seconds = dict(zip(pdf["label"], map(seconds_of, pdf["speech_sec"])))
         voiced = pdf[has_voice]
         names = list(voiced["label"])
+        vectors = np.array([_unit(v) for v in voiced["embedding"]])
+        merged: dict[str, tuple[int, float]] = {}
         if cfg.merge_threshold > 0 and len(names) > 1:
-            vectors = np.array([_unit(v) for v in voiced["embedding"]])
-            weights = voiced["speech_sec"].fillna(0).to_numpy(dtype=float)
             place = {x: i for i, x in enumerate(names)}
             barred = np.eye(len(names), dtype=bool)
             for x, y in pdf["apart"].iloc[0] if pdf["apart"].iloc[0] is not None else []:
@@ -219,19 +273,24 @@ def collapse(voices: DataFrame, apart: DataFrame, cfg: EngineConfig = EngineConf
                 i, j = divmod(int(upper.argmax()), len(names))
                 if not upper[i, j] >= cfg.merge_threshold:
                     break
-                share = weights[[i, j]] / (weights[i] + weights[j]) if weights[i] + weights[j] > 0 else np.full(2, 0.5)
+                keeper, gone = names[i], names[j]
+                merged[gone] = (len(merged) + 1, float(upper[i, j]))
+                share = np.maximum([seconds[keeper], seconds[gone]], 1e-6)
                 vectors[i] = _unit(share @ vectors[[i, j]])
-                weights[i] += weights[j]
+                seconds[keeper] += seconds.pop(gone)
                 barred[i] |= barred[j]
                 barred[j] = True
                 barred |= barred.T
                 fresh = np.where(barred[i], -np.inf, vectors @ vectors[i])
                 alike[i], alike[:, i], alike[j], alike[:, j] = fresh, fresh, -np.inf, -np.inf
-                root = {x: names[i] if r == names[j] else r for x, r in root.items()}
-        return pd.DataFrame({rec: pdf[rec], "label": pdf["label"], "root": [root[x] for x in pdf["label"]]})
+                root = {x: keeper if r == gone else r for x, r in root.items()}
+        left = {x: v.tolist() for x, v in zip(names, vectors) if x not in merged}
+        rows = [(pdf[rec].iloc[0], x, root[x], *merged.get(x, (None, None)), left.get(x), seconds.get(x)) for x in pdf["label"]]
+        return pd.DataFrame(rows, columns=[rec, "label", "root", "step", "score", "embedding", "speech_sec"])
 
     kinds = dict(voices.dtypes)
-    return joined.groupBy(rec).applyInPandas(run, f"{rec} {kinds[rec]}, label {kinds['label']}, root {kinds['label']}")
+    schema = f"{rec} {kinds[rec]}, label {kinds['label']}, root {kinds['label']}, step int, score double, embedding array<double>, speech_sec double"
+    return joined.groupBy(rec).applyInPandas(run, schema)
 
 
 def single_speaker(labels: DataFrame, rec: str = "rec_id") -> DataFrame:

@@ -345,8 +345,8 @@ tries(rec_id, k, used, total) AS (
   JOIN g ON g.rec_id = l.rec_id AND g.label = l.label AND NOT list_contains(t.used, g.profile)),
 best AS (SELECT t.rec_id, arg_max(used, total) AS used FROM tries t JOIN (SELECT DISTINCT rec_id, n FROM l) s ON s.rec_id = t.rec_id AND s.n = t.k GROUP BY 1),
 given AS (SELECT g.*, g.profile = used[l.k] AS mine FROM g JOIN l ON l.label = g.label JOIN best b ON b.rec_id = g.rec_id),
-r AS (SELECT rec_id, label, bool_or(short) AS short, max(profile) FILTER (mine) AS profile, max(score) FILTER (mine) AS score, max(score) FILTER (NOT mine) AS runner_up FROM given GROUP BY 1, 2),
-d AS (SELECT *, CASE WHEN short THEN 'too_short' WHEN score < 0.25 THEN 'below_threshold' WHEN runner_up > 0 AND score - runner_up < 0.02 THEN 'too_close' ELSE '' END AS reason FROM r)
+shown AS (SELECT rec_id, label, bool_or(short) AS short, max(profile) FILTER (mine) AS profile, max(score) FILTER (mine) AS score, max(score) FILTER (NOT mine) AS runner_up FROM given GROUP BY 1, 2),
+d AS (SELECT *, CASE WHEN short THEN 'too_short' WHEN score < 0.25 THEN 'below_threshold' WHEN runner_up > 0 AND score - runner_up < 0.02 THEN 'too_close' ELSE '' END AS reason FROM shown)
 SELECT rec_id, label, CASE WHEN reason = '' THEN profile END AS profile, round(score, 6) AS score, round(runner_up, 6) AS runner_up, reason = '' AS matched, reason FROM d""")
 def hungarian_match(spark, sf_dir):
     """Recordings of up to three labels, matched one to one among each label's best profiles."""
