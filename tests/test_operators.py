@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxloom.config import EngineConfig
 from voxloom.functions import text as names
 from voxloom.functions.assign import assign
-from voxloom.functions.vectors import cosine, is_valid, normalise
+from voxloom.functions.vectors import cosine, is_valid, normalise, pack, unpack
 from voxloom.operators import attach, intervals, labels, lines, registry, silence, textfilter, timeline, voices
 from voxloom.sources import results, wav
 
@@ -183,7 +183,18 @@ def test_wave_files(spark, tmp_path):
     with pytest.raises(ValueError):
         wav.decode(wav.encode(x, 44100))
     assert np.allclose(wav.decode(wav.clip(content, 0.5, 1.0)), x[8000:16000])
-    assert wav.frame_count(wav.clip(content, 1.0, 0.5)) == 0
+    assert wav.frame_count(wav.clip(content, 1.0, 0.5)) == 0 == wav.frame_count(wav.clip(content, 99.0, 100.0))
+    assert len(wav.decode(wav.clip(content, -1.0, 0.5))) == 8000 and len(wav.decode(wav.clip(content, 0.0, 9.0, 1.0))) == 16000
+    import io
+    import wave
+
+    two = io.BytesIO()
+    with wave.open(two, "wb") as w:
+        w.setparams((2, 3, 8000, 0, "NONE", ""))
+        w.writeframes(bytes(range(240)) * 100)
+    with wave.open(io.BytesIO(wav.clip(two.getvalue(), 0.1, 0.2))) as w:
+        assert (w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()) == (2, 3, 8000, 800)
+        assert w.readframes(800) == (bytes(range(240)) * 100)[4800:9600]
     assert np.allclose(wav.apply_regions(x, [(0, 5), (10, 12)]), np.r_[x[:5], x[10:12]])
     (tmp_path / "a.WAV").write_bytes(content)
     (tmp_path / "b.txt").write_bytes(content)
@@ -200,6 +211,8 @@ def test_vectors(spark):
     assert one(spark, normalise(v(0, 0))) == [0.0, 0.0]
     assert one(spark, cosine(v(1, 0), v(1, 1))) == pytest.approx(0.7071, abs=1e-4)
     assert one(spark, cosine(v(1, 0), v(1, 1, 1))) == -1
+    assert one(spark, pack(v(1, -2.5))) == np.array([1, -2.5], dtype="<f4").tobytes() and one(spark, unpack(pack(v(1, -2.5)))) == [1.0, -2.5]
+    assert one(spark, unpack(F.lit(None).cast("binary"))) is None
     assert [one(spark, is_valid(x)) for x in (v(1, 2), v(0, 0), v(1, float("nan")), v(float("inf"), 1))] == [True, False, False, False]
 
 
@@ -260,6 +273,8 @@ def test_names(spark):
     assert one(spark, names.safe_name(F.lit(None).cast("string"), F.lit("X"))) == "X"
     label = lambda i: one(spark, names.anonymous_label(F.lit(i)))
     assert [label(i) for i in (0, 25, 26, 701, 702)] == [f"Speaker {x}" for x in ("A", "Z", "AA", "ZZ", "AAA")]
+    assert label(18277) == "Speaker ZZZ" and label(18278) == "Speaker AAAA" and label(26**4 + 18278) == "Speaker AAAAA"
+    assert one(spark, names.default_name(F.lit("2024-03-05 23:59:00").cast("timestamp_ntz"))) == "2024-03-05"
     assert [one(spark, names.timestamp(F.lit(s))) for s in (0, 61.9, 360000)] == ["00:00:00", "00:01:01", "100:00:00"]
     assert one(spark, names.filter_chain(F.lit("VOICE"))).startswith("highpass") and one(spark, names.filter_chain(F.lit("a=1"))) == "a=1"
     assert one(spark, names.filter_chain(F.lit(""))) == ""
@@ -298,9 +313,16 @@ def test_results_and_stages(spark, tmp_path):
     results.save_stage(rows, stage, "align", keys)
     changed = spark.createDataFrame([("r1", "k1"), ("r2", "new")], "rec_id string, key_hash string")
     assert [(r.rec_id, r.x) for r in results.load_stage(spark, stage, "align", changed).collect()] == [("r1", 1)]
+    results.save_stage(rows.limit(0), stage, "empty", keys)
+    assert {r.rec_id: r.stages for r in results.stages(spark, stage).collect()} == {"r1": ["align", "empty"], "r2": ["align", "empty"]}
     results.save_stage(rows.withColumn("x", F.col("x") + 10), stage, "align", keys)
     results.clear_stage(stage, "align", rows.filter("rec_id = 'r2'"))
     assert [(r.rec_id, r.x) for r in results.load_stage(spark, stage, "align", keys).collect()] == [("r1", 11)]
+    assert {r.rec_id: r.stages for r in results.stages(spark, stage).collect()} == {"r1": ["align", "empty"], "r2": ["empty"]}
+    twins = str(tmp_path / "texts")
+    results.save_text(df, twins)
+    results.save_text(df.filter("rec_id = 'r2'").withColumn("lines", F.array(F.struct(F.lit(0).cast("long").alias("line_idx"), F.lit("S").alias("speaker"), F.lit("Cy").alias("name"), F.lit("new").alias("text"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end")))), twins)
+    assert {r.rec_id: r.text for r in results.load_text(spark, twins).collect()} == {"r1": "Ann : hi\nBo : yes\n", "r2": "Cy : new\n"}
     results.save(df.filter("rec_id = 'r1'").withColumn("language", F.lit("fr")), path)
     results.delete(df.filter("rec_id = 'r2'"), path)
     assert [(r.rec_id, r.language) for r in results.load(spark, path).collect()] == [("r1", "fr")]
@@ -353,3 +375,18 @@ def test_segments_keep_their_times_unless_they_split(spark):
     assert [tuple(r)[1:7] for r in got] == [(0, 0, "A", 0.5, 9.0, "One."), (1, 0, "A", 8.5, 9.5, "Two"), (1, 1, "B", 11.0, 12.0, "three."), (2, 0, "B", 15.0, 18.0, "Bare.")]
     assert [r.place for r in got] == [0, 1, 2, 3]
     assert [[tuple(w) for w in r.words] for r in got] == [[("One.", 1.0, 2.0, "A")], [("Two", 8.5, 9.5, "A")], [("three.", 11.0, 12.0, "B")], []]
+
+
+def test_single_speaker_falls_back_to_the_first_voice(spark):
+    voice = [1.0]
+    rows = [("r", 0, 9.0, None), ("r", 1, 1.0, voice), ("r", 2, 5.0, voice), ("s", 0, 2.0, voice), ("s", 1, 2.0, voice), ("t", 0, 1.0, None), ("u", 0, None, []), ("u", 1, None, voice), ("v", 0, None, voice), ("v", 1, 3.0, voice)]
+    df = spark.createDataFrame(rows, "rec_id string, label long, speech_sec double, embedding array<double>")
+    assert {r.rec_id: r.label for r in voices.single_speaker(df).collect()} == {"r": 1, "s": 0, "u": 1, "v": 1}
+
+
+def test_lines_keep_the_last_end_that_is_set(spark):
+    rows = [("r", 0, "S0", None, 1.0, "one"), ("r", 1, "S0", 1.0, None, "two"), ("r", 2, "S0", 2.0, 0.0, "three"), ("r", 3, "S1", 3.0, None, "four")]
+    df = spark.createDataFrame(rows, "rec_id string, seg_idx long, label string, start double, end double, text string")
+    shown = spark.createDataFrame([("r", "S0", "Ann"), ("r", "S1", "Bo")], "rec_id string, label string, display string")
+    got = [(r.name, r.start, r.end) for r in lines.transcript(df, shown).orderBy("line_idx").collect()]
+    assert got == [("Ann", 0.0, 1.0), ("Bo", 3.0, 0.0)]

@@ -55,6 +55,11 @@ def timestamp(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
 
 
+def default_name(now: Column) -> Column:
+    """The name of a result that was given none: the day."""
+    return F.date_format(now, "yyyy-MM-dd")
+
+
 def filter_chain(name: Column) -> Column:
     """The preset of a name in any case; other names are chains themselves, and null is off."""
     key = F.trim(F.coalesce(F.when(name == "", None).otherwise(name), F.lit("off")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,3 +33,15 @@ def is_valid(v: Column) -> Column:
     """Not empty, all values finite, not all zero (Spark orders NaN above infinity, so one test rejects both)."""
     finite = F.forall(v, lambda x: F.abs(x) < F.lit(float("inf")))
     return (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
+
+
+@F.arrow_udf(BinaryType())
+def pack(v: pa.Array) -> pa.Array:
+    """A vector as little-endian 32-bit floats; null stays null."""
+    return pa.array([None if x is None else np.asarray(x, dtype="<f4").tobytes() for x in v.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(ArrayType(FloatType()))
+def unpack(raw: pa.Array) -> pa.Array:
+    """The vector that pack made; null stays null."""
+    return pa.array([None if x is None else np.frombuffer(x, dtype="<f4") for x in raw.to_pylist()], pa.list_(pa.float32()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import count, running
+from .scans import count, prefixes, running
 
 
 def fold(name: Column) -> Column:
@@ -83,6 +83,46 @@ def latest_jobs(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(F.max_by(F.struct(*rest), "seq").alias("s")).select("id", *[f"s.{c}" for c in rest])
 
 
+#: The states of a job before and after events, and what each action needs and makes. `stop` is a stop of the engine.
+JOB_STATES = ("none", "queued", "running", "done", "error")
+JOB_ACTIONS = {
+    "submit": {"none": "queued"},
+    "start": {"queued": "running"},
+    "finish": {"running": "done"},
+    "fail": {"running": "error"},
+    "retry": {"done": "queued", "error": "queued"},
+    "stop": {"queued": "error", "running": "error"},
+}
+
+
+def job_history(log: DataFrame, width: int = 4096) -> DataFrame:
+    """log (id, seq, action) with before, after and outcome of each event, jobs of any length over many tasks.
+
+    An action that the state before does not allow changes nothing: it is `active` for a job that is queued or running,
+    `missing` for one that was never submitted, else `ignored`; others are `ok`. Each event is a function from states to
+    states; functions compose over the events of a job (scans.prefixes), and what comes before an event applied to
+    `none` is the state that it meets. seq is a number of its own for each event of a job; unknown actions change nothing.
+    """
+    number = {s: i for i, s in enumerate(JOB_STATES)}
+    effect = {a: [float(number[moves.get(s, s)]) for s in JOB_STATES] for a, moves in JOB_ACTIONS.items()}
+    as_array = lambda x: F.array(*map(F.lit, x))
+    element = as_array([float(i) for i in range(len(JOB_STATES))])
+    for action, to in effect.items():
+        element = F.when(F.col("action") == action, as_array(to)).otherwise(element)
+    before = prefixes(log.select("id", "seq", element.alias("element")), ["id"], "seq", width, lambda one, two: two[one.astype(int)])
+    states = as_array(list(JOB_STATES))
+    met = log.join(before, ["id", "seq"]).withColumn("_before", F.coalesce(F.get("before", F.lit(0)), F.lit(0.0)).cast("int"))
+    after = F.get(element, F.col("_before")).cast("int")
+    told = met.select("id", "seq", "action", F.get(states, F.col("_before")).alias("before"), F.get(states, after).alias("after"))
+    outcome = (
+        F.when(F.col("before") != F.col("after"), "ok")
+        .when(F.col("before").isin("queued", "running"), "active")
+        .when(F.col("before") == "none", "missing")
+        .otherwise("ignored")
+    )
+    return told.withColumn("outcome", outcome)
+
+
 def reset_stale(jobs: DataFrame, message: str) -> DataFrame:
     """Jobs that were queued or running when the engine stopped are errors."""
     stale = F.col("status").isin("queued", "running")

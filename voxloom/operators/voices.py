@@ -231,7 +231,7 @@ def merged_voices(parts: DataFrame, mapping: DataFrame, rec: str = "rec_id") ->
 def stitch_notes(mapping: DataFrame, rec: str = "rec_id") -> DataFrame:
     """(rec, chunks, speakers, joined, sample): how a recording was stitched, with its first three joins as text."""
     joined = F.col("score").isNotNull()
-    note = F.format_string("chunk %d: %s is %s (%.2f)", (F.col("chunk_idx") + 1).cast("int"), "label", "speaker", "score")
+    note = F.format_string("chunk %d: %s is %s (%.2f)", (F.col("chunk_idx") + 1).cast("int"), "label", "speaker", F.bround("score", 2))
     ranked = mapping.withColumn("_k", F.when(joined, F.row_number().over(Window.partitionBy(rec, joined).orderBy("chunk_idx", "label"))))
     first = F.sort_array(F.collect_list(F.when(F.col("_k") <= 3, F.struct("_k", note.alias("t")))))
     told = ranked.groupBy(rec).agg(

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxloom.config import EngineConfig
-from voxloom.operators import attach, payload, registry, silence, timeline
+from voxloom.operators import attach, payload, registry, silence, timeline, voices
 from voxloom.plans import inputs
-from voxloom.plans.catalogue import HOUR, PLAN, PRINTS, REGIONS, WORDS, _prints, _regions, _speakers, query
+from voxloom.plans.catalogue import HOUR, PLAN, PRINTS, REGIONS, WORDS, _parts, _prints, _regions, _speakers, query
 from voxloom.plans.inputs import TURNS, table
 from voxloom.sources import results
 
@@ -161,3 +161,72 @@ def timeline_span(spark, sf_dir):
     """Every third recording has no regions and spans its total."""
     totals = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id")).distinct().withColumn("total", F.lit(3_000_000_000))
     return timeline.span(_regions(spark, sf_dir).filter("rec_id % 3 <> 0"), totals)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS id, event_id AS seq, ['submit', 'start', 'finish', 'fail', 'retry', 'stop', 'start'][event_id * 7919 % 7 + 1] AS action,
+                            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+h(id, i, seq, action, before, after) AS (
+  SELECT id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', '', 'none' FROM e GROUP BY 1
+  UNION ALL
+  SELECT e.id, e.i, e.seq, e.action, h.after, CASE
+    WHEN e.action = 'submit' AND h.after = 'none' THEN 'queued' WHEN e.action = 'start' AND h.after = 'queued' THEN 'running'
+    WHEN e.action = 'finish' AND h.after = 'running' THEN 'done' WHEN e.action = 'fail' AND h.after = 'running' THEN 'error'
+    WHEN e.action = 'retry' AND h.after IN ('done', 'error') THEN 'queued' WHEN e.action = 'stop' AND h.after IN ('queued', 'running') THEN 'error' ELSE h.after END
+  FROM h JOIN e ON e.id = h.id AND e.i = h.i + 1)
+SELECT id, seq, action, before, after, CASE WHEN before <> after THEN 'ok' WHEN before IN ('queued', 'running') THEN 'active' WHEN before = 'none' THEN 'missing' ELSE 'ignored' END AS outcome
+FROM h WHERE i > 0""")
+def job_history(spark, sf_dir):
+    """Every user's events as actions on a job, in groups of 2,000 event numbers."""
+    actions = F.array(*map(F.lit, ("submit", "start", "finish", "fail", "retry", "stop", "start")))
+    e = table(spark, sf_dir, "events")
+    log = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.get(actions, (F.col("event_id") * 7919 % 7).cast("int")).alias("action"))
+    return registry.job_history(log, 2000)
+
+
+VOICED = """p AS (SELECT vec_id // 20 AS rec_id, vec_id // 5 % 4 AS chunk_idx, 'S' || (vec_id % 5) AS label, CASE WHEN vec_id % 11 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS v, vec_id % 7 + 1 AS sec,
+              'SPEAKER_0' || ((vec_id % 5 + vec_id // 5 % 4) % 3) AS speaker FROM embeddings)"""
+
+
+def _stitched(spark, sf_dir):
+    """Labels of chunks with the speakers that they were stitched to, and scores for some."""
+    nth = F.substring("label", 2, 1).cast("int")
+    parts = _parts(spark, sf_dir)
+    speaker = F.concat(F.lit("SPEAKER_0"), ((nth + F.col("chunk_idx")) % 3).cast("string"))
+    score = F.when((F.col("chunk_idx") > 0) & (nth != 2), (nth + 1) / 8.0)
+    return parts, parts.select("rec_id", "chunk_idx", "label", speaker.alias("speaker"), score.alias("score"))
+
+
+@query(f"""
+WITH {VOICED}, u AS (SELECT rec_id, speaker, unnest(range(0, 64)) AS pos, unnest([x / sqrt(list_dot_product(v, v)) FOR x IN v]) AS x FROM p WHERE v IS NOT NULL),
+m AS (SELECT rec_id, speaker, pos, avg(x) AS x FROM u GROUP BY 1, 2, 3), n AS (SELECT rec_id, speaker, sqrt(sum(x * x)) AS n FROM m GROUP BY 1, 2),
+s AS (SELECT rec_id, speaker, CAST(sum(sec) AS DOUBLE) AS speech_sec FROM p GROUP BY 1, 2)
+SELECT s.rec_id, s.speaker, speech_sec, CAST(m.pos AS INTEGER) AS pos, round(m.x / n.n, 6) AS x FROM s LEFT JOIN m USING (rec_id, speaker) LEFT JOIN n USING (rec_id, speaker)""")
+def merged_voices(spark, sf_dir):
+    """One row for each number of a speaker's embedding."""
+    found = voices.merged_voices(*_stitched(spark, sf_dir))
+    return found.select("rec_id", "speaker", "speech_sec", F.posexplode_outer("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"""
+WITH {VOICED}, q AS (SELECT *, CASE WHEN chunk_idx > 0 AND label <> 'S2' THEN (CAST(label[2:2] AS INTEGER) + 1) / 8.0 END AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY rec_id, score IS NOT NULL ORDER BY chunk_idx, label) AS k FROM q)
+SELECT rec_id, count(DISTINCT chunk_idx) AS chunks, count(DISTINCT speaker) AS speakers, count(score) AS joined,
+       coalesce(string_agg(printf('chunk %d: %s is %s (%.2f)', chunk_idx + 1, label, speaker, CAST(score AS DOUBLE)), ', ' ORDER BY k) FILTER (score IS NOT NULL AND k <= 3), '')
+       || CASE WHEN count(score) > 3 THEN ' and ' || (count(score) - 3) || ' more' ELSE '' END AS sample FROM r GROUP BY 1""")
+def stitch_notes(spark, sf_dir):
+    return voices.stitch_notes(_stitched(spark, sf_dir)[1])
+
+
+@query("""
+WITH l AS (SELECT conv_id, string_agg(role || ' : ' || text || chr(10), '' ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY 1)
+SELECT CAST(conv_id AS VARCHAR) AS rec_id, CASE WHEN conv_id % 2 = 0 THEN 'txt' ELSE 'TXT' END AS fmt, conv_id || '.txt' AS name, text AS content FROM l
+UNION ALL SELECT CAST(conv_id + 1000000 AS VARCHAR), 'json', NULL, NULL FROM l""")
+def downloads(spark, sf_dir):
+    """The text of every conversation's result, and as many requests for results that are not there."""
+    line = F.struct(F.col("turn").alias("line_idx"), F.col("role").alias("name"), "text")
+    r = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("rec_id")).agg(F.collect_list(line).alias("lines"))
+    number = F.col("rec_id").cast("long")
+    there = r.select("rec_id", F.when(number % 2 == 0, "txt").otherwise("TXT").alias("fmt"))
+    gone = r.select((number + 1000000).cast("string").alias("rec_id"), F.lit("json").alias("fmt"))
+    return results.download(r, there.unionByName(gone))

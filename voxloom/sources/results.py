@@ -63,6 +63,35 @@ def as_text(lines: DataFrame, rec: str) -> DataFrame:
     return lines.groupBy(rec).agg(F.array_join(F.transform(one, lambda x: x["t"]), "").alias("text"))
 
 
+def text_twin(results: DataFrame) -> DataFrame:
+    """(rec_id, text): what a text file beside a result holds, its lines as `name : text`, one below the other."""
+    line = lambda x: F.concat(x["name"], F.lit(" : "), x["text"], F.lit("\n"))
+    in_order = F.array_sort("lines", lambda a, b: F.when(a["line_idx"] < b["line_idx"], -1).otherwise(1))
+    return results.select("rec_id", F.array_join(F.transform(in_order, line), "").alias("text"))
+
+
+def save_text(results: DataFrame, path: str) -> None:
+    """Append the text twins of results beside their JSON documents; load_text takes the one saved last."""
+    text_twin(results).withColumn("saved", F.lit(time.time_ns())).write.mode("append").parquet(f"{path}/twins")
+
+
+def load_text(spark: SparkSession, path: str) -> DataFrame:
+    twins = spark.read.parquet(f"{path}/twins")
+    return twins.groupBy("rec_id").agg(F.max_by("text", "saved").alias("text"))
+
+
+def download(results: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (rec_id, fmt) with name and content: the text for txt, for any other format the JSON document.
+
+    A request for a result that is not there has nulls.
+    """
+    document = results.select("rec_id", F.to_json(F.struct(*results.columns)).alias("_json")).join(text_twin(results), "rec_id")
+    met = requests.join(document, "rec_id", "left")
+    as_text_ = F.lower("fmt") == "txt"
+    name = F.when(F.col("_json").isNotNull(), F.concat("rec_id", F.when(as_text_, ".txt").otherwise(".json")))
+    return met.select("rec_id", "fmt", name.alias("name"), F.when(as_text_, F.col("text")).otherwise(F.col("_json")).alias("content"))
+
+
 def with_clock(lines: DataFrame) -> DataFrame:
     return lines.withColumn("clock", timestamp(F.col("start")))
 
@@ -83,18 +112,41 @@ def trim_key(cfg: EngineConfig) -> list[Column]:
     return [F.lit(str(float(x))) for x in used]
 
 
+#: The table beside the stages that tells which recordings have them, even without a row.
+LOG = "stage_log"
+
+
 def save_stage(df: DataFrame, path: str, stage: str, keys: DataFrame) -> None:
-    """Append a stage's rows (rec_id, ...) with the key_hash of their recording; what is saved last counts."""
-    rows = df.join(keys.select("rec_id", "key_hash"), "rec_id").withColumn("saved", F.lit(time.time_ns()))
+    """Append a stage's rows (rec_id, ...) with the key_hash of their recording; what is saved last counts.
+
+    All recordings of keys count as saved, those without rows too.
+    """
+    saved = F.lit(time.time_ns())
+    rows = df.join(keys.select("rec_id", "key_hash"), "rec_id").withColumn("saved", saved)
     rows.write.mode("append").parquet(f"{path}/{stage}")
+    _note(keys.select("rec_id"), path, stage, saved, True)
+
+
+def _note(recs: DataFrame, path: str, stage: str, saved: Column, present: bool) -> None:
+    note = recs.select(F.col("rec_id").cast("string").alias("rec_id"), F.lit(stage).alias("stage"), saved.alias("saved"), F.lit(present).alias("present"))
+    note.write.mode("append").parquet(f"{path}/{LOG}")
 
 
 def clear_stage(path: str, stage: str, gone: DataFrame) -> None:
     """From now on the stage has no rows for the rec_ids in gone."""
+    stamp = F.lit(time.time_ns())
     saved = gone.sparkSession.read.parquet(f"{path}/{stage}")
     rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in saved.schema if f.name not in ("rec_id", "saved")]
-    rows = gone.select(F.col("rec_id").cast(saved.schema["rec_id"].dataType), *rest, F.lit(time.time_ns()).alias("saved"))
+    rows = gone.select(F.col("rec_id").cast(saved.schema["rec_id"].dataType), *rest, stamp.alias("saved"))
     rows.select(saved.columns).write.mode("append").parquet(f"{path}/{stage}")
+    _note(gone.select("rec_id"), path, stage, stamp, False)
+
+
+def stages(spark: SparkSession, path: str) -> DataFrame:
+    """(rec_id string, stages): the names of the stages that recordings have, in order."""
+    log = spark.read.parquet(f"{path}/{LOG}")
+    last = log.groupBy("rec_id", "stage").agg(F.max_by("present", "saved").alias("present")).filter("present")
+    return last.groupBy("rec_id").agg(F.sort_array(F.collect_set("stage")).alias("stages"))
 
 
 def load_stage(spark: SparkSession, path: str, stage: str, keys: DataFrame) -> DataFrame | None:
