@@ -514,12 +514,12 @@ def error_kinds(spark, sf_dir):
 
 
 @query("""
-SELECT s_nationkey AS rec_id, string_agg(s_name, ', ' ORDER BY s_name) || '.' || CASE WHEN s_nationkey % 2 = 0 THEN ' nation ' || s_nationkey ELSE '' END AS prompt
-FROM supplier GROUP BY 1""")
+SELECT c_custkey // 10 AS rec_id, string_agg(c_name, ', ' ORDER BY c_name) || '.' || CASE WHEN c_custkey // 10 % 2 = 0 THEN ' group ' || (c_custkey // 10) ELSE '' END AS prompt
+FROM customer GROUP BY 1""")
 def initial_prompts(spark, sf_dir):
-    """The suppliers of a nation as speakers, and a glossary for every second one."""
-    n = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("rec_id")).agg(F.sort_array(F.collect_list("s_name")).alias("names"))
-    glossary = F.when(F.col("rec_id") % 2 == 0, F.concat(F.lit(" nation "), F.col("rec_id").cast("string"))).otherwise("  ")
+    """Ten customers as speakers of each recording, and a glossary for every second one."""
+    n = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 10).alias("rec_id")).agg(F.sort_array(F.collect_list("c_name")).alias("names"))
+    glossary = F.when(F.col("rec_id") % 2 == 0, F.concat(F.lit(" group "), F.col("rec_id").cast("string"))).otherwise("  ")
     return n.select("rec_id", names.initial_prompt(F.col("names"), glossary).alias("prompt"))
 
 
@@ -536,12 +536,12 @@ def _prints(spark, sf_dir):
     v = inputs.voices(spark, sf_dir)
     return v.select(
         F.col("vec_id").alias("id"), F.col("speaker_id").cast("long").alias("speaker_id"), "embedding", F.when(F.col("vec_id") % 4 == 0, 32).otherwise(64).alias("dim"),
-        F.concat(F.lit("result:"), (F.col("vec_id") % 40).cast("string")).alias("source"), (F.col("vec_id") % 9 + 1).cast("double").alias("speech_sec"),
+        F.concat(F.lit("result:"), F.floor(F.col("vec_id") / 3).cast("string")).alias("source"), (F.col("vec_id") % 9 + 1).cast("double").alias("speech_sec"),
     )
 
 
 PRINTS = """prints AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS speaker_id, CASE WHEN vec_id % 4 = 0 THEN 32 ELSE 64 END AS dim,
-  'result:' || (vec_id % 40) AS source, CAST(vec_id % 9 + 1 AS DOUBLE) AS speech_sec FROM embeddings),
+  'result:' || (vec_id // 3) AS source, CAST(vec_id % 9 + 1 AS DOUBLE) AS speech_sec FROM embeddings),
 speakers AS (SELECT DISTINCT CAST(label AS BIGINT) AS id, 'Person ' || label AS name FROM embeddings WHERE label <> 3)"""
 
 
@@ -571,12 +571,13 @@ def upsert_speakers(spark, sf_dir):
     return registry.upsert_speakers(_speakers(spark, sf_dir), wanted, F.lit("2024-01-02")).select("id", "name")
 
 
-@query(f"""WITH {PRINTS}, n AS (SELECT id + 100000 AS id, 5 AS speaker_id, source FROM prints WHERE source IN ('result:3', 'result:5', 'result:7')),
+@query(f"""WITH {PRINTS}, n AS (SELECT id + 100000000 AS id, 5 AS speaker_id, source FROM prints WHERE id % 40 IN (3, 5, 7)),
 u AS (SELECT id, speaker_id, source FROM prints WHERE source NOT IN (SELECT source FROM n) UNION ALL SELECT * FROM n)
 SELECT id, speaker_id, source FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY id DESC) AS k FROM u) WHERE k <= 10""")
 def enroll(spark, sf_dir):
+    """Every 40th voiceprint and two beside it are made anew for speaker 5; a source has up to three."""
     p = _prints(spark, sf_dir)
-    new = p.filter("source IN ('result:3', 'result:5', 'result:7')").withColumns({"id": F.col("id") + 100000, "speaker_id": F.lit(5).cast("long")})
+    new = p.filter((F.col("id") % 40).isin(3, 5, 7)).withColumns({"id": F.col("id") + 100000000, "speaker_id": F.lit(5).cast("long")})
     return registry.enroll(p, new, 10).select("id", "speaker_id", "source")
 
 
@@ -603,13 +604,17 @@ def propagate_names(spark, sf_dir):
     return registry.propagate_names(r.distinct(), _speakers(spark, sf_dir))
 
 
+def _job_name():
+    return F.concat("event_type", F.lit(" "), F.floor(F.col("user_id") / 2).cast("string"))
+
+
 def _job_log(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     status = F.element_at(F.array(*[F.lit(x) for x in ("queued", "running", "done", "error")]), (F.col("event_id") % 4 + 1).cast("int"))
-    return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), status.alias("status"), F.col("event_type").alias("name"), F.lit(None).cast("string").alias("error"))
+    return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), status.alias("status"), _job_name().alias("name"), F.lit(None).cast("string").alias("error"))
 
 
-JOBS = "jobs AS (SELECT user_id AS id, max_by(CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'error' END, event_id) AS status, max_by(event_type, event_id) AS name FROM events GROUP BY 1)"
+JOBS = "jobs AS (SELECT user_id AS id, max_by(CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'error' END, event_id) AS status, max_by(event_type || ' ' || (user_id // 2), event_id) AS name FROM events GROUP BY 1)"
 
 
 @query(f"WITH {JOBS} SELECT id, status, name FROM jobs")
@@ -622,10 +627,10 @@ def reset_stale(spark, sf_dir):
     return registry.reset_stale(registry.latest_jobs(_job_log(spark, sf_dir)), "stopped").select("id", "status", "error")
 
 
-@query(f"WITH {JOBS} SELECT DISTINCT event_type AS name FROM events WHERE event_type IN (SELECT name FROM jobs WHERE status IN ('queued', 'running'))")
+@query(f"WITH {JOBS} SELECT DISTINCT event_type || ' ' || (user_id // 2) AS name FROM events WHERE event_type || ' ' || (user_id // 2) IN (SELECT name FROM jobs WHERE status IN ('queued', 'running'))")
 def names_taken(spark, sf_dir):
     jobs = registry.latest_jobs(_job_log(spark, sf_dir))
-    return registry.name_taken(table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct(), jobs)
+    return registry.name_taken(table(spark, sf_dir, "events").select(_job_name().alias("name")).distinct(), jobs)
 
 
 @query("""

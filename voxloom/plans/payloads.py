@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxloom.config import EngineConfig
-from voxloom.operators import attach, payload, registry, silence, timeline, voices
+from voxloom.operators import attach, labelling, payload, registry, silence, timeline, voices
 from voxloom.plans import inputs
 from voxloom.plans.catalogue import HOUR, PLAN, PRINTS, REGIONS, WORDS, _parts, _prints, _regions, _speakers, query
 from voxloom.plans.inputs import TURNS, table
@@ -230,3 +230,53 @@ def downloads(spark, sf_dir):
     there = r.select("rec_id", F.when(number % 2 == 0, "txt").otherwise("TXT").alias("fmt"))
     gone = r.select((number + 1000000).cast("string").alias("rec_id"), F.lit("json").alias("fmt"))
     return results.download(r, there.unionByName(gone))
+
+
+def _labelled(spark, sf_dir):
+    """Labels of conversations with letters; some get a speaker by id, some by name, some lose theirs."""
+    seg = inputs.segments(spark, sf_dir).withColumn("label", F.concat("label", (F.col("seg_idx") % 2).cast("string")))
+    first = seg.groupBy("rec_id", "label").agg(F.min("seg_idx").alias("label_idx"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    held = F.when(F.col("rec_id") % 4 == 1, F.lit(1).cast("long"))
+    entries = first.join(v, "rec_id", "left").select(
+        "rec_id", "label", "label_idx", held.alias("speaker_id"), F.when(held.isNotNull(), F.concat(F.lit("Person 1 "), "label")).alias("display"),
+        F.concat(F.lit("Voice "), "label").alias("anon"), held.isNotNull().alias("matched"), F.lit(False).alias("manual"), F.lit("").alias("reason"),
+        (F.col("label_idx") + 5.0).alias("total_speech"), F.when(F.col("label_idx") < 2, F.col("embedding")).alias("embedding"),
+    )
+    kind = (F.col("rec_id") + F.col("label_idx")) % 5
+    wishes = first.filter(kind < 4).select(
+        "rec_id", "label", F.when(kind == 1, F.concat(F.lit(" Guest "), (F.col("rec_id") % 50).cast("string"))).when(kind == 2, "PERSON 2").otherwise(" ").alias("name"),
+        F.when(kind == 0, (F.col("rec_id") % 12).cast("long")).alias("speaker_id"),
+    )
+    return labelling.label_speakers(entries, wishes, _speakers(spark, sf_dir), _prints(spark, sf_dir), seg, F.lit("2024-01-02"))
+
+
+LABELLED = f"""{PRINTS}, seg AS (SELECT conv_id AS rec_id, turn AS seg_idx, role || (turn % 2) AS label, trim(text) AS text FROM conversations),
+f AS (SELECT rec_id, label, min(seg_idx) AS label_idx, (rec_id + min(seg_idx)) % 5 AS kind FROM seg GROUP BY 1, 2),
+w AS (SELECT f.*, CASE kind WHEN 0 THEN s.name WHEN 1 THEN 'Guest ' || (rec_id % 50) WHEN 2 THEN 'PERSON 2' WHEN 3 THEN '' END AS name,
+             kind = 4 OR (kind = 0 AND s.name IS NULL) AS left_alone FROM f LEFT JOIN speakers s ON kind = 0 AND s.id = rec_id % 12),
+shown AS (SELECT rec_id, label, label_idx, CASE WHEN left_alone THEN CASE WHEN rec_id % 4 = 1 THEN 'Person 1 ' || label END WHEN name <> '' THEN name END AS name, name AS wished, left_alone FROM w)"""
+
+
+@query(f"""WITH {LABELLED}, d AS (SELECT seg.*, coalesce(name, 'Voice ' || label) AS name FROM seg JOIN shown USING (rec_id, label) WHERE seg.text <> ''),
+g AS (SELECT *, CASE WHEN lag(name) OVER (PARTITION BY rec_id ORDER BY seg_idx) = name THEN 0 ELSE 1 END AS fresh FROM d),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id ORDER BY seg_idx) - 1 AS line_idx FROM g)
+SELECT rec_id, CAST(line_idx AS BIGINT) AS line_idx, min_by(label, seg_idx) AS label, name, count(*) AS n_segments, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM n GROUP BY rec_id, line_idx, name""")
+def relabelled_lines(spark, sf_dir):
+    """The lines of all results after their speakers were named."""
+    return _labelled(spark, sf_dir).lines.drop("start", "end")
+
+
+@query(f"""WITH {LABELLED}, e AS (SELECT 'result:' || rec_id || ':' || shown.label AS source, wished, label_idx, left_alone, embedding IS NOT NULL AND label_idx < 2 AS heard FROM shown LEFT JOIN embeddings ON vec_id = rec_id),
+people AS (SELECT name FROM speakers UNION SELECT DISTINCT wished FROM e WHERE NOT left_alone AND wished <> '' AND lower(wished) NOT IN (SELECT lower(name) FROM speakers)),
+made AS (SELECT source, p.name, CAST(label_idx + 5 AS DOUBLE) AS speech_sec, row_number() OVER (ORDER BY md5(source)) + (SELECT max(id) FROM prints) AS id
+         FROM e JOIN people p ON lower(p.name) = lower(wished) WHERE NOT left_alone AND wished <> '' AND heard),
+every AS (SELECT source, s.name, speech_sec, prints.id, prints.speaker_id FROM prints LEFT JOIN speakers s ON s.id = prints.speaker_id WHERE source NOT IN (SELECT source FROM e WHERE NOT left_alone)
+          UNION ALL SELECT source, name, speech_sec, id, NULL FROM made),
+k AS (SELECT *, row_number() OVER (PARTITION BY coalesce(name, CAST(speaker_id AS VARCHAR)) ORDER BY id DESC) AS n FROM every)
+SELECT id, source, name, speech_sec FROM k WHERE n <= 10""")
+def relabelled_voiceprints(spark, sf_dir):
+    """The voiceprints that are kept then, with the names of their speakers."""
+    told = _labelled(spark, sf_dir)
+    names = told.speakers.select(F.col("id").alias("speaker_id"), "name")
+    return told.voiceprints.join(names, "speaker_id", "left").select("id", "source", "name", "speech_sec")
