@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import public_tokenizers
@@ -22,13 +24,16 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ["assign", "access", "hex", "random"]
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Runs of RUN_MIN key characters and more are tested, in the parts that base spans leave of them.
-RUN_MIN = 16
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % RUN_MIN)
-DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-#: Fewer characters a token than this are random: prose has 4 and more under the vocabulary of byte_bpe_50k, invented
-#: words of one case 1.6 to 4, random letters and digits 1.3 to 1.8. By digits, and by the length where there are some.
-LIMIT_LONG, LIMIT_SHORT, LIMIT_LETTERS, LONG = 2.0, 1.8, 1.6, 20
+#: Runs of RUN_MIN key characters and more are tested, in the parts that base spans leave of them; dots stand inside.
+RUN_MIN = 8
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+PART, PART_MIN = re.compile(r"[A-Za-z0-9]+"), 4  # shorter parts are those of versions and numbered names
+#: A run is random when its characters a token are no more than for LIKELY of random strings of its letters and length
+#: under the vocabulary. Letters of one case are tested from ONE_CASE_MIN on, with a lower limit below ONE_CASE_SURE: they
+#: are not well told from rare words, and shorter ones not at all.
+LIKELY, ONE_CASE_MIN, ONE_CASE_SURE, ONE_CASE_LIMIT, SIMULATED, SEED = 0.95, 16, 20, 1.7, 500, 7
+LENGTHS = (8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 22, 24, 28, 32, 40, 48, 64)
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Digests (MD5, SHA-1, SHA-2) and UUIDs are names of known things, not secrets.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
@@ -58,19 +63,50 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def letters_of(run: str) -> str | None:
+    """The letters that a run is made of, as far as it is worth a test.
+
+    With digits where some part between marks has both letters and digits; of both cases where a part has a capital
+    beyond its first letter and small ones; parts under PART_MIN do not count. What is left are words of one case, if there are letters at all.
+    """
+    parts = [x for x in PART.findall(run) if len(x) >= PART_MIN]
+    digits = any(not x.isalpha() and not x.isdigit() for x in parts)
+    cases = any(not x[1:].islower() and not x.isupper() and x[1:].lower() != x[1:] for x in parts)
+    if digits:
+        return DIGITS + (LOWER if any(map(str.islower, run)) else "") + (UPPER if any(map(str.isupper, run)) else "")
+    if cases:
+        return LOWER + UPPER
+    if len(run) < ONE_CASE_MIN or not any(map(str.isalpha, run)):
+        return None
+    return UPPER if run.isupper() else LOWER
+
+
+@lru_cache(maxsize=256)
+def limit(enc: tiktoken.Encoding, letters: str, length: int) -> float:
+    """Characters a token that LIKELY of random strings do not exceed."""
+    rng = random.Random(f"{SEED}:{letters}:{length}")
+    drawn = ("".join(rng.choices(letters, k=length)) for _ in range(SIMULATED))
+    return sorted(length / len(enc.encode_ordinary(x)) for x in drawn)[int(LIKELY * SIMULATED) - 1]
+
+
 def is_random(run: str, enc: tiktoken.Encoding) -> bool:
-    """Whether a run has few characters a token; known digests, identifiers and plain numbers have no say."""
-    if not LETTER.search(run) or KNOWN.fullmatch(run.strip("+/_=-")):
+    """Whether a run has as few characters a token as random strings; known digests and identifiers have no say."""
+    letters = letters_of(run)
+    if letters is None or KNOWN.fullmatch(run.strip("+/_=.-")):
         return False
-    limit = LIMIT_LETTERS if not DIGIT.search(run) else LIMIT_SHORT if len(run) < LONG else LIMIT_LONG
-    return len(run) < limit * len(enc.encode_ordinary(run))
+    most = limit(enc, letters, LENGTHS[bisect_right(LENGTHS, len(run)) - 1])
+    if letters in (LOWER, UPPER) and len(run) < ONE_CASE_SURE:
+        most = min(most, ONE_CASE_LIMIT)
+    return len(run) <= most * len(enc.encode_ordinary(run))
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], enc: tiktoken.Encoding) -> list[tuple[int, int, int]]:
-    """Random strings among what base spans (in order) leave of the runs."""
+    """Random strings among what base spans (in order) leave of the runs. The name in an address is no secret."""
     out, k, reach = [], 0, 0  # base spans before the k-th start before the run; they end at reach at the latest
     for m in RUN.finditer(text):
         at, end = m.span()
+        if end - at < RUN_MIN or text[end : end + 1] == "@":
+            continue
         while k < len(base) and base[k][0] <= at:
             reach = max(reach, base[k][2])
             k += 1
