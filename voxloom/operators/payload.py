@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import WIDTH, count, running
+
 
 def payload_segments(segments: DataFrame, rec: str = "rec_id") -> DataFrame:
     """Segments (rec, seg_idx, start, end, speaker, text, words) as results keep them.
@@ -39,15 +41,15 @@ def progress(chunk: Column, chunks: Column) -> Column:
     return F.lit(12.0) + F.lit(76.0) * chunk / chunks
 
 
-def merged_turns(turns: DataFrame, mapping: DataFrame, rec: str = "rec_id") -> DataFrame:
+def merged_turns(turns: DataFrame, mapping: DataFrame, rec: str = "rec_id", width=WIDTH) -> DataFrame:
     """Turns (rec, chunk_idx, label, start, end) of all chunks in one order, with the speakers that mapping gives.
 
     mapping: rec, chunk_idx, label, speaker, as stitch returns it, with every label of a turn. Turns of equal times
     stay in the order of chunks and labels.
     """
     named = turns.join(mapping.select(rec, "chunk_idx", "label", "speaker"), [rec, "chunk_idx", "label"])
-    w = Window.partitionBy(rec).orderBy("start", "end", "chunk_idx", "label")
-    return named.select(rec, (F.row_number().over(w) - 1).cast("long").alias("turn_idx"), "speaker", "start", "end")
+    placed = running(named, [rec], ["start", "end", "chunk_idx", "label"], width, {"_n": count()})
+    return placed.select(rec, (F.col("_n") - 1).alias("turn_idx"), "speaker", "start", "end")
 
 
 def carried_overlaps(overlaps: DataFrame, mapping: DataFrame, rec: str = "rec_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.config import EngineConfig
 from voxloom.functions import text as names
 from voxloom.functions.vectors import is_valid
-from voxloom.operators import attach, intervals, labels, lines, registry, silence, textfilter, timeline, voices
+from voxloom.operators import attach, intervals, labels, lines, registry, scans, silence, textfilter, timeline, voices
 from voxloom.plans import inputs
 from voxloom.plans.inputs import LEVELS, PLACED, TURNS, table
 from voxloom.plans.inputs import merged as merged_sql
@@ -292,8 +292,9 @@ def wave_levels(spark, sf_dir):
 
     The filter's state goes from block to block: the SQL engine at hand has no recurrence over millions of samples.
     """
-    at = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("at")
-    numbered = table(spark, sf_dir, "events").select("user_id", "value", at)
+    moment = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    events = table(spark, sf_dir, "events").select("user_id", "value", moment.alias("moment"), "event_id")
+    numbered = scans.running(events, ["user_id"], ["moment", "event_id"], 10 * DAY * 1_000_000, {"n": scans.count()}).withColumn("at", F.col("n") - 1)
     listed = F.sort_array(F.collect_list(F.struct("at", "value")))
     blocks = numbered.groupBy(F.col("user_id").alias("rec_id"), F.floor(F.col("at") / BLOCK).alias("block")).agg(listed.alias("x"))
     sound = F.flatten(F.transform("x", lambda x: F.array_repeat(F.sin(x["value"]) / 2, 40)))
@@ -389,11 +390,37 @@ def stitch(spark, sf_dir):
     return voices.stitch(_parts(spark, sf_dir), EngineConfig(stitch_threshold=0.2))
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (
+  SELECT vec_id // 20 AS rec_id, 'S' || (vec_id % 5) || '_' || (vec_id // 5 % 4) AS label, CAST(vec_id % 7 + 1 AS DOUBLE) AS w,
+         CASE WHEN vec_id % 11 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+u AS (SELECT rec_id, label, w, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS v,
+             CASE label WHEN 'S0_0' THEN ['S1_0'] WHEN 'S1_0' THEN ['S0_0'] ELSE CAST([] AS VARCHAR[]) END AS apart FROM p WHERE e IS NOT NULL),
+-- The speakers that are left after each step; the two most alike become one.
+s(rec_id, step, label, w, v, apart, gone, into_, score) AS (
+  SELECT rec_id, 0, label, w, v, apart, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE) FROM u
+  UNION ALL
+  SELECT rec_id, step, label, w, v, apart, gone, into_, score FROM (
+    WITH best AS (
+      SELECT a.rec_id, a.label AS one, b.label AS two, list_dot_product(a.v, b.v) AS score, a.w AS w1, b.w AS w2, a.v AS v1, b.v AS v2, list_concat(a.apart, b.apart) AS barred
+      FROM s a JOIN s b ON a.rec_id = b.rec_id AND a.label < b.label AND NOT list_contains(a.apart, b.label)
+      WHERE list_dot_product(a.v, b.v) >= 0.2
+      QUALIFY row_number() OVER (PARTITION BY a.rec_id ORDER BY list_dot_product(a.v, b.v) DESC, a.label, b.label) = 1),
+    mixed AS (SELECT *, [greatest(w1, 1e-6) * v1[i] + greatest(w2, 1e-6) * v2[i] FOR i IN range(1, 65)] AS m FROM best)
+    SELECT s.rec_id, s.step + 1 AS step, s.label, CASE WHEN s.label = one THEN w1 + w2 ELSE s.w END AS w,
+           CASE WHEN s.label = one THEN [x / sqrt(list_dot_product(m, m)) FOR x IN m] ELSE s.v END AS v,
+           CASE WHEN s.label = one THEN barred WHEN list_contains(s.apart, two) THEN list_append(s.apart, one) ELSE s.apart END AS apart, two AS gone, one AS into_, b.score AS score
+    FROM s JOIN mixed b ON b.rec_id = s.rec_id WHERE s.label <> two)),
+merged AS (SELECT DISTINCT rec_id, step, gone, into_, score FROM s WHERE step > 0),
+root(rec_id, label, held) AS (SELECT rec_id, label, label FROM p UNION ALL SELECT r.rec_id, r.label, m.into_ FROM root r JOIN merged m ON m.rec_id = r.rec_id AND m.gone = r.held)
+SELECT r.rec_id, r.label, r.held AS root, m.step, round(m.score, 6) AS score FROM root r LEFT JOIN merged m ON m.rec_id = r.rec_id AND m.gone = r.label
+WHERE NOT EXISTS (SELECT 1 FROM merged x WHERE x.rec_id = r.rec_id AND x.gone = r.held)""")
 def collapse(spark, sf_dir):
+    """Twenty speakers of a recording, two of which have spoken at once."""
     v = _parts(spark, sf_dir).withColumn("label", F.concat("label", F.lit("_"), F.col("chunk_idx").cast("string")))
     apart = v.select("rec_id", F.lit("S0_0").alias("a"), F.lit("S1_0").alias("b")).distinct()
-    return voices.collapse(v, apart, EngineConfig(merge_threshold=0.2))
+    found = voices.collapse(v, apart, EngineConfig(merge_threshold=0.2))
+    return found.select("rec_id", "label", "root", "step", F.round("score", 6).alias("score"))
 
 
 # Text evidence
@@ -433,10 +460,27 @@ def evidence(spark, sf_dir):
     return s.select("rec_id", "seg_idx", proof.alias("proof"))
 
 
-@query()
+@query(r"""
+WITH raw AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 11 = 0 THEN repeat(substring(text, 1, 3), 8) ELSE text END AS text FROM conversations),
+seg AS (SELECT conv_id AS rec_id, turn AS seg_idx, regexp_replace(text, '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g') AS t, (conv_id * 7 + turn * 13) % 100 / 100.0 AS score, (turn % 5 + 1) * 12 AS sec FROM raw),
+packed AS (SELECT rec_id, seg_idx, replace(t, ' ', '') AS p FROM seg),
+-- Five and more times the same one to three characters: 4 k places in a row that are like the one k on.
+same AS (SELECT rec_id, seg_idx, k, i, i - row_number() OVER (PARTITION BY rec_id, seg_idx, k ORDER BY i) AS g
+         FROM (SELECT rec_id, seg_idx, p, k, unnest(range(1, length(p) - k + 1)) AS i FROM packed, range(1, 4) r(k)) WHERE p[i:i] = p[i + k:i + k] AND p[i:i] <> chr(10)),
+found AS (SELECT rec_id, seg_idx, k, min(i) AS i, count(*) AS n FROM same GROUP BY rec_id, seg_idx, k, g HAVING count(*) >= 4 * k),
+glued AS (SELECT rec_id, seg_idx, arg_min(k * (n // k + 1), i * 10 + k) AS len FROM found GROUP BY 1, 2),
+tok AS (SELECT rec_id, seg_idx, w, count(*) AS c FROM (SELECT rec_id, seg_idx, unnest(list_filter(regexp_split_to_array(t, '[\s\x{85}\p{Z}]+'), lambda x: x <> '')) AS w FROM seg) GROUP BY 1, 2, 3),
+rep AS (SELECT rec_id, seg_idx, CASE WHEN sum(c) >= 4 THEN max(c) / CAST(sum(c) AS DOUBLE) ELSE 0 END AS r FROM tok GROUP BY 1, 2),
+m AS (SELECT s.*, coalesce(r, 0) AS rep, coalesce(len, 0) AS glue, length(replace(t, ' ', '')) AS packed,
+             CASE WHEN length(t) > 0 THEN least((len(list_reduce(list_prepend('', regexp_extract_all(t, '(?i)(the|und|les)', 0)), lambda x, y: x || y)) + len(list_reduce(list_prepend('', regexp_extract_all(t, '(?i)th[a-z]+', 0)), lambda x, y: x || y))) / CAST(length(t) AS DOUBLE), 1.0) ELSE 0 END AS cover,
+             CASE WHEN score < 0.3 THEN 'low_score' WHEN sec >= 6 AND length(t) / CAST(sec AS DOUBLE) < 1.5 THEN 'slow' END AS proof
+      FROM seg s LEFT JOIN rep USING (rec_id, seg_idx) LEFT JOIN glued USING (rec_id, seg_idx)),
+v AS (SELECT *, CASE WHEN t = '' THEN NULL WHEN glue > 0 AND glue >= 0.5 * packed THEN 'glued' WHEN rep >= 0.25 THEN 'repeated' WHEN cover >= 0.5 AND proof IS NOT NULL THEN 'stock_proven' WHEN cover >= 0.5 THEN 'stock' ELSE proof END AS reason FROM m)
+SELECT rec_id, seg_idx, CASE WHEN reason IN ('glued', 'repeated', 'stock_proven') THEN 'drop' WHEN reason IS NOT NULL THEN 'suspect' ELSE 'keep' END AS verdict, reason, round(rep, 6) AS repeat, round(cover, 6) AS cover FROM v""")
 def verdicts(spark, sf_dir):
-    """All rules on conversation turns: the SQL engine at hand has no back-references for the glued rule."""
-    rated = textfilter.inspect(inputs.segments(spark, sf_dir), patterns=(r"(the|und|les)", r"th[a-z]+"), max_repeat=0.25)
+    """All rules on conversation turns, some of which repeat their first characters."""
+    glued = F.when((F.col("rec_id") + F.col("seg_idx")) % 11 == 0, F.repeat(F.substring("text", 1, 3), F.lit(8))).otherwise(F.col("text"))
+    rated = textfilter.inspect(inputs.segments(spark, sf_dir).withColumn("text", glued), patterns=(r"(the|und|les)", r"th[a-z]+"), max_repeat=0.25)
     return rated.select("rec_id", "seg_idx", "verdict", "reason", F.round("repeat", 6).alias("repeat"), F.round("cover", 6).alias("cover"))
 
 
