@@ -204,3 +204,32 @@ def test_kept_regions_across_borders(spark, waves):
     assert np.allclose(whole(rows, other), sounds[other], atol=1e-7)
     placed = sorted((r.at, len(r.samples)) for r in rows if r.path == path)
     assert all(a + n == b for (a, n), (b, _) in zip(placed, placed[1:]))
+
+
+def test_headers_without_the_sound(spark, waves):
+    top, sounds = waves
+    files = spark.createDataFrame([(p,) for p in sounds] + [(str(top / "notes.txt"),)], "path string")
+    got = {r.path: (r.samples, r.channels, r.seconds) for r in wavespan.headers(files, f"file://{top}").collect()}
+    one, two, empty = sounds
+    assert got == {one: (300_000, 1, 18.75), two: (150_001, 2, 150_001 / 16000), empty: (0, 1, 0.0), str(top / "notes.txt"): (0, 0, 0.0)}
+
+
+def test_clips_are_wider_than_asked_for(spark):
+    x = np.arange(64000) / 64000
+    content = wav.encode(x)
+    df = spark.createDataFrame([("a", content, 1.0, 2.0), ("b", content, 0.05, 0.5), ("c", content, 3.9, 9.0), ("d", content, 2.0, 1.0)], "key string, content binary, start double, end double")
+    got = {r.key: wav.decode(r.clip) for r in wav.clips(df).collect()}
+    whole = wav.decode(content)
+    for key, a, b in (("a", 0.85, 2.25), ("b", 0.0, 0.75), ("c", 3.75, 4.0)):
+        assert np.array_equal(got[key], whole[int(a * 16000) : int(b * 16000)])
+    assert len(got["d"]) == 0
+    assert len(wav.decode(next(iter(wav.clips(df.limit(1), most=0.5).collect())).clip)) == 8000
+
+
+def test_slim_payloads(spark):
+    from voxloom.sources import results
+
+    row = spark.createDataFrame([("r", [1.0], [(0.0, "hi", [("hi", 0.0)])])], "rec_id string, embedding array<double>, segments array<struct<start:double,text:string,words:array<struct<word:string,start:double>>>>")
+    (got,) = results.slim(row).collect()
+    assert got.asDict(recursive=True) == {"rec_id": "r", "segments": [{"start": 0.0, "text": "hi"}]}
+    assert results.slim(row.drop("segments")).columns == ["rec_id"]

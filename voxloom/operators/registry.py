@@ -54,11 +54,36 @@ def upsert_speakers(speakers: DataFrame, names: DataFrame, now: Column) -> DataF
     return speakers.unionByName(added, allowMissingColumns=True)
 
 
+def find_speakers(speakers: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (ask, id, name) with found_id and found_name: the speaker with the id, or else with the name in any case.
+
+    Of several speakers of one name the first counts; who is not there has nulls.
+    """
+    by_id = speakers.select("id", F.struct(F.col("id").alias("i"), F.col("name").alias("n")).alias("_by_id"))
+    by_name = speakers.groupBy(fold(F.trim("name")).alias("_key")).agg(F.min(F.struct(F.col("id").alias("i"), F.col("name").alias("n"))).alias("_by_name"))
+    met = asked.withColumn("_key", fold(F.trim("name"))).join(by_id, "id", "left").join(by_name, "_key", "left")
+    found = F.when(F.col("id").isNotNull(), F.col("_by_id")).otherwise(F.col("_by_name"))
+    return met.select("ask", "id", "name", found["i"].alias("found_id"), found["n"].alias("found_name"))
+
+
 def rename_speaker(speakers: DataFrame, speaker_id, name: str, now: Column) -> DataFrame:
     hit = F.col("id") == speaker_id
     return speakers.withColumns({"name": F.when(hit, F.lit(name)).otherwise(F.col("name")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
 
 
+def rename_speakers(speakers: DataFrame, wishes: DataFrame, now: Column) -> DataFrame:
+    """speakers with the names of wishes (id, name), one for an id, and when that was.
+
+    Wishes without a name, and names that another speaker has already in any case, change nothing.
+    """
+    asked = wishes.select("id", F.trim("name").alias("name")).filter("name <> ''")
+    fine = asked.join(rename_clash(speakers, asked).select("id"), "id", "left_anti").withColumnRenamed("name", "_new")
+    met = speakers.join(fine, "id", "left")
+    changed = F.col("_new").isNotNull()
+    told = met.withColumns({"name": F.coalesce("_new", "name"), "updated_at": F.when(changed, now).otherwise(F.col("updated_at"))})
+    return told.select(speakers.columns)
+
+
 def rename_clash(speakers: DataFrame, wishes: DataFrame) -> DataFrame:
     """Wished names (id, name) that another speaker has already in any case."""
     taken = speakers.select(F.col("id").alias("_other"), fold(F.trim("name")).alias("_key"))

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxloom.config import EngineConfig
-from voxloom.operators import attach, labelling, payload, registry, silence, timeline, voices
+from voxloom.functions import text as names
+from voxloom.operators import attach, labelling, payload, registry, scans, silence, textfilter, timeline, voices
 from voxloom.plans import inputs
-from voxloom.plans.catalogue import HOUR, PLAN, PRINTS, REGIONS, WORDS, _parts, _prints, _regions, _speakers, query
+from voxloom.plans.catalogue import DAY, HOUR, PLAN, PRINTS, REGIONS, WORDS, _parts, _prints, _regions, _speakers, query
 from voxloom.plans.inputs import TURNS, table
-from voxloom.sources import results
+from voxloom.sources import results, wavespan
 
 
 @query("""
@@ -280,3 +281,73 @@ def relabelled_voiceprints(spark, sf_dir):
     told = _labelled(spark, sf_dir)
     names = told.speakers.select(F.col("id").alias("speaker_id"), "name")
     return told.voiceprints.join(names, "speaker_id", "left").select("id", "source", "name", "speech_sec")
+
+
+@query(f"""WITH {PRINTS}, a AS (SELECT c_custkey AS ask, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 15 AS BIGINT) END AS id, ' PERSON ' || (c_custkey % 14) AS name FROM customer)
+SELECT ask, a.id, a.name, CASE WHEN a.id IS NOT NULL THEN i.id ELSE n.id END AS found_id, CASE WHEN a.id IS NOT NULL THEN i.name ELSE n.name END AS found_name
+FROM a LEFT JOIN speakers i ON i.id = a.id LEFT JOIN speakers n ON lower(n.name) = lower(trim(a.name))""")
+def find_speakers(spark, sf_dir):
+    """Customers ask for a speaker, a third of them by number."""
+    key = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(key.alias("ask"), F.when(key % 3 == 0, (key % 15).cast("long")).alias("id"), F.concat(F.lit(" PERSON "), (key % 14).cast("string")).alias("name"))
+    return registry.find_speakers(_speakers(spark, sf_dir), asked)
+
+
+@query(f"""WITH {PRINTS}, w AS (SELECT id, CASE WHEN id % 4 = 0 THEN ' ' WHEN id % 3 = 0 THEN 'person ' || (id + 1) ELSE 'Guest ' || id END AS name FROM speakers WHERE id % 5 <> 1)
+SELECT s.id, CASE WHEN trim(w.name) <> '' AND NOT EXISTS (SELECT 1 FROM speakers o WHERE o.id <> s.id AND lower(o.name) = lower(trim(w.name))) THEN trim(w.name) ELSE s.name END AS name,
+       CASE WHEN trim(w.name) <> '' AND NOT EXISTS (SELECT 1 FROM speakers o WHERE o.id <> s.id AND lower(o.name) = lower(trim(w.name))) THEN '2024-01-02' ELSE '2024-01-01' END AS updated_at
+FROM speakers s LEFT JOIN w ON w.id = s.id""")
+def rename_speakers(spark, sf_dir):
+    s = _speakers(spark, sf_dir)
+    name = F.when(F.col("id") % 4 == 0, " ").when(F.col("id") % 3 == 0, F.concat(F.lit("person "), (F.col("id") + 1).cast("string"))).otherwise(F.concat(F.lit("Guest "), F.col("id").cast("string")))
+    return registry.rename_speakers(s, s.filter("id % 5 <> 1").select("id", name.alias("name")), F.lit("2024-01-02")).select("id", "name", "updated_at")
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS name FROM events""")
+def default_names(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", names.default_name(F.col("ts")).alias("name"))
+
+
+SOUND = """n AS (SELECT user_id AS rec_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events)"""
+
+
+def _sound(spark, sf_dir, size):
+    """(rec_id, block, at, samples): every user's values in order, in blocks of a size."""
+    moment = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), "value", moment.alias("moment"), "event_id")
+    placed = scans.running(e, ["rec_id"], ["moment", "event_id"], 10 * DAY * 1_000_000, {"n": scans.count()}).withColumn("at", F.col("n") - 1)
+    block = F.floor(F.col("at") / size)
+    listed = F.sort_array(F.collect_list(F.struct("at", "value")))
+    rows = placed.groupBy("rec_id", block.alias("block")).agg(listed.alias("x"))
+    return rows.select("rec_id", "block", (F.col("block") * size).alias("at"), F.transform("x", lambda x: x["value"]).alias("samples"))
+
+
+@query(f"""WITH {SOUND}, f AS (SELECT rec_id, place // 4 AS frame_idx, avg(value * value) AS p, count(*) AS n FROM n GROUP BY 1, 2)
+SELECT rec_id, frame_idx, round(10 * log10(p + 1e-10), 6) AS db FROM f WHERE n = 4""")
+def frame_levels(spark, sf_dir):
+    """Frames of four values, from blocks of sixteen; a rest of a frame is left out."""
+    levels = silence.block_levels(_sound(spark, sf_dir, 16), 16, 4)
+    return levels.withColumn("db", F.round("db", 6))
+
+
+@query(f"""WITH {SOUND}, r AS (SELECT rec_id, 3 AS s, 9 AS e, 0 AS off FROM n WHERE rec_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT rec_id, 14, 40, 6 FROM n WHERE rec_id % 3 <> 0 GROUP BY 1)
+SELECT n.rec_id, off + place - s AS pos, value FROM n JOIN r ON r.rec_id = n.rec_id AND place >= s AND place < e UNION ALL SELECT rec_id, place, value FROM n WHERE rec_id % 3 = 0""")
+def kept_sound(spark, sf_dir):
+    """Sound in blocks of eight samples cut to two regions, over the borders of blocks; every third recording has none."""
+    blocks = _sound(spark, sf_dir, 8)
+    spans = F.inline(F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for a, b in ((3, 9), (14, 40))]))
+    regions = blocks.select("rec_id").distinct().filter("rec_id % 3 <> 0").select("rec_id", spans)
+    cut = wavespan.kept(blocks, timeline.offsets(regions), "rec_id")
+    return cut.select("rec_id", "at", F.posexplode("samples").alias("i", "value")).select("rec_id", (F.col("at") + F.col("i")).alias("pos"), "value")
+
+
+@query("""WITH v AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 1 THEN 'drop' WHEN turn % 3 = 2 THEN 'suspect' ELSE 'keep' END AS verdict FROM conversations)
+SELECT conv_id, turn, text, verdict, 'suspects stay' AS setting FROM v WHERE verdict <> 'drop' UNION ALL SELECT conv_id, turn, text, verdict, 'suspects go' FROM v WHERE verdict = 'keep'
+UNION ALL SELECT conv_id, turn, text, verdict, 'all stay' FROM v""")
+def cleaned(spark, sf_dir):
+    """The segments that stay under each setting."""
+    c = table(spark, sf_dir, "conversations")
+    told = c.select("conv_id", "turn", "text", F.when(F.col("turn") % 3 == 1, "drop").when(F.col("turn") % 3 == 2, "suspect").otherwise("keep").alias("verdict"))
+    settings = {"suspects stay": EngineConfig(), "suspects go": EngineConfig(drop_suspect=True), "all stay": EngineConfig(drop_hallucination=False)}
+    parts = [textfilter.clean(told, cfg).withColumn("setting", F.lit(name)) for name, cfg in settings.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
