@@ -1,7 +1,10 @@
+import os
 import random
+import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))  # helpers beside the tests
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, name string, row string, words string"
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import one_process_tree
 from voxloom.llm import lm_scoring
 
 
@@ -18,9 +19,9 @@ def test_scores_come_from_all_contexts(spark, monkeypatch, shortcut):
     monkeypatch.setattr(lm_scoring, "SHORTCUT", shortcut)
     got = {r.doc_id: r.score for r in lm_scoring.score(df, F.col("out")).collect()}
     counts = lm_scoring.training_counts(df.filter("not out").select("text")).filter("gram IS NOT NULL").select("gram", "n")
-    tree = lm_scoring.grow(counts, 1 << 40)  # test_context_tree_weighting_against_the_recursion holds this against the definition
+    tree = one_process_tree.grow(counts, 1 << 40)  # test_context_tree_weighting_against_the_recursion holds this against the definition
     assert len(tree.child) // 256 > 3 << 13
-    for i, want in enumerate(lm_scoring.code_lengths(tree, lm_scoring.lowered(texts))):
+    for i, want in enumerate(one_process_tree.code_lengths(tree, lm_scoring.lowered(texts))):
         assert got[i] == pytest.approx(want, rel=1e-4), texts[i]
-    capped = lm_scoring.code_lengths(lm_scoring.grow(counts, 3 << 13), lm_scoring.lowered(texts))
+    capped = one_process_tree.code_lengths(one_process_tree.grow(counts, 3 << 13), lm_scoring.lowered(texts))
     assert any(got[i] != pytest.approx(x, rel=1e-4) for i, x in enumerate(capped))
