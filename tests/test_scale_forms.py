@@ -116,3 +116,17 @@ def test_dense_numbers(spark):
 
     order = sorted(got, key=lambda x: hashlib.md5(x.encode()).hexdigest())
     assert [got[x] for x in order] == list(range(1, 501))
+
+
+def test_words_amid_very_many_turns(spark):
+    """4,000 turns around 4,000 words: a look-up each; words over the ends of turns meet those alone."""
+    from voxloom.operators import attach
+
+    turns = spark.range(4000).select(F.lit("r").alias("rec_id"), F.col("id").alias("turn_idx"), F.col("id").alias("start"), (F.col("id") + 50_000).alias("end"), F.concat(F.lit("S"), (F.col("id") % 7).cast("string")).alias("speaker"))
+    words = spark.range(4000).select(F.lit("r").alias("rec_id"), F.col("id").alias("word_id"), (F.col("id") * 14 - 100).alias("start"), (F.col("id") * 14 - 95).alias("end"))
+    got = {r.word_id: (r.speaker, r.overlap) for r in attach.best_overlap(words, turns, 1000).collect()}
+    spans = [(i, i + 50_000) for i in range(4000)]
+    for w in (0, 6, 7, 8, 9, 100, 300, 3000, 3570, 3579, 3700, 3860, 3862, 3863, 3999):
+        s, e = w * 14 - 100, w * 14 - 95
+        best = max((min(e, b) - max(s, a), -i) for i, (a, b) in enumerate(spans))
+        assert got.get(w) == ((f"S{-best[1] % 7}", best[0]) if best[0] > 0 else None)

@@ -6,30 +6,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .intervals import as_of, interval_join
-from .scans import WIDTH, count, running
+from ..sources.shared import written
+from .intervals import as_of, buckets
+from .scans import WIDTH, Running, count, running
+
+
+def first_around(spans: DataFrame, turns: DataFrame, rec: str = "rec_id") -> DataFrame:
+    """spans (rec, lo, hi, ...) with turn_idx of the first turn that begins at lo or before and ends at hi or after.
+
+    Turns are numbered by start. So it is the first one that ends at hi or after, if it begins in time; and that is where
+    the furthest end so far reaches hi. One look-up a span, however many turns are around it.
+    """
+    reached = running(turns.select(rec, "turn_idx", "end"), [rec], ["turn_idx"], WIDTH, {"_reach": Running("max", F.col("end"))})
+    marks = reached.groupBy(rec, (-F.col("_reach")).alias("_back")).agg(F.min("turn_idx").alias("_first"))
+    led = as_of(spans.withColumn("_from", -F.col("hi")), marks, [rec], "_from", "_back")
+    begins = turns.select(rec, F.col("turn_idx").alias("_first"), F.col("start").alias("_begin"))
+    around = F.when(F.col("_begin") <= F.col("lo"), F.col("_first"))
+    return led.join(begins, [rec, "_first"], "left").select(*spans.columns, around.alias("turn_idx"))
 
 
 def best_overlap(words: DataFrame, turns: DataFrame, width, rec: str = "rec_id") -> DataFrame:
-    """(rec, word_id, speaker, overlap) of the single turn with most shared time; ties go to the first turn."""
-    left = words.select(rec, "word_id", F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-    right = turns.select(rec, "turn_idx", "speaker", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    """(rec, word_id, speaker, overlap) of the single turn with most shared time; ties go to the first turn.
+
+    Turns are numbered by start and end. A turn around a word shares all of it, so the first of those is looked up. Only
+    words without one meet turns, and only those that begin or end inside the word: however many turns go on at once,
+    no word meets them all.
+    """
+    spans = words.filter(F.col("end") > F.col("start")).select(rec, "word_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    placed = first_around(spans, turns, rec)
+    named = turns.select(rec, "turn_idx", "speaker")
+    whole = placed.filter("turn_idx IS NOT NULL").join(named, [rec, "turn_idx"]).select(rec, "word_id", "speaker", (F.col("hi") - F.col("lo")).alias("overlap"))
+    left = placed.filter("turn_idx IS NULL").select(rec, "word_id", F.col("lo").alias("l_start"), F.col("hi").alias("l_end"))
+    left = left.withColumn("_bucket", F.explode(buckets(F.col("l_start"), F.col("l_end"), width)))
+    ends = turns.select(rec, "turn_idx", "speaker", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.explode(F.array("start", "end")).alias("_at"))
+    ends = ends.withColumn("_bucket", F.floor(F.col("_at") / width))
     overlap = F.least("l_end", "r_end") - F.greatest("l_start", "r_start")
-    met = interval_join(left, right, [rec], width).withColumn("overlap", overlap).filter("overlap > 0")
+    met = left.join(ends, [rec, "_bucket"]).filter("_at > l_start AND _at < l_end").withColumn("overlap", overlap).filter("overlap > 0")
     best = met.groupBy(rec, "word_id").agg(F.max_by(F.struct("speaker", "overlap"), F.struct("overlap", -F.col("turn_idx"))).alias("x"))
-    return best.select(rec, "word_id", F.col("x.speaker").alias("speaker"), F.col("x.overlap").alias("overlap"))
+    return whole.unionByName(best.select(rec, "word_id", F.col("x.speaker").alias("speaker"), F.col("x.overlap").alias("overlap")))
 
 
 def nearest(points: DataFrame, turns: DataFrame, width, rec: str = "rec_id") -> DataFrame:
     """(rec, word_id, speaker) of the first turn that contains `at`, or else the nearest; ties go to the first turn.
 
-    Points in no turn look up the last end before them and the next start after them, so no pairs are made.
+    Points look up the first turn around them; those in no turn the last end before them and the next start after them,
+    so no pairs are made.
     """
-    spans = points.select(rec, "word_id", F.col("at").alias("l_start"), (F.col("at") + 1).alias("l_end"))
-    open_ended = turns.select(rec, "turn_idx", F.col("start").alias("r_start"), (F.col("end") + 1).alias("r_end"))
-    holding = interval_join(spans, open_ended, [rec], width).filter("r_start <= l_start AND l_start <= r_end - 1")
-    inside = holding.groupBy(rec, "word_id").agg(F.min("turn_idx").alias("turn_idx"))
-    outside = points.join(inside, [rec, "word_id"], "left_anti").select(rec, "word_id", "at", (-F.col("at")).alias("back"))
+    placed = first_around(points.select(rec, "word_id", F.col("at").alias("lo"), F.col("at").alias("hi")), turns, rec)
+    inside = placed.filter("turn_idx IS NOT NULL").select(rec, "word_id", "turn_idx")
+    outside = placed.filter("turn_idx IS NULL").select(rec, "word_id", F.col("lo").alias("at"), (-F.col("lo")).alias("back"))
     ended = turns.groupBy(rec, F.col("end").alias("mark")).agg(F.min("turn_idx").alias("left_idx"))
     begins = turns.groupBy(rec, (-F.col("start")).alias("back_mark")).agg(F.min("turn_idx").alias("right_idx"))
     both = as_of(as_of(outside, ended, [rec], "at", "mark"), begins, [rec], "back", "back_mark")
@@ -40,9 +65,12 @@ def nearest(points: DataFrame, turns: DataFrame, width, rec: str = "rec_id") ->
 
 
 def attach(words: DataFrame, turns: DataFrame, width, rec: str = "rec_id", nobody: str = "SPEAKER_00") -> DataFrame:
-    """words (rec, word_id, start, end) with speaker: by overlap, else the turn nearest to the middle."""
-    best = best_overlap(words, turns, width, rec).select(rec, "word_id", "speaker")
-    rest = words.join(best, [rec, "word_id"], "left_anti").select(rec, "word_id", ((F.col("start") + F.col("end")) / 2).alias("at"))
+    """words (rec, word_id, start, end) with speaker: by overlap, else the turn nearest to the middle.
+
+    Speakers by overlap, and the words left over, are written to the shared folder: later steps read them several times.
+    """
+    best = written(best_overlap(words, turns, width, rec).select(rec, "word_id", "speaker"))
+    rest = written(words.join(best, [rec, "word_id"], "left_anti").select(rec, "word_id", ((F.col("start") + F.col("end")) / 2).alias("at")))
     found = best.unionByName(nearest(rest, turns, width, rec))
     return words.join(found, [rec, "word_id"], "left").withColumn("speaker", F.coalesce("speaker", F.lit(nobody)))
 
