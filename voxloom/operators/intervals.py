@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .scans import WIDTH, Running, count, running
 
 
@@ -16,11 +17,14 @@ def runs(frames: DataFrame, keys: list[str], index: str, width: int = WIDTH) ->
 
 
 def merge_regions(regions: DataFrame, keys: list[str], start: str, end: str, gap, width=WIDTH) -> DataFrame:
-    """Regions join when one starts less than gap after the furthest end before it."""
+    """Regions join when one starts less than gap after the furthest end before it.
+
+    How far the regions before reach is written to the shared folder, as two passes read it.
+    """
     order = [start, end]
     reached = running(regions.select(*keys, start, end), keys, order, width, {"reach": Running("max", F.col(end), inclusive=False)})
     fresh = F.col("reach").isNull() | (F.col(start) - F.col("reach") >= gap)
-    grouped = running(reached.withColumn("fresh", fresh.cast("long")), keys, order, width, {"region": Running("sum", F.col("fresh"))})
+    grouped = running(written(reached.select(*keys, start, end, fresh.cast("long").alias("fresh"))), keys, order, width, {"region": Running("sum", F.col("fresh"))})
     return grouped.groupBy(*keys, "region").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("region")
 
 

@@ -7,14 +7,16 @@ the rest. No task sees more of a key than a block.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The width of a block where a caller names none: indexes, seconds or samples, whatever the order is in.
 WIDTH = 1 << 20
@@ -64,41 +66,82 @@ def running(rows: DataFrame, keys: list[str], order: list[str], width, wanted: d
     return told.filter("_side = 1").drop("_side")
 
 
+def _rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple]:
+    """(key, rest...) of each row, where the first columns are the key."""
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        yield from zip(zip(*columns[:keys]) if keys else [()] * batch.num_rows, *columns[keys:])
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows (key, rest...) as batches."""
+    while part := list(islice(rows, size)):
+        flat = [(*r[0], *r[1:]) for r in part]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat), schema)], schema=schema)
+
+
 def prefixes(elements: DataFrame, keys: list[str], index: str, width: int, compose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """elements (keys, index, element array<double>) with `before`: what the elements before each compose to.
 
     compose(one, two) joins an element and the next; it is associative. Null before the first one. The elements of a
     group of `width` indexes are joined, then the groups of a key, then each group goes through again from what comes
-    before it; so no task holds more than a group, or the number of groups of a key.
+    before it. Rows stream by in order, so a task holds one element, and no task has more than a group, or the groups of
+    a key.
     """
     kinds = dict(elements.dtypes)
-    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    dealt = elements.select(*keys, index, "element", F.floor(F.col(index) / width).cast("long").alias("_group"))
-
-    def in_order(table: pa.Table, by: str) -> list[np.ndarray]:
-        return [np.array(x, dtype=float) for x in table.sort_by(by)["element"].to_pylist()]
-
-    def total(table: pa.Table) -> pa.Table:
-        joined = reduce(compose, in_order(table, index))
-        return table.slice(0, 1).select([*keys, "_group"]).append_column("element", pa.array([joined.tolist()], pa.list_(pa.float64())))
-
-    def through(parts: list[np.ndarray], held: np.ndarray | None) -> list[list[float] | None]:
-        out = []
-        for x in parts:
-            out.append(None if held is None else held.tolist())
-            held = x if held is None else compose(held, x)
-        return out
-
-    def groups(table: pa.Table) -> pa.Table:
-        before = pa.array(through(in_order(table, "_group"), None), pa.list_(pa.float64()))
-        return table.sort_by("_group").select([*keys, "_group"]).append_column("before", before)
-
-    def again(one: pa.Table, two: pa.Table) -> pa.Table:
-        held = two["before"][0].as_py()
-        before = through(in_order(one, index), None if held is None else np.array(held))
-        return one.sort_by(index).select([*keys, index]).append_column("before", pa.array(before, pa.list_(pa.float64())))
-
-    totals = dealt.groupBy(*keys, "_group").applyInArrow(total, f"{named}, _group long, element array<double>")
-    starts = totals.groupBy(*keys).applyInArrow(groups, f"{named}, _group long, before array<double>")
-    both = dealt.groupBy(*keys, "_group").cogroup(starts.groupBy(*keys, "_group"))
-    return both.applyInArrow(again, f"{named}, `{index}` {kinds[index]}, before array<double>")
+    named, n = ", ".join(f"`{k}` {kinds[k]}" for k in keys), len(keys)
+    dealt = elements.select(*keys, F.floor(F.col(index) / width).cast("long").alias("_group"), index, "element")
+    as_arrow = lambda ddl: to_arrow_schema(StructType.fromDDL(ddl))
+
+    def listed(x: np.ndarray | None) -> list[float] | None:
+        return None if x is None else x.tolist()
+
+    def joined(held: np.ndarray | None, x: list[float]) -> np.ndarray:
+        return np.array(x, dtype=float) if held is None else compose(held, np.array(x, dtype=float))
+
+    total_ddl = f"{named}, _group long, element array<double>"
+    total_schema, start_schema = as_arrow(total_ddl), as_arrow(f"{named}, _group long, before array<double>")
+    out_ddl = f"{named}, `{index}` {kinds[index]}, before array<double>"
+    out_schema = as_arrow(out_ddl)
+
+    def total(batches):
+        def rows():
+            at, held = None, None
+            for key, group, _, x in _rows(batches, n):
+                if at is not None and at != (key, group):
+                    yield (*at, held.tolist())
+                    held = None
+                at, held = (key, group), joined(held, x)
+            if at is not None:
+                yield (*at, held.tolist())
+
+        return _batches(rows(), total_schema)
+
+    def groups(batches):
+        def rows():
+            at, held = None, None
+            for key, group, x in _rows(batches, n):
+                held = held if at == key else None
+                yield key, group, listed(held)
+                at, held = key, joined(held, x)
+
+        return _batches(rows(), start_schema)
+
+    def again(batches):
+        def rows():
+            held = None
+            for key, _, kind, i, x in _rows(batches, n):
+                if kind == 0:  # the first row of a group tells what comes before it
+                    held = None if x is None else np.array(x)
+                else:
+                    yield key, i, listed(held)
+                    held = joined(held, x)
+
+        return _batches(rows(), out_schema)
+
+    in_groups = dealt.repartition(*keys, "_group").sortWithinPartitions(*keys, "_group", index)
+    totals = in_groups.mapInArrow(total, total_ddl)
+    starts = totals.repartition(*keys).sortWithinPartitions(*keys, "_group").mapInArrow(groups, f"{named}, _group long, before array<double>")
+    first = starts.select(*keys, "_group", F.lit(0).alias("_kind"), F.lit(None).cast(kinds[index]).alias(index), F.col("before").alias("element"))
+    both = first.unionByName(dealt.select(*keys, "_group", F.lit(1).alias("_kind"), index, "element"))
+    return both.repartition(*keys, "_group").sortWithinPartitions(*keys, "_group", "_kind", index).mapInArrow(again, out_ddl)

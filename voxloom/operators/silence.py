@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..sources.shared import written
 from .intervals import merge_regions, runs
 from .scans import prefixes
 
@@ -69,7 +70,7 @@ def plan(levels: DataFrame, totals: DataFrame, frame: int, rate: int, cfg: Engin
     before merging; merged runs are padded, clamped and joined where they touch. A recording stays whole if it
     lasts under a second, has too little range, keeps under a second, or keeps 98 % and more.
     """
-    joined = _regions(_spoken(levels, totals, frame, rate, cfg, rec), rate, cfg, rec)
+    joined = written(_regions(written(_spoken(levels, totals, frame, rate, cfg, rec)), rate, cfg, rec))
     kept = joined.groupBy(rec).agg(F.sum(F.col("end") - F.col("start")).alias("kept"), F.first("total").alias("whole"))
     used = kept.filter((F.col("kept") >= rate) & (F.col("kept") < 0.98 * F.col("whole"))).select(rec)
     return joined.join(used, rec, "left_semi").select(rec, "start", "end")
@@ -99,7 +100,7 @@ def notes(levels: DataFrame, totals: DataFrame, frame: int, rate: int, cfg: Engi
     where there is too little of it, and for recordings under a second.
     """
     flat = thresholds(levels, cfg.trim_min_dynamic_db, cfg.trim_sensitivity, rec).select(rec, "flat")
-    spoken = _spoken(levels, totals, frame, rate, cfg, rec)
+    spoken = written(_spoken(levels, totals, frame, rate, cfg, rec))
     length = F.col("end") - F.col("start")
     longest = spoken.groupBy(rec).agg(F.max(length).alias("longest"))
     kept = _regions(spoken, rate, cfg, rec).groupBy(rec).agg(F.sum(length).alias("kept"))
@@ -128,6 +129,7 @@ class Highpass:
         self.b = np.array([norm, -2 * norm, norm])
         self.a = np.array([2 * (k * k - 1) * norm, (1 - math.sqrt(2) * k + k * k) * norm])
         self.step = np.array([[-self.a[0], 1.0], [-self.a[1], 0.0]])
+        self.spectra: dict[int, np.ndarray] = {}  # of the response, by the size of a product
         taps = max(64, int(math.log(1e-16) / math.log(math.sqrt(self.a[1]))))
         one = self.b[1:] - self.a * self.b[0]  # the state after a single sample
         self.response, self.after = np.empty(taps), np.empty((taps, 2))
@@ -143,9 +145,11 @@ class Highpass:
 
     def run(self, x: np.ndarray, state: np.ndarray, block: int = 1 << 16) -> np.ndarray:
         """The filtered samples from a state, with the tail of each block of the product carried over."""
-        taps = len(self.response)
-        out, size = np.zeros(len(x) + taps - 1), 1 << (block + taps).bit_length()
-        spectrum = np.fft.rfft(self.response, size)
+        taps, block = len(self.response), max(1, min(block, len(x)))
+        out, size = np.zeros(len(x) + taps - 1), 1 << (block + taps - 1).bit_length()
+        if size not in self.spectra:
+            self.spectra[size] = np.fft.rfft(self.response, size)
+        spectrum = self.spectra[size]
         for at in range(0, len(x), block):
             part = x[at : at + block]
             y = np.fft.irfft(np.fft.rfft(part, size) * spectrum, size)[: len(part) + taps - 1]

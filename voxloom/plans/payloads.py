@@ -178,11 +178,11 @@ h(id, i, seq, action, before, after) AS (
 SELECT id, seq, action, before, after, CASE WHEN before <> after THEN 'ok' WHEN before IN ('queued', 'running') THEN 'active' WHEN before = 'none' THEN 'missing' ELSE 'ignored' END AS outcome
 FROM h WHERE i > 0""")
 def job_history(spark, sf_dir):
-    """Every user's events as actions on a job, in groups of 2,000 event numbers."""
+    """Every user's events as actions on a job, in groups of 5,000 event numbers."""
     actions = F.array(*map(F.lit, ("submit", "start", "finish", "fail", "retry", "stop", "start")))
     e = table(spark, sf_dir, "events")
     log = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.get(actions, (F.col("event_id") * 7919 % 7).cast("int")).alias("action"))
-    return registry.job_history(log, 2000)
+    return registry.job_history(log, 5000)
 
 
 VOICED = """p AS (SELECT vec_id // 20 AS rec_id, vec_id // 5 % 4 AS chunk_idx, 'S' || (vec_id % 5) AS label, CASE WHEN vec_id % 11 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS v, vec_id % 7 + 1 AS sec,
