@@ -1,9 +1,10 @@
 """Removal of long repeated byte strings with a logarithmic family of suffix arrays.
 
 Any SPAN-byte string holds an anchor: the place of the smallest K-byte hash among its K-byte strings. Equal strings
-have equal anchors, so only anchors whose K bytes occur twice can lie in a repeated string. Anchors whose whole
-neighbourhood (all SPAN-byte strings around them) occurs twice are settled by that; of the others the neighbourhoods
-go, by anchor, to shards that hold suffix arrays. There each new batch gets a suffix array, is merge-scanned against
+have equal anchors. The strings around an anchor fall into PARTS by how far it is from their start; those of a part
+share their middle bytes (the core), so only parts whose core occurs twice can hold a repeated string. Parts whose
+whole neighbourhood (all their SPAN-byte strings) occurs twice are settled by that; of the others the neighbourhoods
+go, by core, to shards that hold suffix arrays. There each new batch gets a suffix array, is merge-scanned against
 the existing levels for strings of SPAN common bytes, and levels of like size merge.
 """
 
@@ -13,17 +14,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_filter, in_batches, passes, slices, written
+from .common import documents, forget, give_back, id_filter, in_batches, passes, slices, written
 
 SPAN, K = 200, 32
 LEFT = SPAN - K  # bytes before an anchor that a string around it can start
+PARTS = 2
+#: The least and the most bytes from the start of a part's strings to their anchor.
+LEAST = [(LEFT + 1) * p // PARTS for p in range(PARTS)]
+MOST = [x - 1 for x in LEAST[1:]] + [LEFT]
 ROWS = 256
 #: Bytes of neighbourhoods that get a suffix array of their own, and bytes a shard is meant for.
 BATCH_BYTES, SHARD_BYTES = 1 << 20, 8 << 20
-#: Anchors with more open neighbourhoods than this are compared by windows over all tasks, not in one shard.
+#: Cores with more neighbourhoods than this are compared by windows over all tasks, not in one shard.
 SHARED_BY = 50_000
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
@@ -56,12 +61,12 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place, K-byte hash and neighbourhood hash of every anchor."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place, part, core hash and neighbourhood hash of every part with strings of every anchor."""
     at_least = [i for i, t in enumerate(texts) if len(t) >= SPAN]
     if not at_least:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     sizes = np.array([len(texts[i]) for i in at_least])
     flat = np.frombuffer(b"".join(texts[i] for i in at_least), dtype=np.uint8)
     n = len(flat)
@@ -78,10 +83,16 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     pad = np.zeros(SPAN - K, dtype=U)
     most = sliding(np.concatenate([pad, least, pad]), SPAN - K + 1, np.maximum)
     at = np.flatnonzero(grams == most[: len(grams)])
-    owner = text[at]
-    low, high = np.maximum(starts[owner], at - LEFT), np.minimum(ends[owner], at + SPAN)
-    around = mix(mix((total[high] - total[low]) * inverse[low]) ^ ((at - low) * 1024 + (high - low)).astype(U))
-    return np.array(at_least)[owner], at - starts[owner], grams[at].astype(np.int64), around.astype(np.int64)
+    found = []
+    for part, (least_to, most_to) in enumerate(zip(LEAST, MOST)):
+        low, high = np.maximum(starts[text[at]], at - most_to), np.minimum(ends[text[at]], at + SPAN - least_to)
+        some = high - low >= SPAN
+        low, high, place = low[some], high[some], at[some]
+        owner, first = text[place], place - least_to
+        core = mix(mix((total[place + SPAN - most_to] - total[first]) * inverse[first]) ^ U(part + 1))
+        around = mix(mix((total[high] - total[low]) * inverse[low]) ^ ((place - low) * 1024 + (high - low)).astype(U))
+        found.append((np.array(at_least)[owner], place - starts[owner], np.full(len(place), part), core.astype(np.int64), around.astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def utf8(texts: list[str | None]) -> list[bytes]:
@@ -89,9 +100,9 @@ def utf8(texts: list[str | None]) -> list[bytes]:
 
 
 def found_anchors(docs: DataFrame) -> DataFrame:
-    """A row for each anchor (gram, around, key, pos), and one without gram for each document."""
-    names = ["key", "doc_id", "n_bytes", "sha256", "gram", "around", "pos"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+    """A row for each part of an anchor (core, around, key, pos, part), and one without core for each document."""
+    names = ["key", "doc_id", "n_bytes", "sha256", "core", "around", "pos", "part"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int8()]
 
     def run(batches):
         for batch in batches:
@@ -100,12 +111,12 @@ def found_anchors(docs: DataFrame) -> DataFrame:
                 keys, n = part.column("key").to_numpy(), part.num_rows
                 head = [part.column("key"), part.column("doc_id").cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
                 yield pa.RecordBatch.from_arrays(head + [pa.nulls(n, t) for t in types[4:]], names=names)
-                text, pos, gram, around = anchors(texts)
+                text, pos, side, core, around = anchors(texts)
                 if len(text):
                     empty = [pa.nulls(len(text), t) for t in types[1:4]]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[text]), *empty, pa.array(gram), pa.array(around), pa.array(pos.astype(np.int32))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[text]), *empty, pa.array(core), pa.array(around), pa.array(pos.astype(np.int32)), pa.array(side.astype(np.int8))], names=names)
 
-    schema = "key long, doc_id long, n_bytes long, sha256 string, gram long, around long, pos int"
+    schema = "key long, doc_id long, n_bytes long, sha256 string, core long, around long, pos int, part byte"
     return docs.mapInArrow(run, schema)
 
 
@@ -148,14 +159,22 @@ class Level:
         at = np.repeat(np.cumsum(sizes) - sizes, number) + place
         name = mix((total[at + SPAN] - total[at]) * inverse[at])
         keys = mix(name ^ (lefts[owner] - place).astype(U) * U(BASE))
-        order = np.argsort(keys, kind="stable")
-        return cls(keys[order], items[owner][order], place[order].astype(np.int16))
+        order = np.argsort(keys)
+        return cls(keys[order], items.astype(np.int32)[owner[order]], place[order].astype(np.int16))
 
     def merged(self, other: Level) -> Level:
         """Both arrays as one, by a merge of sorted runs."""
-        keys = np.concatenate([self.keys, other.keys])
-        order = np.argsort(keys, kind="stable")
-        return Level(keys[order], np.concatenate([self.items, other.items])[order], np.concatenate([self.places, other.places])[order])
+        theirs = np.searchsorted(self.keys, other.keys)
+        theirs += np.arange(len(theirs))
+        ours = np.ones(len(self.keys) + len(other.keys), dtype=bool)
+        ours[theirs] = False
+
+        def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = np.empty(len(ours), dtype=a.dtype)
+            out[ours], out[theirs] = a, b
+            return out
+
+        return Level(both(self.keys, other.keys), both(self.items, other.items), both(self.places, other.places))
 
 
 class SuffixLevels:
@@ -182,15 +201,20 @@ class SuffixLevels:
         for level in sorted(self.levels, key=lambda x: len(x.keys)):
             if len(level.keys) <= len(carry.keys):
                 self.levels.remove(level)
-                carry = carry.merged(level)
+                carry = level.merged(carry)
         self.levels.append(carry)
 
     def scan(self, a: Level, b: Level) -> None:
         """Walk two sorted arrays together and note the strings that both hold."""
-        for one, two in ((a, b), (b, a)):
-            if len(one.keys) and len(two.keys):
-                at = np.minimum(np.searchsorted(two.keys, one.keys), len(two.keys) - 1)
-                self.note(one, two.keys[at] == one.keys)
+        if len(a.keys) and len(b.keys):
+            at = np.minimum(np.searchsorted(b.keys, a.keys), len(b.keys) - 1)
+            hit = b.keys[at] == a.keys
+            self.note(a, hit)
+            shared = np.unique(at[hit])  # where b's run of each common name begins
+            edge = np.zeros(len(b.keys) + 1, dtype=np.int8)
+            edge[shared] += 1
+            np.subtract.at(edge, np.searchsorted(b.keys, b.keys[shared], side="right"), 1)
+            self.note(b, np.cumsum(edge[:-1], dtype=np.int8) > 0)
 
     def note(self, level: Level, hit: np.ndarray) -> None:
         np.minimum.at(self.first, level.items[hit], level.places[hit])
@@ -198,8 +222,8 @@ class SuffixLevels:
 
 
 def resolve(open_items: DataFrame, shards: int) -> DataFrame:
-    """(key, pos, low, high): the part of each neighbourhood that repeated strings cover, relative to its start."""
-    names = ["key", "pos", "low", "high"]
+    """(key, low, high): what repeated strings cover of each neighbourhood."""
+    names = ["key", "low", "high"]
 
     def run(batches):
         index, items, texts, total = SuffixLevels(), [], [], 0
@@ -207,39 +231,52 @@ def resolve(open_items: DataFrame, shards: int) -> DataFrame:
         def flush():
             nonlocal texts, total
             if texts:
-                index.add(texts, np.array([min(pos, LEFT) for _, pos, _ in items[len(items) - len(texts) :]]))
+                index.add(texts, np.array([pos - start for _, pos, start, _ in items[len(items) - len(texts) :]]))
             texts, total = [], 0
 
         for batch in batches:
-            for key, pos, wanted, around in zip(*(batch.column(c).to_pylist() for c in ("key", "pos", "open", "bytes"))):
-                items.append((key, pos, wanted))
-                texts.append(around)
-                total += len(around)
-                if total >= BATCH_BYTES:
-                    flush()
+            for part in slices(batch, ROWS * 16, column="bytes"):
+                for key, pos, start, wanted, around in zip(*(part.column(c).to_pylist() for c in ("key", "pos", "start", "open", "bytes"))):
+                    items.append((key, pos, start, wanted))
+                    texts.append(around)
+                    total += len(around)
+                    if total >= BATCH_BYTES:
+                        flush()
         flush()
-        rows = [(*items[i][:2], index.first[i], index.last[i] + SPAN) for i in np.flatnonzero(index.last >= 0) if items[i][2]]
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=names)
+        rows = [(items[i][0], items[i][2] + index.first[i], items[i][2] + index.last[i] + SPAN) for i in np.flatnonzero(index.last >= 0) if items[i][3]]
+        del index, items
+        give_back()
+        types = (pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, types)], names=names)
 
-    return open_items.repartition(shards, "gram").select("key", "pos", "open", "bytes").mapInArrow(run, "key long, pos int, low int, high int")
+    return open_items.repartition(shards, "core").select("key", "pos", "start", "open", "bytes").mapInArrow(run, "key long, low int, high int")
 
 
 def resolve_by_windows(open_items: DataFrame) -> DataFrame:
-    """As resolve, for anchors that too many texts share: every string is counted by its digest over all tasks."""
-    starts = F.explode(F.sequence(F.lit(0), F.length("bytes") - SPAN))
-    windows = open_items.filter(F.length("bytes") >= SPAN).select("key", "pos", "open", "bytes", starts.alias("low"))
-    place = F.least(F.col("pos"), F.lit(LEFT)) - F.col("low")  # as in SuffixLevels.scan
+    """As resolve, for cores that too many texts share: every string is counted by its digest over all tasks."""
+    windows = open_items.select("key", "pos", "start", "open", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - SPAN)).alias("low"))
+    place = F.col("pos") - F.col("start") - F.col("low")  # as in Level.of
     string = F.md5(F.substring("bytes", F.col("low") + 1, F.lit(SPAN)))
-    windows = windows.select("key", "pos", "open", "low", F.concat_ws(":", string, place).alias("window"))
+    windows = windows.select("key", "start", "open", (F.col("start") + F.col("low")).alias("low"), F.concat_ws(":", string, place).alias("window"))
     repeated = windows.groupBy("window").count().filter("count > 1").select("window")
     hits = windows.filter("open").join(repeated, "window", "left_semi")
-    return hits.groupBy("key", "pos").agg(F.min("low").cast("int").alias("low"), (F.max("low") + SPAN).cast("int").alias("high"))
+    return hits.groupBy("key", "start").agg(F.min("low").alias("low"), (F.max("low") + SPAN).alias("high")).drop("start")
+
+
+def start_of() -> Column:
+    """Where the neighbourhood of an anchor's part starts, by pos and part."""
+    return F.greatest(F.lit(0), F.col("pos") - F.element_at(F.array(*map(F.lit, MOST)), F.col("part") + 1))
+
+
+def end_of() -> Column:
+    """Where it ends, if the text does not end before."""
+    return F.col("pos") + SPAN - F.element_at(F.array(*map(F.lit, LEAST)), F.col("part") + 1)
 
 
 def neighbourhoods(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """gram, key, pos, open and bytes for the wanted (key, pos, gram, open)."""
-    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("pos", "gram", "open")).alias("places"))  # at most a text's length
+    """core, key, pos, start, open and bytes for the wanted (key, pos, part, core, open)."""
+    place = F.struct("pos", start_of().alias("start"), end_of().alias("end"), "core", "open")
+    listed = wanted.groupBy("key").agg(F.collect_list(place).alias("places"))  # at most a text's length
     texts = in_filter(docs.select("key", "text"), "key", id_filter(listed, "key")).dropDuplicates(["key"])
 
     def run(batches):
@@ -248,8 +285,7 @@ def neighbourhoods(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for key, text, places in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places"))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for p in places:
-                    low = max(0, p["pos"] - LEFT)
-                    rows.append((p["gram"], key, p["pos"], p["open"], raw[low : p["pos"] + SPAN]))
+                    rows.append((p["core"], key, p["pos"], p["start"], p["open"], raw[p["start"] : p["end"]]))
                     if len(rows) == 10_000:
                         yield packed(rows)
                         rows = []
@@ -257,10 +293,10 @@ def neighbourhoods(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield packed(rows)
 
     def packed(rows):
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["gram", "key", "pos", "open", "bytes"])
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["core", "key", "pos", "start", "open", "bytes"])
 
-    return texts.join(listed, "key").mapInArrow(run, "gram long, key long, pos int, open boolean, bytes binary")
+    return texts.join(listed, "key").mapInArrow(run, "core long, key long, pos int, start int, open boolean, bytes binary")
 
 
 def cut_out(docs: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
@@ -300,27 +336,25 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """
     docs = in_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     found = written(found_anchors(docs))
-    every = found.filter("gram IS NOT NULL").select("gram", "around", "key", "pos")
-    twice = every.groupBy("gram").count().filter("count > 1").select("gram")
-    near = written(in_filter(every, "gram", id_filter(twice, "gram")))
-    kinds = near.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one"))
-    grams = kinds.groupBy("gram").agg(F.sum("n").alias("all"), F.sum((F.col("n") == 1).cast("long")).alias("open"), F.count("*").alias("kinds"))
-    told = written(kinds.join(grams.filter("all > 1"), "gram"))
-    settled = near.join(told.filter("n > 1").select("gram", "around"), ["gram", "around"], "left_semi")
-    wanted = told.filter("open > 0 AND kinds > 1").select("one.key", "one.pos", "gram", (F.col("n") == 1).alias("open"), "kinds")
-    crowded = wanted.filter(F.col("kinds") > SHARED_BY).select("gram").distinct()
+    every = found.filter("core IS NOT NULL").select("core", "around", "key", "pos", "part")
+    twice = written(every.groupBy("core").count().filter("count > 1").select("core"))
+    near = written(in_filter(every, "core", id_filter(twice, "core")))
+    kinds = near.groupBy("core", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos", "part")).alias("one"))
+    cores = kinds.groupBy("core").agg(F.sum("n").alias("all"), F.sum((F.col("n") == 1).cast("long")).alias("open"), F.count("*").alias("kinds"))
+    told = written(kinds.join(cores.filter("all > 1"), "core"))
+    settled = near.join(told.filter("n > 1").select("core", "around"), ["core", "around"], "left_semi")
+    wanted = told.filter("open > 0 AND kinds > 1").select("one.key", "one.pos", "one.part", "core", (F.col("n") == 1).alias("open"), "kinds")
+    crowded = wanted.filter(F.col("kinds") > SHARED_BY).select("core").distinct()
     asked = wanted.drop("kinds")
     many = crowded.limit(1).count() > 0
-    some = asked.join(crowded, "gram", "left_anti") if many else asked
-    solved = resolve(neighbourhoods(docs, some), some.count() * (LEFT + SPAN) // SHARD_BYTES + 1)
+    some = asked.join(crowded, "core", "left_anti") if many else asked
+    solved = resolve(neighbourhoods(docs, some), some.count() * (SPAN + LEFT // PARTS) // SHARD_BYTES + 1)
     if many:
-        solved = solved.unionByName(resolve_by_windows(neighbourhoods(docs, asked.join(crowded, "gram", "left_semi"))))
-    start = F.greatest(F.lit(0), F.col("pos") - LEFT)
-    spans = settled.select("key", start.alias("low"), (F.col("pos") + SPAN).alias("high")).unionByName(
-        solved.select("key", (start + F.col("low")).alias("low"), (start + F.col("high")).alias("high"))
-    )
-    changed = cut_out(docs, written(spans), keep_text)
-    rows = found.filter("gram IS NULL").select("key", "doc_id", "n_bytes", "sha256")
+        solved = solved.unionByName(resolve_by_windows(neighbourhoods(docs, asked.join(crowded, "core", "left_semi"))))
+    spans = written(settled.select("key", start_of().alias("low"), end_of().alias("high")).unionByName(solved))
+    forget(twice, near, told)
+    changed = cut_out(docs, spans, keep_text)
+    rows = found.filter("core IS NULL").select("key", "doc_id", "n_bytes", "sha256")
     zero = F.lit(0).cast("long")
     return rows.join(changed, "key", "left").select(
         "doc_id",
