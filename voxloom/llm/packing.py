@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import documents, in_batches, slices, written
 
@@ -24,6 +25,8 @@ GROUP = 50_000
 #: Parts of words that a worker remembers; then those go that only one slice of texts had.
 REMEMBERED = 1 << 18
 ROWS = 512
+#: What the last token of each word ends with, and no other token; words of letters that the library gets as one text.
+LAST, LINE = "</w>", 64
 #: The strings of special tokens, which the library looks for before it cuts words.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 #: Bytes as the library's normaliser sees them: line ends and tabs are spaces, A-Z are lower-case.
@@ -35,11 +38,16 @@ class WordEncoder:
     """Ids of whole texts; a batch's words are told apart in Arrow, and each is encoded by the library once.
 
     The pre-tokenizer drops white space, never joins across it, and cuts between a letter and a mark, so a text's ids
-    are its parts' ids in order. Texts that hold the string of a special token go to the library whole.
+    are its parts' ids in order. Texts that hold the string of a special token go to the library whole. A call for
+    each part costs more than its merges, so parts of letters alone go by lines.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(LAST)]] = True
+        self.lines_told_apart = all(c + LAST in vocabulary for c in ByteLevel.alphabet())
         self.codes: dict[str, int] = {"": 0}
         self.ids = np.zeros(0, dtype=np.uint32)  # of all known parts, one after the other
         self.start, self.count = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
@@ -49,9 +57,27 @@ class WordEncoder:
         found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
+    def by_lines(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Those of the words whose ids a line of many words tells, their ids and the number of each one's.
+
+        Each word gives at least one last token. A line with as many of them as words has one a word; the words of
+        other lines are left out: the library cuts one of them, as it decomposes a letter.
+        """
+        lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
+        ids, count = self.by_library([" ".join(x) for x in lines])
+        line, last = np.repeat(np.arange(len(lines)), count), self.last[ids]
+        told = np.bincount(line[last], minlength=len(lines)) == [len(x) for x in lines]
+        ids, last = ids[told[line]], last[told[line]]
+        return [w for x, known in zip(lines, told) if known for w in x], ids, np.diff(np.flatnonzero(last), prepend=-1)
+
     def add(self, new: list[str]) -> None:
+        words, ids, count = self.by_lines([w for w in new if w.isalpha()] if self.lines_told_apart else [])
+        if len(words) < len(new):
+            known = set(words)
+            others = [w for w in new if w not in known]
+            more, many = self.by_library(others)
+            new, ids, count = words + others, np.concatenate([ids, more]), np.concatenate([count, many])
         self.codes.update(zip(new, range(len(self.count), len(self.count) + len(new))))
-        ids, count = self.by_library(new)
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, ids])
