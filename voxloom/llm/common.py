@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Filters have eight bits an id within these bounds (128 kB to 16 MB), whatever the input.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: Of batches in stages that stand beside a heap that earlier stages have filled.
+SMALL_BATCH = 2 << 20
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -27,15 +29,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def in_batches(docs: DataFrame) -> DataFrame:
-    """docs; from now on Spark hands their rows to Python in Arrow batches of BATCH_BYTES at most.
+def in_batches(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
+    """docs; from now on Spark hands their rows to Python in Arrow batches of so many bytes at most.
 
     Ten thousand long texts in one batch would take much of an executor's memory beside its heap, three times over.
     """
     conf = docs.sparkSession.conf
     bytes_now = re.fullmatch(r"(\d+)b?", conf.get(BATCH_SETTING))
-    if not bytes_now or int(bytes_now[1]) > BATCH_BYTES:
-        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    if not bytes_now or int(bytes_now[1]) > size:
+        conf.set(BATCH_SETTING, str(size))
     return docs
 
 

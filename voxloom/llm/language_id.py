@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, in_batches, slices, text_slices
+from .common import SMALL_BATCH, documents, in_batches, slices, text_slices
 
 #: Hashed features of n-grams of 1 to 3 characters; the model is this large for any corpus.
 DIMENSIONS = 1 << 15
@@ -222,7 +222,7 @@ def recognised(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
             out += [x != UNKNOWN and s >= min_score for x, s in zip(languages, score)]
         return pa.array(out, pa.bool_())
 
-    return in_batches(docs).filter(clear("text"))
+    return in_batches(docs, SMALL_BATCH).filter(clear("text"))
 
 
 def held_out() -> Column:

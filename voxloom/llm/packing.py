@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -16,14 +17,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import documents, in_batches, slices, written
+from .common import SMALL_BATCH, documents, in_batches, slices, written
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces that one group packs: groups are this large for any corpus, only their number grows.
 GROUP = 50_000
 #: Parts of words that a worker remembers; then those go that only one slice of texts had.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 ROWS = 512
 #: What the last token of each word ends with, and no other token; words of letters that the library gets as one text.
 LAST, LINE = "</w>", 64
@@ -39,10 +40,12 @@ class WordEncoder:
 
     The pre-tokenizer drops white space, never joins across it, and cuts between a letter and a mark, so a text's ids
     are its parts' ids in order. Texts that hold the string of a special token go to the library whole. A call for
-    each part costs more than its merges, so parts of letters alone go by lines.
+    each part costs more than its merges, so parts of letters alone go by lines. The library works in one thread: tasks
+    fill the cores, and its threads would keep memory of their own in every worker.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -165,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return in_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_batches(docs, SMALL_BATCH).select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, in_batches, slices, text_slices
+from .common import SMALL_BATCH, documents, in_batches, slices, text_slices
 
 # The base patterns.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -183,7 +183,7 @@ def mask_secrets(docs: DataFrame, vocabulary: str) -> DataFrame:
             out += [text and masked(text, all_spans(text, enc)[1]) for text in part]
         return pa.array(out, pa.string())
 
-    out = in_batches(docs).withColumn("text", mask("text"))
+    out = in_batches(docs, SMALL_BATCH).withColumn("text", mask("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
