@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCH, documents, in_batches, slices, text_slices
+from .common import SMALL_BATCH, documents, give_back, in_batches, slices, text_slices
 
 #: Hashed features of n-grams of 1 to 3 characters; the model is this large for any corpus.
 DIMENSIONS = 1 << 15
@@ -75,20 +75,18 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.append(np.flatnonzero(seen), -1)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(seen[at[:-1]], rows))], names=["feature", "n"])
 
-    found = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    out, total = np.zeros(DIMENSIONS), 0
-    for r in found:
-        if r["feature"] < 0:
-            total = r["n"]
-        else:
-            out[r["feature"]] = r["n"]
-    return out, total
+    found = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, n = (found.column(c).to_numpy() for c in ("feature", "n"))
+    out, some = np.zeros(DIMENSIONS), feature >= 0
+    out[feature[some]] = n[some]
+    return out, int(n[~some].sum())
 
 
 def sample_features(docs: DataFrame, size: int) -> list[tuple]:
     """(lang, features, counts) of the sampled rows, repeated rows once: size rows at most.
 
-    A row is bounded by DIMENSIONS, however long its text.
+    A row is bounded by DIMENSIONS, however long its text. The arrays lie in Arrow's buffers: rows of Python numbers
+    would take ten times as much of the driver's memory, which keeps it.
     """
     order = {"rank": F.xxhash64("doc_id"), "tie": F.xxhash64("text", "lang")}
     ranked = docs.withColumns(order)
@@ -109,9 +107,13 @@ def sample_features(docs: DataFrame, size: int) -> list[tuple]:
                     names=["doc_id", "lang", "feature", "n"],
                 )
 
-    rows = chosen.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, feature array<int>, n array<int>").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["lang"]), r["feature"]))
-    return [(r["lang"], np.array(r["feature"], dtype=np.int64), np.array(r["n"], dtype=np.int64)) for r in rows]
+    rows = []
+    for batch in chosen.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, feature array<int>, n array<int>").toArrow().to_batches():
+        ends = np.cumsum(batch.column("feature").value_lengths().to_numpy())[:-1]
+        feature, count = (np.split(batch.column(c).flatten().to_numpy(), ends) for c in ("feature", "n"))
+        rows += zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), feature, count)
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[1]), r[2].astype(">u2").tobytes()))
+    return [r[1:] for r in rows]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -133,6 +135,7 @@ def fit(
         return Model([], idf, np.zeros((DIMENSIONS, 0)), np.zeros(0), 1.0)
     y = {lang: i for i, lang in enumerate(languages)}
     data = [(y[lang], f, weighed(np.zeros(len(f), dtype=np.int64), f, n, idf, 1)) for lang, f, n in rows]
+    del rows
     folds = min(FOLDS, len(data)) if len(data) > 1 else 0
     w = learnt(data, k, folds, alpha, beta, l1, l2, passes)
     model = Model(languages, idf, w[:-1, 0], w[-1, 0], 1.0)
@@ -142,6 +145,8 @@ def fit(
         options = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
         loss = [-np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in options]
         model.temperature = float(options[int(np.argmin(loss))])
+    del data
+    give_back()
     return model
 
 
