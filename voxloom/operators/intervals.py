@@ -56,12 +56,16 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width, how
     return met.select(*left.columns, *others).unionByName(alone, allowMissingColumns=True)
 
 
-def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: str, width=WIDTH) -> DataFrame:
-    """points with the columns of the latest mark at or before each: no pairs are made."""
+def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: str, width=WIDTH, tie: Column | None = None) -> DataFrame:
+    """points with the columns of the latest mark at or before each: no pairs are made.
+
+    Of marks that are equal the one with the greatest tie counts; without a tie, any of them may.
+    """
     carried = [c for c in marks.columns if c not in (*keys, mark)]
-    m = marks.select(*keys, F.col(mark).alias("_at"), F.struct(mark, *carried).alias("_mark"))
+    m = marks.select(*keys, F.col(mark).alias("_at"), F.struct(mark, *carried).alias("_mark"), *([] if tie is None else [tie.alias("_tie")]))
     both = points.withColumns({"_at": F.col(at), "_is": F.lit(1)}).unionByName(m.withColumn("_is", F.lit(0)), allowMissingColumns=True)
-    held = running(both, keys, ["_at", "_is"], width, {"_found": Running("last", F.col("_mark"))}).filter("_is = 1")
+    order = ["_at", "_is"] if tie is None else ["_at", "_is", "_tie"]
+    held = running(both, keys, order, width, {"_found": Running("last", F.col("_mark"))}).filter("_is = 1")
     return held.select(*points.columns, *[F.col(f"_found.{c}").alias(c) for c in (mark, *carried)])
 
 

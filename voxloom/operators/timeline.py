@@ -41,23 +41,25 @@ def stats(regions: DataFrame, totals: DataFrame, rec: str = "rec_id") -> DataFra
     )
 
 
-def to_original(points: DataFrame, placed: DataFrame, rec: str = "rec_id", width=WIDTH) -> DataFrame:
+def to_original(points: DataFrame, placed: DataFrame, rec: str = "rec_id", width=WIDTH, first: bool = False) -> DataFrame:
     """points (rec, pos on the kept clock, ...) with `original`.
 
     A place on a cut belongs to the region after it; places before the start or past the end are held at the first
-    start and the last end. Recordings without regions keep their clock.
+    start and the last end. Recordings without regions keep their clock. Regions that share an offset are empty but for
+    the last, which counts; with first=True the first one does, and holds all places up to the next offset.
     """
     clean = points.withColumn("_pos", F.greatest(F.col("pos"), F.lit(0)))
-    found = as_of(clean, placed.select(rec, "offset", "start", "end"), [rec], "_pos", "offset", width)
+    tie = F.struct(-F.col("start"), -F.col("end")) if first else F.struct("start", "end")
+    found = as_of(clean, placed.select(rec, "offset", "start", "end"), [rec], "_pos", "offset", width, tie)
     moved = F.least(F.col("start") + F.col("_pos") - F.col("offset"), F.col("end"))
     return found.select(*points.columns, F.coalesce(moved, F.col("pos")).alias("original"))
 
 
-def split(spans: DataFrame, placed: DataFrame, width, rec: str = "rec_id") -> DataFrame:
+def split(spans: DataFrame, placed: DataFrame, width, rec: str = "rec_id", first: bool = False) -> DataFrame:
     """The pieces on the original clock of spans (rec, span_id, lo, hi) on the kept clock, one for each region.
 
-    Spans are clamped to the kept time; an empty span gives the one point it maps to. Spans of recordings without
-    regions stay as they are.
+    Spans are clamped to the kept time; an empty span gives the one point it maps to (first: see to_original). Spans of
+    recordings without regions stay as they are.
     """
     kept = placed.groupBy(rec).agg(F.sum("length").alias("_kept"))
     whole = spans.join(kept, rec, "left_anti").select(rec, "span_id", F.col("lo").alias("start"), F.col("hi").alias("end"))
@@ -75,7 +77,7 @@ def split(spans: DataFrame, placed: DataFrame, width, rec: str = "rec_id") -> Da
     pieces = met.select(
         rec, "span_id", (shift + F.greatest("l_start", "r_start")).alias("start"), (shift + F.least("l_end", "r_end")).alias("end")
     )
-    points = to_original(clamped.filter("l_end <= l_start").select(rec, "span_id", F.col("l_start").alias("pos")), placed, rec)
+    points = to_original(clamped.filter("l_end <= l_start").select(rec, "span_id", F.col("l_start").alias("pos")), placed, rec, first=first)
     points = points.select(rec, "span_id", F.col("original").alias("start"), F.col("original").alias("end"))
     return pieces.unionByName(points).unionByName(whole)
 
