@@ -57,3 +57,14 @@ def test_the_last_region_of_an_offset_counts(spark, swap):
     spans = spark.createDataFrame([("r", 0, 7, 7), ("r", 1, 3, 7)], "rec_id string, span_id long, lo long, hi long")
     got = sorted((r.span_id, r.start, r.end) for r in timeline.split(spans, placed, 2).collect())
     assert got == [(0, 32, 32), (1, 3, 5), (1, 10, 10), (1, 20, 20), (1, 30, 32)]
+
+
+def test_turns_over_empty_regions(spark, events):
+    got = same_as_sql(spark, events, "restore_turns")
+    assert (got.start == got.end).any()
+    placed = timeline.offsets(spark.createDataFrame([("r", 0, 5), ("r", 10, 10), ("r", 30, 34)], "rec_id string, start long, end long"))
+    turns = [("r", 0, 3, 7, "A"), ("r", 1, 5, 5, "A"), ("r", 2, 9, 12, "B"), ("q", 3, 1, 2, "A"), ("q", 4, 2, 2, "A")]
+    turns = spark.createDataFrame(turns, "rec_id string, turn_idx long, start long, end long, speaker string")
+    pieces = lambda **x: sorted((r.turn_idx, r.start, r.end) for r in timeline.restore_turns(turns, placed, 2, **x).collect())
+    assert pieces() == [(0, 3, 5), (0, 30, 32), (3, 1, 2)]
+    assert pieces(empty=True) == [(0, 3, 5), (0, 10, 10), (0, 30, 32), (3, 1, 2)]

@@ -61,6 +61,14 @@ def split(spans: DataFrame, placed: DataFrame, width, rec: str = "rec_id", first
     Spans are clamped to the kept time; an empty span gives the one point it maps to (first: see to_original). Spans of
     recordings without regions stay as they are.
     """
+    clamped, whole = _clamped(spans, placed, rec)
+    points = to_original(clamped.filter("l_end <= l_start").select(rec, "span_id", F.col("l_start").alias("pos")), placed, rec, first=first)
+    points = points.select(rec, "span_id", F.col("original").alias("start"), F.col("original").alias("end"))
+    return _pieces(clamped, placed, width, rec).unionByName(points).unionByName(whole)
+
+
+def _clamped(spans: DataFrame, placed: DataFrame, rec: str) -> tuple[DataFrame, DataFrame]:
+    """Spans (l_start, l_end) within the kept time, and those of recordings without regions as they are."""
     kept = placed.groupBy(rec).agg(F.sum("length").alias("_kept"))
     whole = spans.join(kept, rec, "left_anti").select(rec, "span_id", F.col("lo").alias("start"), F.col("hi").alias("end"))
     clamped = spans.join(kept, rec).select(
@@ -69,17 +77,19 @@ def split(spans: DataFrame, placed: DataFrame, width, rec: str = "rec_id", first
         F.least(F.greatest(F.col("lo"), F.lit(0)), "_kept").alias("l_start"),
         F.least(F.greatest(F.col("hi"), F.lit(0)), "_kept").alias("l_end"),
     )
+    return clamped, whole
+
+
+def _pieces(clamped: DataFrame, placed: DataFrame, width, rec: str) -> DataFrame:
+    """The pieces of spans that are not empty; a region without length inside a span gives an empty one."""
     regions = placed.select(
         rec, F.col("offset").alias("r_start"), (F.col("offset") + F.col("length")).alias("r_end"), F.col("start").alias("r_from")
     )
     met = interval_join(clamped.filter("l_end > l_start"), regions, [rec], width)
     shift = F.col("r_from") - F.col("r_start")
-    pieces = met.select(
+    return met.select(
         rec, "span_id", (shift + F.greatest("l_start", "r_start")).alias("start"), (shift + F.least("l_end", "r_end")).alias("end")
     )
-    points = to_original(clamped.filter("l_end <= l_start").select(rec, "span_id", F.col("l_start").alias("pos")), placed, rec, first=first)
-    points = points.select(rec, "span_id", F.col("original").alias("start"), F.col("original").alias("end"))
-    return pieces.unionByName(points).unionByName(whole)
 
 
 def restore_segments(segments: DataFrame, placed: DataFrame, rec: str = "rec_id") -> DataFrame:
@@ -103,11 +113,17 @@ def restore_segments(segments: DataFrame, placed: DataFrame, rec: str = "rec_id"
     return out.select(*rest, put("start"), put("end"), F.coalesce("_words", "words").alias("words")).select(segments.columns)
 
 
-def restore_turns(turns: DataFrame, placed: DataFrame, width, rec: str = "rec_id") -> DataFrame:
-    """Turns (rec, turn_idx, start, end, speaker) of the kept clock as pieces on the original clock, none empty."""
-    pieces = split(turns.select(rec, F.col("turn_idx").alias("span_id"), F.col("start").alias("lo"), F.col("end").alias("hi")), placed, width, rec)
+def restore_turns(turns: DataFrame, placed: DataFrame, width, rec: str = "rec_id", empty: bool = False) -> DataFrame:
+    """Turns (rec, turn_idx, start, end, speaker) of the kept clock as pieces on the original clock, none empty.
+
+    With empty=True a region without length inside a turn gives a piece too; turns within no kept time never do.
+    """
+    spans = turns.select(rec, F.col("turn_idx").alias("span_id"), F.col("start").alias("lo"), F.col("end").alias("hi"))
+    clamped, whole = _clamped(spans, placed, rec)
+    pieces = _pieces(clamped, placed, width, rec)
+    pieces = (pieces if empty else pieces.filter("end > start")).unionByName(whole.filter("end > start"))
     named = turns.select(rec, F.col("turn_idx").alias("span_id"), "speaker")
-    return pieces.filter("end > start").join(named, [rec, "span_id"]).select(rec, F.col("span_id").alias("turn_idx"), "start", "end", "speaker")
+    return pieces.join(named, [rec, "span_id"]).select(rec, F.col("span_id").alias("turn_idx"), "start", "end", "speaker")
 
 
 def chunks(regions: DataFrame, limit, rec: str = "rec_id", width=WIDTH) -> DataFrame:
