@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from .intervals import merge_regions, runs
 from .scans import prefixes
 
 EPS = 1e-10
+LISTED = pa.list_(pa.float64())
+#: Samples that a task makes or filters at a time (2 MB), whatever a batch has.
+PART = 1 << 18
 
 
 #: Levels of a recording are counted in cells of this width first.
@@ -184,60 +189,91 @@ def highpass(x: np.ndarray, hz: float, rate: int, block: int = 1 << 16) -> np.nd
     return f.run(x.astype(float) - float(x[0]), np.zeros(2), block)
 
 
-def highpass_blocks(blocks: DataFrame, hz: float, rate: int, rec: str = "rec_id", width: int = 4096) -> DataFrame:
-    """blocks (rec, block, samples) of recordings behind the high-pass, as if each recording were one array.
+def _parts(batches: Iterator[pa.RecordBatch], repeat: int = 1) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows with the samples of each, so many rows at a time that they have PART samples or are one."""
+    for b in batches:
+        ends = np.cumsum(pc.list_value_length(b.column("samples")).to_numpy(zero_copy_only=False)) * repeat
+        at = 0
+        while at < b.num_rows:
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")) - at)
+            part = b.slice(at, n)
+            yield part, [np.repeat(x.values.to_numpy(zero_copy_only=False), repeat) for x in part.column("samples")]
+            at += n
 
-    Blocks are numbered from 0 and not empty. They give what they do to the filter's state; these compose over the
-    blocks of a recording (scans.prefixes); then every block runs from the state before it. There is no warm-up, and no
-    task holds more than a batch of blocks or `width` states. Block 0 begins in the steady state of its first sample.
-    """
-    doubles = F.col("samples").cast("array<double>").alias("samples")
-    if hz <= 0:
-        return blocks.select(rec, "block", doubles)
+
+def _behind(blocks: DataFrame, hz: float, rate: int, rec: str, width: int, repeat: int, made: Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch], ddl: str) -> DataFrame:
+    """What is made of the rows of blocks and their samples behind the high-pass (see highpass_blocks)."""
     kinds = dict(blocks.dtypes)
-    listed = pa.list_(pa.float64())
     kind = f"`{rec}` {kinds[rec]}, block {kinds['block']}"
-
-    def samples_of(column: pa.Array) -> list[np.ndarray]:
-        return [x.values.to_numpy(zero_copy_only=False) for x in column]
+    rows = blocks.select(rec, "block", F.col("samples").cast("array<double>").alias("samples"))
+    if hz <= 0:
+        return rows.mapInArrow(lambda batches: (made(part, xs) for part, xs in _parts(batches, repeat)), ddl)
 
     def first_pass(batches):
         f = Highpass(hz, rate)
-        for b in batches:
-            made = []
-            for x, block in zip(samples_of(b.column("samples")), b.column("block").to_pylist()):
+        for part, xs in _parts(batches, repeat):
+            elements = []
+            for x, block in zip(xs, part.column("block").to_pylist()):
                 element = f.element(x)
                 if block == 0:  # the state before it is known, so what it leaves depends on nothing
                     element = np.concatenate([np.zeros(4), element[:4].reshape(2, 2) @ f.start(x[0]) + element[4:]])
-                made.append(element.tolist())
-            yield pa.RecordBatch.from_arrays([b.column(rec), b.column("block"), pa.array(made, listed)], names=[rec, "block", "element"])
+                elements.append(element.tolist())
+            yield pa.RecordBatch.from_arrays([part.column(rec), part.column("block"), pa.array(elements, LISTED)], names=[rec, "block", "element"])
 
     def second_pass(batches):
         f = Highpass(hz, rate)
-        for b in batches:
-            xs = samples_of(b.column("samples"))
-            made = [f.run(x, np.array(before[4:]) if before else f.start(x[0])) for x, before in zip(xs, b.column("before").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(rec), b.column("block"), pa.array(made, listed)], names=[rec, "block", "samples"])
+        for part, xs in _parts(batches, repeat):
+            yield made(part, [f.run(x, np.array(before[4:]) if before else f.start(x[0])) for x, before in zip(xs, part.column("before").to_pylist())])
 
-    rows = blocks.select(rec, "block", doubles)
     before = prefixes(rows.mapInArrow(first_pass, f"{kind}, element array<double>"), [rec], "block", width, Highpass.compose)
-    return rows.join(before, [rec, "block"]).select(rec, "block", "samples", "before").mapInArrow(second_pass, f"{kind}, samples array<double>")
+    return rows.join(before, [rec, "block"]).select(rec, "block", "samples", "before").mapInArrow(second_pass, ddl)
 
 
-def block_levels(blocks: DataFrame, size: int, frame: int, rec: str = "rec_id") -> DataFrame:
-    """(rec, frame_idx, db) of blocks (rec, block, samples) of `size` samples, a multiple of frame; the last may be shorter."""
+def highpass_blocks(blocks: DataFrame, hz: float, rate: int, rec: str = "rec_id", width: int = 4096) -> DataFrame:
+    """blocks (rec, block, samples) of recordings behind the high-pass, as if each recording were one array.
+
+    Blocks are numbered from 0 and not empty. They give what they do to the filter's state; these compose over the
+    blocks of a recording (scans.prefixes); then every block runs from the state before it. There is no warm-up, and no
+    task holds more than a batch of blocks or `width` states. Block 0 begins in the steady state of its first sample.
+    """
+    if hz <= 0:
+        return blocks.select(rec, "block", F.col("samples").cast("array<double>").alias("samples"))
+    kinds = dict(blocks.dtypes)
+
+    def made(part, ys):
+        return pa.RecordBatch.from_arrays([part.column(rec), part.column("block"), pa.array(ys, LISTED)], names=[rec, "block", "samples"])
+
+    return _behind(blocks, hz, rate, rec, width, 1, made, f"`{rec}` {kinds[rec]}, block {kinds['block']}, samples array<double>")
+
+
+def highpass_levels(blocks: DataFrame, hz: float, rate: int, size: int, frame: int, rec: str = "rec_id", width: int = 4096, repeat: int = 1) -> DataFrame:
+    """The block_levels of highpass_blocks, without filtered samples that leave their task.
+
+    Each value of `samples` stands for `repeat` samples, which a task makes for a few blocks at a time; rate, size and
+    frame count these.
+    """
+    return _behind(blocks, hz, rate, rec, width, repeat, _levels_of(rec, size, frame), f"`{rec}` {dict(blocks.dtypes)[rec]}, frame_idx long, db double")
+
+
+def _levels_of(rec: str, size: int, frame: int) -> Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch]:
     if size % frame:
         raise ValueError(f"a block of {size} samples has no whole number of frames of {frame}")
-    kinds = dict(blocks.dtypes)
 
-    def run(batches):
-        for b in batches:
-            for i, block in enumerate(b.column("block").to_pylist()):
-                db = frame_levels(b.column("samples")[i].values.to_numpy(zero_copy_only=False), frame)
-                keys = pa.array([b.column(rec)[i].as_py()] * len(db), b.schema.field(rec).type)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(block * (size // frame) + np.arange(len(db))), pa.array(db)], names=[rec, "frame_idx", "db"])
+    def made(part, ys):
+        dbs = [frame_levels(y, frame) for y in ys]
+        counts = [len(db) for db in dbs]
+        index = [block * (size // frame) + np.arange(n) for block, n in zip(part.column("block").to_pylist(), counts)]
+        keys = part.column(rec).take(pa.array(np.repeat(np.arange(len(dbs)), counts)))
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(index)), pa.array(np.concatenate(dbs))], names=[rec, "frame_idx", "db"])
 
-    return blocks.select(rec, "block", "samples").mapInArrow(run, f"`{rec}` {kinds[rec]}, frame_idx long, db double")
+    return made
+
+
+def block_levels(blocks: DataFrame, size: int, frame: int, rec: str = "rec_id") -> DataFrame:
+    """(rec, frame_idx, db) of blocks (rec, block, samples) of `size` samples, a multiple of frame; the last may be shorter."""
+    made = _levels_of(rec, size, frame)
+    ddl = f"`{rec}` {dict(blocks.dtypes)[rec]}, frame_idx long, db double"
+    return blocks.select(rec, "block", "samples").mapInArrow(lambda batches: (made(part, xs) for part, xs in _parts(batches)), ddl)
 
 
 def frame_levels(samples: np.ndarray, frame: int, hz: float = 0.0, rate: int = 16000) -> np.ndarray:
